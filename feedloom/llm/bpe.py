@@ -42,6 +42,8 @@ class WordEncoder:
         self.whole.no_padding()
         self.model = self.whole.model
         self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
+        if any("<" not in s for s in self.special):
+            raise ValueError("special tokens are looked for by their <")
         self.known: dict[str, list[int]] = {}
         self.most = most
         keep = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -49,18 +51,29 @@ class WordEncoder:
         place = {b: b for b in keep} | {b: 256 + i for i, b in enumerate(rest)}
         self.shown = "".join(chr(place[b]) for b in range(256))
 
+    def piece(self, piece: str) -> list[int]:
+        """Ids of one lower-cased piece."""
+        ids = self.known.get(piece)
+        if ids is None:
+            if len(self.known) >= self.most:
+                self.known.clear()
+            ids = [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.shown))]
+            self.known[piece] = ids
+        return ids
+
     def encode(self, word: str) -> list[int]:
-        if not _PLAIN.fullmatch(word) or any(s in word for s in self.special):
+        if word.isascii():
+            if word.isalpha():
+                return self.piece(word.lower())
+            if word[-1] in ".," and word[:-1].isalpha():
+                return self.piece(word[:-1].lower()) + self.piece(word[-1])
+        if not _PLAIN.fullmatch(word) or ("<" in word and any(s in word for s in self.special)):
             return self.whole.encode(word, add_special_tokens=False).ids
+        if word.isalpha():
+            return self.piece(word.lower())
         out: list[int] = []
         for piece in _PIECES.findall(word.lower()):
-            ids = self.known.get(piece)
-            if ids is None:
-                if len(self.known) >= self.most:
-                    self.known.clear()
-                ids = [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.shown))]
-                self.known[piece] = ids
-            out += ids
+            out += self.piece(piece)
         return out
 
     def pieces(self) -> list[str]:

@@ -7,6 +7,7 @@ import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
 from hashlib import sha256
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +42,7 @@ def _encoded(table: pa.Table, path: str, end_id: int) -> Iterator[tuple[object,
     one = encoder(path)
     ids = [one.encode(w) for w in words.vocab.to_pylist()]
     lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-    flat = np.fromiter((i for x in ids for i in x), np.uint32, int(lengths.sum()))
+    flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(lengths.sum()))
     begins = np.cumsum(lengths) - lengths
     for key, a, b in zip(table.column("key").to_pylist(), words.starts.tolist(), words.ends.tolist()):
         codes = words.codes[a:b]
