@@ -33,7 +33,7 @@ class WordEncoder:
     are those of its words, one after another.
     """
 
-    def __init__(self, path: str, most: int = 1_500_000):
+    def __init__(self, path: str, most: int = 300_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -91,12 +91,12 @@ def encoder(path: str) -> WordEncoder:
     return _encoders[path]
 
 
-def _by_part(vocab: pa.Array, parts: int) -> tuple[np.ndarray, np.ndarray]:
-    """Order of the words by partition (a hash of the word), and where each partition begins."""
-    hashes = pd.util.hash_array(np.asarray(vocab.to_pandas(), dtype=object), categorize=False) if len(vocab) else np.zeros(0, np.uint64)
-    part = (hashes % np.uint64(parts)).astype(np.int64)
-    order = np.argsort(part, kind="stable")
-    return order, np.searchsorted(part[order], np.arange(parts + 1))
+def _parts_of(vocab: pa.Array, parts: int) -> np.ndarray:
+    """Partition of each word in the table of distinct words: a hash of the word."""
+    if not len(vocab):
+        return np.zeros(0, np.int64)
+    hashes = pd.util.hash_array(np.asarray(vocab.to_pandas(), dtype=object), categorize=False)
+    return (hashes % np.uint64(parts)).astype(np.int64)
 
 
 def _words_out(words: list[str]) -> bytes:
@@ -125,14 +125,22 @@ def encode(docs: DataFrame, path: str | None = None, key: str = "doc_id", text:
     path = path or default_path()
     parts = packed.parts_for(docs)
     kind = dict(docs.dtypes)[key]
-    chunks = packed.chunk_table(docs, key, text, lambda vocab: _words_out(vocab.to_pylist()) if len(vocab) else b"", "bpe")
+
+    def side(vocab: pa.Array) -> tuple[bytes, bytes]:
+        """The words by partition, and the partition of each."""
+        if not len(vocab):
+            return b"", packed.pack_ints(np.zeros(0, np.int64))
+        return _words_out(vocab.to_pylist()), packed.pack_ints(_parts_of(vocab, parts))
+
+    chunks = packed.chunked(docs, key, text, side)
 
     def request(row: dict) -> Iterator[tuple[int, bytes]]:
-        if not row["side"]:
+        if not row["ask"]:
             return
-        words = pa.array(_words_in(row["side"]))
-        order, cuts = _by_part(words, parts)
-        ordered = words.take(pa.array(order)).to_pylist()
+        part = packed.unpack_ints(row["place"]).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        cuts = np.searchsorted(part[order], np.arange(parts + 1))
+        ordered = pa.array(_words_in(row["ask"])).take(pa.array(order)).to_pylist()
         for p in np.flatnonzero(np.diff(cuts)).tolist():
             yield p, _words_out(ordered[cuts[p] : cuts[p + 1]])
 
@@ -153,9 +161,11 @@ def encode(docs: DataFrame, path: str | None = None, key: str = "doc_id", text:
         return out
 
     def finish(row: dict, answers: list[tuple[int, bytes]]) -> pd.DataFrame:
-        codes = packed.unpack_ints(row["codes"]).astype(np.int64)
-        words = pa.array(_words_in(row["side"])) if row["side"] else pa.array([], pa.string())
-        order, cuts = _by_part(words, parts)
+        codes = packed.unpack_codes(row["codes"]).astype(np.int64)
+        part = packed.unpack_ints(row["place"]).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        cuts = np.searchsorted(part[order], np.arange(parts + 1))
+        n_words = len(part)
         lengths, flat = [], []
         for p, data in answers:
             n = int.from_bytes(data[:8], "little")
@@ -164,20 +174,20 @@ def encode(docs: DataFrame, path: str | None = None, key: str = "doc_id", text:
             if len(lengths[-1]) != cuts[p + 1] - cuts[p]:
                 raise RuntimeError("a chunk's words and their ids differ in number")
         counts = np.concatenate(lengths) if lengths else np.zeros(0, np.int64)
-        if len(counts) != len(words):
+        if len(counts) != n_words:
             raise RuntimeError("a chunk's words did not all come back")
         ids = np.concatenate(flat) if flat else np.zeros(0, np.int64)
         ends = np.cumsum(counts)
         shown = encoder(path).pieces()
         numbers = [str(i) for i in range(len(shown))]
-        as_ids, as_text = [""] * len(words), [""] * len(words)
+        as_ids, as_text = [""] * n_words, [""] * n_words
         listed = ids.tolist()
         where = order.tolist()
         for j, (a, b) in enumerate(zip((ends - counts).tolist(), ends.tolist())):
             own = listed[a:b]
             as_ids[where[j]] = " ".join([numbers[i] for i in own])
             as_text[where[j]] = " ".join([shown[i] for i in own])
-        n_ids = np.empty(len(words), np.int64)
+        n_ids = np.empty(n_words, np.int64)
         n_ids[order] = counts
         if len(codes) and not counts.all():
             filled = n_ids[codes] > 0

@@ -18,8 +18,11 @@ from pyspark.sql import functions as F
 
 WORD = r"[^\x20\x09-\x0D]+"
 
-#: Raw bytes of text that one chunk holds at most, unless one text alone is longer.
-CHUNK_BYTES = 16 << 20
+#: Raw bytes of text that are worked on at once, unless one text alone is longer.
+PIECE_BYTES = 4 << 20
+
+#: The same where distinct words are looked up: larger pieces repeat more of them.
+CHUNK_BYTES = 8 << 20
 
 #: Rows of a side that may be broadcast after they were counted.
 BROADCAST_ROWS = 100_000
@@ -72,7 +75,7 @@ def unit(*cols: Column | str) -> Column:
     return (F.conv(digits, 16, 10).cast("bigint").cast("double") + F.lit(0.5)) / F.lit(float(1 << 52))
 
 
-def pieces(batches: Iterator[pa.RecordBatch], column: str, limit: int = CHUNK_BYTES) -> Iterator[pa.Table]:
+def pieces(batches: Iterator[pa.RecordBatch], column: str, limit: int = PIECE_BYTES) -> Iterator[pa.Table]:
     """Regroup batches into tables of at most ``limit`` bytes of text (a longer text stands alone)."""
     held: list[pa.RecordBatch] = []
     size = 0

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedloom.llm.common import Words, pieces, stored, text_array, unit
+from feedloom.llm.common import CHUNK_BYTES, Words, pieces, stored, text_array, unit
 
 #: The model is fitted on about so many labelled documents of each language, chosen by hash of their key.
 SAMPLE_DOCS = 1000
@@ -139,7 +139,7 @@ def predict(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = shared.value
-        for table in pieces(batches, "text"):
+        for table in pieces(batches, "text", CHUNK_BYTES):
             langs, scores = one.predict(text_array(table, "text"))
             yield pa.RecordBatch.from_arrays([table.column("key").combine_chunks(), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["key", "lang_pred", "score"])
 

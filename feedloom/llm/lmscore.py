@@ -8,8 +8,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from feedloom.llm import packed
+from feedloom.llm.common import WORD
 
 #: Factor of a score for every order it backs off by.
 BACKOFF = 0.4
@@ -66,12 +68,12 @@ def score(docs: DataFrame, order: int = 3, key: str = "doc_id", text: str = "tex
     """
     parts = packed.parts_for(docs)
     kind = dict(docs.dtypes)[key]
-    chunks = packed.chunk_table(docs, key, text, lambda vocab: word_keys(vocab).tobytes(), "lm")
-    total = chunks.selectExpr("aggregate(n_words, 0L, (a, x) -> a + x) as n").agg({"n": "sum"}).first()[0] or 0
+    chunks = packed.chunked(docs, key, text, lambda vocab: (b"", word_keys(vocab).tobytes()))
+    total = docs.agg(F.sum(F.regexp_count(F.col(text), F.lit(WORD)))).first()[0] or 0
 
     def grams(row: dict) -> tuple[list[np.ndarray], np.ndarray]:
-        codes = packed.unpack_ints(row["codes"])
-        words = np.frombuffer(row["side"], np.uint64)[codes] if len(codes) else np.zeros(0, np.uint64)
+        codes = packed.unpack_codes(row["codes"])
+        words = np.frombuffer(row["place"], np.uint64)[codes] if len(codes) else np.zeros(0, np.uint64)
         n = np.asarray(row["n_words"], np.int64)
         starts = np.cumsum(n) - n
         first = np.arange(len(words)) - np.repeat(starts, n)

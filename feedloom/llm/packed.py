@@ -1,11 +1,16 @@
 """Chunks of documents with their words coded, and lookups of packed keys that come back to their chunk.
 
-A chunk is a row of a table in the shared folder: keys of its documents, words
-of each, codes of all words and, by the caller's choice, something for each
-distinct word.  ``ask`` sends every chunk's distinct keys to the partition of
-a global table that owns them, one row for a chunk and partition, and joins the
-answers back to the chunk.  Row for row that is the join of exploded keys with
-a table partitioned by their hash; packed, it needs a quarter of the shuffle.
+A chunk is a row: keys of its documents, words of each, codes of all words and,
+by the caller's choice, something for each distinct word.  ``ask`` sends every
+chunk's distinct keys to the partition of a global table that owns them, one
+row for a chunk and partition, and joins the answers back to the chunk.  Row
+for row that is the join of exploded keys with a table partitioned by their
+hash; packed, it needs a quarter of the shuffle.
+
+Chunks are made twice, once to ask and once to be joined to the answers, which
+is less to write than keeping them.  A chunk is named by a hash of what is in
+it, so a scan split otherwise the second time leaves chunks without answers and
+the query fails; it never mixes them up.
 """
 
 from __future__ import annotations
@@ -15,12 +20,11 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 import zstandard
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from feedloom.llm.common import CHUNK_BYTES, Words, pieces, shuffle_partitions, stored, text_array
+from feedloom.llm.common import CHUNK_BYTES, Words, pieces, shuffle_partitions, text_array
 
 _U64 = np.uint64
 
@@ -55,28 +59,44 @@ def unpack_sorted(data: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").reshape(-1), dtype=_U64)
 
 
-def chunk_table(docs: DataFrame, key: str, text: str, side: Callable[[pa.Array], bytes], name: str) -> DataFrame:
-    """One row a chunk: ``chunk``, ``ids``, ``n_words``, ``codes``, ``side`` (of the distinct words)."""
+def pack_codes(codes: np.ndarray) -> bytes:
+    """Word codes as byte planes: the frequent words came first, so the high planes shrink."""
+    return squeeze(codes.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes())
+
+
+def unpack_codes(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(expand(data), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").reshape(-1)
+
+
+def chunked(docs: DataFrame, key: str, text: str, side: Callable[[pa.Array], tuple[bytes, bytes]]) -> DataFrame:
+    """One row a chunk: ``chunk``, ``ids``, ``n_words``, ``codes``, and what ``side`` makes of the distinct words.
+
+    ``side`` gives what the request needs (``ask``) and what the end needs (``place``).
+    """
     kind = dict(docs.dtypes)[key]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        partition = TaskContext.get().partitionId()
-        for i, table in enumerate(pieces(batches, "text", CHUNK_BYTES)):
+        for table in pieces(batches, "text", CHUNK_BYTES):
             words = Words(text_array(table, "text"))
             ids = table.column("key").combine_chunks()
+            name = xxhash.xxh64(words.codes.tobytes())
+            name.update(words.counts.tobytes())
+            name.update(str(ids.to_pylist()).encode())
+            name.update("\n".join(words.vocab.to_pylist()).encode())
+            asked, place = side(words.vocab)
             offsets = pa.array([0, len(ids)], pa.int32())
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([(partition << 32) + i], pa.int64()), pa.ListArray.from_arrays(offsets, ids),
+                    pa.array([name.intdigest() - (1 << 63)], pa.int64()), pa.ListArray.from_arrays(offsets, ids),
                     pa.array([words.counts.tolist()], pa.list_(pa.int64())),
-                    pa.array([pack_ints(words.codes)], pa.binary()), pa.array([side(words.vocab)], pa.binary()),
+                    *(pa.array([x], pa.binary()) for x in (pack_codes(words.codes), asked, place)),
                 ],
-                ["chunk", "ids", "n_words", "codes", "side"],
+                ["chunk", "ids", "n_words", "codes", "ask", "place"],
             )
 
     rows = docs.selectExpr(f"`{key}` as key", f"`{text}` as text")
-    schema = f"chunk bigint, ids array<{kind}>, n_words array<bigint>, codes binary, side binary"
-    return stored(rows.mapInArrow(run, schema), name)
+    return rows.mapInArrow(run, f"chunk bigint, ids array<{kind}>, n_words array<bigint>, codes binary, ask binary, place binary")
 
 
 def ask(
@@ -102,12 +122,13 @@ def ask(
         return pa.table({"part": table.column("part"), "chunk": table.column("chunk"), "values": pa.array(got, pa.binary())})
 
     def join(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        row = left.iloc[0].to_dict()
-        return finish(row, sorted(zip(right["part"].tolist(), right["values"].tolist())))
+        answers = sorted(dict(zip(right["part"].tolist(), right["values"].tolist())).items())
+        return pd.concat([finish(row, answers) for row in left.to_dict("records")])
 
     asked = chunks.mapInArrow(send, "part int, chunk bigint, keys binary")
     answered = asked.groupBy("part").applyInArrow(answer, "part int, chunk bigint, values binary")
-    return chunks.groupBy("chunk").cogroup(answered.groupBy("chunk")).applyInPandas(join, schema)
+    ends = chunks.drop("ask")
+    return ends.groupBy("chunk").cogroup(answered.groupBy("chunk")).applyInPandas(join, schema)
 
 
 def parts_for(docs: DataFrame) -> int:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from feedloom.llm.bpe import default_path, encoder
-from feedloom.llm.common import Words, pieces, shuffle_partitions, stored, text_array
+from feedloom.llm.common import CHUNK_BYTES, Words, pieces, shuffle_partitions, stored, text_array
 
 #: A segment: this header, the offset index, the frames.
 MAGIC = b"FLTK0001"
@@ -116,7 +116,7 @@ def write(docs: DataFrame, path: str | None = None, end_id: int = 2, key: str =
     def compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shared = _codec(dictionary)
         zstd = zstandard.ZstdCompressor(level=LEVEL, dict_data=shared) if shared else zstandard.ZstdCompressor(level=LEVEL)
-        for table in pieces(batches, "text"):
+        for table in pieces(batches, "text", CHUNK_BYTES):
             keys, sizes, frames = [], [], []
             for k, ids in _encoded(table, path, end_id):
                 keys.append(k)
