@@ -33,7 +33,7 @@ class WordEncoder:
     are those of its words, one after another.
     """
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 150_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -45,6 +45,7 @@ class WordEncoder:
         if any("<" not in s for s in self.special):
             raise ValueError("special tokens are looked for by their <")
         self.known: dict[str, list[int]] = {}
+        self.shown_pieces: list[str] | None = None
         self.most = most
         keep = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in keep]
@@ -78,7 +79,9 @@ class WordEncoder:
 
     def pieces(self) -> list[str]:
         """Piece of every id; the vocabulary is a fixed file, so this table's size is known."""
-        return [self.whole.id_to_token(i) or "" for i in range(self.whole.get_vocab_size())]
+        if self.shown_pieces is None:
+            self.shown_pieces = [self.whole.id_to_token(i) or "" for i in range(self.whole.get_vocab_size())]
+        return self.shown_pieces
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -179,13 +182,12 @@ def encode(docs: DataFrame, path: str | None = None, key: str = "doc_id", text:
         ids = np.concatenate(flat) if flat else np.zeros(0, np.int64)
         ends = np.cumsum(counts)
         shown = encoder(path).pieces()
-        numbers = [str(i) for i in range(len(shown))]
         as_ids, as_text = [""] * n_words, [""] * n_words
         listed = ids.tolist()
         where = order.tolist()
         for j, (a, b) in enumerate(zip((ends - counts).tolist(), ends.tolist())):
             own = listed[a:b]
-            as_ids[where[j]] = " ".join([numbers[i] for i in own])
+            as_ids[where[j]] = " ".join(map(str, own))
             as_text[where[j]] = " ".join([shown[i] for i in own])
         n_ids = np.empty(n_words, np.int64)
         n_ids[order] = counts

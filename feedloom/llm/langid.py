@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedloom.llm.common import CHUNK_BYTES, Words, pieces, stored, text_array, unit
+from feedloom.llm.common import CHUNK_BYTES, Words, pieces, small_batches, stored, text_array, unit
 
 #: The model is fitted on about so many labelled documents of each language, chosen by hash of their key.
 SAMPLE_DOCS = 1000
@@ -121,7 +121,7 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
                 keys = list(found)
                 yield pa.RecordBatch.from_arrays([pa.array([kind] * len(keys)), pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array(list(found.values()), pa.int64())], ["kind", "lang", "item", "n"])
 
-    counted = chosen.mapInArrow(run, "kind string, lang string, item string, n bigint").groupBy("kind", "lang", "item").agg(F.sum("n").alias("n"))
+    counted = small_batches(chosen).mapInArrow(run, "kind string, lang string, item string, n bigint").groupBy("kind", "lang", "item").agg(F.sum("n").alias("n"))
     counted = stored(counted, "langid")
     size = F.create_map(*[F.lit(x) for k in langs for x in (k, float(min(counts[k], sample_docs)))])[F.col("lang")]
     top = lambda kind, most: counted.where(F.col("kind") == kind).orderBy((F.col("n") / size).desc(), "lang", "item").limit(most).select("lang", "item", "n").toPandas()
@@ -145,4 +145,4 @@ def predict(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "tex
 
     kind = dict(docs.dtypes)[key]
     rows = docs.selectExpr(f"`{key}` as key", f"`{text}` as text")
-    return rows.mapInArrow(run, f"key {kind}, lang_pred string, score double").withColumnRenamed("key", key)
+    return small_batches(rows).mapInArrow(run, f"key {kind}, lang_pred string, score double").withColumnRenamed("key", key)

@@ -24,7 +24,7 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 
-from feedloom.llm.common import CHUNK_BYTES, Words, pieces, shuffle_partitions, text_array
+from feedloom.llm.common import CHUNK_BYTES, Words, pieces, shuffle_partitions, small_batches, text_array
 
 _U64 = np.uint64
 
@@ -96,7 +96,7 @@ def chunked(docs: DataFrame, key: str, text: str, side: Callable[[pa.Array], tup
             )
 
     rows = docs.selectExpr(f"`{key}` as key", f"`{text}` as text")
-    return rows.mapInArrow(run, f"chunk bigint, ids array<{kind}>, n_words array<bigint>, codes binary, ask binary, place binary")
+    return small_batches(rows).mapInArrow(run, f"chunk bigint, ids array<{kind}>, n_words array<bigint>, codes binary, ask binary, place binary")
 
 
 def ask(

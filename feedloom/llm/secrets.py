@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from feedloom.llm.common import pieces
+from feedloom.llm.common import pieces, small_batches
 
 #: Kinds in the order that ties of a start are listed in.
 KINDS = ("assign", "access", "hex", "github", "npm", "jwt")
@@ -124,4 +124,4 @@ def find_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     """
     kind = dict(docs.dtypes)[key]
     rows = docs.selectExpr(f"`{key}` as key", f"`{text}` as text")
-    return rows.mapInArrow(_scan_batches, f"key {kind}, spans array<struct<kind:string,start:bigint,end:bigint>>").withColumnRenamed("key", key)
+    return small_batches(rows).mapInArrow(_scan_batches, f"key {kind}, spans array<struct<kind:string,start:bigint,end:bigint>>").withColumnRenamed("key", key)

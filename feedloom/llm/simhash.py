@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedloom.llm.common import join_split, pieces, stored, text_array
+from feedloom.llm.common import join_split, pieces, small_batches, stored, text_array
 
 SEED = 42
 _P1, _P2, _P3, _P4, _P5 = (np.uint64(x) for x in (11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261))
@@ -152,7 +152,7 @@ def fingerprints(docs: DataFrame, width: int, key: str = "doc_id", text: str = "
 
     kind = dict(docs.dtypes)[key]
     rows = docs.selectExpr(f"`{key}` as key", f"`{text}` as text")
-    return rows.mapInArrow(run, f"key {kind}, fp bigint").withColumnRenamed("key", key)
+    return small_batches(rows).mapInArrow(run, f"key {kind}, fp bigint").withColumnRenamed("key", key)
 
 
 # -- pigeonring -----------------------------------------------------------------------------------

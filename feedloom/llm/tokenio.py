@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from feedloom.llm.bpe import default_path, encoder
-from feedloom.llm.common import CHUNK_BYTES, Words, pieces, shuffle_partitions, stored, text_array
+from feedloom.llm.common import CHUNK_BYTES, Words, pieces, shuffle_partitions, small_batches, stored, text_array
 
 #: A segment: this header, the offset index, the frames.
 MAGIC = b"FLTK0001"
@@ -68,7 +68,7 @@ def train(docs: DataFrame, path: str, end_id: int, key: str = "doc_id", text: st
             yield pa.RecordBatch.from_arrays([pa.array(arrays, pa.binary())], ["ids"])
 
     rows = docs.where(F.col(key).isin(keys)).selectExpr(f"`{key}` as key", f"`{text}` as text")
-    samples = sorted(r[0] for r in rows.mapInArrow(run, "ids binary").limit(2 * SAMPLE_DOCS).collect())
+    samples = sorted(r[0] for r in small_batches(rows).mapInArrow(run, "ids binary").limit(2 * SAMPLE_DOCS).collect())
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes() if len(samples) >= 8 else b""
     except zstandard.ZstdError:
@@ -153,7 +153,7 @@ def write(docs: DataFrame, path: str | None = None, end_id: int = 2, key: str =
         if held:
             yield out()
 
-    frames = rows.mapInArrow(compress, "range int, key bigint, n_ids bigint, frame binary")
+    frames = small_batches(rows).mapInArrow(compress, "range int, key bigint, n_ids bigint, frame binary")
     sorted_frames = frames.repartition(n, "range").sortWithinPartitions("range", "key", "n_ids", "frame")
     return stored(sorted_frames.mapInArrow(gather, "range int, segment bigint, n_ids bigint, blob binary"), "tokens"), dictionary
 
