@@ -10,12 +10,15 @@ from hashlib import sha256
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from feedloom.llm import packed
 
 #: Words of these characters alone are split and lower-cased here as the library does it.
 _PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]*")
+#: Words of one piece, with or without a full stop or comma after it.
+_LETTERS_STOP = "^[A-Za-zÀ-ÖØ-öø-ÿ]+[.,]?$"
 _PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
 
 
@@ -77,6 +80,49 @@ class WordEncoder:
             out += self.piece(piece)
         return out
 
+    def encode_all(self, words: pa.Array) -> pa.ListArray:
+        """Ids of every word of an array of distinct words.
+
+        Words that differ in case or a closing stop alone share a piece, which is
+        encoded once.
+        """
+        words = words.cast(pa.large_string())
+        simple = pc.match_substring_regex(words, _LETTERS_STOP)
+        plain = words.filter(simple)
+        stems = pc.utf8_lower(pc.ascii_rtrim(plain, ".,")).dictionary_encode()
+        flat: list[int] = []
+        lengths: list[int] = []
+
+        def add(ids: list[int]) -> None:
+            flat.extend(ids)
+            lengths.append(len(ids))
+
+        # Pieces never hold a line feed, so all are mapped to the vocabulary's characters at once.
+        shown = "\n".join(stems.dictionary.to_pylist()).encode().decode("latin-1").translate(self.shown)
+        tokenize = self.model.tokenize
+        for x in shown.split(self.shown[10]) if shown else ():
+            add([t.id for t in tokenize(x)])
+        stop, comma = len(lengths), len(lengths) + 1
+        add(self.piece("."))
+        add(self.piece(","))
+        first = np.empty(len(words), np.int64)
+        is_simple = simple.to_numpy(zero_copy_only=False)
+        first[is_simple] = stems.indices.to_numpy(zero_copy_only=False)
+        first[~is_simple] = np.arange(len(lengths), len(lengths) + len(words) - len(plain))
+        for x in words.filter(pc.invert(simple)).to_pylist():
+            add(self.encode(x))
+        ends = np.concatenate([[0], np.cumsum(lengths)])
+        units = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.array(flat, np.uint32)))
+        stopped = is_simple & pc.ends_with(words, ".").to_numpy(zero_copy_only=False)
+        closed = is_simple & pc.ends_with(words, ",").to_numpy(zero_copy_only=False)
+        at = np.concatenate([[0], np.cumsum(1 + (stopped | closed))])
+        order = np.empty(int(at[-1]), np.int64)
+        order[at[:-1]] = first
+        order[at[1:][stopped] - 1] = stop
+        order[at[1:][closed] - 1] = comma
+        taken = units.take(pa.array(order))
+        return pa.ListArray.from_arrays(pa.array(taken.offsets.to_numpy()[at], pa.int32()), taken.values)
+
     def pieces(self) -> list[str]:
         """Piece of every id; the vocabulary is a fixed file, so this table's size is known."""
         if self.shown_pieces is None:

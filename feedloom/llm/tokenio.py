@@ -7,7 +7,6 @@ import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
 from hashlib import sha256
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -39,19 +38,13 @@ LEVEL = 3
 def _encoded(table: pa.Table, path: str, end_id: int) -> Iterator[tuple[object, np.ndarray]]:
     """Key and ids (with the end id, little-endian unsigned 32 bits) of each row."""
     words = Words(text_array(table, "text"))
-    one = encoder(path)
-    ids = [one.encode(w) for w in words.vocab.to_pylist()]
-    lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-    flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(lengths.sum()))
-    begins = np.cumsum(lengths) - lengths
-    for key, a, b in zip(table.column("key").to_pylist(), words.starts.tolist(), words.ends.tolist()):
-        codes = words.codes[a:b]
-        n = lengths[codes]
-        ends = np.cumsum(n)
-        size = int(ends[-1]) if len(ends) else 0
-        out = np.empty(size + 1, "<u4")
-        out[:size] = flat[np.arange(size) + np.repeat(begins[codes] - (ends - n), n)]
-        out[size] = end_id
+    taken = encoder(path).encode_all(words.vocab).take(pa.array(words.codes))
+    flat, offsets = taken.values.to_numpy(), taken.offsets.to_numpy()
+    begins, ends = offsets[words.starts].tolist(), offsets[words.ends].tolist()
+    for key, a, b in zip(table.column("key").to_pylist(), begins, ends):
+        out = np.empty(b - a + 1, "<u4")
+        out[:-1] = flat[a:b]
+        out[-1] = end_id
         yield key, out
 
 

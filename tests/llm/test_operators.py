@@ -198,6 +198,17 @@ def test_mixing(docs, rows):
     assert all(abs(taken[s] - target[s]) <= max(60, 0.05 * target[s]) for s in small)
 
 
+def test_distinct_words_encode_like_the_library():
+    import pyarrow as pa
+
+    words = ["Sch.", "sch", "SCH,", "É.", "éa", "ÀÖØÞ,", "×x", "÷.", "ß", "ÿ", ".", ",", "..", "a.b,c", "it's", "IT'S.", "5a,", "<|endoftext|>.", "İx.", "ſ,", "µm.", "a\x00b"]
+    one = bpe.encoder(bpe.default_path())
+    whole = [one.whole.encode(w, add_special_tokens=False).ids for w in words]
+    assert one.encode_all(pa.array(words)).to_pylist() == whole
+    assert one.encode_all(pa.array(words[:1])).to_pylist() == whole[:1]
+    assert one.encode_all(pa.array([], pa.string())).to_pylist() == []
+
+
 def test_bpe(docs, rows):
     got = bpe.encode(docs).collect()
     whole = bpe.encoder(bpe.default_path()).whole
