@@ -6,6 +6,7 @@ space characters being the only separators.
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 #: Raw bytes of text that are worked on at once, unless one text alone is longer.
-PIECE_BYTES = 4 << 20
+PIECE_BYTES = 1 << 20
 
 #: The same where distinct words are looked up: larger pieces repeat more of them.
 CHUNK_BYTES = 8 << 20
@@ -85,6 +86,16 @@ def unit(*cols: Column | str) -> Column:
     return (F.conv(digits, 16, 10).cast("bigint").cast("double") + F.lit(0.5)) / F.lit(float(1 << 52))
 
 
+_malloc_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def give_back() -> None:
+    """Freed memory goes back to the system: a Python worker that idles through later stages should be small."""
+    pa.default_memory_pool().release_unused()
+    if _malloc_trim is not None:
+        _malloc_trim(0)
+
+
 def pieces(batches: Iterator[pa.RecordBatch], column: str, limit: int = PIECE_BYTES) -> Iterator[pa.Table]:
     """Regroup batches into tables of at most ``limit`` bytes of text (a longer text stands alone)."""
     held: list[pa.RecordBatch] = []
@@ -98,12 +109,14 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str, limit: int = PIECE_BY
                     held.append(batch.slice(start, i - start))
                 yield pa.Table.from_batches(held)
                 held, size, start = [], 0, i
-                pa.default_memory_pool().release_unused()
+                give_back()
             size += n
         if start < batch.num_rows:
             held.append(batch.slice(start))
     if held:
         yield pa.Table.from_batches(held)
+    held = []
+    give_back()
 
 
 def text_array(table: pa.Table, column: str) -> pa.Array:

@@ -133,8 +133,8 @@ def fingerprint_array(texts: pa.Array, width: int) -> np.ndarray:
     hashes = xxh64_spans(buf, w_start[head], w_end[tail])
 
     ones = np.zeros((n_docs, 64), np.int64)
-    for a in range(0, len(hashes), 1 << 18):
-        h, d = hashes[a : a + (1 << 18)], s_doc[a : a + (1 << 18)]
+    for a in range(0, len(hashes), 1 << 15):
+        h, d = hashes[a : a + (1 << 15)], s_doc[a : a + (1 << 15)]
         bits = np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         cut = np.concatenate([[0], np.flatnonzero(np.diff(d)) + 1])
         ones[d[cut]] += np.add.reduceat(bits, cut, axis=0, dtype=np.int32)
