@@ -23,7 +23,9 @@ def targets(sizes: DataFrame, weights: Sequence[float], total: float, cap: float
     Sources by code point, null last, weigh ``weights`` in turn.  They share
     ``total`` times all sizes; none gets over ``cap`` times its own, the excess
     being shared by weight among the rest until none is above: the level at which
-    that ends is found from running sums in the order of cap over weight.
+    that ends is found from running sums in the order of cap over weight.  From the
+    first source that stays below its cap on the levels only fall, so the highest
+    counts; sources that tie in cap over weight share it.
     """
     order = Window.orderBy(F.col("source").isNull(), "source")
     pick = F.array(*[F.lit(float(w)) for w in weights])
@@ -38,7 +40,7 @@ def targets(sizes: DataFrame, weights: Sequence[float], total: float, cap: float
         w.withColumn("pool", F.lit(float(total)) * F.sum("source_size").over(all_rows) - F.coalesce(F.sum("most").over(before), F.lit(0.0)))
         .withColumn("rest", F.sum("weight").over(all_rows) - F.coalesce(F.sum("weight").over(before), F.lit(0.0)))
         .withColumn("level", F.when(F.col("fill") > F.col("pool") / F.col("rest"), F.col("pool") / F.col("rest")))
-        .withColumn("level", F.min_by("level", F.when(F.col("level").isNotNull(), F.col("fill"))).over(all_rows))
+        .withColumn("level", F.max("level").over(all_rows))
     )
     return w.select("source", "source_size", F.when(F.col("level").isNull(), F.col("most")).otherwise(F.least("most", F.col("level") * F.col("weight"))).alias("target"))
 

@@ -107,7 +107,7 @@ weighed AS (SELECT s, source, source_size, [5.0::DOUBLE, 2.0::DOUBLE, 1.0::DOUBL
 filled AS (SELECT *, most / weight AS fill FROM weighed),
 level AS (SELECT *, (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(most) OVER b, 0.0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER b, 0.0)) AS l FROM filled
           WINDOW b AS (ORDER BY fill, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-plan AS (SELECT s, source_size, CASE WHEN a.l IS NULL THEN most ELSE least(most, a.l * weight) END AS target FROM level, (SELECT arg_min(l, fill) AS l FROM level WHERE fill > l) a),
+plan AS (SELECT s, source_size, CASE WHEN a.l IS NULL THEN most ELSE least(most, a.l * weight) END AS target FROM level, (SELECT max(l) AS l FROM level WHERE fill > l) a),
 ratio AS (SELECT d.doc_id, d.s, d.size, p.source_size, p.target, CASE WHEN p.source_size > 0 THEN least(2.0::DOUBLE, p.target / p.source_size) ELSE 0.0::DOUBLE END AS e,
           (CAST(('0x' || substr(md5('mix|' || CAST(d.doc_id AS VARCHAR)), 1, 13)) AS BIGINT)::DOUBLE + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u
           FROM sized d JOIN plan p ON d.s = p.s),

@@ -198,6 +198,24 @@ def test_mixing(docs, rows):
     assert all(abs(taken[s] - target[s]) <= max(60, 0.05 * target[s]) for s in small)
 
 
+@pytest.mark.parametrize("sizes", [{"a": 60, "b": 120, "c": 60, None: 60}, {"a": 10, "b": 4, "c": 2}, {"a": 100, "b": 1000, "c": 500, "d": 2500, None: 0}, {"a": 7}])
+def test_targets_of_tied_sources(spark, sizes):
+    """Sources that tie in cap over weight, against resharing the excess round by round."""
+    rows = spark.createDataFrame([*sizes.items()], "source string, source_size bigint")
+    got = {r.source: r.target for r in mixing.targets(rows, (5, 2, 1), 1.5, 2.0).collect()}
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(sorted(sizes, key=lambda s: (s is None, s or "")))}
+    full: set = set()
+    while True:
+        pool = 1.5 * sum(sizes.values()) - sum(2.0 * sizes[s] for s in full)
+        rest = sum(w for s, w in weight.items() if s not in full)
+        want = {s: 2.0 * sizes[s] if s in full else pool * weight[s] / rest for s in sizes}
+        over = {s for s in sizes if want[s] > 2.0 * sizes[s]}
+        if not over:
+            break
+        full |= over
+    assert got.keys() == want.keys() and all(abs(got[s] - want[s]) < 1e-6 for s in want)
+
+
 def test_distinct_words_encode_like_the_library():
     import pyarrow as pa
 
