@@ -3,6 +3,11 @@
 Every stage takes (spark, docs, sf_dir), works on all rows it is given and
 returns what it keeps; ``run`` writes each result to the shared folder and reads
 it as the next stage's input.
+
+Extra columns pass through.  Null texts and texts without words count as empty;
+an empty table stays empty.  Decisions are joined back by doc_id: rows that
+repeat a doc_id (null equals null) stay if one of them is to stay, and the mix
+takes each of them as often as the one it takes most often.
 """
 
 from __future__ import annotations
@@ -36,8 +41,9 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources at their target weights; a document taken twice is there twice."""
     mixed = mixing.mix(docs, queries.MIX_WEIGHTS, queries.MIX_SHARE, queries.MIX_CAP)
-    copies = mixed.where("copies > 0").select("doc_id", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("_copy"))
-    return join_keys(docs, copies, "doc_id", "inner").select(*docs.columns)
+    often = mixed.groupBy("doc_id").agg(F.max("copies").cast("int").alias("often")).where("often > 0")
+    copies = often.select("doc_id", F.explode(F.sequence(F.lit(1), F.col("often"))).alias("nth"))
+    return join_keys(docs, copies, "doc_id", "inner")
 
 
 def encode_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -160,6 +160,11 @@ class Words:
 
 
 def join_keys(docs: DataFrame, keys: DataFrame, key: str, how: str = "left_semi") -> DataFrame:
-    """Rows of ``docs`` whose key is among ``keys``: broadcast if they were counted to be few, else shuffled."""
-    few = keys.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    return docs.join(F.broadcast(keys) if few else keys, key, how)
+    """Columns of ``docs`` for every row whose key is among ``keys``; null equals null.
+
+    Both sides are dealt by key at every size, and only a partition's keys are
+    held in memory: whole texts pass by unsorted.  The kept keys grow with the
+    input, so they are never broadcast by a hint.
+    """
+    listed = keys.select(F.col(key).alias("_key")).hint("shuffle_hash")
+    return docs.alias("_docs").join(listed.alias("_listed"), F.col(f"_docs.{key}").eqNullSafe(F.col("_listed._key")), how).select("_docs.*")

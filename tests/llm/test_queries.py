@@ -47,3 +47,24 @@ def test_pipeline_is_its_stages(spark):
         docs = out
     assert seen["quality_rules"] >= seen["exact_dedup"] >= seen["near_dedup"] > 0 and seen["mix_sources"] == seen["bpe_encode"]
     assert corpus_pipeline.run(spark, DATA).count() == seen["bpe_encode"]
+
+
+def test_stages_on_odd_rows(spark):
+    """Null and repeated ids, null and empty texts, repeated rows and clashing columns."""
+    prose = lambda n: " ".join(f"w{n}x{i}" for i in range(60))
+    rows = [(1, prose(1), "a"), (1, prose(1), "a"), (2, prose(1), "a"), (2, prose(2), "b"), (None, prose(3), None), (None, prose(4), "b"), (3, None, "a"), (4, "", None), (5, prose(5), "c")]
+    docs = spark.createDataFrame([(*r, "x", r[0], 1) for r in rows], "doc_id bigint, text string, source string, text_ string, _key bigint, copies int")
+    of = lambda df: sorted((str(r.doc_id), r.text or "") for r in df.collect())
+    expected = lambda ids: sorted((str(r[0]), r[1] or "") for r in rows if r[0] in ids)
+
+    exact = corpus_pipeline.exact_copies(spark, docs, DATA)
+    assert exact.columns == docs.columns and of(exact) == expected({2, None, 4, 5})
+    near = corpus_pipeline.near_copies(spark, exact, DATA)
+    assert near.columns == docs.columns and of(near) == expected({2, None, 4, 5})
+    mixed = corpus_pipeline.mix_sources(spark, near, DATA)
+    assert mixed.columns == docs.columns
+    taken = mixed.groupBy("doc_id", "text").count().collect()
+    assert taken and all(r["count"] <= 2 for r in taken) and not {(str(r.doc_id), r.text or "") for r in taken} - set(of(near))
+    assert corpus_pipeline.encode_bpe(spark, mixed, DATA).count() == mixed.count()
+    for name, stage in corpus_pipeline.STAGES[1:]:
+        assert stage(spark, docs.limit(0), DATA).count() == 0, name
