@@ -59,7 +59,8 @@ STAGES = [
     ("bpe_encode", encode_bpe),
 ]
 
-#: Fingerprints, likelihood ratios and merges can't be written in SQL; tests hold run() against brute force.
+#: Fingerprints, likelihood ratios and merges can't be written in SQL; tests hold each operator against brute force,
+#: and run() only against its stages by row counts and what they must leave.
 ORACLE_SQL = None
 
 
