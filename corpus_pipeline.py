@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedloom.llm import bpe, exact, mixing, quality, queries, simhash
+from feedloom.llm import bpe, exact, mixing, quality, queries, similar
 from feedloom.llm.common import join_keys, stored
 
 
@@ -33,8 +33,8 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near copies the document with the smallest doc_id."""
-    found = simhash.near_duplicates(docs, width=4, tau=4)
+    """Of each component of texts with a Jaccard similarity of 0.8 or more over five words the document with the smallest doc_id."""
+    found = similar.similar_texts(docs)
     return join_keys(docs, found.where("doc_id <=> component_id").select("doc_id"), "doc_id")
 
 

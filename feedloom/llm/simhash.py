@@ -94,8 +94,8 @@ def xxh64_spans(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int
 # -- fingerprints ---------------------------------------------------------------------------------
 
 
-def fingerprint_array(texts: pa.Array, width: int) -> np.ndarray:
-    """64-bit fingerprints of an array of texts without nulls (large_string)."""
+def shingle_hashes(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """XXH64 of every shingle of an array of texts without nulls (large_string), and how many each text has."""
     low = pc.ascii_lower(texts)
     offsets = np.frombuffer(low.buffers()[1], np.int64, len(low) + 1 + low.offset)[low.offset :]
     base, n_docs = int(offsets[0]), len(low)
@@ -103,8 +103,9 @@ def fingerprint_array(texts: pa.Array, width: int) -> np.ndarray:
     size = int(offsets[-1]) - base
     buf = np.frombuffer(data, np.uint8, base + size)[base:].copy() if size else np.zeros(0, np.uint8)
     offsets = offsets - base
+    none = np.zeros(0, np.uint64), np.zeros(n_docs, np.int64)
     if not size:
-        return np.zeros(n_docs, np.uint64)
+        return none
     solid = ~((buf == 32) | ((buf >= 9) & (buf <= 13)))
     before = np.concatenate([[False], solid[:-1]])
     before[offsets[:-1][offsets[:-1] < size]] = False
@@ -113,7 +114,7 @@ def fingerprint_array(texts: pa.Array, width: int) -> np.ndarray:
     after[last[last >= 0]] = False
     w_start, w_end = np.flatnonzero(solid & ~before), np.flatnonzero(solid & ~after)
     if not len(w_start):
-        return np.zeros(n_docs, np.uint64)
+        return none
     doc = np.searchsorted(offsets, w_start, "right") - 1
     n_words = np.bincount(doc, minlength=n_docs)
     first = np.concatenate([[True], doc[1:] != doc[:-1]])
@@ -130,8 +131,14 @@ def fingerprint_array(texts: pa.Array, width: int) -> np.ndarray:
     s_doc = np.repeat(np.arange(n_docs), n_shingles)
     head = np.arange(s_first[-1]) - s_first[s_doc] + w_first[s_doc]
     tail = np.minimum(head + width, w_first[s_doc] + n_words[s_doc]) - 1
-    hashes = xxh64_spans(buf, w_start[head], w_end[tail])
+    return xxh64_spans(buf, w_start[head], w_end[tail]), n_shingles
+
 
+def fingerprint_array(texts: pa.Array, width: int) -> np.ndarray:
+    """64-bit fingerprints of an array of texts without nulls (large_string)."""
+    hashes, n_shingles = shingle_hashes(texts, width)
+    n_docs = len(n_shingles)
+    s_doc = np.repeat(np.arange(n_docs), n_shingles)
     ones = np.zeros((n_docs, 64), np.int64)
     for a in range(0, len(hashes), 1 << 15):
         h, d = hashes[a : a + (1 << 15)], s_doc[a : a + (1 << 15)]

@@ -1,6 +1,7 @@
 """The operators against brute force, on rows with every awkward case."""
 
 import hashlib
+import random
 import re
 import struct
 import zlib
@@ -9,7 +10,7 @@ from collections import Counter, defaultdict
 import pytest
 import xxhash
 
-from feedloom.llm import bpe, exact, langid, lmscore, mixing, quality, secrets, sharding, simhash, tokenio
+from feedloom.llm import bpe, exact, langid, lmscore, mixing, quality, secrets, sharding, similar, simhash, tokenio
 from tests.llm.conftest import LONG
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -286,3 +287,38 @@ def test_quality_prefers_the_target(spark):
     ratio, least = quality.fit(df, df.where("doc_id < 20").select("doc_id"))
     got = {r.doc_id: r._q_llr >= least for r in quality.rate(df, ratio, least).collect()}
     assert all(v == (k < 100) for k, v in got.items())
+
+
+def test_similar_texts(spark, docs, rows):
+    """Every pair at 0.8 over five words is linked, and no other: against brute force, with a group and a line all share."""
+    rng = random.Random(7)
+    words = lambda n: [f"w{rng.randrange(5000)}" for _ in range(n)]
+    base, line, texts = words(120), words(12), []
+    for i in range(60):
+        own = list(base) if i < 20 else words(rng.randrange(3, 90))
+        for _ in range(rng.randrange(1, 4)):
+            own[rng.randrange(len(own))] = f"x{rng.randrange(5000)}"
+        texts += [own + line if i % 2 else own]
+        if i % 3 == 0:
+            cut = rng.randrange(len(own))
+            texts += [own[:cut] + ["changed"] + own[cut + 1 :] + (line if i % 2 else [])]
+    keyed = [(i, " ".join(t)) for i, t in enumerate(texts)] + [(1000, None), (1001, ""), (None, "no key here"), (1002, " ".join(base).upper())]
+    sets = []
+    for _, t in keyed:
+        w = (t or "").lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))} if w else set())
+    near = lambda a, b: a == b or (a and b and len(a & b) * 5 >= 4 * len(a | b))
+    root = list(range(len(keyed)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if near(a, sets[j]) and root[i] != root[j]:
+                old, new = root[i], root[j]
+                root = [new if r == old else r for r in root]
+    least = {}
+    for (k, _), r in zip(keyed, root):
+        least[r] = min((x for x in (k, least.get(r)) if x is not None), default=None)
+    got = similar.similar_texts(spark.createDataFrame(keyed, "doc_id bigint, text string")).collect()
+    assert Counter((r.doc_id, r.component_id) for r in got) == Counter((k, least[r]) for (k, _), r in zip(keyed, root))
+    assert len(set(root)) < len(keyed) - 10
+    assert similar.similar_texts(docs).count() == len(rows)
+    assert similar.similar_texts(docs.limit(0)).count() == 0
