@@ -4,7 +4,7 @@ Every stage takes (spark, docs, sf_dir), works on all rows it is given and
 returns what it keeps; ``run`` writes each result to the shared folder and reads
 it as the next stage's input.
 
-Extra columns pass through.  Null texts and texts without words count as empty;
+Extra columns pass through all stages but the last.  Null texts and texts without words count as empty;
 an empty table stays empty.  Decisions are joined back by doc_id: rows that
 repeat a doc_id (null equals null) stay if one of them is to stay, and the mix
 takes each of them as often as the one it takes most often.
@@ -47,8 +47,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document that the mix holds."""
-    return bpe.encode(docs, texts=False)
+    """Token ids of every row that the mix holds, their number and digests; columns but ``doc_id`` end here."""
+    return bpe.encode(docs).drop("decoded")
 
 
 STAGES = [

@@ -5,13 +5,13 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterator
-from hashlib import sha256
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from feedloom.llm import packed
 
@@ -156,20 +156,14 @@ def _words_in(data: bytes) -> list[str]:
     return packed.expand(data).decode().split("\n")
 
 
-def encode(docs: DataFrame, path: str | None = None, key: str = "doc_id", text: str = "text", texts: bool = True) -> DataFrame:
-    """Ids of every whole text and the text they decode to.
-
-    Returns ``key``, ``n_tokens``, ``ids_sha256`` (of the decimal ids, joined by
-    a space), ``decoded_sha256``; with ``texts`` also ``ids array<int>`` and
-    ``decoded``.
+def encode_ids(docs: DataFrame, path: str | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``key``, ``n_tokens`` and ``ids array<int>`` of every whole text.
 
     Documents are split in words chunk by chunk; the distinct words of a chunk
     go to the table of distinct words, partitioned by hash, where each is encoded
-    once; ids come back and are put at the positions of their words.  Ids decode
-    by a join with the id-to-piece table, pieces being joined by a space as the
-    library does for a vocabulary without a decoder.  Null counts as empty: no
-    ids, decoded to nothing.  Rows that repeat are encoded each; an empty table
-    gives an empty table.
+    once; ids come back and are put at the positions of their words.  Null counts
+    as empty: no ids.  Rows that repeat are encoded each; an empty table gives an
+    empty table.
     """
     path = path or default_path()
     parts = packed.parts_for(docs)
@@ -225,38 +219,51 @@ def encode(docs: DataFrame, path: str | None = None, key: str = "doc_id", text:
         counts = np.concatenate(lengths) if lengths else np.zeros(0, np.int64)
         if len(counts) != n_words:
             raise RuntimeError("a chunk's words did not all come back")
-        ids = np.concatenate(flat) if flat else np.zeros(0, np.int64)
-        ends = np.cumsum(counts)
-        shown = encoder(path).pieces()
-        as_ids, as_text = [""] * n_words, [""] * n_words
-        listed = ids.tolist()
-        where = order.tolist()
-        for j, (a, b) in enumerate(zip((ends - counts).tolist(), ends.tolist())):
-            own = listed[a:b]
-            as_ids[where[j]] = " ".join(map(str, own))
-            as_text[where[j]] = " ".join([shown[i] for i in own])
-        n_ids = np.empty(n_words, np.int64)
-        n_ids[order] = counts
-        if len(codes) and not counts.all():
-            filled = n_ids[codes] > 0
-        else:
-            filled = None
+        ids = np.concatenate(flat).astype(np.int32) if flat else np.zeros(0, np.int32)
+        n_ids, begin = np.empty(n_words, np.int64), np.empty(n_words, np.int64)
+        n_ids[order], begin[order] = counts, np.cumsum(counts) - counts
         at = np.concatenate([[0], np.cumsum(np.asarray(row["n_words"], np.int64))])
-        total = np.concatenate([[0], np.cumsum(n_ids[codes])])
-        result = {"key": list(row["ids"]), "n_tokens": (total[at[1:]] - total[at[:-1]]).tolist(), "ids_sha256": [], "decoded_sha256": [], "ids": [], "decoded": []}
-        for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
-            own = codes[a:b] if filled is None else codes[a:b][filled[a:b]]
-            own = own.tolist()
-            numbered, decoded = " ".join([as_ids[c] for c in own]), " ".join([as_text[c] for c in own])
-            result["ids_sha256"].append(sha256(numbered.encode()).hexdigest())
-            result["decoded_sha256"].append(sha256(decoded.encode()).hexdigest())
-            if texts:
-                result["ids"].append([int(x) for x in numbered.split()])
-                result["decoded"].append(decoded)
-        if not texts:
-            del result["ids"], result["decoded"]
-        frame = pd.DataFrame(result)
+        own = n_ids[codes]
+        total = np.concatenate([[0], np.cumsum(own)])
+        placed = ids[np.repeat(begin[codes] - total[:-1], own) + np.arange(total[-1])]
+        ends = total[at]
+        frame = pd.DataFrame({"key": list(row["ids"]), "n_tokens": np.diff(ends), "ids": [placed[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]})
         return frame.astype({"key": "Int64"}) if kind in ("bigint", "int") else frame
 
-    schema = f"key {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if texts else "")
-    return packed.ask(chunks, request, serve, finish, schema).withColumnRenamed("key", key)
+    return packed.ask(chunks, request, serve, finish, f"key {kind}, n_tokens bigint, ids array<int>").withColumnRenamed("key", key)
+
+
+def decode(encoded: DataFrame, path: str | None = None, ids: str = "ids") -> DataFrame:
+    """``encoded`` with ``decoded``: each row's ids joined with the id-to-piece table, pieces in the ids' order.
+
+    The table is a fixed file of known size that every task reads, so the join
+    is a lookup by id where the ids are and nothing is shuffled.  Pieces are
+    joined by a space as the library does for a vocabulary without a decoder;
+    ids that the table doesn't have are left out, as there.  Null stays null.
+    """
+    path = path or default_path()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shown = pa.array(encoder(path).pieces(), pa.string())
+        for batch in batches:
+            lists = batch.column(ids)
+            flat = lists.flatten().to_numpy(zero_copy_only=False)
+            there = np.zeros(len(flat), bool) if not len(flat) else (flat >= 0) & (flat < len(shown))
+            ends = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))])
+            ends = np.concatenate([[0], np.cumsum(there)])[ends]
+            pieces = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), shown.take(pa.array(flat[there].astype(np.int64))))
+            decoded = pc.if_else(lists.is_valid(), pc.binary_join(pieces, " "), pa.scalar(None, pa.string()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, decoded], [*batch.schema.names, "decoded"])
+
+    fields = ", ".join(f"`{c}` {t}" for c, t in encoded.dtypes)
+    return encoded.mapInArrow(run, f"{fields}, decoded string")
+
+
+def with_digests(decoded: DataFrame) -> DataFrame:
+    """``decoded`` with ``ids_sha256`` (of the decimal ids, joined by a space) and ``decoded_sha256``."""
+    return decoded.withColumn("ids_sha256", F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256)).withColumn("decoded_sha256", F.sha2("decoded", 256))
+
+
+def encode(docs: DataFrame, path: str | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``key``, ``n_tokens``, ``ids``, ``decoded``, and the digests of both, of every whole text."""
+    return with_digests(decode(encode_ids(docs, path, key, text), path))

@@ -68,7 +68,7 @@ def op8_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.encode(documents(spark, sf_dir), texts=False)
+    return bpe.encode(documents(spark, sf_dir)).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -322,3 +322,13 @@ def test_similar_texts(spark, docs, rows):
     assert len(set(root)) < len(keyed) - 10
     assert similar.similar_texts(docs).count() == len(rows)
     assert similar.similar_texts(docs.limit(0)).count() == 0
+
+
+def test_decode_of_given_ids(spark):
+    """Ids read from elsewhere, in any order, repeated, unknown or null."""
+    whole = bpe.encoder(bpe.default_path()).whole
+    size = whole.get_vocab_size()
+    given = [(1, [5, 300, 5, 2, size - 1]), (2, []), (3, None), (4, [7, size + 10, -1, 8])]
+    got = {r.k: r.decoded for r in bpe.decode(spark.createDataFrame(given, "k int, ids array<int>")).collect()}
+    text = lambda ids: whole.decode([i for i in ids if 0 <= i < size], skip_special_tokens=False)
+    assert got == {k: None if ids is None else text(ids) for k, ids in given}

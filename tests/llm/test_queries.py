@@ -5,7 +5,7 @@ import os
 import pytest
 
 import corpus_pipeline
-from feedloom.llm import queries
+from feedloom.llm import bpe, queries
 
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables here")
@@ -68,3 +68,10 @@ def test_stages_on_odd_rows(spark):
     assert corpus_pipeline.encode_bpe(spark, mixed, DATA).count() == mixed.count()
     for name, stage in corpus_pipeline.STAGES[1:]:
         assert stage(spark, docs.limit(0), DATA).count() == 0, name
+
+
+def test_pipeline_gives_token_ids(spark):
+    docs = spark.createDataFrame([(1, "Some words, here.", "a"), (2, None, "b")], "doc_id bigint, text string, source string")
+    got = {r.doc_id: r for r in corpus_pipeline.encode_bpe(spark, docs, DATA).collect()}
+    ids = bpe.encoder(bpe.default_path()).whole.encode("Some words, here.", add_special_tokens=False).ids
+    assert got[1].ids == ids and got[1].n_tokens == len(ids) and got[2].ids == []
