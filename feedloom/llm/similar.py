@@ -24,9 +24,15 @@ ORDER_DOCS, ORDER_SHINGLES = 10_000, 100_000
 #: Rounds in which a bucket's texts are held against one of them, before what is still apart meets in pairs.
 ROUNDS = 2
 
+#: Texts that meet in a shingle in pairs at once; larger buckets go through the rounds.
+SMALL = 64
+
 #: Texts that are held against one other in one group.
 GROUP = 256
 
+#: Words of 64 bits in which a set's shingles are marked by parity.
+MARKS = 8
+
 
 def _rows(docs: DataFrame, key: str, text: str) -> DataFrame:
     return small_batches(docs.selectExpr(f"`{key}` as key", f"`{text}` as text"))
@@ -48,29 +54,46 @@ def common_shingles(docs: DataFrame, key: str, text: str, width: int) -> tuple[n
     return hashes[order], n[order]
 
 
-def shingle_sets(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
-    """``key``, ``fp`` (one for each set) and the distinct ``shingles``, rare ones first, of every row."""
-    common, often = common_shingles(docs, key, text, width)
+def shingle_sets(docs: DataFrame, key: str, text: str, width: int, common: tuple[np.ndarray, np.ndarray], whole: bool) -> DataFrame:
+    """``key``, ``fp`` (one for each set), its size ``n``, and distinct ``shingles`` of every row.
+
+    ``whole`` gives all of them, else ``head`` (the first ones in the common
+    order, rare ones first) and ``marks``: a bit for each hash value of MARKS
+    words, one where an odd number of shingles fall.
+    """
+    known, often = common
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in pieces(batches, "text"):
             hashes, counts = shingle_hashes(text_array(table, "text"), width)
             doc, level = np.repeat(np.arange(len(counts)), counts), np.zeros(len(hashes), np.int64)
-            if len(common) and len(hashes):
-                at = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
-                level = np.where(common[at] == hashes, often[at], 0)
+            if len(known) and len(hashes):
+                at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+                level = np.where(known[at] == hashes, often[at], 0)
             order = np.lexsort((hashes, level, doc))
             hashes, doc = hashes[order], doc[order]
             first = np.ones(len(hashes), bool)
             first[1:] = (hashes[1:] != hashes[:-1]) | (doc[1:] != doc[:-1])
             hashes, doc = hashes[first], doc[first]
-            ends = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=len(counts)))])
+            n = np.bincount(doc, minlength=len(counts))
+            ends = np.concatenate([[0], np.cumsum(n)])
             raw = memoryview(hashes.tobytes())
             fp = np.array([xxhash.xxh64_intdigest(raw[8 * a : 8 * b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())], np.uint64)
-            sets = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(hashes.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([table.column("key").combine_chunks(), pa.array(fp.view(np.int64)), sets], ["key", "fp", "shingles"])
-
-    return _rows(docs, key, text).mapInArrow(run, f"key {dict(docs.dtypes)[key]}, fp bigint, shingles array<bigint>")
+            columns = [table.column("key").combine_chunks(), pa.array(fp.view(np.int64)), pa.array(n, pa.int32())]
+            if whole:
+                lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(hashes.view(np.int64)))]
+            else:
+                size = np.where(n > 0, n - (n * NUM + DEN - 1) // DEN + 1, 0)
+                heads = hashes[np.arange(len(hashes)) - ends[doc] < size[doc]]
+                wide = 64 * MARKS
+                odd = (np.bincount(doc * wide + (hashes % np.uint64(wide)).astype(np.int64), minlength=len(n) * wide) & 1).astype(np.uint8)
+                marks = np.packbits(odd, bitorder="little").view("<i8")
+                starts = lambda sizes: pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
+                lists = [pa.ListArray.from_arrays(starts(size), pa.array(heads.view(np.int64))), pa.ListArray.from_arrays(starts(np.full(len(n), MARKS)), pa.array(marks))]
+            yield pa.RecordBatch.from_arrays(columns + lists, ["key", "fp", "n", *(["shingles"] if whole else ["head", "marks"])])
+
+    lists = "shingles array<bigint>" if whole else "head array<bigint>, marks array<bigint>"
+    return _rows(docs, key, text).mapInArrow(run, f"key {dict(docs.dtypes)[key]}, fp bigint, n int, {lists}")
 
 
 def _possible(a: str, b: str):
@@ -83,12 +106,26 @@ def _possible(a: str, b: str):
     return shared * (NUM + DEN) >= NUM * (F.col(f"{a}.n") + F.col(f"{b}.n"))
 
 
-def near_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _may_be_near(pairs: DataFrame, prints: DataFrame) -> DataFrame:
+    """The pairs whose marks differ in no more bits than near sets can in shingles, (n + m) (DEN - NUM) / (DEN + NUM).
+
+    A shingle of one set alone changes one bit, so no near pair is lost.
+    """
+    sides = prints.groupBy("fp").agg(F.first("n").alias("n"), F.first("marks").alias("marks"))
+    found = pairs
+    for side in ("u", "v"):
+        found = join_split(found, sides.select(F.col("fp").alias(side), F.col("n").alias(f"n_{side}"), F.col("marks").alias(f"m_{side}")), side, "inner")
+    differ = sum(F.bit_count(F.col("m_u")[i].bitwiseXOR(F.col("m_v")[i])) for i in range(MARKS))
+    return found.where(differ * (NUM + DEN) <= (F.col("n_u") + F.col("n_v")) * (DEN - NUM)).select("u", "v")
+
+
+def near_pairs(pairs: DataFrame, prints: DataFrame, sets_of) -> DataFrame:
     """The pairs ``u``, ``v`` whose shingles are near, counted one by one.
 
     A text that meets many is dealt to groups of GROUP of them.
     """
-    pairs = stored(pairs.select("u", "v").distinct(), "pairs")
+    pairs = stored(_may_be_near(pairs.select("u", "v").distinct(), prints), "pairs")
+    sets = sets_of(pairs.select(F.col("u").alias("fp")).union(pairs.select(F.col("v").alias("fp"))).distinct())
     groups = pairs.groupBy("u").agg(F.ceil(F.count("*") / F.lit(GROUP)).cast("int").alias("groups"))
     one = groups.join(sets.select(F.col("fp").alias("u"), F.col("shingles").alias("a")), "u")
     one = one.select("u", "groups", "a", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("g"))
@@ -109,29 +146,30 @@ def near_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return met.mapInArrow(run, "u bigint, v bigint")
 
 
-def links(prints: DataFrame) -> DataFrame:
+def links(prints: DataFrame, sets_of) -> DataFrame:
     """Edges ``u``, ``v`` over the distinct ``fp`` that connect whatever is linked by a near pair, or by several.
 
     Sets that share NUM / DEN of their union share a shingle of their first
-    n - ceil(n NUM / DEN) + 1, in any order all agree on.  Texts that meet in
-    such a shingle are first held against one of them, twice; then all those that
-    are not in one component yet are held against each other.  A pair left out
-    is in one component already, so the components are those of all near pairs.
+    n - ceil(n NUM / DEN) + 1, in any order all agree on.  The texts of a small
+    bucket meet in pairs.  Those of a large one are first held against one of
+    them, twice; then all that are not in one component yet meet in pairs.  A
+    pair left out is in one component already, so the components are those of all
+    near pairs.
     """
-    n = F.size("shingles")
-    head = F.slice("shingles", F.lit(1), n - F.ceil(n * NUM / DEN).cast("int") + 1)
-    every = prints.where(n > 0).select("fp", n.alias("n"), F.posexplode(head).alias("pos", "h"))
+    every = prints.select("fp", "n", F.posexplode("head").alias("pos", "h"))
     flagged = _survives(every, _marks(every.select("h")), F.col("h"), "_shared").where("_shared").drop("_shared")
     rows = stored(flagged.distinct(), "heads")
-    shared = rows.groupBy("h").agg(F.count("*").alias("_many")).where("_many > 1")
-    rows = stored(join_split(rows, shared.drop("_many"), "h", "inner"), "heads")
-    met = rows.select("fp").distinct().withColumn("n", F.lit(1))
-    sets = _survives(prints, _marks(met.select(F.col("fp").alias("h")).union(met.select(F.col("fp").alias("h")))), F.col("fp"), "_met").where("_met")
-    sets = stored(sets.groupBy("fp").agg(F.first("shingles").alias("shingles")), "sets")
-
-    edges, labels = None, met.select(F.col("fp").alias("v"), F.col("fp").alias("label"))
+    many = rows.groupBy("h").agg(F.count("*").alias("many")).where("many > 1")
+    small = join_split(rows, many.where(F.col("many") <= SMALL), "h", "inner").groupBy("h").agg(F.collect_list(F.struct("fp", "n", "pos")).alias("all"))
+    pairs = small.select("all", F.explode("all").alias("x")).select("x", F.explode("all").alias("y")).where((F.col("x.fp") < F.col("y.fp")) & _possible("x", "y"))
+    edges = stored(near_pairs(pairs.select(F.col("x.fp").alias("u"), F.col("y.fp").alias("v")), prints, sets_of), "near")
+
+    rows = stored(join_split(rows, many.where(F.col("many") > SMALL), "h", "inner").drop("many"), "heads")
+    if rows.isEmpty():
+        return edges
     for turn in range(ROUNDS + 1):
-        placed = rows.join(labels.withColumnRenamed("v", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
+        labels = components(edges).withColumnRenamed("v", "fp")
+        placed = join_split(rows, labels, "fp").withColumn("label", F.coalesce("label", "fp"))
         apart = placed.groupBy("h").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "fp").alias("by"), "fp", "n", "pos", "label")).alias("lead"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("h", "lead")
         mine = F.struct("fp", "n", "pos", "label").alias("x")
         if turn < ROUNDS:
@@ -139,10 +177,7 @@ def links(prints: DataFrame) -> DataFrame:
         else:
             own = stored(join_split(placed.select("h", mine), apart.select("h"), "h", "inner"), "apart")
             pairs = join_split(own, own.select("h", F.col("x").alias("y")), "h", "inner").where((F.col("x.fp") < F.col("y.fp")) & (F.col("x.label") != F.col("y.label")) & _possible("x", "y")).select(F.col("x.fp").alias("u"), F.col("y.fp").alias("v"))
-        found = stored(near_pairs(pairs, sets), "near")
-        edges = found if edges is None else edges.union(found)
-        if turn < ROUNDS:
-            labels = components(edges)
+        edges = edges.union(stored(near_pairs(pairs, prints, sets_of), "near"))
     return edges
 
 
@@ -154,9 +189,18 @@ def similar_texts(docs: DataFrame, width: int = WIDTH, key: str = "doc_id", text
     Texts without words are one set; rows that repeat a key or text are kept; an
     empty table gives an empty table.
     """
-    prints = stored(shingle_sets(docs, key, text, width), "sets")
+    common = common_shingles(docs, key, text, width)
+    prints = stored(shingle_sets(docs, key, text, width, common, whole=False), "prints")
     vertices = stored(prints.groupBy("fp").agg(F.min("key").alias("least")), "vertices")
-    labels = components(links(prints))
+
+    def sets_of(fps: DataFrame) -> DataFrame:
+        """Whole sets, of texts whose keys a bit map of fixed size lets through."""
+        keys = join_split(fps, vertices, "fp", "inner").select(F.xxhash64("least").alias("h"))
+        some = _survives(docs.select(key, text), _marks(keys.union(keys)), F.xxhash64(key), "_met").where("_met").drop("_met")
+        found = join_split(shingle_sets(some, key, text, width, common, whole=True), fps, "fp", "inner")
+        return stored(found.groupBy("fp").agg(F.first("shingles").alias("shingles")), "sets")
+
+    labels = components(links(prints, sets_of))
     of = vertices.join(labels.withColumnRenamed("v", "fp"), "fp", "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))
     least = of.groupBy("label").agg(F.min("least").alias("component_id"))
     placed = join_split(of, least, "label").select("fp", "component_id")

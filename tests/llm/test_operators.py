@@ -289,8 +289,10 @@ def test_quality_prefers_the_target(spark):
     assert all(v == (k < 100) for k, v in got.items())
 
 
-def test_similar_texts(spark, docs, rows):
+@pytest.mark.parametrize("small", [64, 4])
+def test_similar_texts(spark, docs, rows, monkeypatch, small):
     """Every pair at 0.8 over five words is linked, and no other: against brute force, with a group and a line all share."""
+    monkeypatch.setattr(similar, "SMALL", small)
     rng = random.Random(7)
     words = lambda n: [f"w{rng.randrange(5000)}" for _ in range(n)]
     base, line, texts = words(120), words(12), []
