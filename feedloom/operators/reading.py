@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -21,21 +23,25 @@ def host(url: Column) -> Column:
 def self_chain(posts: DataFrame, most: int = 200) -> DataFrame:
     """``root``, ``id``, ``depth``: from each thread's first post down its author's own replies, the least reply first.
 
-    ``posts``: ``id``, ``parent``, ``author``.  A recursive query; every step is one join
-    on the parent, and a chain has ``most`` posts at most.
+    ``posts``: ``id``, ``parent``, ``author``.  One join on the parent a step, until
+    no chain goes on or ``most`` posts are reached; steps are checkpointed, so
+    neither their number nor the chains' is bound by the limits of recursive queries.
     """
-    spark = posts.sparkSession
+    context = posts.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="feedloom-"))
     w = Window.partitionBy("parent", "author").orderBy("id")
-    next_ = posts.where("parent is not null").withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
-    posts.createOrReplaceTempView("_chain_posts")
-    next_.createOrReplaceTempView("_chain_next")
-    return spark.sql(f"""
-        WITH RECURSIVE chain (root, id, author, depth) AS (
-            SELECT id, id, author, 1 FROM _chain_posts WHERE parent IS NULL
-            UNION ALL
-            SELECT c.root, n.id, n.author, c.depth + 1 FROM chain c JOIN _chain_next n ON n.parent = c.id AND n.author = c.author WHERE c.depth < {most}
-        )
-        SELECT root, id, CAST(depth AS BIGINT) AS depth FROM chain""")
+    next_ = posts.where("parent is not null").withColumn("_rn", F.row_number().over(w)).where("_rn = 1")
+    next_ = next_.select(F.col("id").alias("_id"), F.col("parent").alias("_parent"), F.col("author").alias("_author")).checkpoint()
+    step = posts.where("parent is null").select(F.col("id").alias("root"), "id", "author", F.lit(1).cast("bigint").alias("depth")).checkpoint()
+    chain = step
+    for depth in range(2, most + 1):
+        on = (F.col("_parent") == F.col("id")) & (F.col("_author") == F.col("author"))
+        step = step.join(next_, on).select("root", F.col("_id").alias("id"), "author", F.lit(depth).cast("bigint").alias("depth")).checkpoint()
+        if step.isEmpty():
+            break
+        chain = chain.union(step)
+    return chain.select("root", "id", "depth")
 
 
 def classify(text: Column, thread_posts: Column, article: Column, long_chars: int = 280) -> Column:

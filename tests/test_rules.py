@@ -101,3 +101,12 @@ def test_timeline_items(spark):
     rows = spark.createDataFrame([(page,)], "j string").select(F.from_json("j", TIMELINE).alias("x")).select("x.*")
     r = timeline_items(rows).first()
     assert (r.title, r.thread_root, r.images, r.published) == ("R to @Bob: thanks", "5", ["u"], datetime(2024, 12, 10, 7, 0, 30))
+
+
+def test_self_chain_of_150_posts(spark):
+    """Longer than recursive queries go by default."""
+    rows = [(i, i - 1 if i else None, "a") for i in range(150)] + [(1000, 0, "a"), (1001, 5, "b"), (2000, None, "b")]
+    got = reading.self_chain(spark.createDataFrame(rows, "id bigint, parent bigint, author string")).collect()
+    assert sorted((r.root, r.id, r.depth) for r in got) == [(0, i, i + 1) for i in range(150)] + [(2000, 2000, 1)]
+    short = reading.self_chain(spark.createDataFrame(rows, "id bigint, parent bigint, author string"), most=3).collect()
+    assert sorted(r.id for r in short) == [0, 1, 2, 2000]
