@@ -58,8 +58,14 @@ def support(items: DataFrame, posts: DataFrame) -> DataFrame:
     )
 
 
-def truncation_suspects(runs: DataFrame, ratio: float = 1.3, least: int = 3) -> DataFrame:
-    """Runs whose characters a token are over ``ratio`` times the median of the big ones."""
-    rated = runs.withColumn("ratio", F.col("chars").cast("double") / F.col("tokens"))
+def truncation_suspects(runs: DataFrame, ratio: float = 1.3, least: int = 3, big: float = 0.6) -> DataFrame:
+    """Big runs whose characters a token are over ``ratio`` times the median of the big ones.
+
+    Big are those of at least ``big`` of the most characters; with fewer than
+    ``least`` of them nothing is told.
+    """
+    counted = runs.where("tokens > 0")
+    most = counted.agg(F.max("chars").alias("_most"))
+    rated = counted.crossJoin(F.broadcast(most)).where(F.col("chars") >= F.col("_most") * big).drop("_most").withColumn("ratio", F.col("chars").cast("double") / F.col("tokens"))
     middle = rated.agg(F.median("ratio").alias("median"), F.count("*").alias("runs"))
     return rated.crossJoin(F.broadcast(middle)).where((F.col("runs") >= least) & (F.col("ratio") > F.col("median") * ratio)).drop("median", "runs")

@@ -110,3 +110,10 @@ def test_self_chain_of_150_posts(spark):
     assert sorted((r.root, r.id, r.depth) for r in got) == [(0, i, i + 1) for i in range(150)] + [(2000, 2000, 1)]
     short = reading.self_chain(spark.createDataFrame(rows, "id bigint, parent bigint, author string"), most=3).collect()
     assert sorted(r.id for r in short) == [0, 1, 2, 2000]
+
+
+def test_small_runs_are_no_truncation_suspects(spark):
+    rows = [("a", 1000, 250), ("b", 900, 230), ("c", 800, 200), ("cut", 950, 100), ("small", 100, 10), ("none", 990, 0)]
+    told = lambda rows: [r.id for r in verify.truncation_suspects(spark.createDataFrame(rows, "id string, chars int, tokens int")).collect()]
+    assert told(rows) == ["cut"]
+    assert told([rows[0], rows[3], ("s1", 10, 5), ("s2", 10, 5)]) == []
