@@ -16,20 +16,38 @@ def parse_reply(raw: Column) -> Column:
     return F.from_json(bare, REPLY)
 
 
+def reply_items(replies: DataFrame) -> DataFrame:
+    """``chunk``, ``item``, ``headline``, ``detail``, ``ids`` of raw replies (``chunk``, ``raw``).
+
+    A reply that was cut off mid-JSON is read as far as it goes: headlines,
+    details and closed id lists in order, whichever of them an item still has.
+    """
+    string = r'"\s*:\s*"((?:[^"\\]|\\.)*)"'
+    take = lambda pattern: F.regexp_extract_all("raw", F.lit(pattern), 1)
+    numbers = lambda x: F.transform(F.regexp_extract_all(x, F.lit(r"\d+"), 0), lambda d: d.cast("bigint"))
+    lists = F.transform(take(r'"ids"\s*:\s*\[([^\]]*)\]'), numbers)
+    zipped = F.arrays_zip(take('"headline' + string).alias("headline"), take('"detail' + string).alias("detail"), lists.alias("ids"))
+    parsed = parse_reply(F.col("raw"))["items"]
+    whole = F.transform(parsed, lambda i: F.struct(i["headline"].alias("headline"), i["detail"].alias("detail"), i["ids"].alias("ids")))
+    read = replies.select("chunk", F.coalesce(whole, zipped).alias("items"))
+    return read.select("chunk", F.posexplode("items").alias("item", "i")).select("chunk", "item", "i.headline", "i.detail", "i.ids")
+
+
 def chunk_stats(items: DataFrame, posts: DataFrame) -> DataFrame:
-    """Per chunk: items, cited numbers, share of them in the chunk, share of the chunk's posts covered.
+    """Per chunk: items, cited numbers (all, distinct, an item, at most), those in the chunk, share of the chunk's posts covered.
 
     ``items``: ``chunk``, ``item``, ``headline``, ``detail``, ``ids``; ``posts``: ``chunk``, ``n``.
     """
     sizes = posts.groupBy("chunk").agg(F.countDistinct("n").alias("posts"))
-    heads = items.groupBy("chunk").agg(F.count("*").alias("items"), (F.count("*") - F.countDistinct(F.lower(F.trim("headline")))).alias("duplicate_headlines"), F.avg(F.regexp_count("detail", F.lit(r"\S+")).cast("double")).alias("detail_words"))
+    heads = items.groupBy("chunk").agg(F.count("*").alias("items"), (F.count("*") - F.countDistinct(F.lower(F.trim("headline")))).alias("duplicate_headlines"), F.avg(F.regexp_count("detail", F.lit(r"\S+")).cast("double")).alias("detail_words"), F.avg(F.size("ids").cast("double")).alias("ids_per_item"), F.max(F.size("ids")).alias("max_ids"))
     cited = items.select("chunk", F.explode("ids").alias("n")).join(posts.select("chunk", "n").distinct().withColumn("_in", F.lit(1)), ["chunk", "n"], "left")
-    ids = cited.groupBy("chunk").agg(F.count("*").alias("ids"), F.count("_in").alias("valid"), F.countDistinct(F.when(F.col("_in") == 1, F.col("n"))).alias("covered"))
+    ids = cited.groupBy("chunk").agg(F.count("*").alias("ids"), F.count("_in").alias("valid"), F.countDistinct("n").alias("cited"), F.countDistinct(F.when(F.col("_in") == 1, F.col("n"))).alias("covered"))
     found = sizes.join(heads, "chunk", "left").join(ids, "chunk", "left")
     return found.select(
         "chunk", "posts", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("items", "duplicate_headlines", "ids", "valid")],
         F.round(F.coalesce(F.col("covered").cast("double") / F.col("posts"), F.lit(0.0)), 6).alias("coverage"),
         F.round(F.coalesce("detail_words", F.lit(0.0)), 6).alias("detail_words"),
+        F.round(F.coalesce("ids_per_item", F.lit(0.0)), 6).alias("ids_per_item"), *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("max_ids", "cited")],
     )
 
 

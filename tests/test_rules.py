@@ -117,3 +117,14 @@ def test_small_runs_are_no_truncation_suspects(spark):
     told = lambda rows: [r.id for r in verify.truncation_suspects(spark.createDataFrame(rows, "id string, chars int, tokens int")).collect()]
     assert told(rows) == ["cut"]
     assert told([rows[0], rows[3], ("s1", 10, 5), ("s2", 10, 5)]) == []
+
+
+def test_reply_cut_off_is_read_as_far_as_it_goes(spark):
+    whole = '{"items": [{"headline": "A", "detail": "one two", "ids": [1, 2]}]}'
+    cut = r'{"items": [{"headline": "A \"b\"", "detail": "one two", "ids": [1, 2]}, {"headline": "C", "detail": "thr'
+    rows = verify.reply_items(spark.createDataFrame([(0, whole), (1, cut), (2, "nothing")], "chunk int, raw string")).collect()
+    got = {(r.chunk, r.item): (r.headline, r.detail, r.ids) for r in rows}
+    assert got == {(0, 0): ("A", "one two", [1, 2]), (1, 0): (r'A \"b\"', "one two", [1, 2]), (1, 1): ("C", None, None)}
+    items = verify.reply_items(spark.createDataFrame([(1, cut)], "chunk int, raw string"))
+    stats = verify.chunk_stats(items, spark.createDataFrame([(1, 1), (1, 5)], "chunk int, n int")).first()
+    assert (stats["items"], stats.ids_per_item, stats.max_ids, stats.cited, stats.valid, stats.coverage) == (2, 2.0, 2, 2, 1, 0.5)
