@@ -8,6 +8,7 @@ import re
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -22,6 +23,7 @@ _HEX = re.compile(rb"[0-9a-f]+")
 _GITHUB = re.compile(rb"gh[pousr]_[A-Za-z0-9]+")
 _NPM = re.compile(rb"npm_[A-Za-z0-9]+")
 _JWT = re.compile(rb"(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.[A-Za-z0-9_-]*")
+_JWT_PART = re.compile(rb"[A-Za-z0-9_-]*")
 _B62 = b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 
 #: Keyword (as the lower-cased text has it) -> kind.
@@ -63,6 +65,16 @@ _CHECKS = {
 }
 
 
+def _code_points(raw: bytes, at: list[int]) -> dict[int, int]:
+    """Code points before each of the byte places, counted in one sweep over the text."""
+    heads = (np.frombuffer(raw, np.uint8) & 0xC0) != 0x80
+    out, past, seen = {}, 0, 0
+    for p in sorted(set(at)):
+        seen += int(np.count_nonzero(heads[past:p]))
+        out[p], past = seen, p
+    return out
+
+
 def automaton():
     import ahocorasick
 
@@ -93,10 +105,14 @@ def scan(text: str | None, keywords=None) -> list[tuple[str, int, int]]:
         pattern, passes = _CHECKS[kind]
         past = 0
         for p in sorted(at):
-            if p >= past and (m := pattern.match(raw, p)):
+            if p < past:
+                continue
+            if m := pattern.match(raw, p):
                 past = m.end()
                 if passes(m):
                     spans.append((kind, p, past))
+            elif kind == "jwt" and raw.startswith(b"eyJ", p):
+                past = _JWT_PART.match(raw, p).end()
     marks = raw.translate(_AS_HEX)
     p = marks.find(_HEX_RUN)
     while p >= 0:
@@ -104,7 +120,8 @@ def scan(text: str | None, keywords=None) -> list[tuple[str, int, int]]:
         spans.append(("hex", p, end))
         p = marks.find(_HEX_RUN, end)
     if len(raw) != len(text):
-        spans = [(k, len(raw[:s].decode()), len(raw[:e].decode())) for k, s, e in spans]
+        point = _code_points(raw, [p for _, s, e in spans for p in (s, e)])
+        spans = [(k, point[s], point[e]) for k, s, e in spans]
     return sorted(spans, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 
 
@@ -120,7 +137,8 @@ def find_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     """``key`` and ``spans array<struct<kind,start,end>>`` of every row.
 
     A null or empty text has no spans; rows that repeat are scanned each; texts
-    of any length are scanned whole; other columns of ``docs`` don't matter.
+    of any length are scanned whole, in time linear in their length; other
+    columns of ``docs`` don't matter; an empty table gives an empty table.
     """
     kind = dict(docs.dtypes)[key]
     rows = docs.selectExpr(f"`{key}` as key", f"`{text}` as text")
