@@ -11,13 +11,14 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from feedloom.llm.common import CHUNK_BYTES, Words, pieces, small_batches, stored, text_array, unit
 
 #: The model is fitted on about so many labelled documents of each language, chosen by hash of their key.
 SAMPLE_DOCS = 1000
-#: Most (language, word) and (language, n-gram) pairs that the model keeps, by share of their language.
-MOST_WORDS, MOST_GRAMS = 100_000, 100_000
+#: Words and n-grams that the model keeps of each language, the most frequent ones of its sample.
+MOST_WORDS, MOST_GRAMS = 25_000, 25_000
 #: Longest and shortest character n-gram.
 LONGEST, SHORTEST = 5, 1
 #: What a word or n-gram counts in a language that was never seen to have it.
@@ -27,12 +28,33 @@ UNKNOWN = "und"
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
+def words_of(low: str) -> list[str]:
+    """Runs of letters; number signs such as fractions are none, though a regular expression takes them for some."""
+    found = _LETTERS.findall(low)
+    if all(map(str.isalpha, found)):
+        return found
+    return [w for x in found for w in "".join(c if c.isalpha() else " " for c in x).split()]
+
+
 def grams(word: str, n: int) -> list[str]:
     """Character n-grams of a word between its bounds."""
     padded = f"<{word}>" if n > 1 else word
     return [padded[i : i + n] for i in range(len(padded) - n + 1)]
 
 
+def longest_known(word: str, known: dict[str, int]) -> list[int]:
+    """Rows of the longest known n-gram at each place of a word between its bounds; a place without any says nothing."""
+    padded = f"<{word}>"
+    out = []
+    for i in range(len(padded)):
+        for n in range(min(LONGEST, len(padded) - i), SHORTEST - 1, -1):
+            row = known.get(padded[i : i + n])
+            if row is not None:
+                out.append(row)
+                break
+    return out
+
+
 class Model:
     """Rows of log relative frequencies by language, less their mean over the languages."""
 
@@ -54,23 +76,18 @@ class Model:
         return list(counts), logs - logs.mean(axis=1, keepdims=True) if len(self.langs) else logs
 
     def rows_of(self, token: str) -> list[int] | None:
-        """Rows that speak for a token: of its words, or of the longest n-grams known of a word; None without a letter."""
+        """Rows that speak for a token: of its known words, and of the n-grams of unseen ones; None without a letter."""
         low = token.lower()
-        found = [low] if low.isalpha() else _LETTERS.findall(low)
+        found = [low] if low.isalpha() else words_of(low)
         if not found:
             return None
         out: list[int] = []
-        known, known_grams = self.words, self.grams
         for word in found:
-            row = known.get(word)
+            row = self.words.get(word)
             if row is not None:
                 out.append(row)
-                continue
-            for n in range(LONGEST, SHORTEST - 1, -1):
-                own = [known_grams[g] for g in grams(word, n) if g in known_grams]
-                if own:
-                    out += own
-                    break
+            else:
+                out += longest_known(word, self.grams)
         return out
 
     def predict(self, texts: pa.Array) -> tuple[list[str], list[float]]:
@@ -92,12 +109,20 @@ class Model:
                 scores.append(0.0)
                 continue
             langs.append(self.langs[best[i]])
-            scores.append(float(1.0 / np.exp(sums[i] - sums[i, best[i]]).sum()))
+            mean = sums[i] / n[i]
+            scores.append(float(1.0 / np.exp(mean - mean[best[i]]).sum()))
         return langs, scores
 
 
 def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", sample_docs: int = SAMPLE_DOCS) -> Model:
-    """Fit on a bounded sample of the rows with text and language (``sample_docs`` a language, whole texts)."""
+    """Fit on a bounded sample of the rows with text and language (``sample_docs`` a language, whole texts).
+
+    Rows are chosen by hash of their key, so rows that repeat a key come in or
+    stay out together and count each; null keys are a key like any other.  Rows
+    without text or language are left out; none left gives a model that answers
+    ``und``.  The most frequent words and n-grams are kept for each language by
+    itself; of equal counts the first by code point.
+    """
     labelled = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull())
     counts = {r[0]: r[1] for r in labelled.groupBy(lang).count().collect()}
     langs = sorted(counts)
@@ -111,7 +136,7 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
         for table in pieces(batches, "text"):
             words: Counter = Counter()
             for x, t in zip(table.column("lang").to_pylist(), table.column("text").to_pylist()):
-                words.update((x, w) for w in _LETTERS.findall(t.lower()))
+                words.update((x, w) for w in words_of(t.lower()))
             parts: Counter = Counter()
             for (x, w), n in words.items():
                 for size in range(SHORTEST, LONGEST + 1):
@@ -123,13 +148,17 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
 
     counted = small_batches(chosen).mapInArrow(run, "kind string, lang string, item string, n bigint").groupBy("kind", "lang", "item").agg(F.sum("n").alias("n"))
     counted = stored(counted, "langid")
-    size = F.create_map(*[F.lit(x) for k in langs for x in (k, float(min(counts[k], sample_docs)))])[F.col("lang")]
-    top = lambda kind, most: counted.where(F.col("kind") == kind).orderBy((F.col("n") / size).desc(), "lang", "item").limit(most).select("lang", "item", "n").toPandas()
+    order = Window.partitionBy("lang").orderBy(F.desc("n"), "item")
+    ranked = lambda kind: counted.where(F.col("kind") == kind).withColumn("_rn", F.row_number().over(order))
+    top = lambda kind, most: ranked(kind).where(F.col("_rn") <= most).select("lang", "item", "n").orderBy("lang", "item").toPandas()
     return Model(langs, top("w", MOST_WORDS), top("g", MOST_GRAMS))
 
 
 def predict(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key``, ``lang_pred`` and ``score`` (posterior of the language) of every row, whole texts.
+    """``key``, ``lang_pred`` and ``score`` of every row, whole texts.
+
+    The score is the posterior of the language under the mean log frequencies a
+    word, so long texts don't all come to 1: 0.25 of four languages says nothing.
 
     ``und`` and 0 where the text is null or has no letter, or the model is empty.
     Ties go to the language first in code-point order; rows that repeat get equal
