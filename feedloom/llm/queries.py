@@ -37,8 +37,7 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    segments, dictionary = tokenio.write(documents(spark, sf_dir), end_id=2)
-    return tokenio.read(segments, dictionary, ids=False)
+    return tokenio.read(spark, tokenio.write(documents(spark, sf_dir), end_id=2), ids=False)
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
