@@ -48,7 +48,6 @@ class WordEncoder:
         if any("<" not in s for s in self.special):
             raise ValueError("special tokens are looked for by their <")
         self.known: dict[str, list[int]] = {}
-        self.shown_pieces: list[str] | None = None
         self.most = most
         keep = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in keep]
@@ -123,13 +122,6 @@ class WordEncoder:
         taken = units.take(pa.array(order))
         return pa.ListArray.from_arrays(pa.array(taken.offsets.to_numpy()[at], pa.int32()), taken.values)
 
-    def pieces(self) -> list[str]:
-        """Piece of every id; the vocabulary is a fixed file, so this table's size is known."""
-        if self.shown_pieces is None:
-            self.shown_pieces = [self.whole.id_to_token(i) or "" for i in range(self.whole.get_vocab_size())]
-        return self.shown_pieces
-
-
 _encoders: dict[str, WordEncoder] = {}
 
 
@@ -233,30 +225,26 @@ def encode_ids(docs: DataFrame, path: str | None = None, key: str = "doc_id", te
     return packed.ask(chunks, request, serve, finish, f"key {kind}, n_tokens bigint, ids array<int>").withColumnRenamed("key", key)
 
 
+def pieces(path: str) -> list[str]:
+    """Piece of every id of a vocabulary, empty where an id has none."""
+    whole = encoder(path).whole
+    return [whole.id_to_token(i) or "" for i in range(whole.get_vocab_size())]
+
+
 def decode(encoded: DataFrame, path: str | None = None, ids: str = "ids") -> DataFrame:
     """``encoded`` with ``decoded``: each row's ids joined with the id-to-piece table, pieces in the ids' order.
 
-    The table is a fixed file of known size that every task reads, so the join
-    is a lookup by id where the ids are and nothing is shuffled.  Pieces are
-    joined by a space as the library does for a vocabulary without a decoder;
-    ids that the table doesn't have are left out, as there.  Null stays null.
+    The table is a fixed file of known size, so it goes to every task with the
+    plan as one array and the join is a look-up by id where the ids are: nothing
+    is shuffled and no Python worker runs.  Pieces are joined by a space as the
+    library does for a vocabulary without a decoder; ids that the table doesn't
+    have are left out, as there.  Null stays null.
     """
-    path = path or default_path()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shown = pa.array(encoder(path).pieces(), pa.string())
-        for batch in batches:
-            lists = batch.column(ids)
-            flat = lists.flatten().to_numpy(zero_copy_only=False)
-            there = np.zeros(len(flat), bool) if not len(flat) else (flat >= 0) & (flat < len(shown))
-            ends = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))])
-            ends = np.concatenate([[0], np.cumsum(there)])[ends]
-            pieces = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), shown.take(pa.array(flat[there].astype(np.int64))))
-            decoded = pc.if_else(lists.is_valid(), pc.binary_join(pieces, " "), pa.scalar(None, pa.string()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, decoded], [*batch.schema.names, "decoded"])
-
-    fields = ", ".join(f"`{c}` {t}" for c, t in encoded.dtypes)
-    return encoded.mapInArrow(run, f"{fields}, decoded string")
+    listed = pieces(path or default_path())
+    if any("\n" in x for x in listed):
+        raise ValueError("a piece holds a line feed")
+    table = F.split(F.lit("\n".join(listed)), "\n", -1)
+    return encoded.withColumn("decoded", F.array_join(F.transform(F.col(ids), lambda i: F.get(table, i)), " "))
 
 
 def with_digests(decoded: DataFrame) -> DataFrame:
