@@ -40,9 +40,11 @@ def small_batches(df: DataFrame) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share; a temporary one only where none is named (tests)."""
+    """The folder all executors share; where none is named, a temporary one in local mode (tests) and an error on a cluster."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir names no shared folder")
         named = "file://" + tempfile.mkdtemp(prefix="feedloom-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
@@ -53,7 +55,18 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/feedloom/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    read = spark.read.schema(df.schema).parquet(path)
+    read._stored_at = path
+    return read
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete what ``stored`` wrote for these very frames: whatever was made from them is stored itself by now."""
+    for df in tables:
+        spark, path = df.sparkSession, getattr(df, "_stored_at", None)
+        if path:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
@@ -72,8 +85,12 @@ def join_small(left: DataFrame, right: DataFrame, key: str, how: str = "left") -
 
 
 def join_split(left: DataFrame, right: DataFrame, key: str, how: str = "left") -> DataFrame:
-    """Join on an expression of ``key``, so adaptive execution may split hot keys of the left side."""
-    k = F.concat(F.lit("k"), F.col(key).cast("string"))
+    """Join on an expression of ``key``, so adaptive execution may split hot keys of the left side.
+
+    The expression tells keys apart: whole numbers have some bits turned, others become text.
+    """
+    whole = dict(left.dtypes)[key] in ("int", "bigint") and dict(right.dtypes)[key] in ("int", "bigint")
+    k = F.col(key).cast("bigint").bitwiseXOR(F.lit(0x5555)) if whole else F.concat(F.lit("k"), F.col(key).cast("string"))
     return left.withColumn("_k", k).join(right.withColumn("_k", k).drop(key), "_k", how).drop("_k")
 
 

@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedloom.llm.common import join_split, pieces, small_batches, stored, text_array
+from feedloom.llm.common import discard, join_split, pieces, small_batches, stored, text_array
 
 SEED = 42
 _P1, _P2, _P3, _P4, _P5 = (np.uint64(x) for x in (11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261))
@@ -136,7 +136,11 @@ def shingle_hashes(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]
 
 def fingerprint_array(texts: pa.Array, width: int) -> np.ndarray:
     """64-bit fingerprints of an array of texts without nulls (large_string)."""
-    hashes, n_shingles = shingle_hashes(texts, width)
+    return fold(*shingle_hashes(texts, width))
+
+
+def fold(hashes: np.ndarray, n_shingles: np.ndarray) -> np.ndarray:
+    """Fingerprints of texts from the hashes of their shingles, one after another, and how many each has."""
     n_docs = len(n_shingles)
     s_doc = np.repeat(np.arange(n_docs), n_shingles)
     ones = np.zeros((n_docs, 64), np.int64)
@@ -336,9 +340,11 @@ def components(edges: DataFrame) -> DataFrame:
         lower = stored(lower, "labels")
         jump = lower.select(F.col("v").alias("label"), F.col("label").alias("to"))
         after = stored(join_split(lower, jump, "label").select("v", F.coalesce("to", "label").alias("label"), "old"), "labels")
-        labels = after.select("v", "label")
+        discard(labels, lower)
+        labels = after
         if after.where("label <> old").isEmpty():
-            return labels
+            discard(both)
+            return labels.select("v", "label")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, tau: int = 4, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -1,4 +1,12 @@
-"""Links between texts by the Jaccard similarity of their shingles: every pair at the threshold, by prefix filtering."""
+"""SimHash near copies held to the Jaccard similarity of their shingles, and the pairs that fingerprints can't see.
+
+Fingerprints within a few bits, found by pigeonring filtering, give the first
+candidates; each is checked shingle by shingle, which takes out texts that are
+near in bits alone.  Two texts of similarity 0.8 differ in 10 of 64 bits or so,
+so fingerprints alone lose most pairs near the threshold at any length.  The
+rest of the candidates are the pairs of sets that share enough of their first
+shingles, in an order all sets follow: none at the threshold is lost.
+"""
 
 from __future__ import annotations
 
@@ -10,13 +18,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedloom.llm.common import join_split, pieces, small_batches, stored, text_array
+from feedloom.llm.common import discard, join_split, pieces, small_batches, stored, text_array
 from feedloom.llm.exact import _marks, _survives
+from feedloom.llm import simhash
 from feedloom.llm.simhash import components, shingle_hashes
 
 #: Two texts are near copies if they share NUM / DEN of their distinct shingles or more.
 WIDTH, NUM, DEN = 5, 4, 5
 
+#: Bits that fingerprints of a first candidate may differ in.
+TAU = 4
+
 #: Texts that tell which shingles are common (about so many, by hash), and common shingles that are kept.
 #: They only set the order in which shingles are looked at: any order finds every pair.
 ORDER_DOCS, ORDER_SHINGLES = 10_000, 100_000
@@ -57,15 +69,16 @@ def common_shingles(docs: DataFrame, key: str, text: str, width: int) -> tuple[n
 def shingle_sets(docs: DataFrame, key: str, text: str, width: int, common: tuple[np.ndarray, np.ndarray], whole: bool) -> DataFrame:
     """``key``, ``fp`` (one for each set), its size ``n``, and distinct ``shingles`` of every row.
 
-    ``whole`` gives all of them, else ``head`` (the first ones in the common
-    order, rare ones first) and ``marks``: a bit for each hash value of MARKS
-    words, one where an odd number of shingles fall.
+    ``whole`` gives all of them, else ``sim`` (the SimHash fingerprint), ``head``
+    (the first shingles in the common order, rare ones first) and ``marks``: a bit
+    for each hash value of MARKS words, one where an odd number of shingles fall.
     """
     known, often = common
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in pieces(batches, "text"):
             hashes, counts = shingle_hashes(text_array(table, "text"), width)
+            sim = None if whole else simhash.fold(hashes, counts)
             doc, level = np.repeat(np.arange(len(counts)), counts), np.zeros(len(hashes), np.int64)
             if len(known) and len(hashes):
                 at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
@@ -89,10 +102,10 @@ def shingle_sets(docs: DataFrame, key: str, text: str, width: int, common: tuple
                 odd = (np.bincount(doc * wide + (hashes % np.uint64(wide)).astype(np.int64), minlength=len(n) * wide) & 1).astype(np.uint8)
                 marks = np.packbits(odd, bitorder="little").view("<i8")
                 starts = lambda sizes: pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
-                lists = [pa.ListArray.from_arrays(starts(size), pa.array(heads.view(np.int64))), pa.ListArray.from_arrays(starts(np.full(len(n), MARKS)), pa.array(marks))]
-            yield pa.RecordBatch.from_arrays(columns + lists, ["key", "fp", "n", *(["shingles"] if whole else ["head", "marks"])])
+                lists = [pa.array(sim.view(np.int64)), pa.ListArray.from_arrays(starts(size), pa.array(heads.view(np.int64))), pa.ListArray.from_arrays(starts(np.full(len(n), MARKS)), pa.array(marks))]
+            yield pa.RecordBatch.from_arrays(columns + lists, ["key", "fp", "n", *(["shingles"] if whole else ["sim", "head", "marks"])])
 
-    lists = "shingles array<bigint>" if whole else "head array<bigint>, marks array<bigint>"
+    lists = "shingles array<bigint>" if whole else "sim bigint, head array<bigint>, marks array<bigint>"
     return _rows(docs, key, text).mapInArrow(run, f"key {dict(docs.dtypes)[key]}, fp bigint, n int, {lists}")
 
 
@@ -131,45 +144,73 @@ def near_pairs(pairs: DataFrame, prints: DataFrame, sets_of) -> DataFrame:
     one = one.select("u", "groups", "a", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("g"))
     other = join_split(pairs, groups, "u", "inner").withColumn("g", F.pmod(F.xxhash64("v"), F.col("groups")).cast("int")).drop("groups")
     other = other.join(sets.select(F.col("fp").alias("v"), F.col("shingles").alias("b")), "v")
-    met = other.join(one.drop("groups"), ["u", "g"]).select("u", "v", "a", "b")
+    met = other.join(one.drop("groups"), ["u", "g"]).select("u", "v", F.size("a").alias("n"), F.size("b").alias("m"), F.size(F.array_intersect("a", "b")).alias("both"))
+    near = stored(met.where(F.col("both") * DEN >= (F.col("n") + F.col("m") - F.col("both")) * NUM).select("u", "v"), "near")
+    discard(pairs, sets)
+    return near
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b = batch.column("a"), batch.column("b")
-            near = []
-            for i in range(batch.num_rows):
-                x, y = a[i].values.to_numpy(), b[i].values.to_numpy()
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                near.append(both * DEN >= NUM * (len(x) + len(y) - both))
-            yield batch.select(["u", "v"]).filter(pa.array(near, pa.bool_()))
 
-    return met.mapInArrow(run, "u bigint, v bigint")
+def _met_in_bits(prints: DataFrame, tau: int) -> DataFrame:
+    """First candidates: sets of one fingerprint, and of fingerprints within ``tau`` bits, by their least sets."""
+    least = stored(prints.groupBy("sim").agg(F.min("fp").alias("least")), "sims")
+    alike = join_split(prints.select("sim", "fp"), least, "sim", "inner").where("fp <> least").select(F.col("least").alias("u"), F.col("fp").alias("v"))
+    edges = simhash.links(least.select("sim").withColumnRenamed("sim", "fp"), tau)
+    for side in ("u", "v"):
+        edges = join_split(edges, least.select(F.col("sim").alias(side), F.col("least").alias(f"_{side}")), side, "inner")
+    return alike.union(edges.select(F.least("_u", "_v").alias("u"), F.greatest("_u", "_v").alias("v")))
+
+
+def _small_buckets(rows: DataFrame, many: DataFrame, labels: DataFrame) -> DataFrame:
+    """Pairs that meet in a shingle of SMALL texts at most, share enough first shingles and aren't in one component yet.
+
+    Of two near sets, the shared ones are among both sets' first, or behind the
+    last first one of one of them.  What they share in larger buckets isn't
+    counted here, so it is bounded by how many first shingles either has there.
+    """
+    placed = join_split(rows, many, "h", "inner")
+    wide = placed.groupBy("fp").agg(F.count(F.when(F.col("many") > SMALL, 1)).alias("wide"))
+    small = placed.where(F.col("many") <= SMALL).groupBy("h").agg(F.collect_list(F.struct("fp", "n", "pos")).alias("all"))
+    pairs = small.select("all", F.explode("all").alias("x")).select("x", F.explode("all").alias("y")).where(F.col("x.fp") < F.col("y.fp"))
+    met = pairs.groupBy(F.col("x.fp").alias("u"), F.col("y.fp").alias("v")).agg(
+        F.count("*").alias("shared"), F.first("x.n").alias("n"), F.first("y.n").alias("m"), F.max(_possible("x", "y")).alias("possible"),
+    )
+    behind = lambda size: F.floor(size * NUM / DEN)  # noqa: E731 - of n, all but the first n - ceil(n NUM / DEN) + 1
+    room = F.col("shared") + F.greatest(behind(F.col("n")), behind(F.col("m")))
+    needed = lambda have: have * (NUM + DEN) >= (F.col("n") + F.col("m")) * NUM
+    likely = met.where("possible")
+    for side in ("u", "v"):
+        likely = join_split(likely, wide.withColumnsRenamed({"fp": side, "wide": f"wide_{side}"}), side)
+    likely = likely.where(needed(room + F.least("wide_u", "wide_v")))
+    for side in ("u", "v"):
+        likely = join_split(likely, labels.select(F.col("v").alias(side), F.col("label").alias(f"label_{side}")), side)
+    return likely.where(F.coalesce("label_u", "u") != F.coalesce("label_v", "v")).select("u", "v")
 
 
-def links(prints: DataFrame, sets_of) -> DataFrame:
+def links(prints: DataFrame, sets_of, tau: int = TAU) -> DataFrame:
     """Edges ``u``, ``v`` over the distinct ``fp`` that connect whatever is linked by a near pair, or by several.
 
-    Sets that share NUM / DEN of their union share a shingle of their first
+    First those that fingerprints show.  Then those that shingles show: sets that
+    share NUM / DEN of their union share a shingle of their first
     n - ceil(n NUM / DEN) + 1, in any order all agree on.  The texts of a small
     bucket meet in pairs.  Those of a large one are first held against one of
     them, twice; then all that are not in one component yet meet in pairs.  A
     pair left out is in one component already, so the components are those of all
     near pairs.
     """
+    edges = near_pairs(_met_in_bits(prints, tau), prints, sets_of)
     every = prints.select("fp", "n", F.posexplode("head").alias("pos", "h"))
     flagged = _survives(every, _marks(every.select("h")), F.col("h"), "_shared").where("_shared").drop("_shared")
     rows = stored(flagged.distinct(), "heads")
     many = rows.groupBy("h").agg(F.count("*").alias("many")).where("many > 1")
-    small = join_split(rows, many.where(F.col("many") <= SMALL), "h", "inner").groupBy("h").agg(F.collect_list(F.struct("fp", "n", "pos")).alias("all"))
-    pairs = small.select("all", F.explode("all").alias("x")).select("x", F.explode("all").alias("y")).where((F.col("x.fp") < F.col("y.fp")) & _possible("x", "y"))
-    edges = stored(near_pairs(pairs.select(F.col("x.fp").alias("u"), F.col("y.fp").alias("v")), prints, sets_of), "near")
+    edges = edges.union(near_pairs(_small_buckets(rows, many, components(edges)), prints, sets_of))
 
-    rows = stored(join_split(rows, many.where(F.col("many") > SMALL), "h", "inner").drop("many"), "heads")
-    if rows.isEmpty():
+    large = stored(join_split(rows, many.where(F.col("many") > SMALL), "h", "inner").drop("many"), "heads")
+    discard(rows)
+    if large.isEmpty():
         return edges
     for turn in range(ROUNDS + 1):
         labels = components(edges).withColumnRenamed("v", "fp")
-        placed = join_split(rows, labels, "fp").withColumn("label", F.coalesce("label", "fp"))
+        placed = join_split(large, labels, "fp").withColumn("label", F.coalesce("label", "fp"))
         apart = placed.groupBy("h").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "fp").alias("by"), "fp", "n", "pos", "label")).alias("lead"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("h", "lead")
         mine = F.struct("fp", "n", "pos", "label").alias("x")
         if turn < ROUNDS:
@@ -177,17 +218,17 @@ def links(prints: DataFrame, sets_of) -> DataFrame:
         else:
             own = stored(join_split(placed.select("h", mine), apart.select("h"), "h", "inner"), "apart")
             pairs = join_split(own, own.select("h", F.col("x").alias("y")), "h", "inner").where((F.col("x.fp") < F.col("y.fp")) & (F.col("x.label") != F.col("y.label")) & _possible("x", "y")).select(F.col("x.fp").alias("u"), F.col("y.fp").alias("v"))
-        edges = edges.union(stored(near_pairs(pairs, prints, sets_of), "near"))
+        edges = edges.union(near_pairs(pairs, prints, sets_of))
     return edges
 
 
-def similar_texts(docs: DataFrame, width: int = WIDTH, key: str = "doc_id", text: str = "text") -> DataFrame:
+def similar_texts(docs: DataFrame, width: int = WIDTH, key: str = "doc_id", text: str = "text", tau: int = TAU) -> DataFrame:
     """``key``, ``fp`` and ``component_id`` (least key reachable over near pairs) of every row.
 
     Shingles are ``width`` words in a row, ASCII letters in lower case, told
     apart by XXH64; a shorter text is one shingle.  Equal sets are one vertex.
-    Texts without words are one set; rows that repeat a key or text are kept; an
-    empty table gives an empty table.
+    Texts without words are one set; rows that repeat a key or text are kept; a
+    text of any length is read whole; an empty table gives an empty table.
     """
     common = common_shingles(docs, key, text, width)
     prints = stored(shingle_sets(docs, key, text, width, common, whole=False), "prints")
@@ -200,7 +241,7 @@ def similar_texts(docs: DataFrame, width: int = WIDTH, key: str = "doc_id", text
         found = join_split(shingle_sets(some, key, text, width, common, whole=True), fps, "fp", "inner")
         return stored(found.groupBy("fp").agg(F.first("shingles").alias("shingles")), "sets")
 
-    labels = components(links(prints, sets_of))
+    labels = components(links(prints, sets_of, tau))
     of = vertices.join(labels.withColumnRenamed("v", "fp"), "fp", "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))
     least = of.groupBy("label").agg(F.min("least").alias("component_id"))
     placed = join_split(of, least, "label").select("fp", "component_id")

@@ -29,8 +29,7 @@ def test_empty_table(spark, docs):
     assert bpe.encode(none).count() == 0
     assert lmscore.score(none).count() == 0
     assert secrets.find_secrets(none).count() == 0
-    segments, dictionary = tokenio.write(none)
-    assert tokenio.read(segments, dictionary).count() == 0
+    assert tokenio.read(spark, tokenio.write(none)).count() == 0
     assert langid.predict(none, langid.fit(none)).count() == 0
     ratio, least = quality.fit(none, none.select("doc_id"))
     assert quality.rate(none, ratio, least).count() == 0
@@ -66,20 +65,78 @@ def test_language(spark):
     assert all(0 <= s <= 1 for _, s in got.values())
 
 
+def test_language_without_letters(spark):
+    df = spark.createDataFrame([(i, "plain words", "en") for i in range(5)], "doc_id bigint, text string, lang string")
+    asked = spark.createDataFrame([(1, "½ ² ①"), (2, "12_3"), (3, ""), (4, "x½y")], "doc_id bigint, text string")
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.predict(asked, langid.fit(df)).collect()}
+    assert [got[i] for i in (1, 2, 3)] == [("und", 0.0)] * 3 and got[4][0] == "en"
+
+
+def test_language_equals_brute_force(spark):
+    """The whole rule in plain Python: counts, words first, then the longest known n-gram at each place."""
+    import math
+
+    rng = random.Random(3)
+    alphabet = {"aa": "abcdefgh", "bb": "defghijk", "cc": "ghijklmn"}
+    word = lambda lang: "".join(rng.choice(alphabet[lang]) for _ in range(rng.randrange(1, 8)))
+    texts = [(i, " ".join(word(lang) for _ in range(30)), lang) for i, lang in enumerate([*alphabet] * 20)] + [(98, texts_tie := "zzz", "aa"), (99, texts_tie, "bb")]
+    seen, parts = defaultdict(Counter), defaultdict(Counter)
+    for _, t, lang in texts:
+        for w in t.split():
+            seen[lang][w] += 1
+            for n in range(1, 6):
+                padded = f"<{w}>" if n > 1 else w
+                parts[lang].update(padded[i : i + n] for i in range(len(padded) - n + 1))
+    langs = sorted(alphabet)
+
+    def row(table, item):
+        logs = [math.log((table[x][item] + 0.1) / sum(table[x].values())) for x in langs]
+        return [v - sum(logs) / len(logs) for v in logs]
+
+    def answer(text):
+        sums, n = [0.0] * len(langs), 0
+        for w in text.lower().split():
+            n += 1
+            if any(w in seen[x] for x in langs):
+                said = [row(seen, w)]
+            else:
+                p = f"<{w}>"
+                said = [row(parts, next(p[i : i + k] for k in range(5, 0, -1) if i + k <= len(p) and any(p[i : i + k] in parts[x] for x in langs))) for i in range(len(p)) if any(any(p[i : i + k] in parts[x] for x in langs) for k in range(1, 6) if i + k <= len(p))]
+            sums = [a + sum(s[j] for s in said) for j, a in enumerate(sums)]
+        best = max(range(len(langs)), key=lambda j: sums[j])
+        return langs[best], 1 / sum(math.exp((s - sums[best]) / n) for s in sums)
+
+    asked = [(i, " ".join(word(rng.choice(langs)) for _ in range(rng.randrange(1, 12)))) for i in range(100)] + [(200, texts_tie)]
+    model = langid.fit(spark.createDataFrame(texts, "doc_id bigint, text string, lang string"))
+    got = {r.doc_id: (r.lang_pred, round(r.score, 9)) for r in langid.predict(spark.createDataFrame(asked, "doc_id bigint, text string"), model).collect()}
+    assert got == {i: (x, round(s, 9)) for i, t in asked for x, s in [answer(t)]}
+
+
 def _ids(text):
     one = bpe.encoder(bpe.default_path()).whole
     return one.encode(text or "", add_special_tokens=False)
 
 
-def test_token_files(docs, rows):
-    segments, dictionary = tokenio.write(docs, end_id=2)
-    got = tokenio.read(segments, dictionary).collect()
+def test_token_files(spark, docs, rows, monkeypatch):
+    monkeypatch.setattr(tokenio, "SEGMENT_BYTES", 2000)
+    folder = tokenio.write(docs, end_id=2)
+    got = tokenio.read(spark.newSession(), folder).collect()
     expect, start = [], 0
     for k, t, _, _ in sorted(rows, key=lambda r: (-1 if r[0] is None else r[0])):
         ids = [*_ids(t).ids, 2]
         expect.append((k, start, len(ids), zlib.crc32(struct.pack(f"<{len(ids)}I", *ids)), ids))
         start += len(ids)
     assert sorted((tuple(r) for r in got), key=lambda r: r[1]) == expect
+    of = lambda key: [e[4] for e in expect if e[0] == key]
+    assert all(tokenio.document(spark, folder, key) == of(key) for key in (5, 103, 104, -9)) and len(of(104)) == 2
+
+
+def test_token_files_of_extreme_keys(spark):
+    rows = [(-(1 << 63), "least"), ((1 << 63) - 1, "most"), (None, "none"), (0, None)]
+    got = tokenio.read(spark, tokenio.write(spark.createDataFrame(rows, "doc_id bigint, text string"))).collect()
+    assert [r.doc_id for r in sorted(got, key=lambda r: r.start)] == [None, -(1 << 63), 0, (1 << 63) - 1]
+    with pytest.raises(TypeError):
+        tokenio.write(spark.createDataFrame([("a", "x")], "doc_id string, text string"))
 
 
 def _fingerprint(text, width):
@@ -171,6 +228,31 @@ def test_secrets(docs, rows):
     assert len(got) == len(rows) and all(not r.spans for r in got if r.doc_id in (100, 101, 102))
 
 
+def test_secrets_of_every_kind():
+    import base64
+    import json
+
+    body = b"Zz0123456789abcdefghijklmnopqr"
+    npm = "npm_" + (body + secrets._base62(zlib.crc32(body), 6)).decode()
+    part = lambda x: base64.urlsafe_b64encode(json.dumps(x).encode()).rstrip(b"=").decode()
+    jwt = f"{part({'alg': 'HS256'})}.{part({'sub': 'x'})}.c2ln"
+    text = f"ü {npm} {npm[:-1]}! {jwt} {part({'typ': 'x'})}.{part({})}.c2ln eyJeyJ.x eyJ..{jwt}"
+    spans = secrets.scan(text)
+    assert [text[s:e] for k, s, e in spans if k == "npm"] == [npm]
+    assert [text[s:e] for k, s, e in spans if k == "jwt"] == [jwt, jwt]
+
+
+@pytest.mark.parametrize("long", ["eyJ" * 350_000, "é" + "eyJ" * 350_000 + ".x", "ü token=abcd12345678 " * 50_000, "token " * 170_000, "a" * 1_000_000])
+def test_secrets_take_linear_time(long):
+    import time
+
+    began = time.time()
+    spans = secrets.scan(long)
+    assert time.time() - began < 5
+    expect = [m.span() for m in re.finditer(r"token=\w+", long)] if "ü" in long else [(0, len(long))] if long[0] == "a" else []
+    assert [(s, e) for _, s, e in spans] == expect
+
+
 def test_exact(docs, rows):
     got = exact.exact_duplicates(docs, digest=True).collect()
     groups = defaultdict(list)
@@ -280,6 +362,26 @@ def test_quality(docs, rows):
     assert all(r._q_kept == (not r._q_base_failed and r._q_llr >= least) for r in got)
 
 
+def test_quality_ratio_equals_brute_force(docs, rows):
+    import math
+
+    trusted = [i for i in range(40)]
+    ratio, least = quality.fit(docs, docs.where("doc_id < 40").select("doc_id"))
+    hashed = lambda t: [(int.from_bytes(t.encode()[i : i + 3], "big") * 2654435761 % (1 << 32)) >> 16 for i in range(len(t.encode()) - 2)]
+    raw, target = Counter(), Counter()
+    for k, t, _, _ in rows:
+        raw.update(hashed(t or ""))
+        target.update(hashed(t or "") if k in trusted else [])
+    n, m = sum(raw.values()) + 65536, sum(target.values()) + 65536
+    weight = lambda b: math.log((target[b] + 1) / m) - math.log((raw[b] + 1) / n)
+    score = lambda t: sum(map(weight, hashed(t))) / len(hashed(t)) if hashed(t) else 0.0
+    got = Counter((r.doc_id, round(r._q_llr, 9)) for r in quality.rate(docs, ratio, least).collect())
+    assert got == Counter((k, round(score(t or ""), 9)) for k, t, _, _ in rows)
+    known = sorted(score(t) for k, t, _, _ in rows if k in trusted)
+    at = 0.001 * (len(known) - 1)
+    assert abs(least - (known[0] + at * (known[1] - known[0]) - 0.5)) < 1e-9
+
+
 def test_quality_prefers_the_target(spark):
     good = [(i, f"plain words about house {i} and garden " * 12) for i in range(30)]
     bad = [(100 + i, "XQZ||%% &&&& ### " * 30 + str(i)) for i in range(30)]
