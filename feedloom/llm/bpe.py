@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from feedloom.llm import packed
+from feedloom.llm.common import shuffle_partitions
 
 #: Words of these characters alone are split and lower-cased here as the library does it.
 _PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]*")
@@ -36,7 +37,7 @@ class WordEncoder:
     are those of its words, one after another.
     """
 
-    def __init__(self, path: str, most: int = 150_000):
+    def __init__(self, path: str, most: int = 50_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -148,17 +149,19 @@ def _words_in(data: bytes) -> list[str]:
     return packed.expand(data).decode().split("\n")
 
 
-def encode_ids(docs: DataFrame, path: str | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
+def encode_ids(docs: DataFrame, path: str | None = None, key: str = "doc_id", text: str = "text", steady: bool = False) -> DataFrame:
     """``key``, ``n_tokens`` and ``ids array<int>`` of every whole text.
 
     Documents are split in words chunk by chunk; the distinct words of a chunk
     go to the table of distinct words, partitioned by hash, where each is encoded
     once; ids come back and are put at the positions of their words.  Null counts
-    as empty: no ids.  Rows that repeat are encoded each; an empty table gives an
-    empty table.
+    as empty: no ids.  Texts of any length are encoded whole; rows that repeat are
+    encoded each; an empty table gives an empty table; other columns of ``docs``
+    don't matter.  ``steady``: ``docs`` is a table of files; else it is stored first.
     """
     path = path or default_path()
-    parts = packed.parts_for(docs)
+    size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    parts = packed.parts_for(size, shuffle_partitions(docs.sparkSession))
     kind = dict(docs.dtypes)[key]
 
     def side(vocab: pa.Array) -> tuple[bytes, bytes]:
@@ -167,8 +170,6 @@ def encode_ids(docs: DataFrame, path: str | None = None, key: str = "doc_id", te
             return b"", packed.pack_ints(np.zeros(0, np.int64))
         return _words_out(vocab.to_pylist()), packed.pack_ints(_parts_of(vocab, parts))
 
-    chunks = packed.chunked(docs, key, text, side)
-
     def request(row: dict) -> Iterator[tuple[int, bytes]]:
         if not row["ask"]:
             return
@@ -222,7 +223,7 @@ def encode_ids(docs: DataFrame, path: str | None = None, key: str = "doc_id", te
         frame = pd.DataFrame({"key": list(row["ids"]), "n_tokens": np.diff(ends), "ids": [placed[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]})
         return frame.astype({"key": "Int64"}) if kind in ("bigint", "int") else frame
 
-    return packed.ask(chunks, request, serve, finish, f"key {kind}, n_tokens bigint, ids array<int>").withColumnRenamed("key", key)
+    return packed.ask(docs, key, text, side, request, serve, finish, f"key {kind}, n_tokens bigint, ids array<int>", steady)
 
 
 def pieces(path: str) -> list[str]:
@@ -252,6 +253,6 @@ def with_digests(decoded: DataFrame) -> DataFrame:
     return decoded.withColumn("ids_sha256", F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256)).withColumn("decoded_sha256", F.sha2("decoded", 256))
 
 
-def encode(docs: DataFrame, path: str | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key``, ``n_tokens``, ``ids``, ``decoded``, and the digests of both, of every whole text."""
-    return with_digests(decode(encode_ids(docs, path, key, text), path))
+def encode(docs: DataFrame, path: str | None = None, key: str = "doc_id", text: str = "text", steady: bool = False) -> DataFrame:
+    """``key``, ``n_tokens``, ``ids``, ``decoded``, and the digests of both, of every whole text (see ``encode_ids``)."""
+    return with_digests(decode(encode_ids(docs, path, key, text, steady), path))

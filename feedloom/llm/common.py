@@ -23,7 +23,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 PIECE_BYTES = 1 << 20
 
 #: The same where distinct words are looked up: larger pieces repeat more of them.
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 6 << 20
 
 #: Rows of a side that may be broadcast after they were counted.
 BROADCAST_ROWS = 100_000

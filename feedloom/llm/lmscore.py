@@ -11,15 +11,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from feedloom.llm import packed
-from feedloom.llm.common import WORD
+from feedloom.llm.common import WORD, shuffle_partitions
 
 #: Factor of a score for every order it backs off by.
 BACKOFF = 0.4
 
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
-#: Bits of an n-gram's key.
-KEY_BITS = 52
+#: Of so many n-grams about one may share its key with another, and the fewest bits of a key.
+SPARE, MIN_BITS = 1 << 22, 40
 
 
 def word_keys(vocab: pa.Array) -> np.ndarray:
@@ -34,7 +34,12 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def gram_keys(words: np.ndarray, first: np.ndarray, order: int) -> np.ndarray:
+def key_bits(grams: int) -> int:
+    """Bits of a key: so many that of this many n-grams about one in SPARE shares its key with another, 64 at most."""
+    return min(64, max(MIN_BITS, int(np.ceil(np.log2(max(grams, 1) * SPARE)))))
+
+
+def gram_keys(words: np.ndarray, first: np.ndarray, order: int, bits: int = 64) -> np.ndarray:
     """Key of the n-gram that ends at each word; 0 where the text has fewer words before it.
 
     ``first`` is each word's place in its own text.
@@ -45,12 +50,12 @@ def gram_keys(words: np.ndarray, first: np.ndarray, order: int) -> np.ndarray:
             shifted = np.zeros_like(words)
             shifted[back:] = words[:-back] if back < len(words) else words[:0]
             h = _mix(h * _M1 + shifted)
-    h = (h >> np.uint64(64 - KEY_BITS)) | np.uint64(1)
+    h = (h >> np.uint64(64 - bits)) | np.uint64(1)
     h[first < order - 1] = 0
     return h
 
 
-def score(docs: DataFrame, order: int = 3, key: str = "doc_id", text: str = "text") -> DataFrame:
+def score(docs: DataFrame, order: int = 3, key: str = "doc_id", text: str = "text", steady: bool = False) -> DataFrame:
     """Mean log10 score of each text's words under the n-grams of all other texts.
 
     Returns ``key``, ``n_words``, ``n_seen`` (words whose n-gram of the highest
@@ -63,13 +68,19 @@ def score(docs: DataFrame, order: int = 3, key: str = "doc_id", text: str = "tex
     scores BACKOFF^k / (words of the corpus + 1).  Counts are of all documents,
     less the text's own.  Count tables are partitioned by hash of the n-gram;
     the n-grams of the documents, exploded and packed by chunk, are joined to
-    them, and the scores summed per document.  Null counts as empty.  Rows that
-    repeat count each; an empty table gives an empty table.
+    them, and the scores summed per document.  Null counts as empty; texts of any
+    length are scored whole; rows that repeat count each; an empty table gives an
+    empty table; other columns of ``docs`` don't matter.  ``steady``: ``docs`` is a
+    table of files; else it is stored first.
     """
-    parts = packed.parts_for(docs)
     kind = dict(docs.dtypes)[key]
-    chunks = packed.chunked(docs, key, text, lambda vocab: (b"", word_keys(vocab).tobytes()))
-    total = docs.agg(F.sum(F.regexp_count(F.col(text), F.lit(WORD)))).first()[0] or 0
+    sizes = docs.agg(F.sum(F.regexp_count(F.col(text), F.lit(WORD))), F.sum(F.octet_length(text))).first()
+    total = sizes[0] or 0
+    parts = packed.parts_for(sizes[1] or 0, shuffle_partitions(docs.sparkSession))
+    bits = key_bits(total * order)
+
+    def side(vocab: pa.Array) -> tuple[bytes, bytes]:
+        return b"", word_keys(vocab).tobytes()
 
     def grams(row: dict) -> tuple[list[np.ndarray], np.ndarray]:
         codes = packed.unpack_codes(row["codes"])
@@ -77,7 +88,7 @@ def score(docs: DataFrame, order: int = 3, key: str = "doc_id", text: str = "tex
         n = np.asarray(row["n_words"], np.int64)
         starts = np.cumsum(n) - n
         first = np.arange(len(words)) - np.repeat(starts, n)
-        return [gram_keys(words, first, o) for o in range(1, order + 1)], n
+        return [gram_keys(words, first, o, bits) for o in range(1, order + 1)], n
 
     def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Distinct keys by partition, then value; their counts; where each partition begins."""
@@ -163,4 +174,4 @@ def score(docs: DataFrame, order: int = 3, key: str = "doc_id", text: str = "tex
         return frame.astype({"key": "Int64"}) if kind in ("bigint", "int") else frame
 
     schema = f"key {kind}, n_words bigint, n_seen bigint, log_score double, score double"
-    return packed.ask(chunks, request, serve, finish, schema).withColumnRenamed("key", key)
+    return packed.ask(docs, key, text, side, request, serve, finish, schema, steady)

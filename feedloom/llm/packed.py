@@ -9,8 +9,13 @@ hash; packed, it needs a quarter of the shuffle.
 
 Chunks are made twice, once to ask and once to be joined to the answers, which
 is less to write than keeping them.  A chunk is named by a hash of what is in
-it, so a scan split otherwise the second time leaves chunks without answers and
-the query fails; it never mixes them up.
+it, so both times must read the same rows in the same order.  A table of files
+does (``steady``), whichever executor reads it and however often; anything else
+is stored first, so a lost executor can't change it.
+
+A row of the exchange holds one n-gram or word at least, so there are never more
+rows than the join of exploded keys has; below that their number is chunks
+times partitions.
 """
 
 from __future__ import annotations
@@ -24,17 +29,22 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 
-from feedloom.llm.common import CHUNK_BYTES, Words, pieces, shuffle_partitions, small_batches, text_array
+from feedloom.llm.common import CHUNK_BYTES, Words, give_back, pieces, small_batches, stored, text_array
 
 _U64 = np.uint64
 
+#: Text whose keys one partition of a global table holds.
+PART_BYTES = 6 << 20
+
 
 def squeeze(data: bytes) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(data)
+    """Compressed, unless that is longer; the first byte tells."""
+    small = zstandard.ZstdCompressor(level=1).compress(data)
+    return b"\1" + small if len(small) < len(data) else b"\0" + data
 
 
 def expand(data: bytes) -> bytes:
-    return zstandard.ZstdDecompressor().decompress(data)
+    return zstandard.ZstdDecompressor().decompress(data[1:]) if data[0] else data[1:]
 
 
 def pack_ints(values: np.ndarray) -> bytes:
@@ -69,14 +79,28 @@ def unpack_codes(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<u4").reshape(-1)
 
 
-def chunked(docs: DataFrame, key: str, text: str, side: Callable[[pa.Array], tuple[bytes, bytes]]) -> DataFrame:
-    """One row a chunk: ``chunk``, ``ids``, ``n_words``, ``codes``, and what ``side`` makes of the distinct words.
+def ask(
+    docs: DataFrame,
+    key: str,
+    text: str,
+    side: Callable[[pa.Array], tuple[bytes, bytes]],
+    request: Callable[[dict], Iterator[tuple[int, bytes]]],
+    serve: Callable[[list[bytes]], list[bytes]],
+    finish: Callable[[dict, list[tuple[int, bytes]]], pd.DataFrame],
+    schema: str,
+    steady: bool = False,
+) -> DataFrame:
+    """The documents' chunks, asked and answered.
 
-    ``side`` gives what the request needs (``ask``) and what the end needs (``place``).
+    A chunk is a row: ``chunk``, ``ids``, ``n_words``, ``codes``, and what ``side`` makes of its distinct words, for the
+    request (``ask``) and for the end (``place``).  ``request`` gives (partition, keys) of a chunk; ``serve`` answers all
+    keys of a partition; ``finish`` makes rows.
     """
     kind = dict(docs.dtypes)[key]
+    rows = docs.selectExpr(f"`{key}` as key", f"`{text}` as text")
+    rows = small_batches(rows if steady else stored(rows, "steady"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for table in pieces(batches, "text", CHUNK_BYTES):
             words = Words(text_array(table, "text"))
             ids = table.column("key").combine_chunks()
@@ -85,53 +109,41 @@ def chunked(docs: DataFrame, key: str, text: str, side: Callable[[pa.Array], tup
             name.update(str(ids.to_pylist()).encode())
             name.update("\n".join(words.vocab.to_pylist()).encode())
             asked, place = side(words.vocab)
-            offsets = pa.array([0, len(ids)], pa.int32())
+            yield {"chunk": name.intdigest() - (1 << 63), "ids": ids, "n_words": words.counts, "codes": pack_codes(words.codes), "ask": asked, "place": place}
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in made(batches):
+            out = list(request(row))
             yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([name.intdigest() - (1 << 63)], pa.int64()), pa.ListArray.from_arrays(offsets, ids),
-                    pa.array([words.counts.tolist()], pa.list_(pa.int64())),
-                    *(pa.array([x], pa.binary()) for x in (pack_codes(words.codes), asked, place)),
-                ],
-                ["chunk", "ids", "n_words", "codes", "ask", "place"],
+                [pa.array([p for p, _ in out], pa.int32()), pa.array([row["chunk"]] * len(out), pa.int64()), pa.array([x for _, x in out], pa.binary())],
+                ["part", "chunk", "keys"],
             )
+            give_back()
 
-    rows = docs.selectExpr(f"`{key}` as key", f"`{text}` as text")
-    return small_batches(rows).mapInArrow(run, f"chunk bigint, ids array<{kind}>, n_words array<bigint>, codes binary, ask binary, place binary")
-
-
-def ask(
-    chunks: DataFrame,
-    request: Callable[[dict], Iterator[tuple[int, bytes]]],
-    serve: Callable[[list[bytes]], list[bytes]],
-    finish: Callable[[dict, list[tuple[int, bytes]]], pd.DataFrame],
-    schema: str,
-) -> DataFrame:
-    """``request`` gives (partition, keys) of a chunk; ``serve`` answers all keys of a partition; ``finish`` makes rows."""
-
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                out = list(request(row))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([p for p, _ in out], pa.int32()), pa.array([row["chunk"]] * len(out), pa.int64()), pa.array([x for _, x in out], pa.binary())],
-                    ["part", "chunk", "keys"],
-                )
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in made(batches):
+            offsets = pa.array([0, len(row["ids"])], pa.int32())
+            columns = [pa.array([row["chunk"]], pa.int64()), pa.ListArray.from_arrays(offsets, row["ids"]), pa.array([row["n_words"].tolist()], pa.list_(pa.int64())), *(pa.array([row[c]], pa.binary()) for c in ("codes", "place"))]
+            yield pa.RecordBatch.from_arrays(columns, ["chunk", "ids", "n_words", "codes", "place"])
 
     def answer(table: pa.Table) -> pa.Table:
         got = serve(table.column("keys").to_pylist())
-        return pa.table({"part": table.column("part"), "chunk": table.column("chunk"), "values": pa.array(got, pa.binary())})
+        out = pa.table({"part": table.column("part"), "chunk": table.column("chunk"), "values": pa.array(got, pa.binary())})
+        give_back()
+        return out
 
     def join(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         answers = sorted(dict(zip(right["part"].tolist(), right["values"].tolist())).items())
-        return pd.concat([finish(row, answers) for row in left.to_dict("records")])
+        out = pd.concat([finish(row, answers) for row in left.to_dict("records")])
+        give_back()
+        return out
 
-    asked = chunks.mapInArrow(send, "part int, chunk bigint, keys binary")
+    asked = rows.mapInArrow(send, "part int, chunk bigint, keys binary")
     answered = asked.groupBy("part").applyInArrow(answer, "part int, chunk bigint, values binary")
-    ends = chunks.drop("ask")
-    return ends.groupBy("chunk").cogroup(answered.groupBy("chunk")).applyInPandas(join, schema)
+    chunks = rows.mapInArrow(keep, f"chunk bigint, ids array<{kind}>, n_words array<bigint>, codes binary, place binary")
+    return chunks.groupBy("chunk").cogroup(answered.groupBy("chunk")).applyInPandas(join, schema).withColumnRenamed("key", key)
 
 
-def parts_for(docs: DataFrame) -> int:
-    """Partitions of a global table: by the size of the scan, 4 MB of it each, and as many as shuffles use at least."""
-    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return max(shuffle_partitions(docs.sparkSession), min(size >> 22, 1 << 20), 8)
+def parts_for(text_bytes: int, at_least: int) -> int:
+    """Partitions of a global table over so many bytes of text: PART_BYTES each, and as many as shuffles use at least."""
+    return max(at_least, min(text_bytes // PART_BYTES, 1 << 20), 8)

@@ -63,11 +63,11 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lmscore.score(documents(spark, sf_dir))
+    return lmscore.score(documents(spark, sf_dir), steady=True)
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.encode(documents(spark, sf_dir)).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+    return bpe.encode(documents(spark, sf_dir), steady=True).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
