@@ -47,8 +47,11 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every row that the mix holds, their number and digests; columns but ``doc_id`` end here."""
-    return bpe.encode(docs).drop("decoded")
+    """Token ids of every row that the mix holds, their number and digests; columns but ``doc_id`` end here.
+
+    ``docs`` is the table of files that the stage before was written to.
+    """
+    return bpe.encode(docs, steady=True).drop("decoded")
 
 
 STAGES = [
