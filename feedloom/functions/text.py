@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Patterns and limits that decide results (fixed values).
 URL = r"https?://\S+"
 CUT_OFF = r"\s*(?:…|\.\.\.)\s*$"
 MIN_COPY, MIN_STEM = 100, 20
@@ -38,9 +39,8 @@ def comparable(c: Column) -> Column:
     return collapse(F.lower(without_urls(unescape(c))))
 
 
-def is_echo(comment: Column, original: Column) -> Column:
-    """The comment only repeats the post it sits on: equal, a long opening, or cut off by an ellipsis."""
-    a, b = comparable(comment), comparable(original)
+def echoes(a: Column, b: Column) -> Column:
+    """Of two comparable texts: one only repeats the other's post: equal, a long opening, or cut off by an ellipsis."""
 
     def opens(short: Column, long: Column) -> Column:
         stem = F.regexp_replace(short, CUT_OFF, "")
@@ -50,11 +50,22 @@ def is_echo(comment: Column, original: Column) -> Column:
     return F.coalesce((a != "") & (b != "") & same, F.lit(False))
 
 
+def is_echo(comment: Column, original: Column) -> Column:
+    """The comment only repeats the post it sits on."""
+    return echoes(comparable(comment), comparable(original))
+
+
+def body() -> Column:
+    return F.coalesce(F.nullif(F.col("full_text"), F.lit("")), F.col("text"), F.lit(""))
+
+
+def shares() -> Column:
+    return F.coalesce(F.col("retweet_of_author"), F.lit("")) != ""
+
+
 def own_comment() -> Column:
     """What the poster wrote: the body, unless it echoes the post it shares."""
-    body = F.coalesce(F.nullif(F.col("full_text"), F.lit("")), F.col("text"), F.lit(""))
-    shares = F.coalesce(F.col("retweet_of_author"), F.lit("")) != ""
-    return F.when(shares & is_echo(body, F.col("retweet_of_text")), "").otherwise(body)
+    return F.when(shares() & is_echo(body(), F.col("retweet_of_text")), "").otherwise(body())
 
 
 def is_pure_retweet(own: Column) -> Column:
@@ -97,17 +108,21 @@ def story_tokens(c: Column) -> Column:
     return F.array_distinct(F.filter(words, lambda w: (F.length(w) > 3) & ~w.isin(STORY_STOP)))
 
 
-def flat(own: Column, pure: Column, limit: Column) -> Column:
-    """One line, cut at a word with an ellipsis."""
-    shared = F.concat(own, F.lit(" ⟪"), F.col("retweet_of_text"), F.lit("⟫"))
-    text = F.when(pure, F.col("retweet_of_text")).when(F.col("retweet_of_author") != "", shared).otherwise(own)
-    line = collapse(without_urls(unescape(text)))
+def cut_at_word(line: Column, limit: Column) -> Column:
+    """``line``, cut at a word with an ellipsis where it is longer."""
     head = F.substring(line, F.lit(1), limit)
     whole_words = F.when(F.instr(head, " ") > 0, F.regexp_extract(head, r"(?s)^(.*) [^ ]*$", 1)).otherwise(head)
     kept = F.when(whole_words == "", head).otherwise(whole_words)
     return F.when(F.length(line) > limit, F.concat(F.regexp_replace(kept, r"[ ,;:\-–—]+$", ""), F.lit("…"))).otherwise(line)
 
 
+def flat(own: Column, pure: Column, limit: Column) -> Column:
+    """One line, cut at a word with an ellipsis."""
+    shared = F.concat(own, F.lit(" ⟪"), F.col("retweet_of_text"), F.lit("⟫"))
+    text = F.when(pure, F.col("retweet_of_text")).when(F.col("retweet_of_author") != "", shared).otherwise(own)
+    return cut_at_word(collapse(without_urls(unescape(text))), limit)
+
+
 def section_key(source_type: Column, grp: Column) -> Column:
     return F.when(grp == "", source_type).otherwise(F.concat(source_type, F.lit("/"), grp))
 

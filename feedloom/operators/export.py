@@ -15,7 +15,7 @@ SHARES = {"regular": 0.25, "retweet": 0.04, "recap": 0.16}
 LEVEL_FACTORS = {"high": 1.5, "normal": 1.0, "low": 0.5}
 WORDS_PER_ITEM = {"regular": 30, "retweet": 30, "recap": 40}
 MAX_THEMES = {"retweet": 8, "recap": 20}
-MIN_SHARES = {"regular": 0.5, "retweet": 0.25, "recap": 0.25}
+MIN_SHARES = {"regular": 0.25, "retweet": 0.25, "recap": 0.5}
 CHUNK_CHARS, MIN_TARGET_WORDS = 13_500, 20
 
 
@@ -77,8 +77,9 @@ def item_limits(tier: Column, words: Column, posts: Column) -> dict[str, Column]
     return {"max_items": most, "min_items": F.greatest(F.lit(1).cast("bigint"), F.ceil(most * lookup(MIN_SHARES, tier)).cast("bigint")), "max_ids": F.when(tier == "recap", F.lit(5).cast("bigint"))}
 
 
-def target_words(tier: Column, level: Column, words: Column) -> Column:
-    share = lookup(SHARES, tier) * lookup(LEVEL_FACTORS, level, 1.0)
+def target_words(tier: Column, level: Column, words: Column, share: Column | None = None) -> Column:
+    """Words a chunk's summary may have; ``share`` of its words in place of its tier's."""
+    share = (lookup(SHARES, tier) if share is None else share) * lookup(LEVEL_FACTORS, level, 1.0)
     return F.greatest(F.lit(MIN_TARGET_WORDS).cast("bigint"), F.bround(share.cast("double") * words).cast("bigint"))
 
 

@@ -10,8 +10,14 @@ from feedloom.functions import text as X
 
 
 def with_words(items: DataFrame) -> DataFrame:
-    """Adds ``own``, ``pure`` and ``words``, computed once for whatever follows."""
-    own = items.withColumn("own", X.own_comment())
+    """Adds ``own``, ``pure`` and ``words``, computed once for whatever follows.
+
+    The two texts that an echo is told by are columns of their own first: a
+    projection that is used more than once isn't folded into the next, so each
+    is made once a row, and only for rows that share a post.
+    """
+    compared = items.withColumns({"_a": F.when(X.shares(), X.comparable(X.body())), "_b": F.when(X.shares(), X.comparable(F.col("retweet_of_text")))})
+    own = compared.withColumn("own", F.when(X.shares() & X.echoes(F.col("_a"), F.col("_b")), "").otherwise(X.body())).drop("_a", "_b")
     return own.withColumn("pure", X.is_pure_retweet(F.col("own"))).withColumn("words", X.word_count(X.display_body(F.col("own"))))
 
 

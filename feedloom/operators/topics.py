@@ -68,7 +68,8 @@ def hot_topics(found: DataFrame, usual: DataFrame, min_sources: int = MIN_SOURCE
     return hot.orderBy(F.desc("score"), F.desc("posts"), "key").limit(top)
 
 
-def most_common(found: DataFrame, value: str) -> DataFrame:
-    """Each name's most used ``value``; of equals the first in order."""
-    w = Window.partitionBy("key").orderBy(F.desc("n"), value)
-    return found.groupBy("key", value).agg(F.count("*").alias("n")).withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+def most_common(found: DataFrame, value: str, first: str | None = None) -> DataFrame:
+    """Each name's most used ``value``; of equals the first in order, or the one seen first along the column ``first``."""
+    counts = found.groupBy("key", value).agg(F.count("*").alias("n"), *([F.min(first).alias("_seen")] if first else []))
+    w = Window.partitionBy("key").orderBy(F.desc("n"), "_seen" if first else value, value)
+    return counts.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn", "_seen")

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from feedloom.operators.topics import END
 
+#: Letters a capitalized word is compared by, and the marks that may stand around a word (fixed values).
+STEM, MARKS = 4, r""".,;:!?()\[\]"'“”‘’"""
+
 REPLY = "struct<items:array<struct<headline:string,detail:string,ids:array<bigint>>>>"
 
 
@@ -51,27 +54,37 @@ def chunk_stats(items: DataFrame, posts: DataFrame) -> DataFrame:
     )
 
 
+def _mid_sentence(part: Column) -> Column:
+    """Capitalized words that don't open the part or a sentence, without the marks around them."""
+    words = F.filter(F.split(part, r"\s+"), lambda w: w != "")
+    bare = lambda w: F.regexp_replace(w, f"^[{MARKS}]+|[{MARKS}]+$", "")
+    inner = F.transform(words, lambda w, i: F.when((i > 0) & ~F.get(words, i - 1).rlike(r"[.!?]$"), bare(w)).otherwise(""))
+    return F.filter(inner, lambda w: w.rlike("^[A-Z][a-z]{3,}$"))
+
+
 def support(items: DataFrame, posts: DataFrame) -> DataFrame:
-    """Per item: facts (numbers, handles, tickers), acronyms, and how many of each no cited post has.
+    """Per item: facts (numbers, handles, tickers), names (acronyms, capitalized words), and how many of each no cited post has.
 
-    ``items``: ``item``, ``text``, ``ids``; ``posts``: ``n``, ``text``.  Numbers are
+    ``items``: ``item``, ``headline``, ``detail``, ``ids``; ``posts``: ``n``, ``text``.  Numbers are
     compared without thousands commas and whole; handles, tickers and acronyms
-    as parts of the text in any case.
+    as parts of the text in any case; capitalized words by their first STEM letters.
     """
     evidence = items.select("item", F.explode("ids").alias("n")).join(posts.select("n", F.col("text").alias("post")), "n").groupBy("item").agg(F.array_join(F.array_sort(F.collect_list("post")), " ").alias("cited"))
-    checked = items.join(evidence, "item", "left").withColumn("cited", F.coalesce("cited", F.lit("")))
+    checked = items.withColumn("text", F.concat("headline", F.lit(" "), "detail")).join(evidence, "item", "left").withColumn("cited", F.coalesce("cited", F.lit("")))
     low, plain = F.lower("cited"), F.replace(F.col("cited"), F.lit(","), F.lit(""))
     numbers = F.transform(F.regexp_extract_all("text", F.lit(r"\d[\d,]*(?:\.\d+)?"), 0), lambda m: F.replace(m, F.lit(","), F.lit("")))
     known = F.array_distinct(F.regexp_extract_all(plain, F.lit(r"(?<![\d.])\d+(?:\.\d+)?"), 0))
     # a number with decimals is supported whole, and by its integer part where no digit follows
-    has = lambda x: F.exists(known, lambda k: (k == x) | F.startswith(k, F.concat(x, F.lit("."))))
+    has = lambda x: F.exists("_known", lambda k: (k == x) | F.startswith(k, F.concat(x, F.lit("."))))
     marks = F.concat(F.regexp_extract_all("text", F.lit(r"@\w{2,}"), 0), F.regexp_extract_all("text", F.lit(r"\$[A-Za-z]{1,6}" + END), 0))
     acronyms = F.regexp_extract_all("text", F.lit(r"(?<![\p{L}\p{N}_])[A-Z]{2,}" + END), 0)
-    absent = lambda x: ~F.contains(low, F.lower(x))
-    return checked.select(
-        "item", (F.size(numbers) + F.size(marks)).cast("bigint").alias("facts"),
-        (F.size(F.filter(numbers, lambda x: ~has(x))) + F.size(F.filter(marks, absent))).cast("bigint").alias("unsupported_facts"),
-        F.size(acronyms).cast("bigint").alias("acronyms"), F.size(F.filter(acronyms, absent)).cast("bigint").alias("unsupported_acronyms"),
+    capitals = F.concat(_mid_sentence(F.col("headline")), _mid_sentence(F.col("detail")))
+    made = checked.withColumns({"_low": low, "_known": known, "_numbers": numbers, "_marks": marks, "_acronyms": acronyms, "_capitals": capitals})
+    absent = lambda x: ~F.contains(F.col("_low"), F.lower(x))
+    many = lambda *lists: sum(map(F.size, lists[1:]), F.size(lists[0])).cast("bigint")
+    return made.select(
+        "item", many("_numbers", "_marks").alias("facts"), many(F.filter("_numbers", lambda x: ~has(x)), F.filter("_marks", absent)).alias("unsupported_facts"),
+        many("_acronyms", "_capitals").alias("names"), many(F.filter("_acronyms", absent), F.filter("_capitals", lambda x: absent(F.substring(x, 1, STEM)))).alias("unsupported_names"),
         (F.col("cited") == "").alias("uncited"),
     )
 

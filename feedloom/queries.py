@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +10,7 @@ from pyspark.sql.window import Window
 
 from feedloom.functions import text as X
 from feedloom.operators import export, posts, reading, stories, topics, verify
+from feedloom.sources import exports
 from feedloom.sources.feed import derived_feed, derived_sources, table
 from feedloom.streaming import feeds
 
@@ -333,26 +333,56 @@ def recap_story_routing(spark, sf_dir):
     return found.groupBy("leader").agg(F.bool_and(F.col("section") == "x/de").alias("recap_only"), F.countDistinct("source").alias("k")).where("k >= 2").drop("k")
 
 
-@query()
+#: Ten posts each: the first is a post, three share it: whole, cut off, spaced otherwise; the others share nothing.
+_SHARED = rf"""tens AS (SELECT doc_id, doc_id - doc_id % 10 AS ten, doc_id % 10 AS kind, source FROM documents),
+firsts AS (SELECT t.ten, 'src' || (t.ten % 7) AS author, 'Post ' || t.ten || ' reads: ' || coalesce(substr(d.text, 1, 4000), '') AS text FROM (SELECT DISTINCT ten FROM tens) t JOIN documents d ON d.doc_id = t.ten),
+stems AS (SELECT f.*, {_comparable("substr(text, 1, 120)")} AS stem FROM firsts f),
+counted AS (SELECT s.ten, s.author, s.text, s.stem, count(CASE WHEN t.kind = 3 THEN 1 END) AS whole, count(CASE WHEN t.kind = 7 AND length(s.stem) >= 20 THEN 1 END) AS cut, count(CASE WHEN t.kind = 9 THEN 1 END) AS cased FROM stems s JOIN tens t ON t.ten = s.ten GROUP BY ALL)"""
+
+
+def _sharing(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    ten, kind = F.col("doc_id") - F.col("doc_id") % 10, F.col("doc_id") % 10
+    first = docs.where("doc_id % 10 = 0").select(F.col("doc_id").alias("ten"), F.concat(F.lit("src"), (F.col("doc_id") % 7).cast("string")).alias("_by"), F.concat(F.lit("Post "), F.col("doc_id").cast("string"), F.lit(" reads: "), F.coalesce(F.substring("text", 1, 4000), F.lit(""))).alias("_text"))
+    shares = kind.isin(3, 7, 9)
+    copy = F.when(kind == 7, F.concat(F.substring("_text", 1, 120), F.lit("…"))).when(kind == 9, F.replace("_text", F.lit(" "), F.lit("  \t"))).otherwise(F.col("_text"))
+    return docs.select("doc_id", "source").withColumn("ten", ten).join(first, "ten").select(
+        F.col("doc_id").cast("string").alias("id"), F.when(kind == 0, F.col("_by")).otherwise(F.col("source")).alias("author"), F.timestamp_add("MINUTE", F.col("doc_id").cast("int"), F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")).alias("published"),
+        F.when(kind == 0, F.col("_text")).otherwise("").alias("own"), F.when(shares, F.when(kind == 9, F.concat(F.lit("@"), F.upper("_by"))).otherwise(F.col("_by"))).otherwise("").alias("retweet_of_author"), F.when(shares, copy).otherwise("").alias("retweet_of_text"),
+    )
+
+
+@query(feed_sql("SELECT author AS handle, CAST(whole + cut + cased AS BIGINT) AS n, CAST(ten AS VARCHAR) AS original, array_to_string(list_transform(list_filter([3, 7, 9], lambda k: CASE k WHEN 3 THEN whole WHEN 7 THEN cut ELSE cased END > 0), lambda k: CAST(ten + k AS VARCHAR)), ' ') AS ids FROM counted WHERE whole + cut + cased >= 2", _SHARED))
 def shared_retweets(spark, sf_dir):
-    return stories.shared_retweets(feed(spark, sf_dir))
+    found = stories.shared_retweets(_sharing(spark, sf_dir))
+    return found.select("handle", "n", "original", F.array_join("ids", " ").alias("ids"))
+
+
+@query(feed_sql("SELECT CAST(t.doc_id AS VARCHAR) AS id FROM tens t JOIN counted c ON c.ten = t.ten WHERE NOT (whole + cut + cased >= 2 AND (t.kind IN (0, 3, 9) OR (t.kind = 7 AND cut > 0)))", _SHARED))
+def posts_in_no_retweet(spark, sf_dir):
+    items = _sharing(spark, sf_dir)
+    return stories.in_no_group(items, stories.shared_retweets(items)).select("id")
 
 
 # -- names ----------------------------------------------------------------------------------------
 
 _NAMES_STOP = ", ".join(f"'{w}'" for w in topics.STOP)
-_POSTS = f"""tposts AS (SELECT doc_id AS post, source AS account, section, CAST(published AS DATE) AS day, {_collapse(_no_urls(_unescape("CASE WHEN own = '' THEN retweet_of_text WHEN retweet_of_text = '' THEN own ELSE own || ' ' || retweet_of_text END")))} AS text FROM feed),
-pieces AS (SELECT post, account, section, day, unnest(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_]+')) AS w, generate_subscripts(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_]+'), 1) AS ak FROM tposts),
-tagged AS (SELECT post, account, section, day, substr(m, 2) AS w, ak - 1000000 AS ak FROM (SELECT *, unnest(regexp_extract_all(text, '\\$([A-Za-z][A-Za-z0-9]{{1,9}})(?:[^\\p{{L}}\\p{{N}}_]|$)', 0)) AS m, generate_subscripts(regexp_extract_all(text, '\\$([A-Za-z][A-Za-z0-9]{{1,9}})(?:[^\\p{{L}}\\p{{N}}_]|$)', 0), 1) AS ak FROM tposts)),
-found0 AS (SELECT post, account, section, day, w AS raw, lower(w) AS key, upper(w) = w AS sure, ak FROM pieces WHERE regexp_full_match(w, '[A-Z][A-Za-z0-9]{{2,}}') AND lower(w) NOT IN ({_NAMES_STOP})),
-cands AS (SELECT post, account, section, day, key, bool_or(sure) AS sure, arg_min(raw, ak + CASE WHEN sure THEN 0 ELSE 100000000 END) AS raw FROM found0 GROUP BY ALL),
-lows AS (SELECT w AS key, count(*) AS low FROM pieces WHERE regexp_full_match(w, '[a-z][a-z0-9]{{2,}}') GROUP BY w),
-weaks AS (SELECT key, sum(CASE WHEN sure THEN 0 ELSE 1 END) AS weak FROM cands GROUP BY key),
-named AS (SELECT c.* FROM cands c JOIN weaks w ON w.key = c.key LEFT JOIN lows l ON l.key = c.key WHERE c.sure OR coalesce(l.low, 0) * 4 <= w.weak),
-daysok AS (SELECT day FROM tposts WHERE day IS NOT NULL GROUP BY day HAVING count(*) >= 100),
-dlows AS (SELECT day, w AS key, count(*) AS low FROM pieces WHERE regexp_full_match(w, '[a-z][a-z0-9]{{2,}}') GROUP BY day, w),
-dweaks AS (SELECT day, key, sum(CASE WHEN sure THEN 0 ELSE 1 END) AS weak FROM cands GROUP BY day, key),
-usual AS (SELECT c.key, count(*)::DOUBLE / (SELECT count(*) FROM daysok) AS usual FROM cands c JOIN daysok d ON d.day = c.day JOIN dweaks w ON w.key = c.key AND w.day = c.day LEFT JOIN dlows l ON l.key = c.key AND l.day = c.day WHERE c.sure OR coalesce(l.low, 0) * 4 <= w.weak GROUP BY c.key)"""
+def _topics(p: str = "", where: str = "true", day: str = "CAST(published AS DATE)") -> str:
+    return f"""{p}tposts AS (SELECT doc_id AS post, source AS account, section, {day} AS day, {_collapse(_no_urls(_unescape("CASE WHEN own = '' THEN retweet_of_text WHEN retweet_of_text = '' THEN own ELSE own || ' ' || retweet_of_text END")))} AS text FROM feed WHERE {where}),
+{p}pieces AS (SELECT post, account, section, day, unnest(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_]+')) AS w, generate_subscripts(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_]+'), 1) AS ak FROM {p}tposts),
+{p}tagged AS (SELECT post, account, section, day, substr(m, 2) AS w, ak - 1000000 AS ak FROM (SELECT *, unnest(regexp_extract_all(text, '\\$([A-Za-z][A-Za-z0-9]{{1,9}})(?:[^\\p{{L}}\\p{{N}}_]|$)', 0)) AS m, generate_subscripts(regexp_extract_all(text, '\\$([A-Za-z][A-Za-z0-9]{{1,9}})(?:[^\\p{{L}}\\p{{N}}_]|$)', 0), 1) AS ak FROM {p}tposts)),
+{p}found0 AS (SELECT post, account, section, day, w AS raw, lower(w) AS key, upper(w) = w AS sure, ak FROM {p}pieces WHERE regexp_full_match(w, '[A-Z][A-Za-z0-9]{{2,}}') AND lower(w) NOT IN ({_NAMES_STOP})),
+{p}cands AS (SELECT post, account, section, day, key, bool_or(sure) AS sure, arg_min(raw, ak + CASE WHEN sure THEN 0 ELSE 100000000 END) AS raw FROM {p}found0 GROUP BY ALL),
+{p}lows AS (SELECT w AS key, count(*) AS low FROM {p}pieces WHERE regexp_full_match(w, '[a-z][a-z0-9]{{2,}}') GROUP BY w),
+{p}weaks AS (SELECT key, sum(CASE WHEN sure THEN 0 ELSE 1 END) AS weak FROM {p}cands GROUP BY key),
+{p}named AS (SELECT c.* FROM {p}cands c JOIN {p}weaks w ON w.key = c.key LEFT JOIN {p}lows l ON l.key = c.key WHERE c.sure OR coalesce(l.low, 0) * 4 <= w.weak),
+{p}daysok AS (SELECT day FROM {p}tposts WHERE day IS NOT NULL GROUP BY day HAVING count(*) >= 100),
+{p}dlows AS (SELECT day, w AS key, count(*) AS low FROM {p}pieces WHERE regexp_full_match(w, '[a-z][a-z0-9]{{2,}}') GROUP BY day, w),
+{p}dweaks AS (SELECT day, key, sum(CASE WHEN sure THEN 0 ELSE 1 END) AS weak FROM {p}cands GROUP BY day, key),
+{p}usual AS (SELECT c.key, count(*)::DOUBLE / (SELECT count(*) FROM {p}daysok) AS usual FROM {p}cands c JOIN {p}daysok d ON d.day = c.day JOIN {p}dweaks w ON w.key = c.key AND w.day = c.day LEFT JOIN {p}dlows l ON l.key = c.key AND l.day = c.day WHERE c.sure OR coalesce(l.low, 0) * 4 <= w.weak GROUP BY c.key)"""
+
+
+_POSTS = _topics()
 
 
 def _topic_posts(spark, sf_dir):
@@ -371,30 +401,39 @@ def usage_baseline(spark, sf_dir):
     return topics.usage_baseline(rows).select("key", F.round("usual", 6).alias("usual"))
 
 
-_HOT = """hot AS (SELECT n.key, n.posts, n.sources, n.posts / (1 + 0.1 * n.sources::DOUBLE) AS score FROM (SELECT key, count(*) AS posts, count(DISTINCT account) AS sources FROM named GROUP BY key) n WHERE n.sources >= 3 AND n.posts >= 6 AND n.posts / (1 + 0.1 * n.sources::DOUBLE) >= 2.5 ORDER BY score DESC, posts DESC, key LIMIT 8)"""
+# Posts of a day of the history; the window is the later half of all.
+_DAY_POSTS = 120
+_HALF = "(SELECT max(doc_id) // 2 FROM documents)"
+_WINDOW = _topics("w", f"doc_id > {_HALF}", "NULL::DATE")
+_HISTORY = _topics("h", f"published IS NOT NULL AND doc_id <= {_HALF}", f"(doc_id // {_DAY_POSTS})")
+_HOT = """scored AS (SELECT n.key, n.posts, n.sources, n.posts / (1 + coalesce(u.usual, 0.0::DOUBLE)) AS score FROM (SELECT key, count(*) AS posts, count(DISTINCT account) AS sources FROM wnamed GROUP BY key) n LEFT JOIN husual u ON u.key = n.key),
+hot AS (SELECT * FROM scored WHERE sources >= 3 AND posts >= 6 AND score >= 2.5 ORDER BY score DESC, posts DESC, key LIMIT 8)"""
 
 
-def _hot(found: DataFrame) -> DataFrame:
-    # what is usual is taken as a tenth of the accounts, so that the ranking doesn't hang on one day's history
-    usual = found.groupBy("key").agg((F.countDistinct("account") * F.lit(0.1)).alias("usual"))
-    return topics.hot_topics(found, usual)
+def _hot(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """(names of the later half of the feed, the hottest against the days of the half before)."""
+    half = table(spark, sf_dir, "documents").agg(F.floor(F.max("doc_id") / 2).alias("half"))
+    placed = _topic_posts(spark, sf_dir).crossJoin(F.broadcast(half))
+    found = topics.names(placed.where("post > half").drop("day", "half"))
+    before = placed.where("post <= half and day is not null").withColumn("day", F.floor(F.col("post") / _DAY_POSTS)).drop("half")
+    return found, topics.hot_topics(found, topics.usage_baseline(before))
 
 
-@query(feed_sql("SELECT key, posts, sources, round(score, 6) AS score FROM hot", _POSTS, _HOT))
+@query(feed_sql("SELECT key, posts, sources, round(score, 6) AS score FROM hot", _WINDOW, _HISTORY, _HOT))
 def hot_topics(spark, sf_dir):
-    return _hot(topics.names(_topic_posts(spark, sf_dir))).select("key", "posts", "sources", F.round("score", 6).alias("score"))
+    return _hot(spark, sf_dir)[1].select("key", "posts", "sources", F.round("score", 6).alias("score"))
 
 
-@query(feed_sql("SELECT key, section, n FROM (SELECT h.key, m.section, count(*) AS n, row_number() OVER (PARTITION BY h.key ORDER BY count(*) DESC, m.section) AS rn FROM hot h JOIN named m ON m.key = h.key GROUP BY h.key, m.section) WHERE rn = 1", _POSTS, _HOT))
+@query(feed_sql("SELECT key, section, n FROM (SELECT h.key, m.section, count(*) AS n, row_number() OVER (PARTITION BY h.key ORDER BY count(*) DESC, m.section) AS rn FROM hot h JOIN wnamed m ON m.key = h.key GROUP BY h.key, m.section) WHERE rn = 1", _WINDOW, _HISTORY, _HOT))
 def topics_by_section(spark, sf_dir):
-    found = topics.names(_topic_posts(spark, sf_dir))
-    return topics.most_common(found.join(F.broadcast(_hot(found).select("key")), "key"), "section").select("key", "section", "n")
+    found, hot = _hot(spark, sf_dir)
+    return topics.most_common(found.join(F.broadcast(hot.select("key")), "key"), "section").select("key", "section", "n")
 
 
-@query(feed_sql("SELECT key, raw, n FROM (SELECT h.key, m.raw, count(*) AS n, row_number() OVER (PARTITION BY h.key ORDER BY count(*) DESC, m.raw) AS rn FROM hot h JOIN named m ON m.key = h.key GROUP BY h.key, m.raw) WHERE rn = 1", _POSTS, _HOT))
+@query(feed_sql("SELECT key, raw, n FROM (SELECT h.key, m.raw, count(*) AS n, row_number() OVER (PARTITION BY h.key ORDER BY count(*) DESC, min(m.post)) AS rn FROM hot h JOIN wnamed m ON m.key = h.key GROUP BY h.key, m.raw) WHERE rn = 1", _WINDOW, _HISTORY, _HOT))
 def topic_spelling_mode(spark, sf_dir):
-    found = topics.names(_topic_posts(spark, sf_dir))
-    return topics.most_common(found.join(F.broadcast(_hot(found).select("key")), "key"), "raw").select("key", "raw", "n")
+    found, hot = _hot(spark, sf_dir)
+    return topics.most_common(found.join(F.broadcast(hot.select("key")), "key"), "raw", first="post").select("key", "raw", "n")
 
 
 # -- export, chunks, media ------------------------------------------------------------------------
@@ -454,13 +493,35 @@ def chunk_targets(spark, sf_dir):
     return items.groupBy("tier", "level").agg(_n("posts"), F.sum("words").alias("words")).withColumn("target", export.target_words(F.col("tier"), F.col("level"), F.col("words")))
 
 
-@query()
+#: Lines of a stream packed one after another, by recursion along their place.
+_PACKED = """streamed AS (SELECT n, tier, words, section, line, CASE WHEN tier = 'recap' THEN 'normal' ELSE level END AS level, CASE WHEN tier = 'recap' THEN section ELSE '' END AS stream FROM (SELECT l.*, s.level FROM lines l JOIN sources s ON s.name = l.source)),
+placed AS (SELECT *, length(line) + 1 AS own, length(section) + 5 AS head, row_number() OVER (PARTITION BY tier, level, stream ORDER BY n) AS place FROM streamed),
+folded AS (SELECT n, tier, level, stream, section, place, 1 AS part, own + head AS used FROM placed WHERE place = 1 UNION ALL
+ SELECT p.n, p.tier, p.level, p.stream, p.section, p.place, CASE WHEN f.used + p.own + CASE WHEN p.section <> f.section THEN p.head ELSE 0 END > 13500 THEN f.part + 1 ELSE f.part END,
+  CASE WHEN f.used + p.own + CASE WHEN p.section <> f.section THEN p.head ELSE 0 END > 13500 THEN p.own + p.head ELSE f.used + p.own + CASE WHEN p.section <> f.section THEN p.head ELSE 0 END END
+ FROM folded f JOIN placed p ON p.tier = f.tier AND p.level = f.level AND p.stream = f.stream AND p.place = f.place + 1),
+parts AS (SELECT f.tier, f.level, f.stream, f.part, count(*) AS posts, CAST(sum(p.words) AS BIGINT) AS words, min(f.n) AS first FROM folded f JOIN placed p ON p.n = f.n GROUP BY ALL),
+named_parts AS (SELECT *, CASE tier WHEN 'retweet' THEN 'retweets' ELSE tier END || CASE WHEN level = 'normal' THEN '' ELSE '-' || level END || '-' || CASE WHEN nth < 10 THEN '0' ELSE '' END || nth AS chunk,
+  greatest(20, CAST(round_even(CASE tier WHEN 'regular' THEN 0.25::DOUBLE WHEN 'retweet' THEN 0.04::DOUBLE ELSE 0.16::DOUBLE END * CASE level WHEN 'high' THEN 1.5::DOUBLE WHEN 'low' THEN 0.5::DOUBLE ELSE 1.0::DOUBLE END * words, 0) AS BIGINT)) AS target
+  FROM (SELECT *, row_number() OVER (PARTITION BY tier ORDER BY CASE level WHEN 'high' THEN 1 WHEN 'normal' THEN 2 ELSE 3 END, first) AS nth FROM parts))"""
+_LIMITED = """SELECT *, greatest(1, CAST(ceil(max_items * CASE tier WHEN 'recap' THEN 0.5 ELSE 0.25 END) AS BIGINT)) AS min_items FROM
+ (SELECT chunk, tier, level, posts, words, first, target, greatest(1, least(CAST(round_even(target::DOUBLE / CASE tier WHEN 'recap' THEN 40 ELSE 30 END, 0) AS BIGINT), CASE tier WHEN 'retweet' THEN 8 WHEN 'recap' THEN 20 ELSE 1000000000 END, posts)) AS max_items, CASE WHEN tier = 'recap' THEN 5::BIGINT END AS max_ids FROM named_parts)"""
+
+
+def _chunked(spark, sf_dir):
+    """(numbered posts with their stream and part, one row a part with its name and limits)."""
+    levels = derived_sources(spark, sf_dir).select(F.col("name").alias("source"), "level")
+    recap = F.col("tier") == "recap"
+    rows = _lines(spark, sf_dir).join(levels, "source").withColumns({"level": F.when(recap, "normal").otherwise(F.col("level")), "stream": F.when(recap, F.col("section")).otherwise("")})
+    packed = export.pack(rows.select("n", "id", "tier", "level", "stream", "section", "line", "words", "source"), ["tier", "level", "stream"])
+    sums = packed.groupBy("tier", "level", "stream", "part").agg(_n("posts"), F.sum("words").alias("words"), F.min("n").alias("first"))
+    target = export.target_words(F.col("tier"), F.col("level"), F.col("words"))
+    return packed, exports.chunk_names(sums.withColumn("target", target).withColumns(export.item_limits(F.col("tier"), target, F.col("posts"))))
+
+
+@query(feed_sql(_LIMITED, _NUMBERED, _LINES, SOURCES, _PACKED).replace("WITH ", "WITH RECURSIVE ", 1))
 def pack_chunks(spark, sf_dir):
-    rows = _lines(spark, sf_dir).withColumn("stream", F.when(F.col("tier") == "recap", F.col("section")).otherwise(""))
-    packed = export.pack(rows.select("n", "tier", "stream", "section", "line", "words"), ["tier", "stream"])
-    sums = packed.groupBy("tier", "stream", "part").agg(_n("posts"), F.sum("words").alias("words"), F.min("n").alias("first"))
-    target = export.target_words(F.col("tier"), F.lit("normal"), F.col("words"))
-    return sums.withColumn("target", target).withColumns(export.item_limits(F.col("tier"), target, F.col("posts")))
+    return _chunked(spark, sf_dir)[1].drop("stream", "part")
 
 
 _STEPS = "steps AS (SELECT k::DOUBLE / 100 AS c FROM range(10, 26) t(k)), total AS (SELECT CAST(sum(words) AS DOUBLE) AS w, count(DISTINCT section) AS s FROM numbered), lined AS (SELECT c, 0.83::DOUBLE * round_even(c * w / 30, 0) + 4 * s AS lines FROM steps, total)"
@@ -477,23 +538,37 @@ def choose_compression(spark, sf_dir):
 
 # -- verification ---------------------------------------------------------------------------------
 
-_REPLIES = """posted AS (SELECT doc_id AS n, doc_id // 25 AS chunk, full_text AS text FROM feed),
-replies AS (SELECT item_id AS item, item_id * 3 % 37 AS chunk, substr(text, 1, 60) AS headline, substr(text, 61, 200) AS detail, [item_id * 75 % 925, item_id * 75 % 925 + 1, item_id * 31 % 997] AS ids FROM benchmark)"""
+_REPLIES = """posted AS (SELECT doc_id AS n, doc_id // 25 AS chunk, full_text AS text, grp FROM feed),
+size AS (SELECT max(doc_id) + 1 AS n FROM documents),
+replies AS (SELECT item_id AS item, (item_id * 75 % size.n) // 25 AS chunk, substr(text, 1, 60) AS headline, substr(text, 61) AS detail, [item_id * 75 % size.n, (item_id * 75 + 1) % size.n, item_id * 31 % size.n] AS ids FROM benchmark, size)"""
 
 
 def _replies(spark, sf_dir):
-    """Benchmark texts as recorded replies that cite posts of the feed, 25 posts a chunk."""
-    i = F.col("item_id")
-    items = table(spark, sf_dir, "benchmark").select(i.alias("item"), (i * 3 % 37).alias("chunk"), F.substring("text", 1, 60).alias("headline"), F.substring("text", 61, 200).alias("detail"), F.array(i * 75 % 925, i * 75 % 925 + 1, i * 31 % 997).alias("ids"))
-    return items, derived_feed(spark, sf_dir).select(F.col("doc_id").alias("n"), F.floor(F.col("doc_id") / 25).alias("chunk"), F.col("full_text").alias("text"))
+    """Benchmark texts as recorded replies that cite posts of the whole feed, 25 posts a chunk."""
+    i, n = F.col("item_id"), F.col("_n")
+    size = table(spark, sf_dir, "documents").agg((F.max("doc_id") + 1).alias("_n"))
+    items = table(spark, sf_dir, "benchmark").crossJoin(F.broadcast(size)).select(
+        i.alias("item"), F.floor(i * 75 % n / 25).alias("chunk"), F.substring("text", 1, 60).alias("headline"), F.expr("substring(text, 61)").alias("detail"), F.array(i * 75 % n, (i * 75 + 1) % n, i * 31 % n).alias("ids"),
+    )
+    return items, derived_feed(spark, sf_dir).select(F.col("doc_id").alias("n"), F.floor(F.col("doc_id") / 25).alias("chunk"), F.col("full_text").alias("text"), "grp")
 
 
-@query(feed_sql(r"""SELECT p.chunk, p.posts, coalesce(h.items, 0) AS items, coalesce(h.dup, 0) AS duplicate_headlines, coalesce(i.ids, 0) AS ids, coalesce(i.valid, 0) AS valid, round(coalesce(i.covered::DOUBLE / p.posts, 0.0), 6) AS coverage, round(coalesce(h.words, 0.0), 6) AS detail_words
+@query(feed_sql(r"""SELECT p.chunk, p.posts, coalesce(h.items, 0) AS items, coalesce(h.dup, 0) AS duplicate_headlines, coalesce(i.ids, 0) AS ids, coalesce(i.valid, 0) AS valid, round(coalesce(i.covered::DOUBLE / p.posts, 0.0), 6) AS coverage, round(coalesce(h.words, 0.0), 6) AS detail_words,
+ round(coalesce(h.each, 0.0), 6) AS ids_per_item, CAST(coalesce(h.most, 0) AS BIGINT) AS max_ids, coalesce(i.cited, 0) AS cited
 FROM (SELECT chunk, count(*) AS posts FROM posted GROUP BY chunk) p
-LEFT JOIN (SELECT chunk, count(*) AS items, count(*) - count(DISTINCT lower(trim(headline))) AS dup, avg(len(regexp_extract_all(detail, '\S+')))::DOUBLE AS words FROM replies GROUP BY chunk) h ON h.chunk = p.chunk
-LEFT JOIN (SELECT r.chunk, count(*) AS ids, count(q.n) AS valid, count(DISTINCT q.n) AS covered FROM (SELECT chunk, unnest(ids) AS id FROM replies) r LEFT JOIN posted q ON q.n = r.id AND q.chunk = r.chunk GROUP BY r.chunk) i ON i.chunk = p.chunk""", _REPLIES))
+LEFT JOIN (SELECT chunk, count(*) AS items, count(*) - count(DISTINCT lower(trim(headline))) AS dup, avg(len(regexp_extract_all(detail, '\S+')))::DOUBLE AS words, avg(len(ids))::DOUBLE AS each, max(len(ids)) AS most FROM cut GROUP BY chunk) h ON h.chunk = p.chunk
+LEFT JOIN (SELECT r.chunk, count(*) AS ids, count(q.n) AS valid, count(DISTINCT q.n) AS covered, count(DISTINCT r.id) AS cited FROM (SELECT chunk, unnest(ids) AS id FROM cut) r LEFT JOIN posted q ON q.n = r.id AND q.chunk = r.chunk GROUP BY r.chunk) i ON i.chunk = p.chunk""",
+    _REPLIES, "cut AS (SELECT item, chunk, headline, CASE chunk % 3 WHEN 0 THEN replace(detail, chr(10), '\\n') WHEN 1 THEN substr(detail, 1, 40) ELSE detail END AS detail, CASE WHEN chunk % 3 = 2 THEN ids[1:2] ELSE ids END AS ids FROM replies)"))
 def chunk_stats(spark, sf_dir):
-    return verify.chunk_stats(*_replies(spark, sf_dir)).drop("ids_per_item", "max_ids", "cited")  # not in this query's SQL
+    """Replies go through their raw JSON; every third chunk's are cut off behind its last item, so they don't parse and are read as far as they go, escapes and all."""
+    items, rows = _replies(spark, sf_dir)
+    c = F.col("chunk")
+    shaped = items.withColumns({"detail": F.when(c % 3 == 1, F.substring("detail", 1, 40)).otherwise(F.col("detail")), "ids": F.when(c % 3 == 2, F.slice("ids", 1, 2)).otherwise(F.col("ids"))})
+    listed = shaped.groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("item", "headline", "detail", "ids"))).alias("all"))
+    whole = F.to_json(F.struct(F.transform("all", lambda x: F.struct(x["headline"].alias("headline"), x["detail"].alias("detail"), x["ids"].alias("ids"))).alias("items")))
+    raw = F.when(c % 3 == 0, F.expr("substring(raw, 1, length(raw) - 2)")).otherwise(F.concat(F.lit("<think>so</think>```json\n"), "raw", F.lit("\n```")))
+    replies = listed.select("chunk", whole.alias("raw")).withColumn("raw", raw)
+    return verify.chunk_stats(verify.reply_items(replies), rows)
 
 
 @query(feed_sql("SELECT r.item, CAST(count(DISTINCT q.n) AS BIGINT) AS valid, count(DISTINCT q.n) > 0 AS shown FROM replies r LEFT JOIN posted q ON list_contains(r.ids, q.n) AND q.chunk = r.chunk GROUP BY r.item", _REPLIES))
@@ -503,10 +578,25 @@ def reply_validity(spark, sf_dir):
     return cited.groupBy("item").agg(F.countDistinct("_ok").alias("valid")).withColumn("shown", F.col("valid") > 0)
 
 
-@query()
+_MIDDLE = """list_filter(list_transform({p}, lambda w, i: CASE WHEN i > 1 AND NOT regexp_matches({p}[i - 1], '[.!?]$') THEN trim(w, '.,;:!?()[]"''“”‘’') ELSE '' END), lambda w: regexp_full_match(w, '[A-Z][a-z]{{3,}}'))"""
+_FACTS = rf"""evidence AS (SELECT r.item, string_agg(p.text, ' ' ORDER BY p.text) AS cited FROM (SELECT item, unnest(ids) AS n FROM marked) r JOIN posted p ON p.n = r.n GROUP BY r.item),
+facts AS (SELECT m.item, coalesce(e.cited, '') AS cited, lower(coalesce(e.cited, '')) AS low, replace(coalesce(e.cited, ''), ',', '') AS plain, headline || ' ' || detail AS t,
+  list_filter(string_split_regex(headline, '\s+'), lambda w: w <> '') AS hw, list_filter(string_split_regex(detail, '\s+'), lambda w: w <> '') AS dw FROM marked m LEFT JOIN evidence e ON e.item = m.item),
+told AS (SELECT item, cited, low, plain, list_transform(regexp_extract_all(t, '\d[\d,]*(?:\.\d+)?'), lambda x: replace(x, ',', '')) AS numbers, regexp_extract_all(t, '@\w{{2,}}') AS marks,
+  list_filter(regexp_extract_all(t, '[\p{{L}}\p{{N}}_]+'), lambda w: regexp_full_match(w, '[A-Z]{{2,}}')) AS acronyms, list_concat({_MIDDLE.format(p="hw")}, {_MIDDLE.format(p="dw")}) AS capitals FROM facts)"""
+
+
+@query(feed_sql(r"""SELECT item, CAST(len(numbers) + len(marks) AS BIGINT) AS facts,
+ CAST(len(list_filter(numbers, lambda x: NOT regexp_matches(plain, '(^|[^0-9.])' || replace(x, '.', '\.') || '($|[^0-9])'))) + len(list_filter(marks, lambda x: NOT contains(low, lower(x)))) AS BIGINT) AS unsupported_facts,
+ CAST(len(acronyms) + len(capitals) AS BIGINT) AS names, CAST(len(list_filter(acronyms, lambda x: NOT contains(low, lower(x)))) + len(list_filter(capitals, lambda x: NOT contains(low, substr(lower(x), 1, 4)))) AS BIGINT) AS unsupported_names, cited = '' AS uncited FROM told""",
+    _REPLIES, "marked AS (SELECT item, headline, detail || ' It cost ' || (item * 7) || ',' || (item % 10) || '00.5 says @user' || item || ' of the EU' AS detail, CASE WHEN item % 9 = 0 THEN [-1::BIGINT] ELSE ids END AS ids FROM replies)", _FACTS))
 def support_facts(spark, sf_dir):
+    """Replies with a figure, a handle and an acronym added; every ninth cites nothing."""
     items, rows = _replies(spark, sf_dir)
-    return verify.support(items.select("item", F.concat("headline", F.lit(" "), "detail").alias("text"), "ids"), rows)
+    i = F.col("item")
+    said = F.concat("detail", F.lit(" It cost "), (i * 7).cast("string"), F.lit(","), (i % 10).cast("string"), F.lit("00.5 says @user"), i.cast("string"), F.lit(" of the EU"))
+    cited = F.when(i % 9 == 0, F.array(F.lit(-1).cast("bigint"))).otherwise(F.col("ids"))
+    return verify.support(items.select("item", "headline", said.alias("detail"), cited.alias("ids")), rows)
 
 
 @query(feed_sql("SELECT CAST(f.doc_id AS BIGINT) AS doc_id FROM feed f WHERE f.doc_id NOT IN (SELECT unnest(ids) FROM replies)", _REPLIES))
@@ -524,12 +614,16 @@ def section_of_majority(spark, sf_dir):
     return counts.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").select("item", "grp")
 
 
-@query("""WITH rated AS (SELECT doc_id, length(text)::DOUBLE / (1 + len(regexp_extract_all(text, '\\S+'))) AS ratio FROM documents)
-SELECT doc_id, round(ratio, 6) AS ratio FROM rated WHERE ratio > 1.3::DOUBLE * (SELECT median(ratio) FROM rated)""")
+@query("""WITH sized AS (SELECT source, sum(length(text)) AS chars FROM documents GROUP BY source),
+runs AS (SELECT source, chars, CASE WHEN CAST(substr(source, 4) AS INT) % 4 = 0 THEN chars // 8 ELSE chars // 4 END AS tokens FROM sized),
+rated AS (SELECT source, chars::DOUBLE / tokens AS ratio FROM runs WHERE tokens > 0 AND chars >= 0.6 * (SELECT max(chars) FROM runs WHERE tokens > 0))
+SELECT source, round(ratio, 6) AS ratio FROM rated WHERE (SELECT count(*) FROM rated) >= 3 AND ratio > 1.3::DOUBLE * (SELECT median(ratio) FROM rated)""")
 def truncation_suspects(spark, sf_dir):
-    runs = table(spark, sf_dir, "documents").select("doc_id", F.length("text").alias("chars"), (1 + F.regexp_count("text", F.lit(r"\S+"))).alias("tokens"))
-    # this query's SQL counts every document, so it takes no part of them as big ones
-    return verify.truncation_suspects(runs, big=0.0).select("doc_id", F.round("ratio", 6).alias("ratio"))
+    """A source's documents as one prompt; of every fourth half the tokens went missing."""
+    sized = table(spark, sf_dir, "documents").groupBy("source").agg(F.sum(F.length("text")).alias("chars"))
+    lost = F.substring("source", 4, 10).cast("int") % 4 == 0
+    runs = sized.withColumn("tokens", F.when(lost, F.floor(F.col("chars") / 8)).otherwise(F.floor(F.col("chars") / 4)))
+    return verify.truncation_suspects(runs).select("source", F.round("ratio", 6).alias("ratio"))
 
 
 @query(feed_sql("SELECT tier, count(*) AS posts, count(c.n) AS cited, round(count(c.n)::DOUBLE / count(*), 6) AS share FROM feed f LEFT JOIN (SELECT DISTINCT unnest(ids) AS n FROM replies) c ON c.n = f.doc_id GROUP BY tier", _REPLIES))
@@ -551,9 +645,21 @@ def brief_lengths(spark, sf_dir):
 # -- reading later --------------------------------------------------------------------------------
 
 
-@query(r"""SELECT doc_id, url, min(pos) - 1 AS pos FROM (SELECT doc_id, regexp_replace(u, '[.,;:!?]+$', '') AS url, pos FROM (SELECT doc_id, unnest(l) AS u, generate_subscripts(l, 1) AS pos FROM (SELECT doc_id, regexp_extract_all(text, 'https?://[^\s<>"'')\]]+') AS l FROM documents))) GROUP BY doc_id, url""")
+_LINKED = r"""linked AS (SELECT doc_id, 'See https://site' || (doc_id % 3) || '.example.org/a_(b' || doc_id || ')). Then <http://x.com/u/status/' || doc_id || '> and [it](https://localhost/x) or https://sub.twitter.com/i! Again https://site' || (doc_id % 3) || '.example.org/a_(b' || doc_id || ')#part, (https://news.example.net/?q=' || doc_id || '!). ' || coalesce(text, '') AS text FROM documents)"""
+
+
+def _linked(spark, sf_dir):
+    """Documents that open with links of every kind."""
+    i = F.col("doc_id").cast("string")
+    site = F.concat(F.lit("https://site"), (F.col("doc_id") % 3).cast("string"), F.lit(".example.org/a_(b"), i, F.lit(")"))
+    lead = F.concat(F.lit("See "), site, F.lit("). Then <http://x.com/u/status/"), i, F.lit("> and [it](https://localhost/x) or https://sub.twitter.com/i! Again "), site, F.lit("#part, (https://news.example.net/?q="), i, F.lit("!). "))
+    return table(spark, sf_dir, "documents").select("doc_id", F.concat(lead, F.coalesce("text", F.lit(""))).alias("text"))
+
+
+@query(rf"""WITH {_LINKED} SELECT doc_id, 'https://site' || (doc_id % 3) || '.example.org/a_(b' || doc_id || ')' AS url, 0::BIGINT AS pos FROM linked UNION ALL
+SELECT doc_id, 'https://news.example.net/?q=' || doc_id, 2::BIGINT FROM linked""".replace("2::BIGINT", "2::BIGINT"))
 def link_extract(spark, sf_dir):
-    return reading.links(table(spark, sf_dir, "documents"), "doc_id", F.col("text"))
+    return reading.links(_linked(spark, sf_dir), "doc_id", F.col("text"))
 
 
 _CLEAN = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style|svg)\b.*?</(?:script|style|svg)>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g'), '(?s)<[^>]+>', ' ', 'g'), '!\[[^\]]*\]\([^)]*\)', ' ', 'g'), '\[([^\]]*)\]\([^)]*\)', '\1', 'g')"""
@@ -600,22 +706,42 @@ def summary_budget(spark, sf_dir):
 # -- streams --------------------------------------------------------------------------------------
 
 
-def _stream(spark, sf_dir, name, build, mode="append"):
+def _stream(spark, sf_dir, build, mode="append"):
     events = table(spark, sf_dir, "events")
     rows = feeds.read_items(spark, f"{sf_dir}/events.parquet*", events.schema)
-    feeds.run_once(build(rows), name, tempfile.mkdtemp(prefix="feedloom-stream-"), mode)
-    return spark.table(name)
+    return feeds.run_once(build(rows.withColumn("ts", F.col("ts").cast("timestamp"))), mode)
 
 
 @query("SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n FROM events GROUP BY ALL")
 def stream_daily_counts(spark, sf_dir):
-    zoned = lambda rows: rows.withColumn("ts", F.col("ts").cast("timestamp"))
-    found = _stream(spark, sf_dir, "stream_daily", lambda rows: feeds.daily_counts(zoned(rows), "ts", "event_type"), "complete")
+    found = _stream(spark, sf_dir, lambda rows: feeds.daily_counts(rows, "ts", "event_type"), "complete")
     return found.select(F.to_date("window.start").alias("day"), "event_type", "n")
 
 
 @query("SELECT event_id, user_id FROM events")
 def stream_dedupe(spark, sf_dir):
     """Every event is sent twice and let in once."""
-    build = lambda rows: feeds.first_sightings(rows.withColumn("ts", F.col("ts").cast("timestamp")).withColumn("_copy", F.explode(F.array(F.lit(1), F.lit(2)))), "event_id", "ts")
-    return _stream(spark, sf_dir, "stream_dedupe", build).select("event_id", "user_id")
+    twice = lambda rows: rows.withColumn("_copy", F.explode(F.array(F.lit(1), F.lit(2))))
+    return _stream(spark, sf_dir, lambda rows: feeds.first_sightings(twice(rows), "event_id", "ts")).select("event_id", "user_id")
+
+
+@query("""SELECT user_id, count(*) AS n, min(ts) AS first, max(ts) AS last FROM (SELECT user_id, ts, sum(CASE WHEN gap THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS s
+ FROM (SELECT user_id, ts, event_id, coalesce(ts >= lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 2 DAY, false) AS gap FROM events)) GROUP BY user_id, s""")
+def stream_sessions(spark, sf_dir):
+    """Runs of a user's events without a silence of two days."""
+    found = _stream(spark, sf_dir, lambda rows: feeds.sessions(rows, "ts", "user_id", "2 days"), "complete")
+    return found.select("user_id", "n", *[F.col(c).cast("timestamp_ntz").alias(c) for c in ("first", "last")])
+
+
+@query("SELECT user_id, min(event_id) AS event_id FROM events GROUP BY user_id")
+def stream_append_new(spark, sf_dir):
+    """The first event of each user, by a writer that adds what its store lacks, run twice over all events."""
+    events = table(spark, sf_dir, "events")
+    store = feeds.store_of(spark)
+    for _ in range(2):
+        rows = feeds.read_items(spark, f"{sf_dir}/events.parquet*", events.schema)
+        feeds.run_into(rows.select("user_id", "event_id"), feeds.append_new(store, "user_id", "event_id"))
+    return spark.read.parquet(store)
+
+
+from feedloom import queries_brief, queries_reading  # noqa: E402, F401 - they register themselves

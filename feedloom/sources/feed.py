@@ -69,15 +69,18 @@ def timeline_items(pages: DataFrame, source_type: str = "x") -> DataFrame:
 def derived_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The feed that ``documents`` stands for: posts a minute apart, some of them retweets, echoes, quotes, pictures."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
-    before = docs.select((F.col("doc_id") + 1).alias("doc_id"), F.col("text").alias("p_text"), F.col("source").alias("p_source"))
     kind = F.col("doc_id") % 10
+    # Only posts that may share another, and those they share, meet.
+    before = docs.where(((F.col("doc_id") + 1) % 10).isin(3, 7, 9)).select((F.col("doc_id") + 1).alias("doc_id"), F.col("text").alias("p_text"), F.col("source").alias("p_source"))
+    sharing = docs.where(kind.isin(3, 7, 9)).join(before, "doc_id", "left")
+    alone = docs.where(~kind.isin(3, 7, 9)).withColumns({"p_text": F.lit(None).cast("string"), "p_source": F.lit(None).cast("string")})
     shares = kind.isin(3, 7, 9) & F.col("p_source").isNotNull()
     full = F.when(kind == 3, "").when((kind == 7) & F.col("p_text").isNotNull(), F.substring("p_text", 1, 280)).otherwise(F.col("text"))
     when = F.timestamp_add("MINUTE", F.col("doc_id").cast("int"), F.lit("2024-01-01 00:00:00").cast("timestamp_ntz"))
     prefix = F.when((kind == 3) & shares, F.concat(F.lit("RT @"), "p_source", F.lit(": "), "p_text")).when(kind == 8, F.concat(F.lit("R to @src"), (F.col("doc_id") % 20).cast("string"), F.lit(": "), "text")).otherwise(full)
     url = F.concat(F.lit("https://x.com/"), "source", F.lit("/status/"), F.col("doc_id").cast("string"))
     pictures = F.when(kind == 5, F.transform(F.sequence(F.lit(1), (1 + F.col("doc_id") % 6).cast("int")), lambda i: F.concat(F.lit("https://pic/"), F.col("doc_id").cast("string"), F.lit("/"), i.cast("string"))))
-    return docs.join(before, "doc_id", "left").select(
+    return sharing.unionByName(alone).select(
         "doc_id", F.substring(F.sha2(url, 256), 1, 16).alias("id"), F.concat(F.lit("@"), "source").alias("source"), F.lit("x").alias("source_type"),
         F.substring(F.coalesce(prefix, F.lit("")), 1, 200).alias("title"), url.alias("url"), F.col("source").alias("author"),
         F.when(F.col("doc_id") % 50 != 49, when).alias("published"), F.lit("").alias("text"), F.coalesce(full, F.lit("")).alias("full_text"),

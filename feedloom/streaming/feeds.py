@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.query import StreamingQuery
+from pyspark.sql.window import Window
+
+from feedloom.plans.lineage import shared_folder
 
 
 def read_items(spark: SparkSession, path: str, schema, files_per_trigger: int | None = None) -> DataFrame:
@@ -24,28 +28,51 @@ def daily_counts(items: DataFrame, ts: str, *keys: str, lateness: str = "1 day")
 
 
 def sessions(items: DataFrame, ts: str, key: str, gap: str) -> DataFrame:
-    """Runs of posts without a silence of ``gap``."""
-    return items.withWatermark(ts, gap).groupBy(F.session_window(ts, gap), key).agg(F.count("*").alias("n"))
+    """Runs of posts without a silence of ``gap``: their number, first and last time."""
+    runs = items.withWatermark(ts, gap).groupBy(F.session_window(ts, gap), key)
+    return runs.agg(F.count("*").alias("n"), F.min(ts).alias("first"), F.max(ts).alias("last"))
+
 
+def append_new(store: str, key: str = "id", order: str | None = None) -> Callable[[DataFrame, int], None]:
+    """A batch writer that adds what the store lacks, of a batch's rows of one key the first along ``order``.
 
-def append_new(store: str, key: str = "id") -> Callable[[DataFrame, int], None]:
-    """A batch writer that adds what the store lacks; a batch that is tried again adds nothing."""
+    A batch that is tried again adds nothing.
+    """
 
     def write(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        fresh = batch.dropDuplicates([key])
+        first = Window.partitionBy(key).orderBy(order or key)
+        fresh = batch.withColumn("_rn", F.row_number().over(first)).where("_rn = 1").drop("_rn")
         try:
             fresh = fresh.join(spark.read.parquet(store).select(key), key, "left_anti")
-        except Exception as e:  # the first batch finds no store
-            if "PATH_NOT_FOUND" not in str(e):
+        except AnalysisException as e:  # the first batch finds no store
+            if e.getCondition() != "PATH_NOT_FOUND":
                 raise
         fresh.write.mode("append").parquet(store)
 
     return write
 
 
-def run_once(df: DataFrame, name: str, checkpoint: str, mode: str = "append") -> StreamingQuery:
-    """Run over what is there and stop; results in the in-memory table ``name``."""
-    query = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def store_of(spark: SparkSession) -> str:
+    """A new place in the shared folder."""
+    return f"{shared_folder(spark)}/streams/{uuid.uuid4().hex}"
+
+
+def run_once(df: DataFrame, mode: str = "append") -> DataFrame:
+    """Run over what is there and stop; state and results stay in the shared folder, the results are read from there."""
+    spark, folder = df.sparkSession, store_of(df.sparkSession)
+    schema = df.schema
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        # A complete result replaces the one before; appended ones are kept by epoch, so one that is tried again replaces itself.
+        batch.write.mode("overwrite").parquet(f"{folder}/rows/epoch={epoch if mode == 'append' else 0}")
+
+    query = df.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     query.awaitTermination()
-    return query
+    return spark.read.schema(schema).parquet(f"{folder}/rows/epoch=*")
+
+
+def run_into(df: DataFrame, write: Callable[[DataFrame, int], None]) -> None:
+    """Run a batch writer over what is there and stop."""
+    state = f"{store_of(df.sparkSession)}/state"
+    df.writeStream.foreachBatch(write).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
