@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Patterns and limits that decide results (fixed values).
 URL = r"https?://\S+"
@@ -139,12 +141,36 @@ def mentions(c: Column, keyword: str) -> Column:
     return c.rlike(f"(?i){WORD_START}\\Q{keyword}\\E")
 
 
+CODE = r"(?m)^[ \t]*(?:```|~~~)[\s\S]*?^[ \t]*(?:```|~~~)[ \t]*$|`[^`\n]+`"
+
+
 def clean_page(c: Column) -> Column:
     """Main text of a page: blocks of code and style, tags, pictures and link targets out, one blank line at most."""
+    return F.btrim(F.regexp_replace(_tidied(c), r" ?\n(?: ?\n)+ ?", "\n\n"), F.lit(" \n\r\t"))
+
+
+def _tidied(c: Column) -> Column:
     for pattern, to in (
         (r"(?is)<(script|style|svg)\b.*?</(?:script|style|svg)>", " "), (r"(?s)<!--.*?-->", " "), (r"(?s)<[^>]+>", " "),
         (r"!\[[^\]]*\]\([^)]*\)", " "), (r"\[([^\]]*)\]\([^)]*\)", "$1"),
     ):
         c = F.regexp_replace(c, pattern, to)
-    c = F.regexp_replace(c, r"[ \t]+", " ")
-    return F.btrim(F.regexp_replace(c, r" ?\n(?: ?\n)+ ?", "\n\n"), F.lit(" \n\r\t"))
+    return F.regexp_replace(c, r"[ \t]+", " ")
+
+
+def clean_markdown(c: Column) -> Column:
+    """The same of a page's markdown, in which code, fenced or in a line, stays as it is."""
+    parts = F.regexp_extract_all(c, F.lit(rf"{CODE}|(?:(?!{CODE})[\s\S])+"), 0)
+    tidy = F.transform(parts, lambda p: F.when(p.rlike(f"^(?:{CODE})"), p).otherwise(F.regexp_replace(_tidied(p), r"(?<=\n) | (?=\n)", "")))
+    return F.btrim(F.regexp_replace(F.array_join(tidy, ""), r"\n{3,}", "\n\n"), F.lit(" \n\r\t"))
+
+
+def unescape_all(c: Column) -> Column:
+    """Every entity that HTML has, by the standard library: texts with an ampersand alone go through Python."""
+
+    def unescaped(texts: pd.Series) -> pd.Series:
+        import html
+
+        return texts.map(html.unescape, na_action="ignore")
+
+    return F.when(F.contains(c, F.lit("&")), F.pandas_udf(unescaped, StringType())(c)).otherwise(c)

@@ -205,3 +205,10 @@ def summary_budget(words: Column) -> dict[str, Column]:
     size = F.greatest(F.lit(60), F.least(F.lit(400), F.bround(words.cast("double") * 0.2).cast("int")))
     points = F.greatest(F.lit(3), F.least(F.lit(10), F.bround(words.cast("double") / 150).cast("int")))
     return {"size": size.cast("bigint"), "points": points.cast("bigint"), "short": F.greatest(F.lit(20), F.least(F.lit(40), F.bround(size * 0.25).cast("int"))).cast("bigint")}
+
+
+def small_picture(url: Column) -> Column:
+    """The small form of a picture that X serves: other sizes out of its query; any other address as it is."""
+    base, asked = F.substring_index(url, "?", 1), F.when(F.contains(url, F.lit("?")), F.regexp_extract(url, r"\?(.*)$", 1)).otherwise("")
+    kept = F.filter(F.split(asked, "&"), lambda p: (p != "") & ~F.startswith(p, F.lit("name=")))
+    return F.when(url.rlike("(?i)^https://pbs\\.twimg\\.com/"), F.concat(base, F.lit("?"), F.array_join(F.concat(kept, F.array(F.lit("name=small"))), "&"))).otherwise(url)

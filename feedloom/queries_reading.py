@@ -1,0 +1,274 @@
+"""Registered queries of timelines, saved links and rendered lines, with their oracles."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from feedloom.functions import text as X
+from feedloom.operators import reading, render, stories
+from feedloom.queries import _LEADERS, _MEMBERS, _SETS, PRIORITY, SOURCES, _collapse, _comparable, _n, _no_urls, _unescape, feed, feed_sql, query
+from feedloom.sources import follow
+from feedloom.sources.feed import derived_feed, derived_sources, table, timeline_items, timeline_items_by_call
+
+# -- timelines ------------------------------------------------------------------------------------
+
+#: A post a document, of four kinds: said, retweeted, quoted, answered (oneself or another).
+_TWEETS = rf"""raw AS (SELECT doc_id, doc_id % 4 AS kind, source AS author, {_collapse("coalesce(substr(text, 1, 600), '')")} AS told, 'src' || doc_id % 5 AS other, TIMESTAMP '2024-12-10' + to_seconds(doc_id) AS moment FROM documents),
+tweets AS (SELECT *, kind IN (1, 2) AS shares, CASE WHEN kind = 1 THEN told WHEN kind = 2 THEN 'Quoted: ' || told ELSE '' END AS original, CASE kind WHEN 0 THEN told WHEN 1 THEN 'RT @' || other || ': ' || told WHEN 2 THEN CASE WHEN doc_id % 3 = 0 THEN 'quoted:  ' || told ELSE 'I say: ' || told END ELSE told END AS said FROM raw),
+expected AS (SELECT doc_id, 'https://x.com/' || author || '/status/' || doc_id AS url, author, substr(CASE WHEN kind = 1 THEN 'RT @' || other || ': ' || original WHEN kind = 3 THEN 'R to @' || CASE WHEN doc_id % 8 = 3 THEN upper(author) ELSE other END || ': ' || told ELSE {_collapse("said")} END, 1, 200) AS title,
+ CASE WHEN shares THEN other ELSE '' END AS by_, original, CASE WHEN kind = 3 AND (doc_id % 8 = 3 OR other = author) THEN 'c' || doc_id % 9 ELSE '' END AS thread_root, CASE WHEN doc_id % 6 = 0 THEN 2 ELSE 0 END AS images, moment,
+ CASE WHEN kind = 1 THEN '' WHEN kind = 2 THEN CASE WHEN {_comparable(_collapse("said"))} = {_comparable("original")} AND {_comparable("original")} <> '' THEN '' ELSE {_collapse("said")} END WHEN kind = 3 THEN 'R to @' || CASE WHEN doc_id % 8 = 3 THEN upper(author) ELSE other END || ': ' || told ELSE told END AS words FROM tweets)"""
+_TIMELINE = f"WITH {_TWEETS} SELECT substr(sha256(url), 1, 16) AS id, title, by_ AS retweet_of_author, sha256(original) AS original, thread_root, CAST(images AS INT) AS images, CASE WHEN doc_id % 10 <> 0 THEN moment END AS published, sha256(words) AS words FROM expected"
+
+
+def _tweets(spark, sf_dir):
+    i, told = F.col("doc_id"), X.collapse(F.coalesce(F.substring("text", 1, 600), F.lit("")))
+    other = F.concat(F.lit("src"), (i % 5).cast("string"))
+    rows = table(spark, sf_dir, "documents").select(
+        "doc_id", (i % 4).alias("kind"), F.col("source").alias("by"), told.alias("told"), other.alias("other"), F.timestamp_add("SECOND", i.cast("int"), F.lit("2024-12-10 00:00:00").cast("timestamp_ntz")).alias("at"),
+        F.concat(F.lit("c"), (i % 9).cast("string")).alias("conversation"), F.when(i % 8 == 3, F.upper("source")).otherwise(other).alias("target"),
+    )
+    quote = F.when(i % 3 == 0, F.concat(F.lit("quoted:  "), "told")).otherwise(F.concat(F.lit("I say: "), "told"))
+    said = F.when(F.col("kind") == 1, F.concat(F.lit("RT @"), "other", F.lit(": "), "told")).when(F.col("kind") == 2, quote).otherwise(F.col("told"))
+    return rows.withColumn("said", said)
+
+
+def _timeline(found):
+    return found.select("id", "title", "retweet_of_author", F.sha2("retweet_of_text", 256).alias("original"), "thread_root", F.size("images").alias("images"), "published", F.sha2("full_text", 256).alias("words"))
+
+
+@query(_TIMELINE)
+def timeline_by_post(spark, sf_dir):
+    """Posts as the backend that bills by post sends them; every tenth has a time that is none."""
+    kind, shared = F.col("kind"), F.struct(F.col("told").alias("text"), F.struct(F.col("other").alias("userName")).alias("author"))
+    quoted = F.struct(F.concat(F.lit("Quoted: "), "told").alias("text"), F.struct(F.col("other").alias("userName")).alias("author"))
+    pages = _tweets(spark, sf_dir).select(
+        F.lit("").alias("url"), F.col("said").alias("text"), F.when(F.col("doc_id") % 10 == 0, "yesterday").otherwise(F.concat(F.date_format("at", "EEE MMM dd HH:mm:ss"), F.lit(" +0000 2024"))).alias("createdAt"),
+        F.when(kind == 3, F.col("target")).alias("inReplyToUsername"), F.col("conversation").alias("conversationId"), F.col("doc_id").cast("string").alias("id"), (kind == 3).alias("isReply"), F.struct(F.col("by").alias("userName")).alias("author"),
+        F.when(kind == 1, shared).alias("retweeted_tweet"), F.when(kind == 2, quoted).alias("quoted_tweet"),
+        F.struct(F.when(F.col("doc_id") % 6 == 0, F.array(*[F.struct(F.lit(u).alias("media_url_https")) for u in ("a", "b", "a")])).alias("media")).alias("extendedEntities"),
+    )
+    return _timeline(timeline_items(pages))
+
+
+@query(_TIMELINE)
+def timeline_by_call(spark, sf_dir):
+    """The same posts as the backend that bills by call sends them."""
+    kind, by = F.col("kind"), F.struct(F.col("other").alias("username"))
+    pages = _tweets(spark, sf_dir).select(
+        F.lit(None).cast("string").alias("url"), F.col("said").alias("text"), F.when(F.col("doc_id") % 10 == 0, "").when(F.col("doc_id") % 2 == 0, F.date_format("at", "yyyy-MM-dd'T'HH:mm:ss'Z'")).otherwise(F.date_format("at", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")).alias("createdAt"),
+        F.col("conversation").alias("conversationId"), F.col("doc_id").cast("string").alias("id"), F.when(kind == 3, F.struct(F.lit("1").alias("tweetId"), F.col("target").alias("username"))).alias("replyTo"), F.struct(F.col("by").alias("username")).alias("author"),
+        F.when(kind == 1, F.struct(F.col("told").alias("text"), by.alias("author"))).alias("retweetedTweet"), F.when(kind == 2, F.struct(F.concat(F.lit("Quoted: "), "told").alias("text"), by.alias("author"))).alias("quotedTweet"),
+        F.when(F.col("doc_id") % 6 == 0, F.array(F.struct(F.lit("a").alias("thumbnailUrl"), F.lit("x").alias("url")), F.struct(F.lit("").alias("thumbnailUrl"), F.lit("b").alias("url")), F.struct(F.lit(None).cast("string").alias("thumbnailUrl"), F.lit("a").alias("url")))).alias("media"),
+    )
+    return _timeline(timeline_items_by_call(pages))
+
+
+@query("SELECT handle, line FROM (SELECT CASE doc_id % 3 WHEN 0 THEN upper(source) ELSE source END AS handle, doc_id AS line, row_number() OVER (PARTITION BY lower(source) ORDER BY doc_id) AS rn FROM documents) WHERE rn = 1")
+def handles_once(spark, sf_dir):
+    handle = F.when(F.col("doc_id") % 3 == 0, F.upper("source")).otherwise(F.col("source"))
+    return follow.first_of_handle(table(spark, sf_dir, "documents").select(handle.alias("handle"), F.col("doc_id").alias("line")))
+
+
+@query(f"""WITH {SOURCES} SELECT name, array_to_string(list_filter([CASE WHEN priority THEN 'priority:high' END, CASE WHEN NOT reposts THEN 'reposts:off' END, CASE WHEN level = 'high' THEN 'hide:a, b' END, CASE WHEN level = 'low' THEN 'ads:off' END], lambda x: x IS NOT NULL), ' | ') AS options FROM sources""")
+def source_options(spark, sf_dir):
+    rows = derived_sources(spark, sf_dir).withColumns({"ads": F.col("level") != "low", "only": F.array().cast("array<string>"), "hide": F.when(F.col("level") == "high", F.array(F.lit("a"), F.lit("b"))).otherwise(F.array().cast("array<string>"))})
+    return rows.select("name", follow.options().alias("options"))
+
+
+@query("SELECT doc_id, row_number() OVER (ORDER BY place, doc_id) AS n FROM (SELECT doc_id, (20 - CAST(substr(source, 4) AS INT)) AS place FROM documents)")
+def batches_in_order(spark, sf_dir):
+    """Each source's posts, the sources in the order of a list."""
+    from feedloom.plans.numbering import numbered_along
+
+    listed = derived_sources(spark, sf_dir).select(F.expr("substring(name, 2)").alias("source"), (20 - F.expr("substring(name, 5)").cast("int")).alias("place"))
+    return numbered_along(table(spark, sf_dir, "documents").select("doc_id", "source").join(listed, "source"), [F.col("place"), F.col("doc_id")]).select("doc_id", "n")
+
+
+@query("SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'https://pbs.twimg.com/media/' || doc_id || '?format=jpg&name=small' WHEN 1 THEN 'HTTPS://pbs.twimg.com/media/' || doc_id || '.jpg?name=small' ELSE 'https://pic.example/' || doc_id || '?name=large' END AS url FROM documents")
+def small_pictures(spark, sf_dir):
+    i = F.col("doc_id").cast("string")
+    url = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("https://pbs.twimg.com/media/"), i, F.lit("?name=large&format=jpg&name=orig"))).when(F.col("doc_id") % 3 == 1, F.concat(F.lit("HTTPS://pbs.twimg.com/media/"), i, F.lit(".jpg"))).otherwise(F.concat(F.lit("https://pic.example/"), i, F.lit("?name=large")))
+    return table(spark, sf_dir, "documents").select("doc_id", reading.small_picture(url).alias("url"))
+
+
+# -- saved links ----------------------------------------------------------------------------------
+
+_NOTES = """notes AS (SELECT doc_id, 'https://x.com/src' || doc_id % 5 || '/status/' || doc_id || ' www.twitter.com/i/web/status/7' || doc_id || '?s=20 https://notx.com/a/status/5 mobile.x.com/src1/statuses/' || doc_id || ' https://x.com/i/article/9' || doc_id AS text FROM documents)"""
+
+
+@query("SELECT doc_id, CAST(doc_id AS VARCHAR) AS status, 0::BIGINT AS pos FROM documents UNION ALL SELECT doc_id, '7' || doc_id, 1::BIGINT FROM documents")
+def status_links(spark, sf_dir):
+    i = F.col("doc_id").cast("string")
+    parts = [F.lit("https://x.com/src"), (F.col("doc_id") % 5).cast("string"), F.lit("/status/"), i, F.lit(" www.twitter.com/i/web/status/7"), i, F.lit("?s=20 https://notx.com/a/status/5 mobile.x.com/src1/statuses/"), i, F.lit(" https://x.com/i/article/9"), i]
+    return reading.status_ids(table(spark, sf_dir, "documents").select("doc_id", F.concat(*parts).alias("text")), "doc_id", F.col("text"))
+
+
+def _thread_posts(spark, sf_dir):
+    """Turns as posts: each answers the one before, every fifth the one before that; every ninth conversation has another author at turn 3."""
+    up = F.when(F.col("turn") % 5 == 4, F.col("turn") - 2).otherwise(F.col("turn") - 1)
+    at = lambda t: F.col("conv_id") * 1000 + t
+    author = F.when((F.col("conv_id") % 9 == 0) & (F.col("turn") == 3), "b").otherwise("a")
+    return table(spark, sf_dir, "conversations").select(at(F.col("turn")).alias("id"), F.when(F.col("turn") > 0, at(up)).alias("parent"), author.alias("author"), "conv_id", "turn", "text")
+
+
+_THREADS = """posts AS (SELECT conv_id * 1000 + turn AS id, CASE WHEN turn > 0 THEN conv_id * 1000 + turn - CASE WHEN turn % 5 = 4 THEN 2 ELSE 1 END END AS parent, CASE WHEN conv_id % 9 = 0 AND turn = 3 THEN 'b' ELSE 'a' END AS author, conv_id, turn, text FROM conversations),
+saved AS (SELECT id, id % 7 * 1000000 + id AS pos FROM posts WHERE turn % 3 = 1),
+up AS (SELECT s.id AS saved, p.id, p.parent, p.author, 0 AS d FROM saved s JOIN posts p ON p.id = s.id UNION ALL SELECT u.saved, p.id, p.parent, p.author, u.d - 1 FROM up u JOIN posts p ON p.id = u.parent AND p.author = u.author),
+down AS (SELECT s.id AS saved, p.id, p.author, 0 AS d FROM saved s JOIN posts p ON p.id = s.id UNION ALL SELECT w.saved, n.id, w.author, w.d + 1 FROM down w JOIN (SELECT parent, author, min(id) AS id FROM posts WHERE parent IS NOT NULL GROUP BY ALL) n ON n.parent = w.id AND n.author = w.author),
+thread AS (SELECT saved, id, row_number() OVER (PARTITION BY saved ORDER BY d) AS place FROM (SELECT saved, id, d FROM up UNION ALL SELECT saved, id, d FROM down WHERE d > 0))"""
+
+
+def _saved(spark, sf_dir):
+    rows = _thread_posts(spark, sf_dir)
+    return rows, rows.where("turn % 3 = 1").select("id", (F.col("id") % 7 * 1000000 + F.col("id")).alias("pos"))
+
+
+@query(f"WITH RECURSIVE {_THREADS} SELECT saved, id, place FROM thread")
+def thread_of_saved(spark, sf_dir):
+    rows, saved = _saved(spark, sf_dir)
+    return reading.thread_of(rows.select("id", "parent", "author"), saved.select("id"))
+
+
+_ENTRIES = """owned AS (SELECT t.id, arg_min(t.saved, s.pos) AS entry FROM thread t JOIN saved s ON s.id = t.saved GROUP BY t.id),
+entries AS (SELECT o.entry, min(s.pos) AS pos, list_sort(list_distinct(list(t.place))) AS places FROM saved s JOIN owned o ON o.id = s.id JOIN thread t ON t.saved = o.entry AND t.id = s.id GROUP BY o.entry)"""
+
+
+@query(f"WITH RECURSIVE {_THREADS}, {_ENTRIES} SELECT entry, pos, array_to_string(places, ' ') AS places FROM entries")
+def saved_entries(spark, sf_dir):
+    rows, saved = _saved(spark, sf_dir)
+    found = reading.entries(stories.checkpointed(reading.thread_of(rows.select("id", "parent", "author"), saved.select("id"))), saved)
+    return found.select("entry", "pos", F.array_join(F.col("places").cast("array<string>"), " ").alias("places"))
+
+
+_KINDS = """kinds AS (SELECT e.entry, e.pos, CASE WHEN e.entry % 11 = 0 THEN 'article' WHEN (SELECT count(*) FROM thread t WHERE t.saved = e.entry) > 1 THEN 'thread' WHEN length(p.text) > 280 THEN 'long' ELSE 'post' END AS kind, len(regexp_extract_all(p.text, '\\S+')) <= 60 AS as_posted FROM entries e JOIN posts p ON p.id = e.entry),
+mixed AS (SELECT kind, pos, as_posted FROM kinds UNION ALL SELECT 'web', page_id * 1000 + 5, false FROM pages)"""
+
+
+def _mixed(spark, sf_dir):
+    """Saved posts by what they are, and web pages, as one list."""
+    rows, saved = _saved(spark, sf_dir)
+    threads = stories.checkpointed(reading.thread_of(rows.select("id", "parent", "author"), saved.select("id")))
+    found = reading.entries(threads, saved).join(threads.groupBy(F.col("saved").alias("entry")).agg(_n("members")), "entry").join(rows.select(F.col("id").alias("entry"), "text"), "entry")
+    kinds = found.select("pos", reading.classify(F.col("text"), F.col("members"), F.col("entry") % 11 == 0).alias("kind"), reading.as_posted(F.regexp_count("text", F.lit(r"\S+"))).alias("as_posted"))
+    web = table(spark, sf_dir, "pages").select((F.col("page_id") * 1000 + 5).alias("pos"), F.lit("web").alias("kind"))
+    return kinds.unionByName(web, allowMissingColumns=True).withColumn("as_posted", F.coalesce("as_posted", F.lit(False)))
+
+
+@query(f"WITH RECURSIVE {_THREADS}, {_ENTRIES}, {_KINDS} SELECT kind, count(*) AS n, CAST(list_position(['article', 'thread', 'long', 'post', 'web'], kind) AS INT) AS place FROM mixed GROUP BY kind")
+def kind_counts(spark, sf_dir):
+    return reading.kind_counts(_mixed(spark, sf_dir))
+
+
+@query(f"WITH RECURSIVE {_THREADS}, {_ENTRIES}, {_KINDS} SELECT kind, as_posted, pos, row_number() OVER (ORDER BY pos, kind) AS place FROM mixed")
+def reading_list(spark, sf_dir):
+    """Posts and pages in the order of the file they were saved in."""
+    from feedloom.plans.numbering import numbered_along
+
+    return numbered_along(_mixed(spark, sf_dir), [F.col("pos"), F.col("kind")], "place")
+
+
+@query("SELECT conv_id, turn, turn > 0 OR coalesce(NOT (conv_id % 3 = 0), true) AS thread FROM conversations")
+def maybe_threads(spark, sf_dir):
+    """A post that answers its author, or that somebody answered; of every fourth conversation nobody says."""
+    replies = F.when(F.col("conv_id") % 3 == 0, 0).when(F.col("conv_id") % 4 != 0, F.col("conv_id"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", reading.may_be_thread(F.col("turn") > 0, replies).alias("thread"))
+
+
+@query("""SELECT conv_id AS entry, 'https://news.example/' || conv_id AS url, 0::BIGINT AS pos FROM conversations WHERE turn = 0
+UNION ALL SELECT conv_id, 'https://x.com/z/status/999' || conv_id, 1::BIGINT FROM conversations WHERE turn = 0""")
+def entry_links(spark, sf_dir):
+    """Each turn links news, its own conversation's posts, what it quotes, an address that is none, and somebody else's post."""
+    c, t = F.col("conv_id").cast("string"), F.col("turn").cast("string")
+    own = F.concat(c, F.lit("00"), t)
+    urls = F.array(F.concat(F.lit("https://news.example/"), c), F.concat(F.lit("https://x.com/a/status/"), own), F.concat(F.lit("https://twitter.com/i/web/status/5"), own), F.lit("ftp://x"), F.concat(F.lit("https://x.com/z/status/999"), c))
+    tweets = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("entry"), F.col("turn").alias("at"), own.alias("id"), F.concat(F.lit("5"), own).alias("quoted"), urls.alias("urls"))
+    return reading.foreign_links(tweets)
+
+
+@query(r"""SELECT doc_id, greatest(1000, CAST(floor(CAST(trunc((context - 2000 - 2.0 * (words % 500 + 200)) / 2.0) AS BIGINT) / 1000.0) AS BIGINT) * 1000) AS most, words > greatest(1000, CAST(floor(CAST(trunc((context - 2000 - 2.0 * (words % 500 + 200)) / 2.0) AS BIGINT) / 1000.0) AS BIGINT) * 1000) AS cut
+FROM (SELECT doc_id, coalesce(len(regexp_extract_all(text, '\S+')), 0) AS words, 4000 + doc_id % 9 * 3000 AS context FROM documents)""")
+def window_fit(spark, sf_dir):
+    """Whether documents fit windows of 4,000 to 28,000 tokens."""
+    words = F.coalesce(F.regexp_count("text", F.lit(r"\S+")), F.lit(0)).cast("bigint")
+    most = reading.window_words(4000 + F.col("doc_id") % 9 * 3000, words % 500)
+    return table(spark, sf_dir, "documents").select("doc_id", most.alias("most"), (words > most).alias("cut"))
+
+
+@query("SELECT doc_id, short, greatest(10, CAST(round_even((target - short)::DOUBLE / points, 0) AS BIGINT)) AS each FROM (SELECT doc_id, target, points, greatest(20, least(40, CAST(round_even(target::DOUBLE * 0.25, 0) AS BIGINT))) AS short FROM (SELECT doc_id, 60 + doc_id * 7 % 341 AS target, 3 + doc_id % 8 AS points FROM documents))")
+def part_budgets(spark, sf_dir):
+    i = F.col("doc_id")
+    return table(spark, sf_dir, "documents").select("doc_id", *[c.alias(k) for k, c in reading.part_budget(60 + i * 7 % 341, 3 + i % 8).items()])
+
+
+@query(rf"""WITH said AS (SELECT doc_id, 'A &amp; B  ' || chr(9) || 'https://t.co/Ab1 end' || chr(10) || chr(10) || '  ' || chr(10) || chr(10) || coalesce(text, '') || ' https://t.co/z' AS text FROM documents),
+plain AS (SELECT doc_id, {_unescape("regexp_replace(text, 'https?://t.co/[0-9A-Za-z_]+', '', 'g')")} AS text FROM said)
+SELECT doc_id, sha256(trim(regexp_replace(array_to_string(list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(x, '[ \t]+', ' ', 'g'))), chr(10)), '\n{{3,}}', chr(10) || chr(10), 'g'), ' ' || chr(10) || chr(9))) AS digest FROM plain""")
+def clean_texts(spark, sf_dir):
+    said = F.concat(F.lit("A &amp; B  \thttps://t.co/Ab1 end\n\n  \n\n"), F.coalesce("text", F.lit("")), F.lit(" https://t.co/z"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(reading.clean_text(said), 256).alias("digest"))
+
+
+# -- rendered lines -------------------------------------------------------------------------------
+
+
+def _md(x: str) -> str:
+    return rf"regexp_replace({x}, '([\\`*_\[\]])', '\\\1', 'g')"
+
+
+def _inline(x: str, limit: int) -> str:
+    line = _collapse(_no_urls(_unescape(x)))
+    head = f"substr({line}, 1, {limit})"
+    cut = rf"CASE WHEN instr({head}, ' ') > 0 AND regexp_extract({head}, '(?s)^(.*) [^ ]*$', 1) <> '' THEN regexp_extract({head}, '(?s)^(.*) [^ ]*$', 1) ELSE {head} END"
+    shown = rf"CASE WHEN length({line}) > {limit} THEN regexp_replace({cut}, '[ ,;:\-–—]+$', '') || '…' ELSE {line} END"
+    return _md(f"replace(replace({shown}, '<', '&lt;'), '>', '&gt;')")
+
+
+_SAID = "CASE WHEN pure THEN '🔁 @' || retweet_of_author || ': ' || retweet_of_text WHEN retweet_of_author <> '' THEN own || ' ↩ @' || retweet_of_author || ': ' || retweet_of_text ELSE own END"
+
+
+@query(feed_sql(f"SELECT doc_id, '- ' || array_to_string(list_filter(['**' || {_md('source')} || '**', coalesce(strftime(published, '%m-%d %H:%M'), ''), {_inline(_SAID, 140)}], lambda x: x <> ''), ' · ') || ' [↗](' || url || ')' AS line FROM feed"))
+def post_lines(spark, sf_dir):
+    return feed(spark, sf_dir).select("doc_id", render.post_line().alias("line"))
+
+
+@query(feed_sql(f"SELECT doc_id, '- 🔁 **' || {_md('source')} || '** → @' || {_md('retweet_of_author')} || ' · ' || {_inline('retweet_of_text', 100)} || ' [↗](' || url || ')' AS line FROM feed WHERE pure"))
+def retweet_lines(spark, sf_dir):
+    return feed(spark, sf_dir).where("pure").select("doc_id", render.retweet_line().alias("line"))
+
+
+_FIRSTS = f"""firsts AS (SELECT * FROM (SELECT m.leader, m.source, f.url, f.id, f.published, row_number() OVER (PARTITION BY m.leader, m.source ORDER BY m.published IS NULL, m.published, m.id) AS rn FROM members m JOIN feed f ON f.id = m.id) WHERE rn = 1),
+told_lines AS (SELECT leader, count(*) AS sources, bool_or(source = '{PRIORITY}') AS starred, array_to_string(list('[' || {_md('source')} || '](' || url || ')' ORDER BY published IS NULL, published, id), ' · ') AS links FROM firsts GROUP BY leader HAVING count(*) >= 2)"""
+
+
+@query(feed_sql(f"SELECT t.leader, starred, '- **×' || sources || '** ' || CASE WHEN starred THEN '★ ' ELSE '' END || links || ' — ' || {_inline('f.story', 140)} AS line FROM told_lines t JOIN feed f ON f.id = t.leader", _SETS, _LEADERS, _MEMBERS, _FIRSTS))
+def story_lines(spark, sf_dir):
+    items = feed(spark, sf_dir)
+    members = stories.checkpointed(stories.stories(items))
+    firsts = stories.first_by_source(members, items).join(items.select("id", "url", "published"), "id")
+    texts = items.select(F.col("id").alias("leader"), X.story_text(F.col("own")).alias("text"))
+    return render.story_lines(stories.told_by(members, items), firsts, texts, F.col("source") == PRIORITY)
+
+
+@query("SELECT CASE WHEN n % 4 = 0 THEN 'not found' ELSE 'failed' END AS kind, count(*) AS n, array_to_string(list(source ORDER BY n), ' ') AS handles FROM (SELECT DISTINCT source, CAST(substr(source, 4) AS INT) AS n FROM documents) WHERE n % 2 = 0 GROUP BY 1")
+def fetch_report(spark, sf_dir):
+    n = F.substring("source", 4, 10).cast("int")
+    rows = table(spark, sf_dir, "documents").select("source").distinct().select(n.alias("place"), F.col("source").alias("handle"), F.when(n % 2 == 0, "status 500").alias("failed"), (n % 4 == 0).alias("not_found"))
+    return render.fetch_report(rows).select("kind", "n", F.array_join("handles", " ").alias("handles"))
+
+
+@query(feed_sql("SELECT tier, ' · kept 30%: ' || array_to_string(list_filter([CASE WHEN shown < n THEN shown || ' of ' || n || CASE WHEN n = 1 THEN ' image tweet' ELSE ' image tweets' END || ' with pictures' END, 'priority tweets as one-liners'], lambda x: x IS NOT NULL), ', ') AS note FROM (SELECT tier, count(*) AS n, count(CASE WHEN n_images BETWEEN 1 AND 3 THEN 1 END) AS shown FROM feed GROUP BY tier)"))
+def kept_notes(spark, sf_dir):
+    few = F.size("images").between(1, 3)
+    sums = feed(spark, sf_dir).groupBy("tier").agg(_n("n"), F.count_if(few).alias("shown"))
+    return sums.select("tier", render.kept_note(30, F.col("shown"), F.col("n"), F.lit(True)).alias("note"))
+
+
+@query(feed_sql("SELECT section, doc_id, row_number() OVER (PARTITION BY section ORDER BY source <> '@src3', lower(source), source, coalesce(published, TIMESTAMP '0001-01-01'), id) AS place, '#### ' || " + _md("source") + " || ' <!-- item:' || id || ' --> [Post Link](' || url || ')' || CASE WHEN published IS NULL THEN '' ELSE ' · ' || strftime(published, '%Y-%m-%d %H:%M') || ' UTC' END AS head FROM feed"))
+def digest_blocks(spark, sf_dir):
+    """Headings of the full archive, in its order."""
+    from pyspark.sql.window import Window
+
+    items = feed(spark, sf_dir)
+    lines = render.digest_lines(items, F.col("source") == PRIORITY, F.col("own")).withColumn("place", F.row_number().over(Window.partitionBy("section").orderBy("at")))
+    return lines.join(derived_feed(spark, sf_dir).select("doc_id", "id"), F.col("at.id") == F.col("id")).select("section", "doc_id", "place", F.substring_index("line", "\n", 1).alias("head"))

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from feedloom.functions import text as X
+
 #: A normalized post, as stored.
 ITEM = T.StructType(
     [T.StructField(n, T.StringType(), False) for n in ("id", "source", "source_type", "title", "url")]
@@ -18,17 +20,35 @@ ITEM = T.StructType(
     ]
 )
 
-#: An upstream timeline page of the pay-per-post backend.
-_USER = T.StructType([T.StructField("userName", T.StringType())])
-_INNER = T.StructType([T.StructField("text", T.StringType()), T.StructField("author", _USER)])
+def _user(name: str) -> T.StructType:
+    return T.StructType([T.StructField(name, T.StringType())])
+
+
+def _post(name: str) -> T.StructType:
+    return T.StructType([T.StructField("text", T.StringType()), T.StructField("author", _user(name))])
+
+
+def _strings(*names: str) -> list[T.StructField]:
+    return [T.StructField(n, T.StringType()) for n in names]
+
+
+#: A post of the backend that bills by post.
 TIMELINE = T.StructType(
-    [
-        T.StructField(n, T.StringType()) for n in ("url", "text", "createdAt", "inReplyToUsername", "conversationId", "id")
+    _strings("url", "text", "createdAt", "inReplyToUsername", "conversationId", "id")
+    + [
+        T.StructField("isReply", T.BooleanType()), T.StructField("author", _user("userName")),
+        T.StructField("retweeted_tweet", _post("userName")), T.StructField("quoted_tweet", _post("userName")),
+        T.StructField("extendedEntities", T.StructType([T.StructField("media", T.ArrayType(T.StructType(_strings("media_url_https"))))])),
     ]
+)
+
+#: A post of the backend that bills by call.
+TIMELINE_BY_CALL = T.StructType(
+    _strings("url", "text", "createdAt", "conversationId", "id")
     + [
-        T.StructField("isReply", T.BooleanType()), T.StructField("author", _USER),
-        T.StructField("retweeted_tweet", _INNER), T.StructField("quoted_tweet", _INNER),
-        T.StructField("extendedEntities", T.StructType([T.StructField("media", T.ArrayType(T.StructType([T.StructField("media_url_https", T.StringType())])))])),
+        T.StructField("replyTo", T.StructType(_strings("tweetId", "username"))), T.StructField("author", _user("username")),
+        T.StructField("retweetedTweet", _post("username")), T.StructField("quotedTweet", _post("username")),
+        T.StructField("media", T.ArrayType(T.StructType(_strings("thumbnailUrl", "url")))),
     ]
 )
 
@@ -43,25 +63,41 @@ def stored_items(spark: SparkSession, path: str) -> DataFrame:
 
 
 def timeline_items(pages: DataFrame, source_type: str = "x") -> DataFrame:
-    """Posts from rows of TIMELINE (one a post), normalized: title, shared post, thread root, pictures, time."""
-    shared = F.coalesce("retweeted_tweet", "quoted_tweet")
-    bare = F.col("retweeted_tweet").isNotNull()
-    who = F.coalesce(F.col("author.userName"), F.lit(""))
+    """Posts from rows of TIMELINE (one a post), normalized."""
+    reply = F.when(F.col("isReply") | F.col("inReplyToUsername").isNotNull(), F.col("inReplyToUsername"))
+    titled = F.when(F.col("isReply"), F.col("inReplyToUsername"))
+    return _normalized(pages, source_type, F.col("author.userName"), reply, titled, F.col("retweeted_tweet"), F.col("quoted_tweet"), "userName", F.col("extendedEntities.media.media_url_https"))
+
+
+def timeline_items_by_call(pages: DataFrame, source_type: str = "x") -> DataFrame:
+    """The same from rows of TIMELINE_BY_CALL."""
+    media = F.transform("media", lambda m: F.coalesce(F.nullif(m["thumbnailUrl"], F.lit("")), m["url"]))
+    reply = F.col("replyTo.username")
+    return _normalized(pages, source_type, F.col("author.username"), reply, reply, F.col("retweetedTweet"), F.col("quotedTweet"), "username", media)
+
+
+def _normalized(pages: DataFrame, source_type: str, author, reply, titled, retweeted, quoted, name: str, media) -> DataFrame:
+    """Title, shared post, added comment, thread root, pictures, time of a post, whoever sent it."""
+    who, told = F.coalesce(author, F.lit("")), F.coalesce(X.collapse(F.col("text")), F.lit(""))
+    shared = F.coalesce(retweeted, quoted)
+    by = F.coalesce(shared["author"][name], F.lit(""))
+    original = F.when(by == "", "").otherwise(F.coalesce(X.collapse(shared["text"]), F.lit("")))
     title = (
-        F.when(bare, F.concat(F.lit("RT @"), F.col("retweeted_tweet.author.userName"), F.lit(": "), F.col("retweeted_tweet.text")))
-        .when(F.col("isReply") & F.col("inReplyToUsername").isNotNull(), F.concat(F.lit("R to @"), "inReplyToUsername", F.lit(": "), F.col("text")))
-        .otherwise(F.col("text"))
+        F.when(retweeted.isNotNull(), F.when(by == "", told).otherwise(F.concat(F.lit("RT @"), by, F.lit(": "), original)))
+        .when(F.coalesce(titled, F.lit("")) != "", F.concat(F.lit("R to @"), titled, F.lit(": "), told)).otherwise(told)
     )
-    own_thread = F.col("isReply") & (F.lower("inReplyToUsername") == F.lower(who)) & (F.col("conversationId") != F.col("id")) & ~bare
+    echo = F.startswith(F.lower(told), F.concat(F.lit("rt @"), F.lower(by), F.lit(":"))) | X.is_echo(told, original)
+    words = F.when(by == "", title).when(echo, "").otherwise(told)
+    own_thread = retweeted.isNull() & (F.coalesce(reply, F.lit("")) != "") & (F.lower(reply) == F.lower(who)) & (F.coalesce("conversationId", F.lit("")) != "") & (F.col("conversationId") != F.coalesce("id", F.lit("")))
     # Spark doesn't parse day names, so they are cut off.
-    when = F.to_timestamp_ntz(F.try_to_timestamp(F.expr("substring(createdAt, 5)"), F.lit("MMM dd HH:mm:ss Z yyyy")).cast("string"))
-    url = F.coalesce("url", F.concat(F.lit("https://x.com/"), who, F.lit("/status/"), F.col("id")))
-    media = F.coalesce(F.col("extendedEntities.media.media_url_https"), F.array().cast("array<string>"))
+    named = F.try_to_timestamp(F.expr("substring(createdAt, 5)"), F.lit("MMM dd HH:mm:ss Z yyyy"))
+    iso = F.when(F.col("createdAt").rlike(r"^\d{4}-\d\d-\d\dT[\d:.]+Z$"), F.try_to_timestamp("createdAt"))
+    url = F.coalesce(F.nullif(F.col("url"), F.lit("")), F.concat(F.lit("https://x.com/"), who, F.lit("/status/"), F.col("id")))
+    pictures = F.coalesce(F.array_distinct(F.filter(media, lambda m: m.isNotNull() & (m != ""))), F.array().cast("array<string>"))
     return pages.select(
         F.substring(F.sha2(url, 256), 1, 16).alias("id"), F.concat(F.lit("@"), who).alias("source"), F.lit(source_type).alias("source_type"),
-        F.substring(title, 1, 200).alias("title"), url.alias("url"), who.alias("author"), when.alias("published"),
-        F.when(bare, "").otherwise(title).alias("full_text"), F.array_distinct(F.filter(media, lambda m: m.isNotNull())).alias("images"),
-        F.coalesce(shared["author"]["userName"], F.lit("")).alias("retweet_of_author"), F.coalesce(shared["text"], F.lit("")).alias("retweet_of_text"),
+        F.substring(title, 1, 200).alias("title"), url.alias("url"), who.alias("author"), F.coalesce(named, iso).cast("timestamp_ntz").alias("published"),
+        words.alias("full_text"), pictures.alias("images"), by.alias("retweet_of_author"), original.alias("retweet_of_text"),
         F.when(own_thread, F.col("conversationId")).otherwise("").alias("thread_root"),
     )
 

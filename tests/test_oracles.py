@@ -35,6 +35,5 @@ def test_oracle(spark, duck, name):
     assert plain(map(tuple, df.select(*columns).collect())) == plain(duck.sql(f"select {quoted} from ({ORACLES[name]})").fetchall())
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
-def test_runs(spark, name):
-    assert QUERIES[name](spark, DATA).columns
+def test_every_query_has_an_oracle():
+    assert sorted(QUERIES) == sorted(ORACLES)

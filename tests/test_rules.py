@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from feedloom.functions import text as X
-from feedloom.operators import posts, reading, stories, verify
+from feedloom.operators import brief, posts, reading, render, stories, verify
+from feedloom.sources import exports, follow, timeline
 from feedloom.sources.feed import TIMELINE, timeline_items
 
 DAY = datetime(2026, 7, 8, 6)
@@ -85,10 +86,10 @@ def test_pairs_equal_brute_force(spark):
 
 
 def test_support_of_numbers(spark):
-    items = spark.createDataFrame([(1, "$4.2 billion and 35 and 7 by @alice, SEC and NASA", [1])], "item int, text string, ids array<bigint>")
-    rows = spark.createDataFrame([(1, "it made $4.2 billion, 1,357 people, says @Alice of the sec")], "n bigint, text string")
+    items = spark.createDataFrame([(1, "Big sum: $4.2 billion and 35", "Mentions 7 by @alice, SEC and NASA. Then Hacks by (Robert) in Paris", [1])], "item int, headline string, detail string, ids array<bigint>")
+    rows = spark.createDataFrame([(1, "it made $4.2 billion, 1,357 people, says @Alice of the sec, who hacked it with robert")], "n bigint, text string")
     r = verify.support(items, rows).first()
-    assert (r.facts, r.unsupported_facts, r.acronyms, r.unsupported_acronyms) == (4, 2, 2, 1)
+    assert (r.facts, r.unsupported_facts, r.names, r.unsupported_names) == (4, 2, 5, 2)
 
 
 def test_self_chain_takes_the_least_reply(spark):
@@ -128,3 +129,224 @@ def test_reply_cut_off_is_read_as_far_as_it_goes(spark):
     items = verify.reply_items(spark.createDataFrame([(1, cut)], "chunk int, raw string"))
     stats = verify.chunk_stats(items, spark.createDataFrame([(1, 1), (1, 5)], "chunk int, n int")).first()
     assert (stats["items"], stats.ids_per_item, stats.max_ids, stats.cited, stats.valid, stats.coverage) == (2, 2.0, 2, 2, 1, 0.5)
+
+
+# -- shared retweets ------------------------------------------------------------------------------
+
+
+def _shared(spark, rows):
+    made = [(str(i), a, own, DAY + timedelta(minutes=i), by, text) for i, (a, own, by, text) in enumerate(rows)]
+    return spark.createDataFrame(made, "id string, author string, own string, published timestamp_ntz, retweet_of_author string, retweet_of_text string")
+
+
+def test_shared_retweets_without_any_group(spark):
+    items = _shared(spark, [("a", "x", "Bob", "one post"), ("b", "", "Bob", "another post"), ("c", "own words", "", "")])
+    assert stories.shared_retweets(items).collect() == []
+    assert stories.in_no_group(items, stories.shared_retweets(items)).count() == 3
+
+
+def test_shared_retweets_grow_to_the_longest_copy(spark):
+    whole = "This is the whole text of a post that some of its copies cut off somewhere"
+    rows = [("a", "", "Bob", whole[:40] + "…"), ("b", "mine", "@bob", whole), ("c", "", "BOB", whole.upper()), ("bob", whole, "", ""), ("d", "", "Eve", whole), ("e", "", "Bob", "something else altogether here")]
+    items = _shared(spark, rows)
+    found = stories.shared_retweets(items).collect()
+    assert [(r.handle, r.author, r.text, r.n, r.ids, r.original) for r in found] == [("bob", "Bob", whole, 3, ["0", "1", "2"], "3")]
+    assert sorted(r.id for r in stories.in_no_group(items, stories.shared_retweets(items)).collect()) == ["4", "5"]
+
+
+def test_shared_retweets_equal_a_plain_loop(spark):
+    import random
+
+    rng = random.Random(11)
+    base = ["a post about many things that goes on for quite a while " * 3, "a post about many things that ends", "short", "another post about many things, told at length " * 3]
+    cut = lambda t: rng.choice([t, t[: rng.randrange(5, 130)] + "…", t[: rng.randrange(5, 130)], t.upper(), ""])
+    rows = [(f"u{i}", "", rng.choice(["Bob", "@BOB", "eve"]), cut(rng.choice(base))) for i in range(80)]
+    groups: list[list] = []
+    form = lambda t: " ".join(t.lower().split())
+    for i, (_, _, by, text) in enumerate(rows):
+        who = by.lstrip("@").lower()
+        g = next((g for g in groups if g[0] == who and stories._takes(form(text), form(g[1]))), None)
+        if g is None:
+            groups.append([who, text, [str(i)]])
+        else:
+            g[2].append(str(i))
+            g[1] = max(g[1], text, key=len)
+    got = {(r.handle, r.text, tuple(r.ids)) for r in stories.shared_retweets(_shared(spark, rows)).collect()}
+    assert got == {(w, t, tuple(ids)) for w, t, ids in groups if len(ids) >= 2} and got
+
+
+# -- threads --------------------------------------------------------------------------------------
+
+
+def test_threads_go_up_and_down_and_stop_at_cycles(spark):
+    rows = [(i, i - 1 if i else None, "a") for i in range(150)] + [(500, 3, "a"), (501, 4, "b"), (600, 601, "a"), (601, 600, "a"), (700, 9999, "a"), (800, 801, "c"), (801, None, "d")]
+    df = spark.createDataFrame(rows, "id bigint, parent bigint, author string")
+    saved = spark.createDataFrame([(4,), (500,), (600,), (700,), (800,)], "id bigint")
+    got = {}
+    for r in reading.thread_of(df, saved).collect():
+        got.setdefault(r.saved, {})[r.place] = r.id
+    assert [got[4][k] for k in sorted(got[4])] == list(range(150))
+    assert got[500] == {1: 0, 2: 1, 3: 2, 4: 3, 5: 500}
+    assert got[600] == {1: 601, 2: 600} and got[700] == {1: 700} and got[800] == {1: 800}
+    short = reading.thread_of(df, spark.createDataFrame([(4,)], "id bigint"), most=7).collect()
+    assert sorted((r.place, r.id) for r in short) == [(i + 1, i) for i in range(7)]
+
+
+def test_links_keep_the_brackets_they_opened(spark):
+    rows = [(1, "(see https://en.example.org/a_(b)), https://a.example.org/x). **https://b.example/y!** https://x.com/u http://localhost/ https://c.example/#p https://c.example/")]
+    got = reading.links(spark.createDataFrame(rows, "k int, t string"), "k", F.col("t")).orderBy("pos").collect()
+    assert [r.url for r in got] == ["https://en.example.org/a_(b)", "https://a.example.org/x", "https://b.example/y", "https://c.example/"]
+
+
+# -- pages and markdown ---------------------------------------------------------------------------
+
+
+def test_code_stays_as_it_is(spark):
+    md = "Some <b>words</b>  [here](https://x.example)\n\n\n\n```\n<b>kept</b>  [as](it is)\n```\nand `<i>` too ![p](q)<script>no</script>"
+    got = spark.range(1).select(X.clean_markdown(F.lit(md))).first()[0]
+    assert "<b>kept</b>  [as](it is)" in got and "`<i>`" in got and "https://x.example" not in got and "<b>words" not in got and "no" not in got.split() and "\n\n\n" not in got
+
+
+def test_every_entity(spark):
+    rows = spark.createDataFrame([("&eacute;&amp;&nbsp;&#8217;x",), ("plain",), (None,)], "t string")
+    assert [r[0] for r in rows.select(X.unescape_all(F.col("t"))).collect()] == ["é&\xa0’x", "plain", None]
+
+
+@pytest.mark.parametrize(
+    "text, md",
+    [
+        ("# not a *heading*", "\\# not a \\*heading\\*"), ("1. item", "1\\. item"), ("<img src=x> ![a](https://t.example/p.gif)", "&lt;img src=x&gt; !\\[a\\](https://t.example/p.gif)"),
+        ("see https://a.example/_x_[y](b).", "see https://a.example/_x_%5By%5D(b)."), ("a &lt;b&gt;", "a &lt;b&gt;"),
+    ],
+)
+def test_words_are_safe_in_markdown(spark, text, md):
+    assert spark.range(1).select(render.words_md(F.lit(text))).first()[0] == md
+
+
+# -- small files ----------------------------------------------------------------------------------
+
+
+def test_follow_list(spark):
+    text = "\ufeff// comment\nalice\n## Finance | level:high | hide:presale | reposts:off # more\nNewsFrank | name:Frank Wire | priority:high\n@gina | reposts:on | only:airdrop, \"#alpha, beta\"\nfocus: old\n## Chat | recap:on\nALICE | rp_off\nbob | Bob Name | hgih // end\n"
+    with pytest.warns(UserWarning, match="line 9.*'hgih'"):
+        rows = {r.handle: r for r in follow.sources(spark, text).collect()}
+    assert set(rows) == {"alice", "NewsFrank", "gina", "bob"}
+    frank, gina, bob = rows["NewsFrank"], rows["gina"], rows["bob"]
+    assert (frank.name, frank.grp, frank.priority, frank.reposts, frank.level, frank.hide) == ("Frank Wire", "finance", True, False, "high", ["presale"])
+    assert (gina.reposts, gina.only, gina.hide) == (True, ["airdrop", "#alpha, beta"], ["presale"]) and (bob.name, bob.recap, bob.grp) == ("Bob Name", True, "chat")
+
+
+def test_settings_never_show_what_stands_there():
+    with pytest.raises(follow.SettingError) as e:
+        follow.settings("a: 1\nkey: [SECRET")
+    assert "line" in str(e.value) and "SECRET" not in str(e.value)
+    found = follow.settings("fetch:\n  most: 5\n  key: SECRET\n")
+    assert follow.setting(found, "fetch.most", int) == 5 and follow.setting(found, "fetch.none", int, 7) == 7
+    with pytest.raises(follow.SettingError, match="fetch.key must be int") as e:
+        follow.setting(found, "fetch.key", int)
+    assert "SECRET" not in str(e.value)
+    assert follow.environment("export A='x y' # c\nB=2 # two\n#C=3\n", {"B": "own"}) == {"A": "x y", "B": "own"}
+    assert follow.percent("30%") == 30 and follow.ratio("30%") == 0.3
+    for wrong in (lambda: follow.ratio("30"), lambda: follow.percent("0"), lambda: follow.percent("x")):
+        with pytest.raises(follow.SettingError):
+            wrong()
+
+
+def test_nothing_is_overwritten(tmp_path):
+    (tmp_path / "a.md").write_text("x")
+    (tmp_path / "a-2.md").write_text("x")
+    assert follow.unused_name(tmp_path / "a.md").name == "a-3.md" and follow.unused_name(tmp_path / "b.md").name == "b.md"
+
+
+# -- timelines ------------------------------------------------------------------------------------
+
+
+def test_timelines_are_read_to_the_cutoff(spark, tmp_path):
+    import json
+
+    when = lambda h: f"2024-12-10T{h:02d}:00:00Z"
+    pages = {
+        "alice": [{"posts": [{"id": "1", "createdAt": when(9)}, {"id": "2"}]}, {"posts": [{"id": "3", "createdAt": when(1)}, {"id": "4", "createdAt": when(8)}]}],
+        "bob": [{"posts": [{"id": "5", "createdAt": when(2)}]}], "carol": [{"posts": [{"id": "6", "createdAt": when(7)}]}, {"status": 500}], "dave": [{"status": 500}],
+    }
+    for handle, found in pages.items():
+        (tmp_path / handle).mkdir()
+        for n, page in enumerate(found):
+            (tmp_path / handle / f"{n}.json").write_text(json.dumps(page))
+    spark.dataSource.register(timeline.Timelines)
+    options = {"path": str(tmp_path), "handles": "dave,alice,bob,carol,gone", "cutoff": "2024-12-10T06:00:00+00:00"}
+    rows = spark.read.format("timelines").options(**options).load().orderBy("place", "pos").collect()
+    got = [(r.handle, json.loads(r.post)["id"] if r.post else None, r.failed, r.not_found) for r in rows]
+    assert got == [("dave", None, "status 500", False), ("alice", "1", None, None), ("alice", "2", None, None), ("bob", "5", None, None), ("carol", "6", None, None), ("gone", None, "status 404", True)]
+
+
+def test_calls_are_paced_and_tried_again():
+    waits, calls = [], iter([timeline.Refused(429), TimeoutError(), timeline.Refused(503), None])
+
+    def call():
+        e = next(calls)
+        if e:
+            raise e
+        return timeline.Page([])
+
+    assert timeline.asked_again(call, wait=waits.append).posts == [] and waits == [2.0, 4.0, 8.0]
+    with pytest.raises(timeline.Refused):
+        timeline.asked_again(lambda: (_ for _ in ()).throw(timeline.Refused(404)), wait=waits.append)
+    now, slept = [0.0], []
+    pace = timeline.Pace(60, clock=lambda: now[0], wait=slept.append)
+    for _ in range(3):
+        pace.step()
+    assert slept == [1.25, 2.5]
+
+
+def test_limits_of_a_fetch():
+    assert [timeline.page_limit(m, 20) for m in (0, 10, 300)] == [25, 25, 30]
+    assert timeline.item_ceiling(20, True, 24) == (40, False) and timeline.item_ceiling(0, True, 24) == (0, False) and timeline.item_ceiling(0, False, 24) == (100, True)
+    assert timeline.lookback_hours(None, DAY) is None and timeline.lookback_hours(DAY - timedelta(hours=5), DAY) == 6 and timeline.lookback_hours(DAY - timedelta(days=30), DAY) == 169
+
+
+# -- exports and runs -----------------------------------------------------------------------------
+
+
+def test_unknown_number_is_an_error(spark):
+    lines = spark.createDataFrame([(1, "# head"), (2, "## X"), (3, "### regular"), (4, "[1] @a hi there"), (5, "## repeated stories"), (6, "repeated: [1] [2]")], "at int, line string")
+    mapping = spark.createDataFrame([(1, "regular", None, "")], "n bigint, tier string, words bigint, grp string")
+    r = exports.checked(exports.parse_export(lines, mapping)).first()
+    assert (r.n, r.section, r.line, r.words) == (1, "X", "@a hi there", 3) and exports.parse_repeated(lines).first().ns == [1, 2]
+    with pytest.raises(Exception, match="post 1 is in the export but not in its map"):
+        exports.checked(exports.parse_export(lines, mapping.limit(0))).collect()
+
+
+def test_run_folder(spark, tmp_path):
+    records = spark.createDataFrame([("b-02", True), ("a-01", False)], "chunk string, ok boolean")
+    manifest = spark.createDataFrame([(["b-02", "a-01"], "m")], "chunks array<string>, model string")
+    exports.write_run(records, manifest, str(tmp_path / "run"))
+    told, rows = exports.read_run(spark, str(tmp_path / "run"), records.schema, manifest.schema)
+    assert told.first().model == "m" and [r.chunk for r in rows.orderBy("place").collect()] == ["b-02", "a-01"]
+    with pytest.raises(Exception, match="already exists|ALREADY_EXISTS"):
+        exports.write_run(records, manifest, str(tmp_path / "run"))
+
+
+def test_numbers_along_an_order(spark):
+    from feedloom.plans.numbering import numbered_along
+
+    df = spark.range(1000).withColumn("k", F.expr("id * 7919 % 1009"))
+    got = numbered_along(df, [F.col("k")]).orderBy("k").collect()
+    assert [r.n for r in got] == list(range(1, 1001))
+
+
+def test_room_passes_over_what_does_not_fit(spark):
+    ranked = spark.createDataFrame([(1, 3.0), (2, 9.0), (3, 4.0), (4, 2.0), (5, 3.0), (6, 1.0)], "rank bigint, cost double")
+    assert [r["rank"] for r in brief.fill_room(ranked, 10.0).where("taken").orderBy("rank").collect()] == [1, 3, 4, 6]
+
+
+def test_sessions_and_horizon(spark, tmp_path):
+    from feedloom.streaming import feeds
+
+    rows = [(1, "a", DAY), (2, "a", DAY + timedelta(hours=1)), (3, "a", DAY + timedelta(days=3)), (4, "b", DAY)]
+    spark.createDataFrame(rows, "id int, u string, ts timestamp").write.parquet(str(tmp_path / "in"))
+    read = lambda: feeds.read_items(spark, str(tmp_path / "in"), "id int, u string, ts timestamp", files_per_trigger=1)
+    assert sorted((r.u, r.n) for r in feeds.run_once(feeds.sessions(read(), "ts", "u", "2 days"), "complete").collect()) == [("a", 1), ("a", 2), ("b", 1)]
+    late = read().withColumn("ts", F.when(F.col("id") == 4, F.col("ts") - F.expr("interval 90 days")).otherwise(F.col("ts")))
+    got = sorted(r.id for r in feeds.run_once(feeds.first_sightings(late.repartition(1), "id", "ts", "1 day")).collect())
+    assert set(got) <= {1, 2, 3, 4} and {3} <= set(got)
