@@ -166,6 +166,23 @@ def fingerprints(docs: DataFrame, width: int, key: str = "doc_id", text: str = "
     return small_batches(rows).mapInArrow(run, f"key {kind}, fp bigint").withColumnRenamed("key", key)
 
 
+def groups(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.Table]:
+    """Rows of each value of a column that they are sorted by, as one table."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        values = batch.column(column).to_numpy()
+        if not len(values):
+            continue
+        cuts = [0, *(np.flatnonzero(np.diff(values)) + 1).tolist(), len(values)]
+        for a, b in zip(cuts, cuts[1:]):
+            if held and held[-1].column(column)[0].as_py() != values[a]:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 # -- pigeonring -----------------------------------------------------------------------------------
 
 
@@ -351,8 +368,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, tau: int = 4, key: str = "d
     """``key``, ``fp`` and ``component_id`` (least key reachable over links) of every row.
 
     Equal fingerprints are one vertex, so copies never make pairs.  Null and
-    empty texts have fingerprint 0 and are linked like any other; rows that
-    repeat a key or text are kept; an empty table gives an empty table.
+    empty texts have fingerprint 0 and are linked like any other; texts of any
+    length are read whole; rows that repeat a key or text are kept; an empty table
+    gives an empty table; other columns of ``docs`` don't matter.
     """
     prints = stored(fingerprints(docs, width, key, text), "prints")
     vertices = stored(prints.groupBy("fp").agg(F.min(key).alias("least")), "vertices")

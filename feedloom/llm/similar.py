@@ -186,6 +186,44 @@ def _small_buckets(rows: DataFrame, many: DataFrame, labels: DataFrame) -> DataF
     return likely.where(F.coalesce("label_u", "u") != F.coalesce("label_v", "v")).select("u", "v")
 
 
+def _near_in_block(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a group that are in two components and may be near by size, place and marks."""
+    fp, n, pos, label = (table.column(c).to_numpy() for c in ("fp", "n", "pos", "label"))
+    marks = table.column("marks").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(fp), MARKS)
+    n, pos = n.astype(np.int64), pos.astype(np.int64)
+    us, vs = [], []
+    for a in range(0, len(fp), GROUP):
+        own = slice(a, a + GROUP)
+        both = n[own, None] + n[None, :]
+        shared = np.minimum((n - pos)[own, None], (n - pos)[None, :])
+        may = (fp[own, None] < fp[None, :]) & (label[own, None] != label[None, :]) & (shared * (NUM + DEN) >= NUM * both)
+        i, j = np.nonzero(may)
+        differ = np.bitwise_count(marks[own][i] ^ marks[j]).sum(axis=1, dtype=np.int64)
+        close = differ * (NUM + DEN) <= both[i, j] * (DEN - NUM)
+        us.append(fp[own][i[close]])
+        vs.append(fp[j[close]])
+    return np.concatenate(us), np.concatenate(vs)
+
+
+def _across(own: DataFrame, prints: DataFrame) -> DataFrame:
+    """Pairs of a large bucket's texts that may be near, bucket by ``h``; ``own``: h, fp, n, pos, label.
+
+    A bucket is split in blocks of GROUP texts and every two blocks meet once, so
+    no task holds more than two blocks and no pair is a row before it has passed.
+    """
+    sides = prints.groupBy("fp").agg(F.first("marks").alias("marks"))
+    blocks = own.groupBy("h").agg(F.ceil(F.count("*") / F.lit(GROUP)).cast("int").alias("blocks"))
+    dealt = join_split(join_split(own, sides, "fp", "inner"), blocks, "h", "inner").withColumn("mine", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
+    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(F.xxhash64("h", F.least("mine", "other"), F.greatest("mine", "other")).alias("g"), "fp", "n", "pos", "label", "marks")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in simhash.groups(batches, "g"):
+            u, v = _near_in_block(group)
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+
+    return met.repartition("g").sortWithinPartitions("g").mapInArrow(run, "u bigint, v bigint")
+
+
 def links(prints: DataFrame, sets_of, tau: int = TAU) -> DataFrame:
     """Edges ``u``, ``v`` over the distinct ``fp`` that connect whatever is linked by a near pair, or by several.
 
@@ -193,9 +231,10 @@ def links(prints: DataFrame, sets_of, tau: int = TAU) -> DataFrame:
     share NUM / DEN of their union share a shingle of their first
     n - ceil(n NUM / DEN) + 1, in any order all agree on.  The texts of a small
     bucket meet in pairs.  Those of a large one are first held against one of
-    them, twice; then all that are not in one component yet meet in pairs.  A
-    pair left out is in one component already, so the components are those of all
-    near pairs.
+    them, twice; then all that are not in one component yet meet block by block,
+    which gives only the pairs whose sizes, places and marks leave room.  A pair
+    left out is in one component already, or not near, so the components are those
+    of all near pairs.
     """
     edges = near_pairs(_met_in_bits(prints, tau), prints, sets_of)
     every = prints.select("fp", "n", F.posexplode("head").alias("pos", "h"))
@@ -216,8 +255,8 @@ def links(prints: DataFrame, sets_of, tau: int = TAU) -> DataFrame:
         if turn < ROUNDS:
             pairs = join_split(placed.select("h", mine), apart, "h", "inner").where((F.col("x.label") != F.col("lead.label")) & _possible("x", "lead")).select(F.col("lead.fp").alias("u"), F.col("x.fp").alias("v"))
         else:
-            own = stored(join_split(placed.select("h", mine), apart.select("h"), "h", "inner"), "apart")
-            pairs = join_split(own, own.select("h", F.col("x").alias("y")), "h", "inner").where((F.col("x.fp") < F.col("y.fp")) & (F.col("x.label") != F.col("y.label")) & _possible("x", "y")).select(F.col("x.fp").alias("u"), F.col("y.fp").alias("v"))
+            own = join_split(placed.select("h", "fp", "n", "pos", "label"), apart.select("h"), "h", "inner")
+            pairs = _across(stored(own, "apart"), prints)
         edges = edges.union(near_pairs(pairs, prints, sets_of))
     return edges
 
