@@ -18,6 +18,9 @@ BACKOFF = 0.4
 
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
+#: Text of a chunk: larger ones repeat fewer n-grams.
+CHUNK_BYTES = 12 << 20
+
 #: Of so many n-grams about one may share its key with another, and the fewest bits of a key.
 SPARE, MIN_BITS = 1 << 22, 40
 
@@ -90,21 +93,26 @@ def score(docs: DataFrame, order: int = 3, key: str = "doc_id", text: str = "tex
         first = np.arange(len(words)) - np.repeat(starts, n)
         return [gram_keys(words, first, o, bits) for o in range(1, order + 1)], n
 
-    def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct keys by partition, then value; their counts; where each partition begins."""
-        values, counts = np.unique(keys[keys > 0], return_counts=True)
+    def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct keys by partition, then value; their counts; where each partition begins; each key's place among them, or -1."""
+        real = keys > 0
+        codes, values = pd.factorize(keys[real])
         part = (values >> np.uint64(1)) % np.uint64(parts)
-        by = np.argsort(part, kind="stable")
-        return values[by], counts[by], np.searchsorted(part[by], np.arange(parts + 1))
+        by = np.lexsort((values, part))
+        rank = np.empty(len(by), np.int64)
+        rank[by] = np.arange(len(by))
+        at = np.full(len(keys), -1, np.int64)
+        at[real] = rank[codes]
+        return values[by], np.bincount(at[real], minlength=len(by)), np.searchsorted(part[by], np.arange(parts + 1)), at
 
     def request(row: dict) -> Iterator[tuple[int, bytes]]:
         found = [distinct(k) for k in grams(row)[0]]
         for p in range(parts):
             blobs = []
-            for values, counts, cuts in found:
+            for values, counts, cuts, _ in found:
                 own = slice(cuts[p], cuts[p + 1])
                 blobs += [packed.pack_sorted(values[own]), packed.pack_ints(counts[own])]
-            if any(cuts[p + 1] > cuts[p] for _, _, cuts in found):
+            if any(cuts[p + 1] > cuts[p] for _, _, cuts, _ in found):
                 yield p, b"".join(len(b).to_bytes(4, "little") + b for b in blobs)
 
     def blobs_of(data: bytes) -> list[bytes]:
@@ -121,9 +129,8 @@ def score(docs: DataFrame, order: int = 3, key: str = "doc_id", text: str = "tex
         for o in range(order):
             values = [packed.unpack_sorted(b[2 * o]) for b in split]
             counts = [packed.unpack_ints(b[2 * o + 1]).astype(np.int64) for b in split]
-            table, inverse = np.unique(np.concatenate(values), return_inverse=True)
-            sums = np.bincount(inverse, weights=np.concatenate(counts), minlength=len(table)).astype(np.int64)
-            found = sums[inverse]
+            codes, table = pd.factorize(np.concatenate(values))
+            found = np.bincount(codes, weights=np.concatenate(counts), minlength=len(table)).astype(np.int64)[codes]
             at = 0
             for i, v in enumerate(values):
                 out[i].append(packed.pack_ints(found[at : at + len(v)]))
@@ -136,18 +143,15 @@ def score(docs: DataFrame, order: int = 3, key: str = "doc_id", text: str = "tex
         split = [blobs_of(data) for _, data in answers]
         counts = []
         for o in range(order):
-            values, _, _ = distinct(keys[o])
-            got = np.concatenate([packed.unpack_ints(b[o]).astype(np.int64) for b in split]) if split else np.zeros(0, np.int64)
-            if len(got) != len(values):
+            values, _, _, at = distinct(keys[o])
+            of_all = np.concatenate([packed.unpack_ints(b[o]).astype(np.int64) for b in split]) if split else np.zeros(0, np.int64)
+            if len(of_all) != len(values):
                 raise RuntimeError("a chunk's n-grams did not all come back")
-            by = np.argsort(values)
-            ordered, of_all = values[by], got[by]
-            where = np.minimum(np.searchsorted(ordered, keys[o]), max(len(ordered) - 1, 0))
-            real = keys[o] > 0
-            everywhere = np.where(real, of_all[where], 0) if len(ordered) else np.zeros(0, np.int64)
-            pair = where.astype(np.int64) + doc * (len(ordered) + 1)
-            _, inverse, own = np.unique(np.where(real, pair, -1), return_inverse=True, return_counts=True)
-            counts.append(np.where(real, everywhere - own[inverse], 0))
+            real = np.flatnonzero(at >= 0)
+            own, _ = pd.factorize(at[real] + doc[real] * (len(values) + 1))
+            left = np.zeros(len(at), np.int64)
+            left[real] = of_all[at[real]] - np.bincount(own)[own] if len(real) else 0
+            counts.append(left)
         size = np.repeat(n, n)
         outside = np.maximum(total - size, 0)
         first = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
@@ -174,4 +178,4 @@ def score(docs: DataFrame, order: int = 3, key: str = "doc_id", text: str = "tex
         return frame.astype({"key": "Int64"}) if kind in ("bigint", "int") else frame
 
     schema = f"key {kind}, n_words bigint, n_seen bigint, log_score double, score double"
-    return packed.ask(docs, key, text, side, request, serve, finish, schema, steady)
+    return packed.ask(docs, key, text, side, request, serve, finish, schema, steady, CHUNK_BYTES)

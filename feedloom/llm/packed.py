@@ -89,6 +89,7 @@ def ask(
     finish: Callable[[dict, list[tuple[int, bytes]]], pd.DataFrame],
     schema: str,
     steady: bool = False,
+    chunk_bytes: int = CHUNK_BYTES,
 ) -> DataFrame:
     """The documents' chunks, asked and answered.
 
@@ -101,7 +102,7 @@ def ask(
     rows = small_batches(rows if steady else stored(rows, "steady"))
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        for table in pieces(batches, "text", CHUNK_BYTES):
+        for table in pieces(batches, "text", chunk_bytes):
             words = Words(text_array(table, "text"))
             ids = table.column("key").combine_chunks()
             name = xxhash.xxh64(words.codes.tobytes())
