@@ -44,11 +44,13 @@ def exact_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", d
 
     Each level reads the groups the one before left over; what survives is told
     by a bit map of fixed size, so no text is shuffled.  A null text counts as
-    empty; empty texts equal each other; rows that repeat a key and text stand
-    or fall together; an empty table gives an empty table.
+    empty; empty texts equal each other; texts of any length are hashed whole;
+    rows that repeat a key and text stand or fall together; an empty table gives
+    an empty table; other columns of ``docs`` don't matter, and ``key`` may have the
+    name of a column that is returned.
     """
     body = F.coalesce(F.col(text), F.lit(""))
-    base = docs.select(F.col(key), body.alias("_text"))
+    base = docs.select(F.col(key).alias("_key"), body.alias("_text"))
     length = F.xxhash64(F.octet_length("_text"))
     prefix = F.xxhash64(F.octet_length("_text"), F.substring("_text", 1, PREFIX_CHARS))
 
@@ -57,19 +59,19 @@ def exact_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", d
     by_prefix = _marks(level2.select(F.when(F.col("_same_length"), prefix).alias("h")))
     level3 = _survives(base, by_prefix, prefix, "_same_prefix")
     sha = F.sha2(F.col("_text"), 256)
-    columns = [F.col(key), F.when(F.col("_same_prefix"), sha).alias("full_hash")]
+    columns = [F.col("_key"), F.when(F.col("_same_prefix"), sha).alias("full_hash")]
     if digest:
         columns.append(sha.alias("text_sha256"))
     rows = stored(level3.select(*columns), "exact")
 
     groups = (
         rows.where(F.col("full_hash").isNotNull()).groupBy("full_hash")
-        .agg(F.max(key).alias("keep_id"), F.count("*").alias("group_size")).where("group_size > 1")
+        .agg(F.max("_key").alias("keep_id"), F.count("*").alias("group_size")).where("group_size > 1")
     )
-    keyed = rows.withColumn("_join", F.coalesce("full_hash", F.concat(F.lit("row "), F.col(key).cast("string")), F.lit("row")))
+    keyed = rows.withColumn("_join", F.coalesce("full_hash", F.concat(F.lit("row "), F.col("_key").cast("string")), F.lit("row")))
     joined = join_split(keyed, groups.withColumnRenamed("full_hash", "_join"), "_join")
-    keep = F.coalesce("keep_id", F.col(key))
+    keep = F.coalesce("keep_id", F.col("_key"))
     return joined.select(
-        key, keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("bigint").alias("group_size"),
-        F.col(key).eqNullSafe(keep).alias("kept"), "full_hash", *(["text_sha256"] if digest else []),
+        F.col("_key").alias(key), keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("bigint").alias("group_size"),
+        F.col("_key").eqNullSafe(keep).alias("kept"), "full_hash", *(["text_sha256"] if digest else []),
     )

@@ -10,8 +10,9 @@ from pyspark.sql.window import Window
 
 from feedloom.llm.common import WORD, join_small, stored, unit
 
-#: Parts of the order of a source that are summed before any row is looked at.
-PARTS = 1024
+#: Parts of the order of a source that are summed before any row is looked at: so many at least, and PART_ROWS rows
+#: of all a part on average, so what one task sorts of a source doesn't grow with the input.
+PARTS, PART_ROWS = 1024, 1000
 
 #: Passes over the order: later ones fill what the first left with texts that still fit.
 PASSES = 4
@@ -57,8 +58,11 @@ def mix(docs: DataFrame, weights: Sequence[float], total: float = 1.5, cap: floa
     source still needs; PASSES - 1 further passes fill the gap before a text too
     long with later ones that fit.
 
-    Null text: size 0, taken or not without effect.  A null source is a source,
-    listed last.  Ties of u break by key; an empty table gives an empty table.
+    Null text: size 0, taken or not without effect; texts of any length are counted
+    whole.  A null source is a source, listed last.  Ties of u break by key; rows
+    that repeat a key share its draw and are ranked side by side; an empty table
+    gives an empty table; other columns of ``docs`` don't matter.  Without
+    ``importance`` all rows of a source have equal odds.
     """
     size = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("bigint")
     level = F.col(importance).cast("double") if importance else F.lit(1.0)
@@ -77,7 +81,8 @@ def mix(docs: DataFrame, weights: Sequence[float], total: float = 1.5, cap: floa
     rows = rows.withColumn("_e", expected).withColumn("certain", F.floor("_e").cast("bigint")).withColumn("_p", F.col("_e") - F.col("certain"))
     odds = (u / (F.lit(1.0) - u)) / (F.col("_p") / (F.lit(1.0) - F.col("_p")))
     rows = rows.withColumn("q", F.when((F.col("_p") > 0) & (F.col("size") > 0), odds))
-    rows = stored(rows.withColumn("part", F.floor(F.col("q") / (F.lit(1.0) + F.col("q")) * PARTS).cast("int")).withColumn("more", F.lit(0)).drop("_e", "_p", "_mass", "_importance"), "mix-rows")
+    parts = max(PARTS, base.count() // PART_ROWS)
+    rows = stored(rows.withColumn("part", F.floor(F.col("q") / (F.lit(1.0) + F.col("q")) * parts).cast("int")).withColumn("more", F.lit(0)).drop("_e", "_p", "_mass", "_importance"), "mix-rows")
 
     for _ in range(PASSES):
         rows = _fill(rows)

@@ -63,7 +63,8 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lmscore.score(documents(spark, sf_dir), steady=True)
+    scored = lmscore.score(documents(spark, sf_dir), steady=True)
+    return scored.withColumns({"log_score": F.round("log_score", 4), "score": F.round("score", 6)})
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,5 +120,23 @@ SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, round(target, 4) AS ta
 )
 
 
+def _lm_order(n: int) -> str:
+    return f"c{n} AS (SELECT g{n} AS g, count(*) AS n FROM grams WHERE g{n} IS NOT NULL GROUP BY 1), o{n} AS (SELECT doc_id, g{n} AS g, count(*) AS n FROM grams WHERE g{n} IS NOT NULL GROUP BY 1, 2)"
+
+
+OP8_SQL = rf"""
+WITH split AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+word AS (SELECT doc_id, len(words) AS size, unnest(words) AS w, generate_subscripts(words, 1) AS i FROM split),
+grams AS (SELECT doc_id, size, i, w AS g1, lag(w) OVER d || ' ' || w AS g2, lag(w, 2) OVER d || ' ' || lag(w) OVER d || ' ' || w AS g3 FROM word WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
+{", ".join(map(_lm_order, (1, 2, 3)))},
+counted AS (SELECT g.doc_id, g.size, g.i, (SELECT count(*) FROM word) - g.size AS outside, c1.n - o1.n AS n1, c2.n - o2.n AS n2, c3.n - o3.n AS n3 FROM grams g
+  JOIN c1 ON c1.g = g1 JOIN o1 ON o1.g = g1 AND o1.doc_id = g.doc_id LEFT JOIN c2 ON c2.g = g2 LEFT JOIN o2 ON o2.g = g2 AND o2.doc_id = g.doc_id LEFT JOIN c3 ON c3.g = g3 LEFT JOIN o3 ON o3.g = g3 AND o3.doc_id = g.doc_id),
+before AS (SELECT *, lag(n1) OVER d AS p1, lag(n2) OVER d AS p2 FROM counted WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
+valued AS (SELECT doc_id, coalesce(n3, 0) > 0 AS seen, CASE WHEN n3 > 0 THEN log10(n3::DOUBLE / p2) WHEN n2 > 0 THEN log10(n2::DOUBLE / p1) + log10(0.4) * (least(i, 3) - 2) WHEN n1 > 0 THEN log10(n1::DOUBLE / outside) + log10(0.4) * (least(i, 3) - 1) ELSE log10(1 / (outside + 1.0::DOUBLE)) + log10(0.4) * (least(i, 3) - 1) END AS v FROM before),
+summed AS (SELECT doc_id, count(CASE WHEN seen THEN 1 END) AS n_seen, sum(v) AS v FROM valued GROUP BY doc_id)
+SELECT s.doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_seen, 0) AS n_seen, round(coalesce(v, 0.0), 4) AS log_score, round(v / len(words), 6) AS score FROM split s LEFT JOIN summed m ON m.doc_id = s.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op6_exact": OP6_SQL, "op7_mixing": OP7_SQL}
+    return {"op6_exact": OP6_SQL, "op7_mixing": OP7_SQL, "op8_lm_scores": OP8_SQL}

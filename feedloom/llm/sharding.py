@@ -33,9 +33,10 @@ def shard(docs: DataFrame, weights: Sequence[float], grown: float | None = None,
     ``slot`` (0.. without gaps in each shard) and, with the weight ``grown`` of
     one more shard, ``grown_shard``.
 
-    A null text counts as empty (size 1, checksum 0); a null key is a key like
-    any other; rows that repeat a key share a shard and get a slot each; an
-    empty table gives an empty table.  Slots are given inside (shard, part)
+    A null text counts as empty (size 1, checksum 0); texts of any length count
+    whole; a null key is a key like any other; rows that repeat a key share a
+    shard and get a slot each; an empty table gives an empty table; other columns
+    of ``docs`` don't matter.  Slots are given inside (shard, part)
     groups, a part being a hash of the key, and shifted by the counts of the
     parts before, so no shard is sorted in one task.
     """
