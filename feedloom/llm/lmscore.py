@@ -58,6 +58,17 @@ def gram_keys(words: np.ndarray, first: np.ndarray, order: int, bits: int = 64)
     return h
 
 
+def ranked(values: np.ndarray) -> tuple[np.ndarray, int]:
+    """Each value's place among the distinct ones in order, and how many there are."""
+    order = np.argsort(values)
+    ordered = values[order]
+    first = np.ones(len(values), bool)
+    first[1:] = ordered[1:] != ordered[:-1]
+    place = np.empty(len(values), np.int64)
+    place[order] = np.cumsum(first) - 1
+    return place, int(first.sum())
+
+
 def score(docs: DataFrame, order: int = 3, key: str = "doc_id", text: str = "text", steady: bool = False) -> DataFrame:
     """Mean log10 score of each text's words under the n-grams of all other texts.
 
@@ -93,26 +104,21 @@ def score(docs: DataFrame, order: int = 3, key: str = "doc_id", text: str = "tex
         first = np.arange(len(words)) - np.repeat(starts, n)
         return [gram_keys(words, first, o, bits) for o in range(1, order + 1)], n
 
-    def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct keys by partition, then value; their counts; where each partition begins; each key's place among them, or -1."""
-        real = keys > 0
-        codes, values = pd.factorize(keys[real])
-        part = (values >> np.uint64(1)) % np.uint64(parts)
-        by = np.lexsort((values, part))
-        rank = np.empty(len(by), np.int64)
-        rank[by] = np.arange(len(by))
-        at = np.full(len(keys), -1, np.int64)
-        at[real] = rank[codes]
-        return values[by], np.bincount(at[real], minlength=len(by)), np.searchsorted(part[by], np.arange(parts + 1)), at
+    # Keys are hashes, so ranges of them are partitions of one size, and in order of value they are in order of partition.
+    edges = np.array([(p << bits) // parts for p in range(1, parts)], np.uint64)
+
+    def cut(values: np.ndarray) -> np.ndarray:
+        """Where each partition begins among ascending keys, and where the last ends."""
+        return np.concatenate([[0], np.searchsorted(values, edges), [len(values)]])
 
     def request(row: dict) -> Iterator[tuple[int, bytes]]:
-        found = [distinct(k) for k in grams(row)[0]]
+        found = [(v, n, cut(v)) for v, n in (np.unique(k[k > 0], return_counts=True) for k in grams(row)[0])]
         for p in range(parts):
             blobs = []
-            for values, counts, cuts, _ in found:
+            for values, counts, cuts in found:
                 own = slice(cuts[p], cuts[p + 1])
                 blobs += [packed.pack_sorted(values[own]), packed.pack_ints(counts[own])]
-            if any(cuts[p + 1] > cuts[p] for _, _, cuts, _ in found):
+            if any(cuts[p + 1] > cuts[p] for _, _, cuts in found):
                 yield p, b"".join(len(b).to_bytes(4, "little") + b for b in blobs)
 
     def blobs_of(data: bytes) -> list[bytes]:
@@ -129,8 +135,8 @@ def score(docs: DataFrame, order: int = 3, key: str = "doc_id", text: str = "tex
         for o in range(order):
             values = [packed.unpack_sorted(b[2 * o]) for b in split]
             counts = [packed.unpack_ints(b[2 * o + 1]).astype(np.int64) for b in split]
-            codes, table = pd.factorize(np.concatenate(values))
-            found = np.bincount(codes, weights=np.concatenate(counts), minlength=len(table)).astype(np.int64)[codes]
+            place, n = ranked(np.concatenate(values))
+            found = np.bincount(place, weights=np.concatenate(counts), minlength=n).astype(np.int64)[place]
             at = 0
             for i, v in enumerate(values):
                 out[i].append(packed.pack_ints(found[at : at + len(v)]))
@@ -143,14 +149,14 @@ def score(docs: DataFrame, order: int = 3, key: str = "doc_id", text: str = "tex
         split = [blobs_of(data) for _, data in answers]
         counts = []
         for o in range(order):
-            values, _, _, at = distinct(keys[o])
+            real = np.flatnonzero(keys[o] > 0)
+            place, known = ranked(keys[o][real])
             of_all = np.concatenate([packed.unpack_ints(b[o]).astype(np.int64) for b in split]) if split else np.zeros(0, np.int64)
-            if len(of_all) != len(values):
+            if len(of_all) != known:
                 raise RuntimeError("a chunk's n-grams did not all come back")
-            real = np.flatnonzero(at >= 0)
-            own, _ = pd.factorize(at[real] + doc[real] * (len(values) + 1))
-            left = np.zeros(len(at), np.int64)
-            left[real] = of_all[at[real]] - np.bincount(own)[own] if len(real) else 0
+            own, _ = ranked(place * len(n) + doc[real])
+            left = np.zeros(len(keys[o]), np.int64)
+            left[real] = of_all[place] - np.bincount(own)[own] if len(real) else 0
             counts.append(left)
         size = np.repeat(n, n)
         outside = np.maximum(total - size, 0)
