@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from feedloom.functions import text as X
-from feedloom.operators import brief, export, language, posts, runs, stories
+from feedloom.operators import brief, documents, export, language, posts, render, runs, stories
 from feedloom.queries import (
     _LEADERS, _LINES, _MEMBERS, _NUMBERED, _PACKED, _REPLIES, _SETS, PRIORITY, SOURCES, _chunked, _lines, _n, _no_urls, _numbered, _replies, feed, feed_sql, query,
 )
@@ -457,4 +457,54 @@ def fetch_ceilings(spark, sf_dir):
     return rows.groupBy("source").agg(F.count("*").alias("fetched")).withColumn("warned", F.col("fetched") >= most)
 
 
-__all__ = ["X"]
+
+# -- whole pages ----------------------------------------------------------------------------------
+
+
+@query(feed_sql(f"""SELECT p.chunk, sha256('Band: ' || CASE p.tier WHEN 'retweet' THEN 'retweets' ELSE p.tier END || chr(10) || CASE WHEN p.level <> 'normal' THEN 'Importance: ' || p.level || chr(10) ELSE '' END || 'Length: at most ' || p.max_items || ' items' || CASE WHEN p.tier = 'recap' THEN ', each theme citing at most 5 posts' ELSE '' END || ' and about ' || p.target || ' words in total, all headlines and details together; shorter is fine.' || chr(10)
+ || b.body || CASE WHEN h.told IS NOT NULL THEN chr(10) || chr(10) || '## repeated stories' || chr(10) || h.told ELSE '' END || chr(10)) AS digest
+FROM (SELECT *, greatest(1, least(CAST(round_even(target::DOUBLE / CASE tier WHEN 'recap' THEN 40 ELSE 30 END, 0) AS BIGINT), CASE tier WHEN 'retweet' THEN 8 WHEN 'recap' THEN 20 ELSE 1000000000 END, posts)) AS max_items FROM named_parts) p
+JOIN (SELECT chunk, string_agg(CASE WHEN before IS NULL OR before <> section THEN chr(10) || '## ' || {_LABEL} || chr(10) || line ELSE line END, chr(10) ORDER BY n) AS body FROM (SELECT *, lag(section) OVER (PARTITION BY chunk ORDER BY n) AS before FROM chunk_posts) GROUP BY chunk) b ON b.chunk = p.chunk
+LEFT JOIN (SELECT chunk, string_agg('repeated: ' || array_to_string(list_transform(ns, lambda x: '[' || x || ']'), ' '), chr(10) ORDER BY ns) AS told FROM (SELECT chunk, leader, list_sort(list(n)) AS ns FROM (SELECT leader, unnest(ns) AS n FROM hinted) JOIN chunk_posts USING (n) GROUP BY chunk, leader HAVING count(*) >= 2) GROUP BY chunk) h ON h.chunk = p.chunk""",
+    _NUMBERED, _LINES, SOURCES, _PACKED, "chunk_posts AS (SELECT f.n, c.chunk, f.section, l.line FROM folded f JOIN named_parts c ON c.tier = f.tier AND c.level = f.level AND c.stream = f.stream AND c.part = f.part JOIN lines l ON l.n = f.n)", _HINTED).replace("WITH ", "WITH RECURSIVE ", 1))
+def chunk_messages(spark, sf_dir):
+    packed, parts = _chunked(spark, sf_dir)
+    placed = packed.join(parts.select("tier", "level", "stream", "part", "chunk"), ["tier", "level", "stream", "part"]).select("chunk", "n", "section", "line")
+    hints = exports.cut_to_chunks(_hints(spark, sf_dir), placed)
+    return documents.messages(placed, parts, hints).select("chunk", F.sha2("message", 256).alias("digest"))
+
+
+@query(feed_sql(f"""SELECT kind, section, band, count(*) AS lines FROM
+ (SELECT tier AS kind, section, CASE tier WHEN 'priority' THEN 1 WHEN 'media' THEN 2 WHEN 'regular' THEN 3 ELSE 4 END AS band FROM feed WHERE tier <> 'recap'
+ UNION ALL SELECT DISTINCT 'band', section, CASE tier WHEN 'priority' THEN 1 WHEN 'media' THEN 2 WHEN 'regular' THEN 3 WHEN 'retweet' THEN 4 ELSE 5 END FROM feed UNION ALL SELECT DISTINCT 'section', section, 0 FROM feed
+ UNION ALL SELECT 'story', CASE WHEN alone THEN section ELSE '' END, CASE WHEN alone THEN 6 ELSE -1 END FROM told UNION ALL SELECT DISTINCT 'section', '', -2 FROM told WHERE NOT alone) GROUP BY ALL""",
+    _SETS, _LEADERS, _MEMBERS, "told AS (SELECT m.leader, min(m.section) AS section, bool_and(f.grp = 'de' AND f.tier <> 'priority') AS alone FROM members m JOIN feed f ON f.id = m.id GROUP BY m.leader HAVING count(DISTINCT m.source) >= 2)"))
+def quick_digest(spark, sf_dir):
+    """Lines of the one-line digest by section and band; stories of one recap group alone stand in its section."""
+    items = feed(spark, sf_dir)
+    members = stories.checkpointed(stories.stories(items))
+    firsts = stories.first_by_source(members, items).join(items.select("id", "url", "published"), "id")
+    texts = items.select(F.col("id").alias("leader"), X.story_text(F.col("own")).alias("text"))
+    lines = render.story_lines(stories.told_by(members, items), firsts, texts, F.col("source") == PRIORITY)
+    alone = members.join(items.select("id", "section", "grp", "tier"), "id").groupBy("leader").agg(F.min("section").alias("_s"), F.bool_and((F.col("grp") == "de") & (F.col("tier") != "priority")).alias("_alone"))
+    placed = lines.join(alone, "leader").withColumn("section", F.when(F.col("_alone"), F.col("_s")).otherwise(""))
+    page = documents.quick(items, placed, F.col("source") == PRIORITY)
+    return page.groupBy("kind", F.col("at.section").alias("section"), F.col("at.band").alias("band")).agg(F.count("line").alias("lines"))
+
+
+@query(_told_sql("""SELECT kind, section, place, rank FROM (SELECT *, row_number() OVER (PARTITION BY section ORDER BY part, chunk, item) AS place FROM
+ (SELECT 'section' AS kind, section, 0 AS part, '' AS chunk, 0 AS item, rank FROM tops UNION ALL SELECT 'lead', section, 1, '', 0, rank FROM tops WHERE section <> 'x/fr' UNION ALL SELECT 'bullet', section, 2, CAST(chunk AS VARCHAR), item, rank FROM kept))""",
+    "kept AS (SELECT chunk, item, CASE WHEN grp = '' THEN 'x' ELSE 'x/' || grp END AS section, CASE WHEN grp = 'de' THEN 3 WHEN grp = 'fr' THEN 0 WHEN grp = 'es' THEN 2 ELSE 1 END AS rank FROM outcomes WHERE outcome = 'kept'), tops AS (SELECT DISTINCT section, rank FROM kept)"))
+def brief_page(spark, sf_dir):
+    """Summaries by section; one section has no lead."""
+    from pyspark.sql.window import Window
+
+    replies, outcomes = _outcomes(spark, sf_dir)
+    grp = F.col("grp")
+    kept = outcomes.where("outcome = 'kept'").join(replies.select("chunk", "item", "headline", "detail"), ["chunk", "item"])
+    kept = kept.withColumns({"section": X.section_key(F.lit("x"), grp), "level": _level(grp), "recap": grp == "de"})
+    posted = derived_feed(spark, sf_dir).select(F.col("doc_id").alias("n"), "source", "url")
+    leads = kept.select("section").distinct().withColumn("lead", F.when(F.col("section") != "x/fr", "What it was *about*."))
+    page = documents.brief_lines(kept, render.cite_links(kept, posted, F.col("recap")), leads)
+    place = F.row_number().over(Window.partitionBy("at.section").orderBy("at"))
+    return page.where("line is not null").select("kind", "at.section", place.alias("place"), "at.rank")
