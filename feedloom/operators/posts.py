@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from feedloom.functions import text as X
+from feedloom.plans.lineage import checkpointed
 
 
 def with_words(items: DataFrame) -> DataFrame:
@@ -117,6 +118,7 @@ def duplicates(posts: DataFrame, stored: DataFrame) -> DataFrame:
     key first, so no key brings more than one row: another status exists unless
     both are the row's own.
     """
+    posts = checkpointed(posts)  # keys are read three times, and dear to make
     known = stored.where(F.col("key").isNotNull()).groupBy("key").agg(F.min("status").alias("_low"), F.max("status").alias("_high"))
     rows = posts.join(known, "key", "left")
     keepable = F.col("_low").isNull() | ((F.col("_low") == F.col("status")) & (F.col("_high") == F.col("status")))

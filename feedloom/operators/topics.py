@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from feedloom.functions.text import collapse, unescape, without_urls
+from feedloom.plans.lineage import checkpointed
 
 MIN_SOURCES, MIN_POSTS, MIN_SCORE, TOP, MIN_DAY_POSTS = 3, 6, 2.5, 8, 100
 #: Words that are never a name (fixed values).
@@ -47,7 +48,7 @@ def names(posts: DataFrame, within: list[str] | None = None) -> DataFrame:
     """
     within = within or []
     lower = posts.select(*within, F.explode(F.regexp_extract_all("text", F.lit(EDGE + r"[a-z][a-z0-9]{2,}" + END), 0)).alias("key")).groupBy(*within, "key").agg(F.count("*").alias("low"))
-    found = candidates(posts)
+    found = checkpointed(candidates(posts))
     weak = found.groupBy(*within, "key").agg(F.sum(F.when(~F.col("sure"), 1).otherwise(0)).alias("weak"))
     kept = weak.join(lower, [*within, "key"], "left").select(*within, "key", "weak", F.coalesce("low", F.lit(0)).alias("low"))
     return found.join(kept, [*within, "key"]).where(F.col("sure") | (F.col("low") * 4 <= F.col("weak"))).drop("weak", "low")

@@ -172,14 +172,15 @@ def keyword_only(spark, sf_dir):
     return feed(spark, sf_dir).where((F.col("source") != "@src7") | posts._any(said)).select("doc_id")
 
 
-_KEYED = r"""keyed AS (SELECT doc_id, source, CAST(doc_id AS VARCHAR) AS status, n_images, CASE WHEN content = '' AND n_images = 0 THEN NULL ELSE lower(author) || '|' || content || '|' || n_images END AS key FROM
+_KEYED = r"""keyed AS (SELECT doc_id, source, CAST(doc_id AS VARCHAR) AS status, n_images, CASE WHEN content = '' AND n_images = 0 THEN NULL ELSE lower(author) || '|' || content || '|' || CASE WHEN n_images > 0 THEN doc_id || '/' || n_images ELSE '' END END AS key FROM
  (SELECT *, trim(regexp_replace(lower(regexp_replace(CASE WHEN n_images > 0 THEN regexp_replace(own, '(?i)https?://t\.co/\S*', ' ', 'g') ELSE own END, '(?i)(?:https?://(?:[\w-]+\.)*(?:x|twitter)\.com|\bpic\.(?:x|twitter)\.com)/\S*', ' ', 'g')), '\s+', ' ', 'g')) || CASE WHEN retweet_of_author = '' THEN '' ELSE chr(10) || '@' || lower(retweet_of_author) || ': ' || lower(retweet_of_text) END AS content FROM feed))"""
 
 
 def _keyed(spark, sf_dir):
-    items = feed(spark, sf_dir)
-    content = X.content_key(F.col("own"))
-    key = F.when((content != "") | (F.size("images") > 0), F.concat_ws("|", F.lower("author"), content, F.size("images").cast("string")))
+    items = feed(spark, sf_dir).withColumn("_content", X.content_key(F.col("own")))
+    content = F.col("_content")
+    # A digest stands for the words, so no whole text is shuffled to find its copies.
+    key = F.when((content != "") | (F.size("images") > 0), F.sha2(F.concat_ws("|", F.lower("author"), content, F.array_join("images", " ")), 256))
     return items.select("doc_id", X.status_of(F.col("url")).alias("status"), F.col("doc_id").alias("pos"), key.alias("key"))
 
 
