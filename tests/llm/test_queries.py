@@ -81,7 +81,7 @@ def test_quality_stage_on_odd_rows(spark):
     """Null ids, null and empty texts, repeated rows, a column that looks like the operator's own."""
     prose = spark.read.parquet(f"{DATA}/documents.parquet").join(queries.trusted(spark, DATA), "doc_id", "left_semi").where("length(text) > 2000 and lang is not null").orderBy("doc_id").limit(2).collect()
     rows = [(1, prose[0].text), (1, prose[0].text), (None, prose[0].text), (2, None), (3, ""), (4, "too few words"), (5, "same " * 400), (None, None)]
-    docs = spark.createDataFrame([(*r, "kept", r[0]) for r in rows], "doc_id bigint, text string, kept string, n_words bigint")
+    docs = spark.createDataFrame([(*r, "kept", r[0], False) for r in rows], "doc_id bigint, text string, kept string, n_words bigint, _q_kept boolean")
     got = corpus_pipeline.quality_rules(spark, docs, DATA)
     assert got.columns == docs.columns and sorted((r.doc_id or 0, r.text) for r in got.collect()) == sorted((k or 0, t) for k, t in rows[:3])
 
