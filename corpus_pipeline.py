@@ -22,8 +22,11 @@ from feedloom.llm.common import join_keys, stored
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the counts and whose likelihood ratio is not below the threshold."""
     ratio, threshold = quality.fit(docs, queries.trusted(spark, sf_dir))
-    rated = quality.rate(docs, ratio, threshold, others=tuple(docs.columns))
-    return rated.where("_q_kept").select(*docs.columns)
+    prefix = "_q_"
+    while any(c.startswith(prefix) for c in docs.columns):
+        prefix = "_" + prefix
+    rated = quality.rate(docs, ratio, threshold, others=tuple(docs.columns), prefix=prefix)
+    return rated.where(F.col(f"{prefix}kept")).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,7 +36,11 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of texts with a Jaccard similarity of 0.8 or more over five words the document with the smallest doc_id."""
+    """Of each component of texts with a Jaccard similarity of 0.8 or more over five words the document with the smallest doc_id.
+
+    Links come from the SimHash operator's pigeonring first, each held to that
+    similarity; pairs whose fingerprints are too far apart come from their shingles.
+    """
     found = similar.similar_texts(docs)
     return join_keys(docs, found.where("doc_id <=> component_id").select("doc_id"), "doc_id")
 
@@ -62,8 +69,8 @@ STAGES = [
     ("bpe_encode", encode_bpe),
 ]
 
-#: Fingerprints, likelihood ratios and merges can't be written in SQL; tests hold each operator against brute force,
-#: and run() only against its stages by row counts and what they must leave.
+#: Likelihood ratios, similarity over all pairs and merges can't be written in SQL; tests hold each operator and the rows
+#: of run() against plain Python.
 ORACLE_SQL = None
 
 
