@@ -281,6 +281,50 @@ def test_mixing(docs, rows):
     assert all(abs(taken[s] - target[s]) <= max(60, 0.05 * target[s]) for s in small)
 
 
+def test_mixing_by_importance_equals_brute_force(spark):
+    """Unequal odds within a source: whole copies, Pareto order, and passes that fill the rest."""
+    import math
+
+    rng = random.Random(9)
+    rows = [(i, " ".join(["w"] * rng.choice([0, 1, 3, 9, 30])) if i % 17 else None, rng.choice(["a", "b", "c", None]), rng.choice([0.2, 1.0, 5.0])) for i in range(300)]
+    size = {i: len((t or "").split()) for i, t, _, _ in rows}
+    total, mass = Counter(), Counter()
+    for i, _, s, w in rows:
+        total[s] += size[i]
+        mass[s] += size[i] * w
+    weight = {s: (5, 2, 1)[n % 3] for n, s in enumerate(sorted(total, key=lambda s: (s is None, s or "")))}
+    target, full = {}, set()
+    while True:
+        pool, rest = 1.5 * sum(total.values()) - sum(2.0 * total[s] for s in full), sum(w for s, w in weight.items() if s not in full)
+        target = {s: 2.0 * total[s] if s in full else pool * weight[s] / rest for s in total}
+        over = {s for s in total if target[s] > 2.0 * total[s]}
+        if not over:
+            break
+        full |= over
+    copies, order = {}, {}
+    for i, _, s, w in rows:
+        e = min(2.0, target[s] * w / mass[s])
+        u = (int(hashlib.md5(f"mix|{i}".encode()).hexdigest()[:13], 16) + 0.5) / (1 << 52)
+        copies[i], p = math.floor(e), e - math.floor(e)
+        if p > 0 and size[i]:
+            order[i] = (u / (1 - u)) / (p / (1 - p))
+    for s in total:
+        mine = [i for i, _, x, _ in rows if x == s]
+        more: set = set()
+        for _ in range(mixing.PASSES):
+            need = target[s] - sum(size[i] * (copies[i] + (i in more)) for i in mine)
+            upto = 0
+            for i in sorted((i for i in mine if i in order and i not in more and size[i] <= need), key=lambda i: (order[i], i)):
+                upto += size[i]
+                if upto <= need:
+                    more.add(i)
+        for i in more:
+            copies[i] += 1
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string, weight double")
+    got = {r.doc_id: r.copies for r in mixing.mix(df, (5, 2, 1), 1.5, 2.0, importance="weight").collect()}
+    assert got == copies and len({c for c in copies.values()}) >= 2
+
+
 @pytest.mark.parametrize("sizes", [{"a": 60, "b": 120, "c": 60, None: 60}, {"a": 10, "b": 4, "c": 2}, {"a": 100, "b": 1000, "c": 500, "d": 2500, None: 0}, {"a": 7}])
 def test_targets_of_tied_sources(spark, sizes):
     """Sources that tie in cap over weight, against resharing the excess round by round."""
