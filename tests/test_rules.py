@@ -350,3 +350,41 @@ def test_sessions_and_horizon(spark, tmp_path):
     late = read().withColumn("ts", F.when(F.col("id") == 4, F.col("ts") - F.expr("interval 90 days")).otherwise(F.col("ts")))
     got = sorted(r.id for r in feeds.run_once(feeds.first_sightings(late.repartition(1), "id", "ts", "1 day")).collect())
     assert set(got) <= {1, 2, 3, 4} and {3} <= set(got)
+
+
+def test_a_brief_is_refitted(spark):
+    shown = spark.createDataFrame([(i, "pictures" if i <= 3 else "line") for i in range(1, 9)], "rank bigint, shown string")
+    weigh = lambda df: sum({"pictures": 1 + brief.PICTURE_LINES + 1, "line": 1, "link": 0}[r.shown] for r in df.collect())
+    for target in (3, 8, 100):
+        got = brief.refit(shown, target, weigh)
+        assert weigh(got) <= target
+    assert {r["rank"]: r.shown for r in brief.refit(shown, 12.5, weigh).collect()} == {1: "pictures", 2: "line", 3: "line"} | {i: "line" for i in range(4, 9)}
+
+
+def test_pictures_tell_posts_alike(spark, tmp_path):
+    from feedloom.sources import pictures
+
+    for name, data in (("a.jpg", b"one"), ("b.jpg", b"one"), ("c.jpg", b"two")):
+        (tmp_path / name).write_bytes(data)
+    known = pictures.fingerprints(spark, str(tmp_path)).withColumn("url", F.element_at(F.split("path", "/"), -1))
+    posts_ = spark.createDataFrame([(1, ["a.jpg", "c.jpg"]), (2, ["b.jpg", "c.jpg"]), (3, ["a.jpg", "gone.jpg"]), (4, [])], "pos int, images array<string>")
+    got = {r.pos: r.pictures for r in pictures.by_digests(posts_, known).collect()}
+    assert got[1] == got[2] and len(got[1]) == 65 and got[3] is None and got[4] == ""
+
+
+def test_headings_of_shared_posts(spark):
+    whole = "This is the whole text of a post that two share, with_marks"
+    items = _shared(spark, [("a", "", "b_b", whole), ("c", "", "B_b", whole), ("b_b", whole, "", ""), ("d", "", "x", whole), ("e", "", "x", whole)])
+    links = items.select("id", F.col("author").alias("source"), F.lit("u").alias("url"), "published")
+    got = {r.handle: r.heading for r in render.shared_heading(stories.shared_retweets(items), links).collect()}
+    assert got == {"b_b": "#### 🔁 b\\_b <!-- item:2 --> [Post Link](u) · 2026-07-08 06:02 UTC — retweeted 2 times", "x": "#### 🔁 @x — retweeted 2 times"}
+
+
+def test_digest_folder(spark, tmp_path):
+    posts_ = spark.createDataFrame([(2, "x/a", "regular", "[2] b"), (1, "x", "regular", "[1] a"), (3, "x/a", "recap", "[3] c")], "n bigint, section string, tier string, line string")
+    rows = posts_.withColumns({"id": F.col("n").cast("string"), "url": F.lit("u"), "source": F.lit("@a"), "grp": F.lit(""), "words": F.lit(1)})
+    exports.write_digest(rows, rows, exports.export_lines(posts_), str(tmp_path / "d"))
+    parts = sorted((tmp_path / "d" / "export").glob("part-*"))
+    text = "".join(p.read_text() for p in parts)
+    assert text == "\n## X\n### regular\n[1] a\n\n## X / a\n### regular\n[2] b\n### recap\n[3] c\n"
+    assert spark.read.json(str(tmp_path / "d" / "map")).count() == 3
