@@ -292,26 +292,39 @@ def _link_groups(fp: np.ndarray, group: np.ndarray, key: np.ndarray, keys, masks
     return np.concatenate(us), np.concatenate(vs)
 
 
-def links(distinct: DataFrame, tau: int, n: int | None = None) -> DataFrame:
+def ball(mask: int, radius: int) -> np.ndarray:
+    """All values of up to ``radius`` bits out of ``mask``."""
+    bits = [1 << b for b in range(64) if mask >> b & 1]
+    return np.array([reduce(lambda x, y: x | y, some, 0) for r in range(radius + 1) for some in combinations(bits, r)], np.uint64)
+
+
+def links(distinct: DataFrame, tau: int, n: int | None = None, block: int = BLOCK) -> DataFrame:
     """Edges ``u``, ``v`` over the distinct ``fp`` that connect whatever is linked within ``tau`` bits.
 
     Inside a block that many fingerprints share a key in, a forest stands for
     all its links: the components stay the same and no group makes all pairs.
-    Buckets over BLOCK are split in blocks and every two blocks meet somewhere,
-    so no link is lost and no task holds more than two blocks of a bucket.
+    Buckets over ``block`` are split in blocks and every two blocks meet somewhere,
+    so no link is lost and no task holds more than two blocks of a bucket.  That
+    sends a fingerprint once a block, so buckets of more blocks than there are
+    values within tau / 2 bits go another way: each fingerprint is sent to all
+    values that near it, and those that meet at one value are within tau bits of
+    each other, while every two within tau bits meet somewhere between them.
     """
     m = choose_segments(distinct.count() if n is None else n, tau)
     masks = np.array(segments(m), np.uint64)
     keys = ring_keys(m, tau)
     signed = lambda x: x - (1 << 64) if x >> 63 else x
-    whole = [signed(reduce(lambda a, b: a | b, (int(masks[s]) for s in equal))) for equal, _ in keys]
-    keyed = distinct.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(w)) for w in whole])).alias("k", "v"))
-    shared = keyed.groupBy("k", "v").agg(F.count("*").alias("n")).where("n > 1")
-    blocks = F.ceil(F.col("n") / F.lit(BLOCK)).cast("int")
+    equal_bits = [reduce(lambda a, b: a | b, (int(masks[s]) for s in equal)) for equal, _ in keys]
+    keyed = distinct.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(signed(w))) for w in equal_bits])).alias("k", "v"))
+    shared = stored(keyed.groupBy("k", "v").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
+    blocks = F.ceil(F.col("n") / F.lit(block)).cast("int")
+    sized = shared.select(F.struct("k", "v").cast("string").alias("_kv"), blocks.alias("blocks"))
+    balls = [ball(~w & (1 << 64) - 1, tau // 2) for w in equal_bits]
+    most = max(map(len, balls)) if tau % 2 == 0 else 1 << 30
     mine = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
+    placed = keyed.withColumn("_kv", F.struct("k", "v").cast("string"))
     met = (
-        keyed.withColumn("_kv", F.struct("k", "v").cast("string"))
-        .join(shared.select(F.struct("k", "v").cast("string").alias("_kv"), blocks.alias("blocks")), "_kv")
+        placed.join(sized.where(F.col("blocks") <= most), "_kv")
         .select("k", "v", "fp", mine.alias("mine"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
         .select("k", "fp", F.xxhash64("k", "v", F.least("mine", "other"), F.greatest("mine", "other")).alias("g"))
     )
@@ -337,7 +350,19 @@ def links(distinct: DataFrame, tau: int, n: int | None = None) -> DataFrame:
             yield out(pa.Table.from_batches(held))
 
     grouped = met.repartition("g").sortWithinPartitions("g")
-    return grouped.mapInArrow(run, "u bigint, v bigint").where("u <> v")
+    found = grouped.mapInArrow(run, "u bigint, v bigint").where("u <> v")
+    if shared.where(blocks > most).isEmpty():
+        return found
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, fp in zip(batch.column("k").to_pylist(), batch.column("fp").to_numpy().view(np.uint64)):
+                near_by = (fp ^ balls[k]).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(near_by), k, np.int32)), pa.array(near_by), pa.array(np.full(len(near_by), fp, np.uint64).view(np.int64))], ["k", "c", "fp"])
+
+    huge = placed.join(sized.where(F.col("blocks") > most), "_kv").select(F.col("k").cast("int").alias("k"), "fp")
+    spots = huge.mapInArrow(spread, "k int, c bigint, fp bigint").groupBy("k", "c").agg(F.min("fp").alias("u"), F.collect_list("fp").alias("all"))
+    return found.union(spots.select("u", F.explode("all").alias("v")).where("u <> v"))
 
 
 # -- components -----------------------------------------------------------------------------------

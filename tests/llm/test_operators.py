@@ -172,18 +172,19 @@ def test_simhash(docs, rows):
     assert Counter((r.doc_id, r.fp % (1 << 64), r.component_id) for r in got) == expect
 
 
-@pytest.mark.parametrize("n, ball", [(300, 0), (1500, 1200)])
-def test_links_of_random_prints(spark, n, ball):
-    """No link lost: scattered prints, and a ball of near ones that fills buckets over many blocks."""
+@pytest.mark.parametrize("n, ball, block", [(300, 0, 256), (1500, 1200, 256), (2600, 2500, 2)])
+def test_links_of_random_prints(spark, n, ball, block):
+    """No link lost: scattered prints, a ball of near ones that fills buckets over many blocks, and over more blocks than a print has values near it."""
     import random
 
     rng = random.Random(n)
+    near = [1 << b for b in range(20)] if block == 2 else [1 << b for b in range(64)]
     prints = {rng.getrandbits(64) for _ in range(n - ball)}
     centre = rng.getrandbits(64)
     while len(prints) < n:
         x = centre
         for _ in range(rng.randint(0, 7)):
-            x ^= 1 << rng.randrange(64)
+            x ^= rng.choice(near)
         prints.add(x)
     for x in list(prints)[:40]:
         y = x
@@ -192,7 +193,7 @@ def test_links_of_random_prints(spark, n, ball):
         prints.add(y)
     signed = [x - (1 << 64) if x >> 63 else x for x in prints]
     df = spark.createDataFrame([(x,) for x in signed], "fp bigint")
-    got = {r.v: r.label for r in simhash.components(simhash.links(df, 4)).collect()}
+    got = {r.v: r.label for r in simhash.components(simhash.links(df, 4, block=block)).collect()}
     expect = _components(signed, [x % (1 << 64) for x in signed], 4)
     assert [got.get(x, x) for x in signed] == expect
 
