@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from feedloom.functions import text as X
+from feedloom.plans.numbering import numbered_along
 
 LIMITS = {"regular": 400, "retweet": 220, "recap": 220}
 BAND_ORDER = {"regular": 1, "retweet": 2, "recap": 3}
@@ -29,15 +30,12 @@ def lookup(table: dict, key: Column, default=None) -> Column:
 def numbered(items: DataFrame, priority: Column) -> DataFrame:
     """Export posts with their number ``n`` in reading order; needs ``tier``, ``section``.
 
-    Sections are numbered apart and shifted by the posts of those before, so only
-    the posts of one section are ever sorted in one task.
+    Undated posts come first of their source.  Posts are numbered along ranges of
+    the order, so no section is sorted in one task.
     """
     shown = items.where(F.col("tier").isin(*LIMITS))
-    inside = Window.partitionBy("section").orderBy(lookup(BAND_ORDER, F.col("tier")), ~priority, F.lower("source"), "source", F.asc_nulls_first("published"), "id")
-    sizes = shown.groupBy("section").agg(F.count("*").alias("size"))
-    before = Window.orderBy("section").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("section", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("_offset"))
-    return shown.withColumn("_at", F.row_number().over(inside)).join(offsets, "section").withColumn("n", (F.col("_offset") + F.col("_at")).cast("bigint")).drop("_at", "_offset")
+    order = [F.col("section"), lookup(BAND_ORDER, F.col("tier")).alias("band"), (~priority).alias("later"), F.lower("source").alias("low"), F.col("source"), F.col("published"), F.col("id")]
+    return numbered_along(shown, order)
 
 
 def line(limit: Column) -> Column:
@@ -95,5 +93,4 @@ def rank_media(items: DataFrame, level: Column) -> DataFrame:
     inside = Window.partitionBy("section").orderBy("_turn", F.desc_nulls_last("_newest"), "source", "id")
     placed = turn.withColumn("_pos", F.row_number().over(inside)).withColumn("_count", F.count("*").over(Window.partitionBy("section")))
     weight = lookup(LEVEL_FACTORS, F.col("_level"), 1.0) * F.col("_count")
-    order = Window.orderBy(F.col("_pos") / weight, "section")
-    return placed.withColumn("rank", F.row_number().over(order).cast("bigint")).drop("_turn", "_newest", "_pos", "_count", "_level")
+    return numbered_along(placed, [(F.col("_pos") / weight).alias("at"), F.col("section")], "rank").drop("_turn", "_newest", "_pos", "_count", "_level")

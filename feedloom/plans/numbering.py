@@ -12,11 +12,13 @@ from feedloom.plans.lineage import checkpointed
 def numbered_along(rows: DataFrame, order: list[Column], name: str = "n") -> DataFrame:
     """``rows`` with ``name``, 1.. in ``order`` (which must leave no ties).
 
-    Rows are dealt to ranges of the order and kept so; each range is numbered by
+    Rows are kept first, as ranges are found by looking at them; then they are
+    dealt to the ranges of the order and kept so.  Each range is numbered by
     itself and moved by the rows of the ranges before it, of which there are as
-    many as partitions.
+    many as partitions.  Null comes first in the order.
     """
-    ranged = checkpointed(rows.withColumn("_key", F.struct(*order)).repartitionByRange("_key").withColumn("_range", F.spark_partition_id()))
+    keyed = checkpointed(rows.withColumn("_key", F.struct(*order)))
+    ranged = checkpointed(keyed.repartitionByRange("_key").withColumn("_range", F.spark_partition_id()))
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     sizes = ranged.groupBy("_range").agg(F.count("*").alias("_size"))
     offsets = sizes.select("_range", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before"))
