@@ -10,6 +10,7 @@ import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -57,9 +58,25 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     read = spark.read.schema(df.schema).parquet(path)
     read._stored_at = path
+    for made in _made:
+        made.append(read)
     return read
 
 
+_made: list[list[DataFrame]] = []
+
+
+@contextmanager
+def storing() -> Iterator[list[DataFrame]]:
+    """The tables that are stored inside, to be discarded when what is made of them is stored itself."""
+    made: list[DataFrame] = []
+    _made.append(made)
+    try:
+        yield made
+    finally:
+        _made.pop()
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete what ``stored`` wrote for these very frames: whatever was made from them is stored itself by now."""
     for df in tables:

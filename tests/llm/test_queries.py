@@ -231,5 +231,7 @@ def test_pipeline_equals_brute_force(spark, documents):
     for k, size, taken in con.sql(f"select doc_id, size, taken from ({queries.OP7_SQL})").fetchall():
         ids = one.encode(documents[k], add_special_tokens=False).ids
         expect[k, len(ids), tuple(ids)] += taken // size
-    got = Counter((r.doc_id, r.n_tokens, tuple(r.ids)) for r in corpus_pipeline.run(spark, DATA).collect())
+    with corpus_pipeline.storing() as made:
+        got = Counter((r.doc_id, r.n_tokens, tuple(r.ids)) for r in corpus_pipeline.run(spark, DATA).collect())
+    assert [os.path.isdir(t._stored_at.removeprefix("file://")) for t in made].count(True) == 1
     assert got == +expect and len(kept) < len(set(documents.values()))
