@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from feedloom.llm import bpe, exact, mixing, quality, queries, similar
-from feedloom.llm.common import join_keys, stored
+from feedloom.llm.common import discard, join_keys, stored, storing
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -75,7 +75,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages one after another; what a stage stored on its way goes when its result is written, as does its input."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        with storing() as made:
+            after = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        discard(docs, *[table for table in made if table is not after])
+        docs = after
     return docs
