@@ -131,6 +131,17 @@ def duplicates(posts: DataFrame, stored: DataFrame) -> DataFrame:
     return rows.join(first, "key", "left").withColumn("outcome", outcome).drop("_low", "_high", "_keepable", "_first")
 
 
+def filtered(items: DataFrame, reason: Column, key: Column, stored: DataFrame) -> DataFrame:
+    """``items`` (status, pos) with ``reason``: the first rule that drops a post, then duplicates and repeats among what is left; null: kept.
+
+    ``reason`` is what ``drop_reason`` gives, ``key`` what ``duplicates`` tells posts alike by.
+    """
+    rows = checkpointed(items.withColumns({"reason": reason, "key": key}))
+    left = duplicates(rows.where("reason is null").select("pos", "status", "key"), stored).where("outcome <> 'kept'")
+    found = rows.join(left.select("pos", "outcome"), "pos", "left")
+    return found.withColumn("reason", F.coalesce("reason", "outcome")).drop("outcome", "key")
+
+
 def insert_or_ignore(batch: DataFrame, table: DataFrame, key: str = "id", order: str = "pos") -> DataFrame:
     """Rows of ``batch`` that an insert adds: the first of each key, unless stored."""
     first = batch.withColumn("_rn", F.row_number().over(Window.partitionBy(key).orderBy(order))).where("_rn = 1").drop("_rn")

@@ -176,11 +176,14 @@ _KEYED = r"""keyed AS (SELECT doc_id, source, CAST(doc_id AS VARCHAR) AS status,
  (SELECT *, trim(regexp_replace(lower(regexp_replace(CASE WHEN n_images > 0 THEN regexp_replace(own, '(?i)https?://t\.co/\S*', ' ', 'g') ELSE own END, '(?i)(?:https?://(?:[\w-]+\.)*(?:x|twitter)\.com|\bpic\.(?:x|twitter)\.com)/\S*', ' ', 'g')), '\s+', ' ', 'g')) || CASE WHEN retweet_of_author = '' THEN '' ELSE chr(10) || '@' || lower(retweet_of_author) || ': ' || lower(retweet_of_text) END AS content FROM feed))"""
 
 
-def _keyed(spark, sf_dir):
-    items = feed(spark, sf_dir).withColumn("_content", X.content_key(F.col("own")))
+def _key():
+    """What posts are told alike by; a digest stands for the words, so no whole text is shuffled to find its copies."""
     content = F.col("_content")
-    # A digest stands for the words, so no whole text is shuffled to find its copies.
-    key = F.when((content != "") | (F.size("images") > 0), F.sha2(F.concat_ws("|", F.lower("author"), content, F.array_join("images", " ")), 256))
+    return F.when((content != "") | (F.size("images") > 0), F.sha2(F.concat_ws("|", F.lower("author"), content, F.array_join("images", " ")), 256))
+
+
+def _keyed(spark, sf_dir):
+    items, key = feed(spark, sf_dir).withColumn("_content", X.content_key(F.col("own"))), _key()
     return items.select("doc_id", X.status_of(F.col("url")).alias("status"), F.col("doc_id").alias("pos"), key.alias("key"))
 
 
@@ -199,6 +202,21 @@ def repeat_stored(spark, sf_dir):
     return posts.duplicates(rows, rows.where("pos % 2 = 0").select("key", "status")).select("doc_id", "outcome")
 
 
+@query(feed_sql("""
+SELECT coalesce(t.reason, k.outcome, 'kept') AS reason, count(*) AS n FROM told t LEFT JOIN
+ (SELECT doc_id, CASE WHEN key IS NULL THEN NULL WHEN first IS NULL OR doc_id < first THEN 'repeats' WHEN doc_id = first THEN NULL ELSE 'duplicates' END AS outcome FROM (SELECT *, min(CASE WHEN keepable THEN doc_id END) OVER (PARTITION BY key) AS first FROM
+  (SELECT k.*, NOT EXISTS (SELECT 1 FROM keyed_all o WHERE o.doc_id % 3 = 0 AND o.key = k.key AND o.status <> k.status) AS keepable FROM keyed k))) k ON k.doc_id = t.doc_id GROUP BY 1""",
+    SOURCES, f"told AS (SELECT f.doc_id, {_REASON} AS reason FROM feed f JOIN sources s ON s.name = f.source)", "admitted AS (SELECT f.* FROM feed f JOIN told t ON t.doc_id = f.doc_id WHERE t.reason IS NULL)",
+    _KEYED.replace("FROM feed)", "FROM admitted)"), _KEYED.replace("keyed AS", "keyed_all AS")))
+def filter_report(spark, sf_dir):
+    """All that a fetch drops, by the rule that comes first; every third post is stored."""
+    items = feed(spark, sf_dir).join(derived_sources(spark, sf_dir), F.col("source") == F.col("name")).withColumn("thread_reply", F.lit(False)).withColumn("_content", X.content_key(F.col("own")))
+    rows = items.withColumns({"status": X.status_of(F.col("url")), "pos": F.col("doc_id")})
+    stored = _keyed(spark, sf_dir).where("pos % 3 = 0").select("key", "status")
+    found = posts.filtered(rows, posts.drop_reason(HIDE, F.col("source") == "@src7", ONLY), _key(), stored)
+    return found.groupBy(F.coalesce("reason", F.lit("kept")).alias("reason")).agg(_n())
+
+
 @query("""
 SELECT conv_id, turn, CASE WHEN turn = 0 THEN false WHEN EXISTS (SELECT 1 FROM conversations r WHERE r.conv_id = c.conv_id AND r.turn = 0 AND c.conv_id % 3 <> 0) THEN true
   ELSE row_number() OVER (PARTITION BY conv_id, turn = 0 ORDER BY turn) > 1 END AS thread_reply FROM conversations c""")

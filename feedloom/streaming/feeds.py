@@ -76,3 +76,24 @@ def run_into(df: DataFrame, write: Callable[[DataFrame, int], None]) -> None:
     """Run a batch writer over what is there and stop."""
     state = f"{store_of(df.sparkSession)}/state"
     df.writeStream.foreachBatch(write).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+
+
+def poll(df: DataFrame, write: Callable[[DataFrame, int], None], state: str, seconds: int = 900):
+    """Run a batch writer over what comes, every so often, until stopped; offsets and what was done stay in ``state``."""
+    return df.writeStream.foreachBatch(write).option("checkpointLocation", state).trigger(processingTime=f"{seconds} seconds").start()
+
+
+def cursor(spark: SparkSession, store: str, key: str):
+    """Where a consumer stands, or None: the value that was written last."""
+    try:
+        rows = spark.read.parquet(store).where(F.col("key") == key)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+    return rows.agg(F.max_by("value", "version")).first()[0]
+
+
+def advance(spark: SparkSession, store: str, key: str, value: str) -> None:
+    """Move a consumer's cursor, once its output is written: to the time its reading began, so nothing that came since is passed over."""
+    spark.sql("select :key as key, :value as value, unix_micros(current_timestamp()) as version", args={"key": key, "value": value}).write.mode("append").parquet(store)

@@ -388,3 +388,29 @@ def test_digest_folder(spark, tmp_path):
     text = "".join(p.read_text() for p in parts)
     assert text == "\n## X\n### regular\n[1] a\n\n## X / a\n### regular\n[2] b\n### recap\n[3] c\n"
     assert spark.read.json(str(tmp_path / "d" / "map")).count() == 3
+
+
+def test_cursor_of_a_consumer(spark, tmp_path):
+    from feedloom.streaming import feeds
+
+    store = str(tmp_path / "meta")
+    assert feeds.cursor(spark, store, "digest") is None
+    for value in ("2026-01-01", "2026-01-02"):
+        feeds.advance(spark, store, "digest", value)
+    feeds.advance(spark, store, "other", "x")
+    assert feeds.cursor(spark, store, "digest") == "2026-01-02" and feeds.cursor(spark, store, "none") is None
+
+
+def test_polling_adds_what_is_new(spark, tmp_path):
+    from feedloom.streaming import feeds
+
+    put = lambda ids: spark.createDataFrame([(i,) for i in ids], "id int").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    put([1, 2])
+    query = feeds.poll(feeds.read_items(spark, str(tmp_path / "in"), "id int"), feeds.append_new(str(tmp_path / "store")), str(tmp_path / "state"), seconds=1)
+    try:
+        query.processAllAvailable()
+        put([2, 3])
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    assert sorted(r.id for r in spark.read.parquet(str(tmp_path / "store")).collect()) == [1, 2, 3]
