@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from math import isqrt
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,9 +11,9 @@ from pyspark.sql.window import Window
 
 from feedloom.llm.common import WORD, join_small, stored, unit
 
-#: Parts of the order of a source that are summed before any row is looked at: so many at least, and PART_ROWS rows
-#: of all a part on average, so what one task sorts of a source doesn't grow with the input.
-PARTS, PART_ROWS = 1024, 1000
+#: Parts of the order of a source that are summed before any row is looked at: so many at least, and the root of all
+#: rows.  One task sees a source's parts, one the rows of the part where it is cut, so neither grows faster than the root.
+PARTS = 1024
 
 #: Passes over the order: later ones fill what the first left with texts that still fit.
 PASSES = 4
@@ -81,7 +82,7 @@ def mix(docs: DataFrame, weights: Sequence[float], total: float = 1.5, cap: floa
     rows = rows.withColumn("_e", expected).withColumn("certain", F.floor("_e").cast("bigint")).withColumn("_p", F.col("_e") - F.col("certain"))
     odds = (u / (F.lit(1.0) - u)) / (F.col("_p") / (F.lit(1.0) - F.col("_p")))
     rows = rows.withColumn("q", F.when((F.col("_p") > 0) & (F.col("size") > 0), odds))
-    parts = max(PARTS, base.count() // PART_ROWS)
+    parts = max(PARTS, isqrt(base.count()))
     rows = stored(rows.withColumn("part", F.floor(F.col("q") / (F.lit(1.0) + F.col("q")) * parts).cast("int")).withColumn("more", F.lit(0)).drop("_e", "_p", "_mass", "_importance"), "mix-rows")
 
     for _ in range(PASSES):
