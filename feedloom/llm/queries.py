@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedloom.llm import bpe, exact, langid, lmscore, mixing, quality, secrets, sharding, simhash, tokenio
+from feedloom.llm import bpe, exact, hardneg, langid, lmscore, mixing, quality, secrets, sharding, simhash, tokenio
 
 SHARDS = 8
 MIX_WEIGHTS = (5, 2, 1)
@@ -78,10 +78,16 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rated.select("doc_id", *[F.col(f"_q_{c}").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "llr", "kept")])
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hardneg.mine(vectors.withColumn("label", moved), F.col("vec_id") % 100 == 0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
-    own = [op1_sharding, op2_language, op3_token_files, op4_simhash, op5_secrets, op6_exact, op7_mixing, op8_lm_scores, op9_bpe, op10_quality]
+    own = [op1_sharding, op2_language, op3_token_files, op4_simhash, op5_secrets, op6_exact, op7_mixing, op8_lm_scores, op9_bpe, op10_quality, op11_hard_negatives]
     return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 
 
@@ -138,5 +144,17 @@ SELECT s.doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_seen, 0) AS n
 """
 
 
+OP11_SQL = """
+WITH whole AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, x -> CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NOT NULL AND isfinite(x))) = len(embedding)),
+scored AS (SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS alike, CAST(list_sum(list_transform(list_zip(a.v, b.v), p -> p[1] * p[2])) AS BIGINT) AS score
+  FROM whole a JOIN whole b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+pos AS (SELECT anchor_id, id, score FROM scored WHERE alike QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT p.anchor_id, p.id AS positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, n.id AS negative_id, p.score AS positive_score, n.score AS negative_score
+FROM pos p JOIN scored n ON n.anchor_id = p.anchor_id AND NOT n.alike AND 80 * p.score <= 100 * n.score AND 100 * n.score <= 100 * p.score
+WINDOW w AS (PARTITION BY p.anchor_id, p.id ORDER BY n.score DESC, n.id) QUALIFY row_number() OVER w <= 5
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op6_exact": OP6_SQL, "op7_mixing": OP7_SQL, "op8_lm_scores": OP8_SQL}
+    return {"op6_exact": OP6_SQL, "op7_mixing": OP7_SQL, "op8_lm_scores": OP8_SQL, "op11_hard_negatives": OP11_SQL}

@@ -18,12 +18,13 @@ DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables here")
 
 
-@pytest.mark.parametrize("name", ["op6_exact", "op7_mixing", "op8_lm_scores"])
+@pytest.mark.parametrize("name", ["op6_exact", "op7_mixing", "op8_lm_scores", "op11_hard_negatives"])
 def test_oracle(spark, name):
     import duckdb
 
     con = duckdb.connect()
-    con.sql(f"create view documents as select * from read_parquet('{DATA}/documents.parquet')")
+    for table in ("documents", "embeddings"):
+        con.sql(f"create view {table} as select * from read_parquet('{DATA}/{table}.parquet')")
     df = queries.queries()[name](spark, DATA)
     columns = sorted(df.columns)
     show = lambda rows: sorted(tuple(map(str, r)) for r in rows)
