@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedloom.llm import bpe, exact, hardneg, langid, lmscore, mixing, quality, secrets, sharding, simhash, tokenio
+from feedloom.llm import bpe, convrepair, exact, hardneg, langid, lmscore, mixing, quality, secrets, sharding, simhash, tokenio
 
 SHARDS = 8
 MIX_WEIGHTS = (5, 2, 1)
@@ -84,10 +84,21 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hardneg.mine(vectors.withColumn("label", moved), F.col("vec_id") % 100 == 0)
 
 
+def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    spaced = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    damage = F.crc32(F.concat_ws(":", spaced("conv_id"), spaced("turn")).cast("binary")) % 20
+    text = F.when(damage == 1, "").when(damage == 2, F.translate(spaced("text"), ".!?", "")).otherwise(spaced("text"))
+    role = F.when(damage == 4, "user").otherwise(spaced("role"))
+    times = F.when(damage == 3, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
+    damaged = rows.select("conv_id", "turn", role.alias("role"), text.alias("text"), (damage == 0).alias("dropped"), F.explode(times).alias("nth"))
+    return convrepair.digested(convrepair.repair(damaged, absent="dropped"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
-    own = [op1_sharding, op2_language, op3_token_files, op4_simhash, op5_secrets, op6_exact, op7_mixing, op8_lm_scores, op9_bpe, op10_quality, op11_hard_negatives]
+    own = [op1_sharding, op2_language, op3_token_files, op4_simhash, op5_secrets, op6_exact, op7_mixing, op8_lm_scores, op9_bpe, op10_quality, op11_hard_negatives, op12_conversations]
     return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 
 

@@ -1,11 +1,17 @@
 """Hard negatives, conversations and n-gram joins against brute force."""
 
+import hashlib
 import math
 import random
+import re
+import zlib
+from collections import defaultdict
+from itertools import product
 
 from pyspark.sql import functions as F
 
-from feedloom.llm import hardneg
+from feedloom.llm import convrepair, hardneg, queries
+from tests.llm.conftest import LONG
 
 
 def _mined(rows, asked, positives=5, negatives=5):
@@ -42,3 +48,121 @@ def test_hard_negatives_without_rows(spark):
     df = spark.createDataFrame([(1, [0.5], 1, "", "", 1)], VECTORS)
     assert hardneg.mine(df.limit(0), F.col("vec_id") == 1).count() == 0
     assert hardneg.mine(df, F.col("vec_id") == 1).count() == hardneg.mine(df, F.lit(False)).count() == 0
+
+
+# -- conversations --------------------------------------------------------------------------------
+
+ROLES = re.compile(r"(s?(ua)+)?\Z")
+
+
+def _all_edits(rows):
+    """Cheapest and ASCII-least of every edit sequence with at most two rows inserted at a place; rows: (role, fault)."""
+    ways = [("", "", 0)]
+    inserted = [("", "", 0)] + [("I" * n, "".join(x), 2 * n) for n in (1, 2) for x in product("ua", repeat=n)]
+    for role, fault in rows:
+        more = 1 if fault == "truncated" else 0
+        edits = [("D", "", 3)] + ([] if fault in ("blank", "duplicate") else [("K", role[:1], more), ("R", "u", 2 + more), ("R", "a", 2 + more)])
+        ways = [(a + i + e, r + x + y, c + p + q) for a, r, c in ways for i, x, p in inserted for e, y, q in edits]
+    return min((c + p, a + i) for a, r, c in ways for i, x, p in inserted if ROLES.match(r + x))
+
+
+def _fold(rows):
+    """The same over (rows done, last initial), for conversations of any length."""
+    follow = lambda last: "u" if last in ("", "s", "a") else "a"
+
+    def with_inserts(best):
+        for _ in range(3):
+            for last, (c, a) in list(best.items()):
+                way = (c + 2, a + "I")
+                best[follow(last)] = min(way, best.get(follow(last), way))
+        return best
+
+    best = with_inserts({"": (0, "")})
+    for role, fault in rows:
+        more, after = int(fault == "truncated"), {}
+        for last, (c, a) in best.items():
+            ways = [(last, c + 3, "D")]
+            if fault not in ("blank", "duplicate"):
+                ways.append((follow(last), c + 2 + more, "R"))
+                if role[:1] == follow(last) or (role[:1] == "s" and last == ""):
+                    ways.append((role[:1], c + more, "K"))
+            for to, cost, edit in ways:
+                after[to] = min((cost, a + edit), after.get(to, (cost, a + edit)))
+        best = with_inserts(after)
+    return min(best[x] for x in ("", "a") if x in best)
+
+
+def _faults(rows):
+    seen, out = set(), []
+    for role, text in rows:
+        body = text.strip(" \t\n\x0b\x0c\r")
+        out.append("blank" if not body else "duplicate" if (role, text) in seen else None if body[-1] in ".!?" else "truncated")
+        seen.add((role, text))
+    return out
+
+
+def _repaired(turned):
+    """Plain Python: (turn, role, text) in order to every column of the result."""
+    rows = [x[1:] for x in turned]
+    faults = _faults(rows)
+    cost, audit = _fold([(r, f) for (r, _), f in zip(rows, faults)])
+    out, left, last = [], iter(rows), ""
+    for edit in audit:
+        role, text = ("", "") if edit == "I" else next(left)
+        if edit != "D":
+            role = role if edit == "K" else "assistant" if last == "u" else "user"
+            last = role[:1]
+            out.append(f"{role}:{text}")
+    turns = [t for t, *_ in turned if t is not None]
+    initials = [r[:1] for r, _ in rows]
+    gaps = max(turns) - min(turns) + 1 - len(set(turns)) if turns else 0
+    counts = [faults.count(f) for f in ("blank", "duplicate", "truncated")]
+    return (gaps, *counts, sum(a + b not in ("su", "ua", "au") for a, b in zip(initials, initials[1:])), cost, audit, hashlib.sha256("\n".join(out).encode()).hexdigest())
+
+
+def test_a_star_equals_every_edit():
+    rng = random.Random(1)
+    kinds = [(r, f) for r in ("system", "user", "assistant", "tool") for f in (None, "blank", "duplicate", "truncated")]
+    for rows in [[], *[[x] for x in kinds], *[[rng.choice(kinds) for _ in range(2)] for _ in range(60)], *[[rng.choice(kinds) for _ in range(3)] for _ in range(6)]]:
+        initials, faults = [r[:1] for r, _ in rows], [f for _, f in rows]
+        ((cost, audit),) = convrepair.solve(initials, faults, convrepair.START, convrepair.ENDS).values()
+        assert (cost, audit) == _all_edits(rows) == _fold(rows), rows
+    for n in (5, 20, 200):
+        rows = [rng.choice(kinds) for _ in range(n)]
+        ((cost, audit),) = convrepair.solve([r[:1] for r, _ in rows], [f for _, f in rows], convrepair.START, convrepair.ENDS).values()
+        assert (cost, audit) == _fold(rows)
+
+
+def test_conversations_equal_brute_force(spark):
+    """Null keys, turns, roles and texts, repeats, long texts, clashing columns; a conversation cut in many pieces and spread over ranges."""
+    rng = random.Random(2)
+    texts = ["Fine.", "Cut off", "", " \t", "Why?\n", "été!", None, LONG]
+    rows = [(k, rng.choice([None, *range(6)]), rng.choice(["system", "user", "assistant", "user", "assistant", "tool", None]), rng.choice(texts) if rng.random() < 0.4 else f"Text {rng.random()}.") for k in [*range(60), None] for _ in range(rng.randrange(1, 7))]
+    rows += [(1000, i, rng.choice(["user", "assistant"]), rng.choice(["A.", f"No end {i}", f"Text {i}."])) for i in range(400)]
+    rows += [(2000, None, "user", "Alone."), (2000, None, "user", "Alone.")]
+    df = spark.createDataFrame([(*r, False, 1, "x") for r in rows] + [(3000, 1, "user", "Gone.", True, 1, "x")], "conv_id bigint, turn bigint, role string, text string, gone boolean, key int, audit string").repartition(3)
+    got = convrepair.digested(convrepair.repair(df, absent="gone", piece=(16, 1 << 20)))
+    by = defaultdict(list)
+    for k, t, r, x in rows:
+        by[k].append((t, r or "", x or ""))
+    known = lambda k, r, x: hashlib.sha256("|".join(["" if k is None else str(k), str(k is None).lower(), str(len(r)), r, x]).encode()).hexdigest()
+    expected = {k: _repaired(sorted(v, key=lambda y: (y[0] is not None, y[0] or 0, y[1], known(k, y[1], y[2])))) for k, v in by.items()}
+    expected[3000] = (0, 0, 0, 0, 0, 0, "", hashlib.sha256(b"").hexdigest())
+    found = {r[0]: tuple(r[1:]) for r in got.collect()}
+    assert got.columns[0] == "conv_id" and got.count() == len(found) == len(expected)
+    assert found == expected
+    assert convrepair.digested(convrepair.repair(df.limit(0))).count() == 0
+
+
+def test_op12(spark):
+    """The registered query against plain Python, damage included."""
+    rows = spark.read.parquet("/root/testdata/sf0.001/conversations.parquet").collect()
+    by = defaultdict(list)
+    for r in rows:
+        own = by[r.conv_id]
+        damage = zlib.crc32(f"{r.conv_id}:{r.turn}".encode()) % 20
+        text = "" if damage == 1 else re.sub("[.!?]", "", r.text) if damage == 2 else r.text
+        own += [(r.turn, "user" if damage == 4 else r.role, text)] * (0 if damage == 0 else 2 if damage == 3 else 1)
+    expected = {k: _repaired(sorted(v, key=lambda x: x[0])) for k, v in by.items()}
+    got = queries.op12_conversations(spark, "/root/testdata/sf0.001")
+    assert {r.conv_id: tuple(r)[1:] for r in got.select("conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256").collect()} == expected
