@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedloom.llm import bpe, convrepair, exact, hardneg, langid, lmscore, mixing, quality, secrets, sharding, simhash, tokenio
+from feedloom.llm import bpe, convrepair, exact, hardneg, langid, lmscore, mixing, partenum, quality, secrets, sharding, simhash, tokenio
 
 SHARDS = 8
 MIX_WEIGHTS = (5, 2, 1)
@@ -95,10 +95,14 @@ def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return convrepair.digested(convrepair.repair(damaged, absent="dropped"))
 
 
+def op13_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return partenum.similar_sets(documents(spark, sf_dir), width=4, num=17, den=20).select("doc_id", "n_shingles", "component_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
-    own = [op1_sharding, op2_language, op3_token_files, op4_simhash, op5_secrets, op6_exact, op7_mixing, op8_lm_scores, op9_bpe, op10_quality, op11_hard_negatives, op12_conversations]
+    own = [op1_sharding, op2_language, op3_token_files, op4_simhash, op5_secrets, op6_exact, op7_mixing, op8_lm_scores, op9_bpe, op10_quality, op11_hard_negatives, op12_conversations, op13_jaccard]
     return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 
 

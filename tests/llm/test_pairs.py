@@ -10,7 +10,7 @@ from itertools import product
 
 from pyspark.sql import functions as F
 
-from feedloom.llm import convrepair, hardneg, queries
+from feedloom.llm import convrepair, hardneg, partenum, queries
 from tests.llm.conftest import LONG
 
 
@@ -166,3 +166,106 @@ def test_op12(spark):
     expected = {k: _repaired(sorted(v, key=lambda x: x[0])) for k, v in by.items()}
     got = queries.op12_conversations(spark, "/root/testdata/sf0.001")
     assert {r.conv_id: tuple(r)[1:] for r in got.select("conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256").collect()} == expected
+
+
+# -- n-gram sets ----------------------------------------------------------------------------------
+
+
+def _sets(texts, width=4):
+    out = {}
+    for k, t in texts.items():
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m.group().lower(), t or ""))
+        out[k] = {tuple(w[i : i + width]) for i in range(max(len(w) - width + 1, 1))} if w else set()
+    return out
+
+
+def _classes(sets, num=85, den=100):
+    """Least key reachable, over all pairs."""
+    root = {k: k for k in sets}
+
+    def top(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    keys = sorted(sets)
+    for i, a in enumerate(keys):
+        for b in keys[i + 1 :]:
+            if sets[a] and sets[b] and min(len(sets[a]), len(sets[b])) * den >= num * max(len(sets[a]), len(sets[b])) and den * len(sets[a] & sets[b]) >= num * len(sets[a] | sets[b]):
+                x, y = sorted((top(a), top(b)))
+                root[y] = x
+    return {k: top(k) for k in keys}
+
+
+def test_near_sets_share_a_signature():
+    """Pairs as far apart as may be, of all sizes, adjacent bands and empty parts among them."""
+    import numpy as np
+
+    rng, checked = np.random.default_rng(4), 0
+    for n in [*range(1, 60), 100, 150, 300, 777, 2000, 9000]:
+        for _ in range(12):
+            both = int(rng.integers(max(1, -(-85 * n // 100)), n + 1))
+            more = min(n - both, both * 100 // 85 - n) if rng.random() < 0.5 else both * 100 // 85 - n
+            pool = rng.integers(0, 1 << 63, n + max(more, 0), dtype=np.uint64)
+            a, b = np.unique(pool[:n]), np.unique(np.concatenate([pool[:both], pool[n:]]))
+            inter = len(np.intersect1d(a, b))
+            if 100 * inter < 85 * (len(a) + len(b) - inter) or np.array_equal(a, b):
+                continue
+            hashes, doc = np.concatenate([a, b]), np.repeat([0, 1], [len(a), len(b)])
+            sig, whose = partenum.signatures(hashes, doc, np.array([len(a), len(b)]), 17, 20)
+            assert set(sig[whose == 0].tolist()) & set(sig[whose == 1].tolist()), (len(a), len(b), inter)
+            checked += 1
+    assert checked > 300
+
+
+def test_similar_sets_equal_brute_force(spark):
+    """Copies, near copies around the threshold, families, nulls, empty and long texts, repeated rows, clashing columns."""
+    rng = random.Random(6)
+    word = lambda: f"w{rng.randrange(500)}"
+    texts, k = {}, 0
+    for size in [4, 5, 9, 12, 20, 40, 60, 120, 400]:
+        for _ in range(4):
+            base = [word() for _ in range(size)]
+            for _ in range(rng.randrange(1, 9)):
+                near = [w if rng.random() > rng.choice([0, 0.01, 0.02, 0.04]) else word() for w in base]
+                texts[k] = " ".join(near[: rng.choice([size, size, size - 1, size * 9 // 10])])
+                k += 1
+    shared = " ".join(word() for _ in range(60))
+    for i in range(40):
+        texts[k + i] = shared + " " + " ".join(word() for _ in range(rng.randrange(2, 30)))
+    texts |= {900: None, 901: "", 902: " \n", 903: "One two", 904: "one  TWO", 905: LONG, 906: LONG + "end", 907: "É x y", 908: "é x y"}
+    sets = _sets(texts)
+    expected = {k: (len(sets[k]), c) for k, c in _classes(sets).items()}
+    df = spark.createDataFrame([(k, t, 1, "x", 2) for k, t in texts.items()] + [(0, texts[0], 1, "x", 2)], "doc_id bigint, text string, fp int, key string, n int").repartition(3)
+    rows = partenum.similar_sets(df).collect()
+    assert len(rows) == len(texts) + 1 and {r.doc_id: (r.n_shingles, r.component_id) for r in rows} == expected
+    assert len({c for _, c in expected.values()}) < len(texts) - 60
+    odd = spark.createDataFrame([(None, "a b c d e"), (3, "a b c d e"), (None, "x y"), (None, None), (4, None)], "doc_id bigint, text string")
+    assert sorted(map(str, [(r.doc_id, r.component_id) for r in partenum.similar_sets(odd).collect()])) == ["(3, 3)", "(4, 4)", "(None, 3)", "(None, None)", "(None, None)"]
+    assert partenum.similar_sets(odd.limit(0)).count() == 0
+
+
+def test_large_buckets_meet_block_by_block(spark, monkeypatch):
+    """A family whose members are near a few others only, with leaders that are near none."""
+    monkeypatch.setattr(partenum, "GROUP", 4)
+    rng = random.Random(8)
+    base = [f"b{i}" for i in range(200)]
+    texts = {}
+    for i in range(60):
+        own = list(base)
+        for j in rng.sample(range(200), 6):
+            own[j] = f"x{i}y{j}"
+        texts[i] = " ".join(own)
+        if i % 3 == 0:
+            own[rng.randrange(200)] = f"z{i}"
+            texts[100 + i] = " ".join(own)
+    expected = _classes(_sets(texts))
+    got = {r.doc_id: r.component_id for r in partenum.similar_sets(spark.createDataFrame([*texts.items()], "doc_id bigint, text string")).collect()}
+    assert got == expected and 1 < len(set(got.values())) < len(got)
+
+
+def test_op13(spark):
+    texts = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    sets = _sets(texts)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in queries.op13_jaccard(spark, "/root/testdata/sf0.001").collect()}
+    assert got == {k: (len(sets[k]), c) for k, c in _classes(sets).items()}
