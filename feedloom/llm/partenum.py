@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from feedloom.llm.common import discard, join_split, pieces, small_batches, stored, text_array
-from feedloom.llm.exact import BITS, BLOCK, _marks
+from feedloom.llm.exact import BITS, BLOCK, _marks, _survives
 from feedloom.llm.simhash import components, groups, shingle_hashes
 
 #: Sets of a bucket that are compared in one block with another.
@@ -61,8 +61,9 @@ def _mix(x: np.ndarray) -> np.ndarray:
 def distinct(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct shingles of each text, sorted; the text of each; how many each text has."""
     doc = np.repeat(np.arange(len(counts)), counts)
-    order = np.lexsort((hashes, doc))
-    hashes, doc = hashes[order], doc[order]
+    hashes, ends = hashes.copy(), np.cumsum(counts)
+    for a, b in zip((ends - counts).tolist(), ends.tolist()):
+        hashes[a:b].sort()
     first = np.ones(len(hashes), bool)
     first[1:] = (hashes[1:] != hashes[:-1]) | (doc[1:] != doc[:-1])
     return hashes[first], doc[first], np.bincount(doc[first], minlength=len(counts))
@@ -124,10 +125,13 @@ def _prints(hashes: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(raw[8 * a : 8 * b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())], np.uint64)
 
 
-def _bitmap(keys: DataFrame) -> np.ndarray:
-    """Values of ``h`` that occur twice or more, as one bit each of a map of fixed size (4 MB)."""
+def _bitmap(keys: DataFrame, repeated: bool = False) -> np.ndarray:
+    """Values of ``h`` (those that occur twice or more) as one bit each of a map of fixed size (4 MB)."""
+    at = F.pmod(F.col("h"), F.lit(BITS))
+    block = F.floor(at / F.lit(BLOCK)).cast("int").alias("block")
+    marks = _marks(keys) if repeated else keys.groupBy(block).agg(F.bitmap_construct_agg(F.pmod(at, F.lit(BLOCK))).alias("bits"))
     bits = np.zeros(BITS // 8, np.uint8)
-    for r in _marks(keys).collect():
+    for r in marks.collect():
         bits[r["block"] * BLOCK // 8 :][: len(r["bits"])] = np.frombuffer(r["bits"], np.uint8)
     return bits
 
@@ -138,9 +142,19 @@ def _among(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
     return bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1 == 1
 
 
-def _keyed(fp: np.ndarray, key: np.ndarray) -> np.ndarray:
+def _keyed(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
-        return _mix(fp + _mix(key.astype(np.uint64)))
+        return _mix(x.view(np.uint64) + _mix(y.view(np.uint64)))
+
+
+def _both(rows: DataFrame, x: str, y: str) -> DataFrame:
+    """``h``: one number for two columns."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(_keyed(b.column(x).to_numpy(), b.column(y).to_numpy()).view(np.int64))], ["h"])
+
+    return rows.select(x, y).mapInArrow(run, "h bigint")
 
 
 class Sets:
@@ -168,18 +182,17 @@ class Sets:
 
     def once(self, prints: DataFrame) -> None:
         """Which text speaks for its set, where several have it."""
-        often = prints.where("n > 0").groupBy("fp").agg(F.count("*").alias("copies"), F.min("number").alias("number")).where("copies > 1")
-        self.copied = _bitmap(often.select(F.col("fp").alias("h")).union(often.select(F.col("fp").alias("h"))))
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                yield pa.RecordBatch.from_arrays([pa.array(_keyed(b.column("fp").to_numpy().view(np.uint64), b.column("number").to_numpy()).view(np.int64))], ["h"])
-
-        keyed = often.select("fp", "number").mapInArrow(run, "h bigint")
-        self.speaks = _bitmap(keyed.union(keyed))
+        self.vertices = prints.where("n > 0").groupBy("fp").agg(F.count("*").alias("copies"), F.min("number").alias("number"))
+        often = stored(self.vertices.where("copies > 1"), "copied")
+        self.copied = _bitmap(often.select(F.col("fp").alias("h")))
+        self.speaks = _bitmap(_both(often, "fp", "number"))
+        discard(often)
 
     def signed(self, among: np.ndarray | None = None) -> DataFrame:
-        """``sig``, ``fp``, ``n`` of every set; with ``among`` those whose signature may be in that map, without it only ``h``, the signature."""
+        """``sig``, ``fp``, ``n`` of every set; with ``among`` those whose signature may be in that map, without it only ``h``, 40 bits of the signature.
+
+        Fewer bits go through the shuffle that finds what occurs twice; what they take for equal without need is told apart later.
+        """
         width, num, den, copied, speaks = self.width, self.num, self.den, self.copied, self.speaks
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,7 +202,7 @@ class Sets:
                 one = ~_among(copied, fp) | _among(speaks, _keyed(fp, table.column("number").to_numpy()))
                 sig, whose = signatures(hashes[one[doc]], doc[one[doc]], np.where(one, n, 0), num, den)
                 if among is None:
-                    yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64))], ["h"])
+                    yield pa.RecordBatch.from_arrays([pa.array((sig & np.uint64((1 << 40) - 1)).view(np.int64))], ["h"])
                     continue
                 met = _among(among, sig)
                 sig, whose = sig[met], whose[met]
@@ -197,26 +210,23 @@ class Sets:
 
         return self.rows.mapInArrow(run, "h bigint" if among is None else "sig bigint, fp bigint, n bigint")
 
-    def whole(self, some: np.ndarray) -> DataFrame:
-        """``fp``, ``marks`` and all ``shingles`` of the sets whose number is in the map.
+    def whole(self, fps: DataFrame) -> DataFrame:
+        """``fp``, ``marks`` and all ``shingles`` of some sets, from texts whose key's number a map of fixed size lets through.
 
         Marks: a bit for each hash value, one where an odd number of shingles fall;
         there are twice as many bits as shingles or more, and a power of two.
         """
-        width, copied, speaks = self.width, self.copied, self.speaks
+        width = self.width
+        some = _bitmap(join_split(self.vertices, fps, "fp", "inner").select(F.col("number").alias("h")))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for table in pieces(batches, "text"):
+            kept = (b.filter(pa.array(_among(some, b.column("number").to_numpy()))) for b in batches)
+            for table in pieces((b for b in kept if b.num_rows), "text"):
                 hashes, doc, n = distinct(*shingle_hashes(text_array(table, "text"), width))
-                fp = _prints(hashes, n)
-                one = _among(some, fp) & (~_among(copied, fp) | _among(speaks, _keyed(fp, table.column("number").to_numpy()))) & (n > 0)
-                ends = np.concatenate([[0], np.cumsum(n)])
-                at = np.flatnonzero(one)
-                own = [hashes[ends[i] : ends[i + 1]] for i in at]
-                marks = [mark(h).tobytes() for h in own]
-                starts = np.concatenate([[0], np.cumsum(n[at])])
-                lists = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array((np.concatenate(own) if own else hashes[:0]).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array(fp[at].view(np.int64)), pa.array(marks, pa.binary()), lists], ["fp", "marks", "shingles"])
+                fp, ends = _prints(hashes, n), np.concatenate([[0], np.cumsum(n)])
+                marks = [mark(hashes[a:b]).tobytes() for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(hashes.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array(fp.view(np.int64)), pa.array(marks, pa.binary()), lists], ["fp", "marks", "shingles"])
 
         return self.rows.mapInArrow(run, "fp bigint, marks binary, shingles array<bigint>")
 
@@ -241,12 +251,36 @@ def folded(marks: np.ndarray, words: int) -> np.ndarray:
 # -- links ----------------------------------------------------------------------------------------
 
 
+def _only(sets: DataFrame, fps: DataFrame) -> DataFrame:
+    """Sets that a map of fixed size lets through: nearly all others aren't dealt to a join."""
+    keys = fps.toDF("h")
+    return _survives(sets, _marks(keys.union(keys)), F.col("fp"), "_met").where("_met").drop("_met")
+
+
 def _near(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs ``u``, ``v`` that share num / den of their union, counted shingle by shingle."""
-    got = join_split(pairs.select("u", "v"), sets.select(F.col("fp").alias("v"), F.col("shingles").alias("b")), "v", "inner")
-    got = join_split(got, sets.select(F.col("fp").alias("u"), F.col("shingles").alias("a")), "u", "inner")
-    both = F.size(F.array_intersect("a", "b"))
-    return stored(got.select("u", "v", F.size("a").alias("n"), F.size("b").alias("m"), both.alias("both")).where(F.col("both") * den >= (F.col("n") + F.col("m") - F.col("both")) * num).select("u", "v"), "near")
+    """The pairs ``u``, ``v`` that share num / den of their union: marks first, then counted shingle by shingle."""
+    pairs = stored(pairs.select("u", "v"), "pairs")
+    met = pairs
+    for side in ("u", "v"):
+        met = join_split(met, _only(sets.select("fp", "marks", F.size("shingles").alias("n")), pairs.select(side)).toDF(side, f"m_{side}", f"n_{side}"), side, "inner")
+
+    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = []
+            for x, y, n in zip(b.column("m_u").to_pylist(), b.column("m_v").to_pylist(), (b.column("n_u").to_numpy() + b.column("n_v").to_numpy()).tolist()):
+                x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
+                words = min(len(x), len(y))
+                keep.append(int(np.bitwise_count(folded(x, words) ^ folded(y, words)).sum()) * (den + num) <= n * (den - num))
+            yield b.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
+
+    likely = stored(met.mapInArrow(close, "u bigint, v bigint").distinct(), "likely")
+    lists = sets.select("fp", "shingles")
+    got = join_split(likely, _only(lists, likely.select("v")).toDF("v", "b"), "v", "inner")
+    got = join_split(got, _only(lists, likely.select("u")).toDF("u", "a"), "u", "inner")
+    counted = got.select("u", "v", F.size("a").alias("n"), F.size("b").alias("m"), F.size(F.array_intersect("a", "b")).alias("both"))
+    near = stored(counted.where(F.col("both") * den >= (F.col("n") + F.col("m") - F.col("both")) * num).select("u", "v"), "near")
+    discard(pairs, likely)
+    return near
 
 
 def _block_pairs(table: pa.Table, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
@@ -271,11 +305,27 @@ def _block_pairs(table: pa.Table, num: int, den: int) -> tuple[np.ndarray, np.nd
     return np.concatenate([none, *us]), np.concatenate([none, *vs])
 
 
-def _apart(rows: DataFrame, labels: DataFrame) -> DataFrame:
-    """Rows of buckets that still hold sets of two components, with their ``label``."""
-    placed = join_split(rows, labels.withColumnRenamed("v", "fp"), "fp").withColumn("label", F.coalesce("label", "fp"))
-    two = placed.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("sig")
-    return join_split(placed, two, "sig", "inner")
+def _labelled(rows: DataFrame, labels: DataFrame, *columns: str) -> DataFrame:
+    """``rows`` with the component ``label_x`` of each column x."""
+    for c in columns:
+        rows = join_split(rows, labels.select(F.col("v").alias(c), F.col("label").alias(f"label_{c}")), c).withColumn(f"label_{c}", F.coalesce(f"label_{c}", c))
+    return rows
+
+
+def _apart(buckets: DataFrame, cross: DataFrame) -> DataFrame:
+    """Buckets in which a set and the leader are in two components; maps of fixed size may let others through."""
+
+    def kept(rows: DataFrame, test) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                yield b.filter(pa.array(test(b)))
+
+        return rows.mapInArrow(run, rows.schema)
+
+    met = _bitmap(_both(cross, "u", "v"))
+    hit = kept(buckets, lambda b: _among(met, _keyed(b.column("lead").to_numpy(), b.column("fp").to_numpy())))
+    two = _bitmap(hit.select(F.col("sig").alias("h")))
+    return kept(buckets, lambda b: _among(two, b.column("sig").to_numpy()))
 
 
 def _across(rows: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -305,29 +355,26 @@ def links(sets: Sets, prints: DataFrame, num: int, den: int) -> DataFrame:
     already, or not near.
     """
     sets.once(prints)
-    met = _bitmap(sets.signed())
-    rows = stored(sets.signed(met), "signed")
-    order = F.struct(F.xxhash64("fp").alias("by"), "fp", F.col("n").alias("size"))
-    leads = rows.groupBy("sig").agg(F.min(order).alias("lead"), F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo <> hi").select("sig", "lead")
-    buckets = stored(join_split(rows, leads, "sig", "inner").select("sig", "fp", "n", F.col("lead.fp").alias("lead"), F.col("lead.size").alias("size")).distinct(), "buckets")
+    rows = stored(sets.signed(_bitmap(sets.signed(), repeated=True)), "signed")
+    leads = rows.groupBy("sig").agg(F.min(F.struct("fp", "n")).alias("lead"), F.max("fp").alias("hi")).where("lead.fp <> hi")
+    buckets = stored(join_split(rows, leads.select("sig", F.col("lead.fp").alias("lead"), F.col("lead.n").alias("size")), "sig", "inner"), "buckets")
     discard(rows)
-    involved = buckets.select(F.col("fp").alias("h"))
-    whole = stored(sets.whole(_bitmap(involved.union(involved))), "sets")
+    stars = buckets.where("fp <> lead").groupBy(F.col("lead").alias("u"), F.col("fp").alias("v")).agg(F.count("*").alias("shared"), F.first("size").alias("n"), F.first("n").alias("m"))
+    stars = stored(stars.withColumn("fits", F.greatest("n", "m") * num <= F.least("n", "m") * den), "stars")
+    whole = stored(sets.whole(stars.select(F.col("u").alias("fp")).union(stars.select("v")).distinct()), "sets")
 
-    fits = (F.col("fp") != F.col("lead")) & (F.greatest("n", "size") * num <= F.least("n", "size") * den)
-    stars = buckets.where(fits).groupBy(F.col("lead").alias("u"), F.col("fp").alias("v")).agg(F.count("*").alias("shared"))
-    best = stars.groupBy("v").agg(F.max(F.struct("shared", "u"))["u"].alias("u"))
+    best = stored(stars.where("fits").groupBy("v").agg(F.max(F.struct("shared", "u"))["u"].alias("u")), "best")
     edges = _near(best, whole, num, den)
+    other = join_split(stars.where("fits").select("u", "v"), best.select("v", F.col("u").alias("first")), "v").where("u <> first")
+    edges = edges.union(_near(_labelled(other, components(edges), "u", "v").where("label_u <> label_v"), whole, num, den))
     labels = components(edges)
-    placed = _apart(buckets, labels)
-    led = join_split(placed.where(fits), labels.select(F.col("v").alias("lead"), F.col("label").alias("other")), "lead").where(F.col("label") != F.coalesce("other", "lead"))
-    tried = join_split(led.select(F.col("lead").alias("u"), F.col("fp").alias("v")).distinct(), best.select("v", F.col("u").alias("first")), "v").where("not u <=> first")
-    edges = edges.union(_near(tried, whole, num, den))
-    left = stored(_apart(buckets, components(edges)), "apart")
-    if not left.isEmpty():
+    cross = stored(_labelled(stars.select("u", "v"), labels, "u", "v").where("label_u <> label_v"), "cross")
+    if not cross.isEmpty():
+        left = stored(_labelled(_apart(buckets, cross).select("sig", "fp", "n"), labels, "fp").withColumnRenamed("label_fp", "label"), "apart")
         edges = edges.union(_near(_across(left, whole, num, den), whole, num, den))
+        discard(left)
     edges = stored(edges, "links")
-    discard(buckets, whole, left)
+    discard(buckets, stars, whole, best, cross)
     return edges
 
 
