@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import json
+from collections.abc import Callable
+from html.entities import html5
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
-# Patterns and limits that decide results (fixed values).
-URL = r"https?://\S+"
+# Patterns and limits that decide results (fixed values). White space is Unicode's: no-break and ideographic spaces part words too.
+WHITE, SOLID = r"[\s\x1c-\x1f\x85\p{Z}]", r"[^\s\x1c-\x1f\x85\p{Z}]"
+URL = rf"https?://{SOLID}+"
 CUT_OFF = r"\s*(?:…|\.\.\.)\s*$"
 MIN_COPY, MIN_STEM = 100, 20
-X_LINK = r"(?i)(?:https?://(?:[\w-]+\.)*(?:x|twitter)\.com|\bpic\.(?:x|twitter)\.com)/\S*"
-SHORT_LINK = r"(?i)https?://t\.co/\S*"
+X_LINK = rf"(?i)(?:https?://(?:[\w-]+\.)*(?:x|twitter)\.com|\bpic\.(?:x|twitter)\.com)/{SOLID}*"
+SHORT_LINK = rf"(?i)https?://t\.co/{SOLID}*"
 #: Words a story is never told by (fixed values).
 STORY_STOP = (
     "that this with your have from they them what when will about more just like only been "
@@ -22,14 +25,48 @@ WORD_START = r"(?<![0-9A-Za-zÀ-ɏ])"
 
 
 def collapse(c: Column) -> Column:
-    return F.trim(F.regexp_replace(c, r"\s+", " "))
+    return F.trim(F.regexp_replace(c, f"{WHITE}+", " "))
+
+
+#: What numbers of the C1 range mean in pages: Windows-1252, or themselves where it has no character.
+_C1 = {n: bytes([n]).decode("cp1252", "ignore") or chr(n) for n in range(0x80, 0xA0)}
+_BARE = "|".join(sorted((n for n in html5 if not n.endswith(";")), key=lambda n: (-len(n), n)))
+
+
+def _character(n: Column) -> Column:
+    """The character of a number, as HTML reads it; null where the number is too large to be read."""
+    c1 = F.from_json(F.lit(json.dumps(_C1)), "map<string,string>")[n.cast("string")]
+    wrong = n.isNull() | (n == 0) | (n > 0x10FFFF) | n.between(0xD800, 0xDFFF)
+    # controls and noncharacters are no text
+    none = n.between(1, 8) | (n == 11) | n.between(14, 31) | (n == 127) | n.between(0xFDD0, 0xFDEF) | (n % 65536 >= 65534)
+    said = F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
+    return F.when(wrong, "\ufffd").when(n.between(0x80, 0x9F), c1).when(none, "").otherwise(said)
+
+
+def _entity(part: Column) -> Column:
+    """What follows an ampersand, its entity decoded if it begins with one."""
+    named = F.from_json(F.lit(json.dumps(html5)), "map<string,string>")
+    found = lambda pattern, group=0: F.regexp_extract(part, pattern, group)
+    rest = lambda head: F.substring(part, F.length(head) + 1, F.length(part))
+    number, hexed, whole, bare = found(r"^#[0-9]+;?"), found(r"^#[xX][0-9a-fA-F]+;?"), found(r"^[A-Za-z][A-Za-z0-9]{0,31};"), found(f"^(?:{_BARE})")
+    decimal = F.regexp_extract(number, "[0-9]+", 0).try_cast("bigint")
+    digits = F.regexp_extract(hexed, "[xX]0*([0-9a-fA-F]*)", 1)
+    value = F.when(F.length(digits) <= 8, F.conv(F.concat(F.lit("0"), digits), 16, 10).cast("bigint"))
+    return (
+        F.when(number != "", F.concat(_character(decimal), rest(number))).when(hexed != "", F.concat(_character(value), rest(hexed)))
+        .when((whole != "") & named[whole].isNotNull(), F.concat(named[whole], rest(whole))).when(bare != "", F.concat(named[bare], rest(bare)))
+        .otherwise(F.concat(F.lit("&"), part))
+    )
 
 
 def unescape(c: Column) -> Column:
-    """The five entities that feeds carry; the ampersand last."""
-    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
-        c = F.replace(c, F.lit(entity), F.lit(char))
-    return c
+    """Every entity that HTML has, once: numbers, names, and the old names that need no semicolon."""
+    return F.array_join(F.transform(F.split(c, "&", -1), lambda part, i: F.when(i == 0, part).otherwise(_entity(part))), "")
+
+
+def bound(c: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is worked out once, however often ``f`` uses it."""
+    return F.transform(F.array(c), f)[0]
 
 
 def without_urls(c: Column) -> Column:
@@ -81,7 +118,7 @@ def display_body(own: Column) -> Column:
 
 
 def word_count(c: Column) -> Column:
-    return F.regexp_count(without_urls(unescape(c)), F.lit(r"\S+")).cast("bigint")
+    return F.regexp_count(without_urls(unescape(c)), F.lit(f"{SOLID}+")).cast("bigint")
 
 
 def status_of(url: Column) -> Column:
@@ -91,13 +128,18 @@ def status_of(url: Column) -> Column:
 
 
 def content_key(own: Column) -> Column:
-    """What two posts must share to be the same post: own words without X links, and the post shared."""
+    """What two posts must share to be the same post: own words, and who wrote the post shared and what it says; no words give the title.
+
+    Entities are decoded, links to X left out, short links only where there are
+    pictures, which are compared too.
+    """
+
     # The pattern is dear and links are rare, so texts without any are told first.
-    words = F.when(F.contains(F.lower(own), F.lit(".com/")), F.regexp_replace(own, X_LINK, " ")).otherwise(own)
-    words = F.when(F.size("images") > 0, F.regexp_replace(words, SHORT_LINK, " ")).otherwise(words)
-    shared = F.concat(F.lit("\n@"), F.lower("retweet_of_author"), F.lit(": "), F.lower("retweet_of_text"))
-    base = collapse(F.lower(words))
-    return F.when(F.col("retweet_of_author") == "", base).otherwise(F.concat(base, shared))
+    unlinked = lambda text: F.when(F.contains(F.lower(text), F.lit(".com/")), F.regexp_replace(text, X_LINK, " ")).otherwise(text)
+    unshort = lambda text: F.when(F.size("images") > 0, F.regexp_replace(text, SHORT_LINK, " ")).otherwise(text)
+    plain = lambda c: collapse(F.lower(bound(bound(unescape(c), unlinked), unshort)))
+    shared = F.concat(F.lit("\n@"), F.lower("retweet_of_author"), F.lit(": "), plain(F.col("retweet_of_text")))
+    return bound(plain(own), lambda words: F.when(F.col("retweet_of_author") != "", F.concat(words, shared)).when(words != "", words).otherwise(plain(F.col("title"))))
 
 
 def story_text(own: Column) -> Column:
@@ -165,13 +207,3 @@ def clean_markdown(c: Column) -> Column:
     tidy = F.transform(parts, lambda p: F.when(p.rlike(f"^(?:{CODE})"), p).otherwise(F.regexp_replace(_tidied(p), r"(?<=\n) | (?=\n)", "")))
     return F.btrim(F.regexp_replace(F.array_join(tidy, ""), r"\n{3,}", "\n\n"), F.lit(" \n\r\t"))
 
-
-def unescape_all(c: Column) -> Column:
-    """Every entity that HTML has, by the standard library: texts with an ampersand alone go through Python."""
-
-    def unescaped(texts: pd.Series) -> pd.Series:
-        import html
-
-        return texts.map(html.unescape, na_action="ignore")
-
-    return F.when(F.contains(c, F.lit("&")), F.pandas_udf(unescaped, StringType())(c)).otherwise(c)

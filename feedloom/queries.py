@@ -22,7 +22,8 @@ DAY, NEXT_DAY = "2024-01-01 04:00:00", "2024-01-01 10:00:00"
 
 # -- the derived feed, in SQL ---------------------------------------------------------------------
 
-_URL = r"https?://\S+"
+_WHITE, _SOLID = r"[\s\x0b\x1c-\x1f\x{85}\pZ]", r"[^\s\x0b\x1c-\x1f\x{85}\pZ]"
+_URL = f"https?://{_SOLID}+"
 
 
 def _unescape(x: str) -> str:
@@ -32,7 +33,7 @@ def _unescape(x: str) -> str:
 
 
 def _collapse(x: str) -> str:
-    return rf"trim(regexp_replace({x}, '\s+', ' ', 'g'))"
+    return f"trim(regexp_replace({x}, '{_WHITE}+', ' ', 'g'))"
 
 
 def _no_urls(x: str) -> str:
@@ -172,8 +173,37 @@ def keyword_only(spark, sf_dir):
     return feed(spark, sf_dir).where((F.col("source") != "@src7") | posts._any(said)).select("doc_id")
 
 
-_KEYED = r"""keyed AS (SELECT doc_id, source, CAST(doc_id AS VARCHAR) AS status, n_images, CASE WHEN content = '' AND n_images = 0 THEN NULL ELSE lower(author) || '|' || content || '|' || CASE WHEN n_images > 0 THEN doc_id || '/' || n_images ELSE '' END END AS key FROM
- (SELECT *, trim(regexp_replace(lower(regexp_replace(CASE WHEN n_images > 0 THEN regexp_replace(own, '(?i)https?://t\.co/\S*', ' ', 'g') ELSE own END, '(?i)(?:https?://(?:[\w-]+\.)*(?:x|twitter)\.com|\bpic\.(?:x|twitter)\.com)/\S*', ' ', 'g')), '\s+', ' ', 'g')) || CASE WHEN retweet_of_author = '' THEN '' ELSE chr(10) || '@' || lower(retweet_of_author) || ': ' || lower(retweet_of_text) END AS content FROM feed))"""
+def _plain(x: str, decoded: bool) -> str:
+    links = rf"regexp_replace({x if decoded else _unescape(x)}, '(?i)(?:https?://(?:[\w-]+\.)*(?:x|twitter)\.com|\bpic\.(?:x|twitter)\.com)/{_SOLID}*', ' ', 'g')"
+    return _collapse(rf"lower(CASE WHEN n_images > 0 THEN regexp_replace({links}, '(?i)https?://t\.co/{_SOLID}*', ' ', 'g') ELSE {links} END)")
+
+
+def _content(decoded: bool = False) -> str:
+    own, shared, title = (_plain(c, decoded) for c in ("own", "retweet_of_text", "title"))
+    return f"CASE WHEN retweet_of_author <> '' THEN {own} || chr(10) || '@' || lower(retweet_of_author) || ': ' || {shared} WHEN {own} <> '' THEN {own} ELSE {title} END"
+
+
+_KEYED = f"""keyed AS (SELECT doc_id, source, CAST(doc_id AS VARCHAR) AS status, n_images, CASE WHEN content = '' AND n_images = 0 THEN NULL ELSE lower(author) || '|' || content || '|' || CASE WHEN n_images > 0 THEN doc_id || '/' || n_images ELSE '' END END AS key FROM
+ (SELECT *, {_content()} AS content FROM feed))"""
+
+
+#: Entities of every form, spaces of every form, links to X, and what they say: before or behind each post, and in what it shares.
+_PLANTED = "caf&eacute; &#8217;&#x2019 R&ampD &amp;lt; a\u00a0b\u3000c\x1cd &nbsp; &notit; &bogus; &#150; https://x.com/a/1\u00a0e https://t.co/q f pic.x.com/z&amp;y "
+_SAID = "café ’’ R&D &lt; a\u00a0b\u3000c\x1cd \u00a0 ¬it; &bogus; – https://x.com/a/1\u00a0e https://t.co/q f pic.x.com/z&y "
+
+
+@query(f"""WITH posts AS (SELECT doc_id, CASE WHEN doc_id % 3 = 1 THEN '' WHEN doc_id % 2 = 0 THEN '{_SAID}' || coalesce(text, '') ELSE coalesce(text, '') || '{_SAID}' END AS own, CASE WHEN doc_id % 5 = 0 THEN source ELSE '' END AS retweet_of_author,
+ '{_SAID}' || source AS retweet_of_text, '{_SAID}' || substr(coalesce(text, ''), 1, 50) AS title, doc_id % 7 % 2 AS n_images FROM documents)
+SELECT doc_id, CAST(len(regexp_extract_all({_no_urls("own")}, '{_SOLID}+')) AS BIGINT) AS words, md5({_collapse(f"lower({_no_urls('own')})")}) AS comparable, md5({_content(decoded=True)}) AS content FROM posts""")
+def text_rules(spark, sf_dir):
+    """Number of words, comparable form and duplicate key of posts with entities, Unicode spaces and links to X."""
+    docs, text, planted = table(spark, sf_dir, "documents"), F.coalesce("text", F.lit("")), F.lit(_PLANTED)
+    own = F.when(F.col("doc_id") % 3 == 1, "").when(F.col("doc_id") % 2 == 0, F.concat(planted, text)).otherwise(F.concat(text, planted))
+    rows = docs.select(
+        "doc_id", own.alias("own"), F.when(F.col("doc_id") % 5 == 0, F.col("source")).otherwise("").alias("retweet_of_author"), F.concat(planted, "source").alias("retweet_of_text"),
+        F.concat(planted, F.substring(text, 1, 50)).alias("title"), F.array_repeat(F.lit("p"), (F.col("doc_id") % 7 % 2).cast("int")).alias("images"),
+    )
+    return rows.select("doc_id", X.word_count(F.col("own")).alias("words"), F.md5(X.comparable(F.col("own"))).alias("comparable"), F.md5(X.content_key(F.col("own"))).alias("content"))
 
 
 def _key():
