@@ -1,78 +1,70 @@
-"""Calls of a language model over rows: prompts, replies, one more try, answers that are known already."""
+"""Calls of a language model over rows: prompts, replies, one more try, answers that are kept.
+
+A client says what came of a call as an ``Answer``; what is wrong with it, and whether it is asked again, is worked
+out on columns.
+"""
 
 from __future__ import annotations
 
-import json
-import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedloom.operators import language, verify
-
-FRONT, BAND, LANGUAGE = re.compile(r"\A---\n.*?\n---\n", re.S), re.compile(r"^## Band: (\w+)[ \t]*$", re.M), re.compile(r"^- Language: .*$", re.M)
-FENCE, THOUGHT = re.compile(r"(?s)^```(?:json)?\s*(.*?)\s*```$"), re.compile(r"(?s)<think>.*?</think>")
-#: What a status says that neither settings nor another try will change (fixed values).
-HINTS = {401: "the key was turned down", 403: "the key was turned down", 402: "the account wants payment", 429: "the rate limit was reached"}
-
-
-class ModelError(RuntimeError):
-    """No usable answer; ``status`` if a server said so, ``silent`` if nothing came."""
+from feedloom.functions.text import collapse
+from feedloom.operators import language, runs, verify
+from feedloom.plans.lineage import checkpointed
 
-    def __init__(self, message: str, status: int | None = None, silent: bool = False):
-        super().__init__(f"{message}: {HINTS[status]}" if status in HINTS else message)
-        self.status, self.silent = status, silent
-
-    @property
-    def again(self) -> bool:
-        """Asking again can change it: nothing came, or the server failed."""
-        return self.silent or (self.status or 0) >= 500
+# Marks of a prompt file, and what a status says that neither settings nor another try will change.
+FENCE, BAND, LANGUAGE = "---", "## Band:", "- Language:"
+STATUS_WORDS = {401: "the key was turned down", 403: "the key was turned down", 402: "the account wants payment", 429: "the rate limit was reached"}
 
 
 @dataclass
 class Answer:
-    text: str
+    """What came of a call: a text, or the status of a refusal (0: nothing came at all)."""
+
+    text: str | None = None
     prompt_tokens: int | None = None
     completion_tokens: int | None = None
     cut: bool = False
+    status: int | None = None
 
 
-#: What a client is: (system, message, schema, most tokens) -> Answer; it raises ModelError.
+#: What a client is: (system, message, schema, most tokens) -> Answer.
 Complete = Callable[[str, str, dict, int], Answer]
 
 
-def parsed(answer: Answer) -> dict:
-    """The JSON object of an answer, without thoughts and fences."""
-    text = THOUGHT.sub("", answer.text).strip()
-    if text.startswith("<think>") or not text:
-        raise ModelError("an empty answer")
-    fenced = FENCE.match(text)
-    try:
-        found = json.loads(fenced.group(1) if fenced else text)
-    except ValueError:
-        raise ModelError("the answer was cut off" if answer.cut else "the answer is no JSON") from None
-    if not isinstance(found, dict):
-        raise ModelError("the answer is no JSON object")
-    return found
+def prompt_lines(text: str) -> Iterator[tuple[str, str]]:
+    """Lines of a prompt file behind its front matter, each with the band it is for ("": all)."""
+    lines, band = text.split("\n"), ""
+    if lines[0] == FENCE and FENCE in lines[1:]:
+        lines = lines[lines.index(FENCE, 1) + 1 :]
+    for line in lines:
+        if line.startswith(BAND):
+            band = line.removeprefix(BAND).strip()
+            yield band, ""
+        else:
+            yield band, line
 
 
 def prompt(text: str, band: str | None = None, rule: str | None = None) -> str:
-    """A prompt file without its front matter; of its bands only one; its language line replaced by a rule."""
-    body = FRONT.sub("", text, count=1)
+    """The prompt for one band (None: the file as it is), its language line replaced by a rule."""
+    rows = list(prompt_lines(text))
+    at = next((i for i, (_, line) in enumerate(rows) if line.startswith(LANGUAGE)), None)
+    if rule and at is None:
+        raise ValueError("the prompt has no language line to replace")
     if rule:
-        body, n = LANGUAGE.subn(lambda _: rule, body, count=1)
-        if not n:
-            raise ValueError("the prompt has no language line to replace")
+        rows[at] = (rows[at][0], rule)
+    own = {b: "\n".join(line for x, line in rows if x == b).strip() for b in dict.fromkeys(b for b, _ in rows)}
     if band is None:
-        return body.strip() + "\n"
-    shared, *rest = BAND.split(body)
-    bands = dict(zip(rest[::2], rest[1::2]))
-    if band not in bands:
+        return "\n\n".join(f"{BAND} {b}\n{body}" if b else body for b, body in own.items()) + "\n"
+    if band not in own:
         raise ValueError(f"the prompt has no band {band}")
-    return f"{shared.strip()}\n\n## This chunk\n\nBand: {band}. {bands[band].strip()}\n"
+    return f"{own.get('', '')}\n\n## This chunk\n\nBand: {band}. {own[band]}\n"
 
 
 def reply_schema(least: int, most: int, most_ids: int | None = None) -> dict:
@@ -96,84 +88,110 @@ def choose_model(wanted: str, offered: list[str] | None) -> str:
     raise ValueError(f"{len(fits)} models fit, name one: " + ", ".join(fits))
 
 
-def run_chunks(chunks: DataFrame, complete: Complete, check: Callable[[dict, dict], str | None], retries: int = 1) -> DataFrame:
-    """Every chunk's record: ``chunk``, ``ok``, ``attempts``, ``raw``, ``error``, ``prompt_chars``, tokens.
+def bare(raw: Column) -> Column:
+    """A reply without thoughts and code fences; one whose thoughts never end is empty."""
+    thoughtless = F.regexp_replace(raw, r"(?s)<think>.*?(?:</think>|$)", "")
+    return F.regexp_replace(F.trim(thoughtless), r"(?s)^\s*```(?:json)?\s*|\s*```\s*$", "")
+
+
+def fault(raw: Column, status: Column, cut: Column) -> Column:
+    """Why no JSON object came of a call, or null."""
+    said = F.concat(F.lit("status "), status.cast("string"), *[F.when(status == n, f": {words}").otherwise("") for n, words in STATUS_WORDS.items()])
+    value = F.try_parse_json(bare(raw))
+    return (
+        F.when(status == 0, "no answer").when(status.isNotNull(), said).when(F.coalesce(bare(raw), F.lit("")) == "", "an empty answer")
+        .when(value.isNull(), F.when(cut, "the answer was cut off").otherwise("the answer is no JSON")).when(~F.startswith(F.schema_of_variant(value), F.lit("OBJECT")), "the answer is no JSON object")
+    )
+
+
+_CALL = "raw string, status int, cut boolean, prompt_tokens bigint, completion_tokens bigint"
+
 
-    ``chunks``: chunk, system, message, min_items, max_items, max_ids, max_tokens, posts.  A call that fails, or whose
-    reply ``check`` finds fault with, is made again up to ``retries`` times; the last fault is kept.  Each task calls in
-    turn, so as many calls run at once as there are tasks; a task that runs again asks again.
+def asked(rows: DataFrame, complete: Complete, schema_of: Callable[[dict], dict]) -> DataFrame:
+    """``rows`` (system, message, max_tokens and whatever ``schema_of`` reads) with what came of one call each, kept: a later reading asks nothing.
+
+    Each task calls in turn, so as many calls run at once as there are tasks.
     """
-    columns = "chunk string, ok boolean, attempts int, raw string, error string, prompt_chars bigint, prompt_tokens bigint, completion_tokens bigint"
+    columns = [c for c in rows.columns if c not in ("raw", "status", "cut", "prompt_tokens", "completion_tokens")]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            out = []
+            found = []
             for row in frame.to_dict("records"):
-                most_ids = None if pd.isna(row["max_ids"]) else int(row["max_ids"])
-                schema = reply_schema(int(row["min_items"]), int(row["max_items"]), most_ids)
-                answer, error, attempts = None, None, 0
-                for attempts in range(1, retries + 2):
-                    try:
-                        answer = complete(row["system"], row["message"], schema, int(row["max_tokens"]))
-                        error = check(parsed(answer), row)
-                    except ModelError as e:
-                        error = str(e)
-                    if error is None:
-                        break
-                out.append({
-                    "chunk": row["chunk"], "ok": error is None, "attempts": attempts, "raw": answer.text if answer else None, "error": error, "prompt_chars": len(row["system"]) + len(row["message"]),
-                    "prompt_tokens": answer.prompt_tokens if answer else None, "completion_tokens": answer.completion_tokens if answer else None,
-                })
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in columns.split(", ")]).astype({"prompt_tokens": "Int64", "completion_tokens": "Int64"})
-
-    return chunks.mapInPandas(run, columns)
-
-
-def fault(reply: dict, chunk: dict) -> str | None:
-    """What is wrong with a chunk's reply (as ``runs.reply_problem`` has it in SQL)."""
-    items = reply.get("items")
-    if not isinstance(items, list):
-        return "no `items` list"
-    whole = lambda n: isinstance(n, int) and not isinstance(n, bool)
-    for k, item in enumerate(items):
-        if not isinstance(item, dict):
-            return f"item {k} is not an object"
-        if not all(isinstance(item.get(c), str) for c in ("headline", "detail")):
-            return f"item {k}: headline and detail must be strings"
-        if not (isinstance(item.get("ids"), list) and all(map(whole, item["ids"]))):
-            return f"item {k}: ids must be a list of integers"
-    return f"too thin: {len(items)} item(s) for {chunk['posts']} posts, at least {chunk['min_items']} expected" if len(items) < chunk["min_items"] else None
+                try:
+                    found.append(complete(row["system"], row["message"], schema_of(row), int(row["max_tokens"])))
+                except OSError:  # time-outs and broken connections
+                    found.append(Answer(status=0))
+            told = pd.DataFrame([(a.text, a.status, a.cut, a.prompt_tokens, a.completion_tokens) for a in found], columns=["raw", "status", "cut", "prompt_tokens", "completion_tokens"])
+            yield pd.concat([frame.reset_index(drop=True), told.astype({"status": "Int32", "prompt_tokens": "Int64", "completion_tokens": "Int64"})], axis=1)
+
+    own = ", ".join(f"`{c}` {t}" for c, t in rows.select(columns).dtypes)
+    return checkpointed(rows.select(columns).mapInPandas(run, f"{own}, {_CALL}"))
+
+
+def run_chunks(chunks: DataFrame, complete: Complete, retries: int = 1) -> DataFrame:
+    """Every chunk's record: ``chunk``, ``ok``, ``attempts``, ``raw``, ``error``, ``prompt_chars``, tokens.
+
+    ``chunks``: chunk, system, message, min_items, max_items, max_ids, max_tokens, posts.  Chunks whose call fails, or
+    whose reply ``runs.reply_problem`` finds fault with, are a further round of up to ``retries``; the last fault is kept.
+    """
+    shape = lambda row: reply_schema(int(row["min_items"]), int(row["max_items"]), None if pd.isna(row["max_ids"]) else int(row["max_ids"]))
+    left, done = chunks, None
+    for attempt in range(1, retries + 2):
+        problem = F.coalesce(fault(F.col("raw"), F.col("status"), F.col("cut")), runs.reply_problem(bare(F.col("raw")), F.col("min_items"), F.col("posts")))
+        told = asked(left, complete, shape).withColumns({"error": problem, "attempts": F.lit(attempt)})
+        over = told if attempt > retries else told.where("error is null")
+        done = over if done is None else done.unionByName(over)
+        left = told.where("error is not null").select(chunks.columns)
+    size = (F.length("system") + F.length("message")).cast("bigint")
+    return done.select("chunk", F.col("error").isNull().alias("ok"), "attempts", "raw", "error", size.alias("prompt_chars"), "prompt_tokens", "completion_tokens")
 
 
 def answered(texts: DataFrame, cache: DataFrame, system: str, complete: Complete, part: str, schema: dict, max_tokens: int = 300) -> DataFrame:
-    """``texts`` (text) with ``answer`` (the reply's string ``part``), ``error`` and ``cached``.
+    """``texts`` (text) with ``key``, ``answer`` (the reply's string ``part``), ``error`` and ``cached``.
 
     Equal texts are asked about once, those in the cache (key, answer) not at all; an empty part is an error; a call
-    that nothing came of is made once more.
+    that nothing came of, or that the server failed, is made once more.
     """
     keyed = language.split_by_cache(texts, cache, system)
-    misses = keyed.where("answer is null").select("key", "text").dropDuplicates(["key"])
+    misses = keyed.where("answer is null").select("key", F.lit(system).alias("system"), F.col("text").alias("message"), F.lit(max_tokens).alias("max_tokens")).dropDuplicates(["key"])
+    first = asked(misses, complete, lambda row: schema)
+    again = F.coalesce((F.col("status") == 0) | (F.col("status") >= 500), F.lit(False))
+    told = first.where(~again).unionByName(asked(first.where(again).select(misses.columns), complete, lambda row: schema))
+    value = F.nullif(collapse(F.try_variant_get(F.try_parse_json(bare(F.col("raw"))), f"$.{part}", "string")), F.lit(""))
+    why = F.coalesce(fault(F.col("raw"), F.col("status"), F.col("cut")), F.when(value.isNull(), f"no {part} in the answer"))
+    said = told.select("key", F.when(why.isNull(), value).alias("_said"), why.alias("error"))
+    found = keyed.withColumn("cached", F.col("answer").isNotNull()).join(said, "key", "left")
+    return found.withColumn("answer", F.coalesce("answer", "_said")).drop("_said")
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = []
-            for key, text in zip(frame["key"], frame["text"]):
-                said, error = None, None
-                for turn in (1, 2):
-                    try:
-                        said, error = " ".join(str(parsed(complete(system, text, schema, max_tokens)).get(part) or "").split()) or None, None
-                        error = None if said else f"no {part} in the answer"
-                        break
-                    except ModelError as e:
-                        error = str(e)
-                        if turn == 2 or not e.again:
-                            break
-                rows.append((key, said, error))
-            yield pd.DataFrame(rows, columns=["key", "_said", "_error"])
-
-    told = misses.mapInPandas(run, "key string, _said string, _error string")
-    found = keyed.withColumn("cached", F.col("answer").isNotNull()).join(told, "key", "left")
-    return found.withColumn("answer", F.coalesce("answer", "_said")).withColumnRenamed("_error", "error").drop("_said")
+
+# -- answers that are kept ------------------------------------------------------------------------
+
+
+def remembered(spark: SparkSession, folder: str) -> DataFrame:
+    """``key``, ``answer`` of a cache: of several answers to one question the one kept last, ties by text; none where there is no cache yet."""
+    try:
+        rows = spark.read.schema("key string, answer string, kept_at timestamp").parquet(folder)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], "key string, answer string")
+    return rows.groupBy("key").agg(F.max(F.struct("kept_at", "answer"))["answer"].alias("answer"))
+
+
+def remember(answers: DataFrame, folder: str) -> None:
+    """Append what the cache doesn't say yet; written again it adds nothing. Errors are not kept."""
+    spark = answers.sparkSession
+    fresh = checkpointed(answers.where("answer is not null").select("key", "answer").distinct().join(remembered(spark, folder), ["key", "answer"], "left_anti"))
+    if not fresh.isEmpty():
+        fresh.withColumn("kept_at", F.current_timestamp()).write.mode("append").parquet(folder)
+
+
+def with_cache(texts: DataFrame, folder: str, system: str, complete: Complete, part: str, schema: dict, max_tokens: int = 300) -> DataFrame:
+    """``answered`` from the cache in ``folder``, into which new answers go before anyone reads them."""
+    found = checkpointed(answered(texts, remembered(texts.sparkSession, folder), system, complete, part, schema, max_tokens))
+    remember(found.where("not cached"), folder)
+    return found
 
 
 def supported(answers: DataFrame) -> DataFrame:

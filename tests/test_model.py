@@ -1,6 +1,7 @@
 """Calls of a model, with clients that answer from a table."""
 
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -23,16 +24,14 @@ def test_prompts():
         model.prompt("x", rule="- Language: y")
 
 
-def test_answers_are_read_through_thoughts_and_fences():
-    read = lambda text, **k: model.parsed(model.Answer(text, **k))
-    assert read('<think>{"no"</think>\n```json\n{"a": 1}\n```') == {"a": 1}
-    for text, why in (("<think>never ends", "empty"), ("[1]", "no JSON object"), ("{", "no JSON"), ("", "empty")):
-        with pytest.raises(model.ModelError, match=why):
-            read(text)
-    with pytest.raises(model.ModelError, match="cut off"):
-        read('{"a": "b', cut=True)
-    assert model.ModelError("x", 503).again and model.ModelError("x", silent=True).again and not model.ModelError("x", 402).again
-    assert "wants payment" in str(model.ModelError("x", 402))
+def test_answers_are_read_through_thoughts_and_fences(spark):
+    cases = [
+        ('<think>{"no"</think>\n```json\n{"a": 1}\n```', None, False, None), ("<think>never ends", None, False, "an empty answer"), ("[1]", None, False, "the answer is no JSON object"), ("{", None, False, "the answer is no JSON"),
+        ("", None, False, "an empty answer"), (None, None, False, "an empty answer"), ('{"a": "b', None, True, "the answer was cut off"), (None, 503, False, "status 503"), (None, 402, False, "status 402: the account wants payment"), (None, 0, False, "no answer"),
+    ]
+    rows = spark.createDataFrame([(i, *c[:3]) for i, c in enumerate(cases)], "i int, raw string, status int, cut boolean").orderBy("i")
+    assert [r[0] for r in rows.select(model.fault(F.col("raw"), F.col("status"), F.col("cut"))).collect()] == [c[3] for c in cases]
+    assert rows.select(model.bare(F.col("raw"))).first()[0] == '{"a": 1}'
 
 
 def test_choice_of_a_model():
@@ -42,35 +41,67 @@ def test_choice_of_a_model():
             model.choose_model(wanted, offered)
 
 
-def test_chunks_are_asked_again_once(spark):
-    said = {"good": [reply(2)], "thin": [reply(1), reply(1)], "late": ["{", reply(3)], "down": [model.ModelError("x", 500), model.ModelError("x", 500)]}
+def _client(folder, said):
+    """A client that answers in turn what is said for a message; each call leaves a file."""
 
     def complete(system, message, schema, most):
-        asked = schema["properties"]["items"]
-        assert (asked["minItems"], asked["maxItems"], most) == (2, 4, 900) and asked["items"]["properties"]["ids"].get("maxItems") == (5 if message == "good" else None)
-        answer = said[message].pop(0)
+        turn = len([f for f in os.listdir(folder) if f.startswith(f"{message}-")])
+        open(os.path.join(folder, f"{message}-{turn}"), "x").close()
+        answer = said[message][turn]
         if isinstance(answer, Exception):
             raise answer
-        return model.Answer(answer, 10, 5)
+        return answer if isinstance(answer, model.Answer) else model.Answer(answer, 10, 5)
+
+    return complete
 
-    rows = [(m, "sys", m, 2, 4, 5 if m == "good" else None, 900, 9) for m in said]
-    chunks = spark.createDataFrame(rows, "chunk string, system string, message string, min_items int, max_items int, max_ids int, max_tokens int, posts int").coalesce(1)
-    got = {r.chunk: r for r in model.run_chunks(chunks, complete, model.fault).collect()}
-    assert {k: (r.ok, r.attempts) for k, r in got.items()} == {"good": (True, 1), "thin": (False, 2), "late": (True, 2), "down": (False, 2)}
-    assert got["thin"].error == "too thin: 1 item(s) for 9 posts, at least 2 expected" and got["down"].raw is None and got["down"].prompt_tokens is None and got["good"].prompt_chars == 7
 
+def test_chunks_are_asked_again_once(spark, tmp_path):
+    said = {"good": [reply(2)], "thin": [reply(1), reply(1)], "late": ["{", reply(3)], "down": [model.Answer(status=500), TimeoutError()]}
+    client = _client(str(tmp_path), said)
 
-def test_known_answers_are_not_asked_for(spark):
     def complete(system, message, schema, most):
-        if message == "down":
-            raise model.ModelError("gone", 402)
-        assert message != "known"
-        return model.Answer(json.dumps({"summary": "" if message == "empty" else f"about  {message}"}))
+        asked = schema["properties"]["items"]
+        assert (asked["minItems"], asked["maxItems"], most) == (2, 4, 900) and asked["items"]["properties"]["ids"].get("maxItems") == (5 if message == "good" else None)
+        return client(system, message, schema, most)
+
+    rows = [(m, "sys", m, 2, 4, 5 if m == "good" else None, 900, 9) for m in said]
+    chunks = spark.createDataFrame(rows, "chunk string, system string, message string, min_items int, max_items int, max_ids int, max_tokens int, posts int")
+    run = model.run_chunks(chunks, complete)
+    got = {r.chunk: r for r in run.collect()}
+    assert run.count() == 4 and sorted(os.listdir(tmp_path)) == ["down-0", "down-1", "good-0", "late-0", "late-1", "thin-0", "thin-1"]
+    assert {k: (r.ok, r.attempts) for k, r in got.items()} == {"good": (True, 1), "thin": (False, 2), "late": (True, 2), "down": (False, 2)}
+    assert got["thin"].error == "too thin: 1 item(s) for 9 posts, at least 2 expected" and got["down"].error == "no answer" and got["down"].raw is None and got["down"].prompt_tokens is None and got["good"].prompt_chars == 7
+
 
-    texts = spark.createDataFrame([(t,) for t in ("known", "new", "new", "empty", "down")], "text string")
+def test_known_answers_are_not_asked_for(spark, tmp_path):
+    about = lambda x: json.dumps({"summary": x})
+    said = {"new": [about("about  new")], "empty": [about("")], "down": [model.Answer(status=402)], "slow": [ConnectionError(), about("late")]}
+    complete = _client(str(tmp_path), said)
+    texts = spark.createDataFrame([(t,) for t in ("known", "new", "new", "empty", "down", "slow")], "text string")
     cache = spark.createDataFrame([("known",)], "t string").select(language.cache_key("s", F.col("t")).alias("key"), F.lit("kept").alias("answer"))
     got = sorted((r.text, r.answer, r.error, r.cached) for r in model.answered(texts, cache, "s", complete, "summary", {}).collect())
-    assert got == [("down", None, "gone: the account wants payment", False), ("empty", None, "no summary in the answer", False), ("known", "kept", None, True), ("new", "about new", None, False), ("new", "about new", None, False)]
+    assert got == [
+        ("down", None, "status 402: the account wants payment", False), ("empty", None, "no summary in the answer", False), ("known", "kept", None, True), ("new", "about new", None, False), ("new", "about new", None, False), ("slow", "late", None, False),
+    ]
+
+
+def test_answers_are_kept_and_the_last_one_wins(spark, tmp_path):
+    """A second run asks about what failed alone; writing again adds nothing; a later answer takes an earlier one's place."""
+    calls, folder = tmp_path / "calls", str(tmp_path / "cache")
+    calls.mkdir()
+    complete = _client(str(calls), {"a": [json.dumps({"t": "A"})], "b": [model.Answer(status=402), json.dumps({"t": "B"})]})
+    texts = spark.createDataFrame([("a",), ("b",), ("a",)], "text string")
+    first = model.with_cache(texts, folder, "s", complete, "t", {})
+    assert sorted((r.text, r.answer, r.cached) for r in first.collect()) == [("a", "A", False), ("a", "A", False), ("b", None, False)]
+    second = model.with_cache(texts, folder, "s", complete, "t", {})
+    assert sorted((r.text, r.answer, r.cached) for r in second.collect()) == [("a", "A", True), ("a", "A", True), ("b", "B", False)]
+    assert sorted(os.listdir(calls)) == ["a-0", "b-0", "b-1"]
+    rows = spark.read.parquet(folder).count()
+    model.remember(second, folder)
+    assert spark.read.parquet(folder).count() == rows == 2
+    key = second.where("text = 'a'").first().key
+    model.remember(spark.createDataFrame([(key, "Z")], "key string, answer string"), folder)
+    assert {r.answer for r in model.remembered(spark, folder).collect()} == {"Z", "B"}
 
 
 def test_answers_with_figures_of_their_own_are_withheld(spark):
