@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from feedloom.functions import text as X
-from feedloom.operators import reading, render, stories
+from feedloom.operators import pages, reading, render, stories
 from feedloom.queries import _LEADERS, _MEMBERS, _SETS, PRIORITY, SOURCES, _collapse, _comparable, _n, _no_urls, _unescape, feed, feed_sql, query
 from feedloom.sources import follow
 from feedloom.sources.feed import derived_feed, derived_sources, table, timeline_items, timeline_items_by_call
@@ -272,3 +272,22 @@ def digest_blocks(spark, sf_dir):
     items = feed(spark, sf_dir)
     lines = render.digest_lines(items, F.col("source") == PRIORITY, F.col("own")).withColumn("place", F.row_number().over(Window.partitionBy("section").orderBy("at")))
     return lines.join(derived_feed(spark, sf_dir).select("doc_id", "id"), F.col("at.id") == F.col("id")).select("section", "doc_id", "place", F.substring_index("line", "\n", 1).alias("head"))
+
+
+# -- pages ----------------------------------------------------------------------------------------
+
+_HEAD = """'<head>' || CASE WHEN page_id % 3 = 0 THEN '<meta property="og:site_name" content="Site &amp; ' || page_id || '">' ELSE '' END || CASE WHEN page_id % 4 = 0 THEN '<meta name="date" content="2024-05-0' || page_id % 9 || 'T08:00">' ELSE '' END"""
+_BLOCKS = _collapse(_unescape(r"regexp_replace(regexp_replace(x, '<br>', ' ', 'g'), '</?b>', '', 'g')"))
+
+
+@query(rf"""WITH read AS (SELECT page_id, url, replace(html, '<head>', {_HEAD}) AS html FROM pages),
+parted AS (SELECT *, [x for x in [{_BLOCKS} for x in string_split_regex(regexp_extract(html, '(?s)<article>(.*?)</article>', 1), '</?(?:p|h1)>')] if x <> ''] AS blocks FROM read)
+SELECT page_id, {_collapse(_unescape("regexp_extract(html, '(?s)<title>(.*?)</title>', 1)"))} AS title, CASE WHEN page_id % 3 = 0 THEN 'Site & ' || page_id ELSE regexp_replace(lower(regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1)), '^www\.', '') END AS site,
+ CASE WHEN page_id % 4 = 0 THEN '2024-05-0' || page_id % 9 END AS published, CAST(len(blocks) AS INTEGER) AS blocks, md5(array_to_string(blocks, chr(10) || chr(10))) AS text FROM parted""")
+def page_main_text(spark, sf_dir):
+    """Every page's main text, whole, with title, site and date; some pages get a site's name and a date in their head."""
+    i = F.col("page_id").cast("string")
+    site = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit('<meta property="og:site_name" content="Site &amp; '), i, F.lit('">'))).otherwise("")
+    dated = F.when(F.col("page_id") % 4 == 0, F.concat(F.lit('<meta name="date" content="2024-05-0'), (F.col("page_id") % 9).cast("string"), F.lit('T08:00">'))).otherwise("")
+    read = table(spark, sf_dir, "pages").withColumn("html", F.replace("html", F.lit("<head>"), F.concat(F.lit("<head>"), site, dated)))
+    return pages.main_text(read).select("page_id", "title", "site", "published", "blocks", F.md5("text").alias("text"))
