@@ -12,7 +12,7 @@ from feedloom.functions import text as X
 from feedloom.operators import export, posts, reading, stories, topics, verify
 from feedloom.sources import exports
 from feedloom.sources.feed import derived_feed, derived_sources, table
-from feedloom.streaming import feeds
+from feedloom.streaming import feeds, silence
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -782,6 +782,20 @@ def stream_sessions(spark, sf_dir):
     return found.select("user_id", "n", *[F.col(c).cast("timestamp_ntz").alias(c) for c in ("first", "last")])
 
 
+@query("""SELECT event_id, user_id, coalesce(ts > coalesce(max(ts) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN UNBOUNDED PRECEDING AND INTERVAL 1 MICROSECOND PRECEDING), TIMESTAMP '2024-01-01') + INTERVAL 2 DAY, false) AS after_silence FROM events""")
+def stream_silence(spark, sf_dir):
+    """Events that come in three runs of a stream, every seventh two days late, flagged as ``silence_flags`` does; a row of the far future lets the last ones out."""
+    events = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("user"), F.col("event_id").cast("string").alias("event"), F.col("ts").cast("timestamp").alias("ts"))
+    days = F.datediff("ts", F.lit("2024-01-01").cast("date")) + F.when(F.col("event").cast("bigint") % 7 == 0, 2).otherwise(0)
+    folder = feeds.store_of(spark)
+    last = spark.sql("select '' as user, '' as event, timestamp'2100-01-01' as ts")
+    for part in (events.where(days < 10), events.where(days.between(10, 19)), events.where(days >= 20), last):
+        part.write.mode("append").parquet(f"{folder}/in")
+        rows = feeds.read_items(spark, f"{folder}/in", events.schema)
+        flagged = feeds.run_once(silence.silence_stream(rows, "user", "ts", "event", "2 days", "3 days", start="2024-01-01"), folder=f"{folder}/out")
+    return flagged.select(F.col("event").cast("bigint").alias("event_id"), F.col("user").cast("bigint").alias("user_id"), "after_silence")
+
+
 @query("SELECT user_id, min(event_id) AS event_id FROM events GROUP BY user_id")
 def stream_append_new(spark, sf_dir):
     """The first event of each user, by a writer that adds what its store lacks, run twice over all events."""

@@ -58,9 +58,12 @@ def store_of(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/streams/{uuid.uuid4().hex}"
 
 
-def run_once(df: DataFrame, mode: str = "append") -> DataFrame:
-    """Run over what is there and stop; state and results stay in the shared folder, the results are read from there."""
-    spark, folder = df.sparkSession, store_of(df.sparkSession)
+def run_once(df: DataFrame, mode: str = "append", folder: str | None = None) -> DataFrame:
+    """Run over what is there and stop; state and results stay in the shared folder, the results are read from there.
+
+    With the ``folder`` of an earlier run it goes on where that one stopped.
+    """
+    spark, folder = df.sparkSession, folder or store_of(df.sparkSession)
     schema = df.schema
 
     def write(batch: DataFrame, epoch: int) -> None:
