@@ -1,7 +1,7 @@
-"""Timelines of followed accounts as a batch data source: one partition an account, pages until the cutoff.
+"""Timelines of followed accounts as data sources: a table, a stream with a cursor an account, and look-ups of posts by id.
 
-A backend is any picklable object with ``page(handle, cursor) -> Page``.  An account that fails, or isn't there, is a row that says why; the
-others go on.  Register with ``spark.dataSource.register(Timelines)`` and read with ``format("timelines")``.
+An account that fails, or isn't there, is a row that says why; the others go
+on.  Register the sources with ``register(spark)``.
 """
 
 from __future__ import annotations
@@ -9,33 +9,22 @@ from __future__ import annotations
 import json
 import math
 import time
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Mapping
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql import SparkSession
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, EqualTo, Filter, In, InputPartition
+
+from feedloom.sources.backends import Backend, ByPost, Page, Refused, backend_of
 
 # How far one account is read, and how failures are tried again.
 PAGES, SAFETY_ITEMS, MOST_AT_ONCE = 25, 100, 10
-TRIES, FIRST_WAIT, PACE_MARGIN, SILENT_TRIES = 4, 2.0, 1.25, 2
-AGAIN = {429, 403, 502, 503, 504, 520, 521, 522, 523, 524}
+FIRST_WAIT, PACE_MARGIN, SILENT_TRIES = 2.0, 1.25, 2
 MAX_LOOKBACK_HOURS = 168
 
 
-class Refused(Exception):
-    """An answer with a status that isn't success."""
-
-    def __init__(self, status: int):
-        super().__init__(f"status {status}")
-        self.status = status
-
-
-@dataclass
-class Page:
-    posts: list[dict]
-    cursor: str | None = None
-
-
 def page_limit(most: int, size: int) -> int:
     """Pages read of one account at most: twice what ``most`` items take, PAGES at least; PAGES if unlimited (0)."""
     return max(PAGES, 2 * math.ceil(most / size)) if most > 0 else PAGES
@@ -56,22 +45,19 @@ def lookback_hours(last_run: datetime | None, now: datetime) -> int | None:
     return int(min((now - last_run).total_seconds() / 3600, MAX_LOOKBACK_HOURS)) + 1
 
 
-def asked_again(call: Callable[[], Page], statuses: frozenset[int] = frozenset(AGAIN), wait: Callable[[float], None] = time.sleep) -> Page:
-    """``call``, again after a status in ``statuses`` or no answer, waiting twice as long each time."""
-    delay, silent = FIRST_WAIT, 0
-    for attempt in range(TRIES + 1):
+def asked_again(call: Callable[[], Page], tries: Mapping[int, int] = ByPost.tries, wait: Callable[[float], None] = time.sleep) -> Page:
+    """``call``, again after a status as often as ``tries`` says, or after no answer, waiting twice as long each time."""
+    delay, failed = FIRST_WAIT, {}
+    while True:
         try:
             return call()
-        except Refused as e:
-            if e.status not in statuses or attempt == TRIES:
-                raise
-        except (TimeoutError, ConnectionError):
-            silent += 1
-            if silent > SILENT_TRIES or attempt == TRIES:
+        except (Refused, TimeoutError, ConnectionError) as e:
+            status = e.status if isinstance(e, Refused) else None
+            failed[status] = failed.get(status, 0) + 1
+            if failed[status] > (tries.get(status, 0) if status else SILENT_TRIES):
                 raise
         wait(delay)
         delay *= 2
-    raise AssertionError("not reached")
 
 
 @dataclass
@@ -133,51 +119,51 @@ def when_posted(post: dict) -> datetime | None:
 
 
 @dataclass
-class FolderBackend:
-    """Recorded pages: ``folder/handle/0.json``, ``1.json``, ..., each {"posts": [...]}; offline and in tests."""
+class Account(InputPartition):
+    place: int
+    handle: str
+    after: int | None = None
+    until: int | None = None
 
-    folder: str
 
-    def page(self, handle: str, cursor: str | None) -> Page:
-        from pathlib import Path
+class _Calls:
+    """Options that all readers share, and paced calls of a task; ``at_once`` tasks share the rate."""
 
-        n = int(cursor or 0)
-        at = Path(self.folder, handle, f"{n}.json")
-        if n == 0 and not at.exists():
-            raise Refused(404)
-        found = json.loads(at.read_text()) if at.exists() else {"posts": []}
-        if "status" in found:
-            raise Refused(found["status"])
-        return Page(found["posts"], str(n + 1))
+    def __init__(self, options: Mapping[str, str], at_once: int):
+        self.options = dict(options)
+        self.per_minute = float(options.get("perminute", 0)) / max(1, at_once)
 
+    def backend(self) -> Backend:
+        return backend_of(self.options)
 
-@dataclass
-class Account(InputPartition):
-    place: int
-    handle: str
+    def asker(self, backend: Backend):
+        pace = Pace(self.per_minute)
+
+        def ask(call: Callable):
+            def once():
+                pace.step()
+                return call()
+
+            return asked_again(once, backend.tries, time.sleep if self.per_minute else lambda s: None)
+
+        return ask
 
 
 class Reader(DataSourceReader):
-    def __init__(self, options: dict):
+    def __init__(self, options: Mapping[str, str]):
         self.handles = [h for h in options["handles"].split(",") if h]
-        self.backend = options.get("backend") or "folder"
-        self.folder = options.get("path", "")
-        self.most, self.size = int(options.get("most", 0)), int(options.get("pagesize", 20))
+        self.calls = _Calls(options, min(MOST_AT_ONCE, len(self.handles)))
+        self.most, self.size = int(options.get("most", 0)), int(options.get("pagesize", Backend.page_size))
         self.cutoff = datetime.fromisoformat(options["cutoff"]) if options.get("cutoff") else None
-        self.per_minute = float(options.get("perminute", 0)) / max(1, min(MOST_AT_ONCE, len(self.handles)))
 
     def partitions(self) -> list[Account]:
         return [Account(i, h) for i, h in enumerate(self.handles)]
 
     def read(self, account: Account) -> Iterator[tuple]:
-        backend, pace = FolderBackend(self.folder), Pace(self.per_minute)
-
-        def page(cursor: str | None) -> Page:
-            pace.step()
-            return asked_again(lambda: backend.page(account.handle, cursor), wait=time.sleep if self.per_minute else lambda s: None)
-
         try:
-            posts = read_account(page, when_posted, self.cutoff, self.most, page_limit(self.most, self.size))
+            backend = self.calls.backend()
+            ask = self.calls.asker(backend)
+            posts = read_account(lambda c: ask(lambda: backend.page(account.handle, c)), when_posted, self.cutoff, self.most, page_limit(self.most, self.size))
         except Exception as e:
             yield account.place, account.handle, None, None, str(e) or type(e).__name__, isinstance(e, Refused) and e.status == 404
             return
@@ -185,8 +171,65 @@ class Reader(DataSourceReader):
             yield account.place, account.handle, i, json.dumps(post, ensure_ascii=False), None, None
 
 
+def _number(post: dict) -> int:
+    return int(post["id"])
+
+
+class Follower(DataSourceStreamReader):
+    """New posts of accounts; the offset is the newest id seen of each.
+
+    Accounts are asked for their newest post MOST_AT_ONCE at a time.  One that
+    fails keeps its cursor and is asked again next time, one that isn't there
+    yet has none; the others go on.  A task reads one account from its cursor
+    to the newest id the offset names, so what is read again after a failure or
+    restart is the same posts.
+    """
+
+    def __init__(self, options: Mapping[str, str]):
+        self.handles = [h for h in options["handles"].split(",") if h]
+        self.calls = _Calls(options, min(MOST_AT_ONCE, len(self.handles)))
+        self.known: dict[str, int] = {}
+
+    def initialOffset(self) -> dict:
+        return {}
+
+    def _newest(self, handle: str) -> int | None:
+        try:
+            backend = self.calls.backend()
+            posts = self.calls.asker(backend)(lambda: backend.page(handle, None)).posts
+            return max(map(_number, posts), default=None)
+        except Exception:
+            return None
+
+    def latestOffset(self) -> dict:
+        with ThreadPoolExecutor(MOST_AT_ONCE) as pool:
+            for handle, newest in zip(self.handles, pool.map(self._newest, self.handles)):
+                if newest is not None:
+                    self.known[handle] = max(newest, self.known.get(handle, newest))
+        return {h: str(n) for h, n in sorted(self.known.items())}
+
+    def partitions(self, start: dict, end: dict) -> list[Account]:
+        """Accounts with new posts.  After a restart an account that can't be asked is missing in ``end``: its cursor is not lost, as ``start`` has it."""
+        for handle, newest in start.items():
+            self.known[handle] = max(int(newest), self.known.get(handle, 0))
+        return [Account(i, h, int(start[h]) if h in start else None, int(end[h])) for i, h in enumerate(self.handles) if h in end and int(end[h]) > int(start.get(h, -1))]
+
+    def read(self, account: Account) -> Iterator[tuple]:
+        backend = self.calls.backend()
+        ask = self.calls.asker(backend)
+        cursor, found = None, []
+        while True:
+            page = ask(lambda: backend.page(account.handle, cursor))
+            found += [p for p in page.posts if (account.after is None or _number(p) > account.after) and _number(p) <= account.until]
+            if not page.posts or not page.cursor or (account.after is not None and min(map(_number, page.posts)) <= account.after):
+                break
+            cursor = page.cursor
+        for i, post in enumerate(found):
+            yield account.place, account.handle, i, json.dumps(post, ensure_ascii=False), None, None
+
+
 class Timelines(DataSource):
-    """Options: path, handles (comma-separated, in order), most, pageSize, cutoff (ISO), perMinute."""
+    """Options: backend (by-post, by-call, module:Class) and what it takes (path), handles (comma-separated, in order), most, pageSize, cutoff (ISO), perMinute."""
 
     @classmethod
     def name(cls) -> str:
@@ -197,3 +240,63 @@ class Timelines(DataSource):
 
     def reader(self, schema) -> Reader:
         return Reader(self.options)
+
+    def streamReader(self, schema) -> Follower:
+        return Follower(self.options)
+
+
+@dataclass
+class Ids(InputPartition):
+    ids: list[str]
+
+
+class Lookup(DataSourceReader):
+    """Posts by id: a filter on ``id`` is what is asked for, in batches of what the backend takes at once."""
+
+    def __init__(self, options: Mapping[str, str]):
+        self.calls = _Calls(options, MOST_AT_ONCE)
+        self.ids: list[str] | None = None
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        for f in filters:
+            wanted = [f.value] if isinstance(f, EqualTo) and f.attribute == ("id",) else list(f.value) if isinstance(f, In) and f.attribute == ("id",) else None
+            if wanted is None:
+                yield f
+            else:
+                own = list(dict.fromkeys(v for v in wanted if v is not None))
+                self.ids = own if self.ids is None else [i for i in self.ids if i in set(own)]
+
+    def partitions(self) -> list[Ids]:
+        if self.ids is None:
+            raise ValueError("posts are looked up by id: filter on id, with spark.sql.python.filterPushdown.enabled")
+        size = self.calls.backend().most_ids
+        return [Ids(self.ids[i : i + size]) for i in range(0, len(self.ids), size)]
+
+    def read(self, part: Ids) -> Iterator[tuple]:
+        backend = self.calls.backend()
+        try:
+            for post in self.calls.asker(backend)(lambda: backend.posts(part.ids)):
+                yield str(post["id"]), json.dumps(post, ensure_ascii=False), None
+        except (Refused, OSError) as e:
+            for i in part.ids:
+                yield i, None, str(e) or type(e).__name__
+
+
+class Posts(DataSource):
+    """Options: backend and what it takes, perMinute."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "posts"
+
+    def schema(self) -> str:
+        return "id string, post string, failed string"
+
+    def reader(self, schema) -> Lookup:
+        return Lookup(self.options)
+
+
+def register(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    for source in (Timelines, Posts):
+        spark.dataSource.register(source)

@@ -281,7 +281,7 @@ def test_timelines_are_read_to_the_cutoff(spark, tmp_path):
 
 
 def test_calls_are_paced_and_tried_again():
-    waits, calls = [], iter([timeline.Refused(429), TimeoutError(), timeline.Refused(503), None])
+    waits, calls = [], iter([timeline.Refused(429), TimeoutError(), timeline.Refused(429), None])
 
     def call():
         e = next(calls)
