@@ -25,3 +25,23 @@ def numbered_along(rows: DataFrame, order: list[Column], name: str = "n") -> Dat
     inside = Window.partitionBy("_range").orderBy("_key")
     placed = ranged.withColumn("_at", F.row_number().over(inside)).join(F.broadcast(offsets), "_range")
     return placed.withColumn(name, (F.col("_before") + F.col("_at")).cast("bigint")).drop("_key", "_range", "_before", "_at")
+
+
+def content_digest(rows: DataFrame, order: list[Column], line: Column, fan: int = 1024) -> DataFrame:
+    """``rows`` and ``digest``: one hash of all lines in ``order`` (no ties), however the rows lie in partitions.
+
+    Each line is hashed, every ``fan`` hashes along the order are hashed
+    together, and so on, so no task holds more than ``fan`` of them.  No rows
+    have the hash of nothing.
+    """
+    level = numbered_along(rows.select(*[c.alias(f"_o{i}") for i, c in enumerate(order)], F.sha2(line, 256).alias("h")), [F.col(f"_o{i}") for i in range(len(order))]).select("n", "h")
+    level = checkpointed(level)
+    n = many = level.count()
+    while many > 1 or (many and level.columns != ["n", "h", "over"]):
+        inside = F.array_sort(F.collect_list(F.struct("n", "h")))
+        above = level.groupBy(F.floor((F.col("n") - 1) / fan).alias("at")).agg(F.sha2(F.array_join(F.transform(inside, lambda x: x["h"]), ""), 256).alias("h"))
+        level = checkpointed(above.select((F.col("at") + 1).cast("bigint").alias("n"), "h", F.lit(True).alias("over")))
+        many = level.count()
+    if not n:
+        return rows.sparkSession.range(1).select(F.lit(0).cast("bigint").alias("rows"), F.sha2(F.lit(""), 256).alias("digest"))
+    return level.select(F.lit(n).cast("bigint").alias("rows"), F.col("h").alias("digest"))

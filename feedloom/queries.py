@@ -10,7 +10,8 @@ from pyspark.sql.window import Window
 
 from feedloom.functions import text as X
 from feedloom.operators import export, posts, reading, stories, topics, verify
-from feedloom.sources import exports
+from feedloom.plans import numbering
+from feedloom.sources import exports, pictures, store
 from feedloom.sources.feed import derived_feed, derived_sources, table
 from feedloom.streaming import feeds, silence
 
@@ -19,6 +20,7 @@ ORACLES: dict[str, str] = {}
 
 PRIORITY, RECAP, SILENCE = "@src3", "de", "30 minutes"
 DAY, NEXT_DAY = "2024-01-01 04:00:00", "2024-01-01 10:00:00"
+FROZEN = "2024-01-01 01:00:00"
 
 # -- the derived feed, in SQL ---------------------------------------------------------------------
 
@@ -752,6 +754,52 @@ def summary_budget(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", *[c.alias(k) for k, c in reading.summary_budget(F.regexp_count("text", F.lit(r"\S+"))).items()])
 
 
+_OUTCOME = """SELECT doc_id, CASE WHEN key IS NULL THEN 'kept' WHEN first IS NULL OR doc_id < first THEN 'repeats' WHEN doc_id = first THEN 'kept' ELSE 'duplicates' END AS outcome
+FROM (SELECT *, min(CASE WHEN keepable THEN doc_id END) OVER (PARTITION BY key) AS first FROM
+  (SELECT k.*, NOT EXISTS (SELECT 1 FROM keyed o WHERE o.doc_id % 2 = 0 AND o.key = k.key AND o.doc_id <> k.doc_id) AS keepable FROM keyed k))"""
+
+
+@query(f"""WITH keyed AS (SELECT doc_id, CASE WHEN words <> '' OR n > 0 THEN source || '|' || words || '|' || CASE WHEN n = 0 THEN '' WHEN doc_id % 7 = 1 THEN 'u' || doc_id ELSE 'd' || doc_id % 5 || '/' || n END END AS key
+ FROM (SELECT doc_id, source, CASE WHEN doc_id % 3 = 0 THEN 'look' WHEN doc_id % 11 = 0 THEN '' ELSE coalesce(text, '') END AS words, doc_id % 4 AS n FROM documents)) {_OUTCOME}""")
+def picture_duplicates(spark, sf_dir):
+    """Posts told alike by words and the fingerprints of their pictures, every second one stored; of some pictures no fingerprint is known."""
+    i, docs = F.col("doc_id"), table(spark, sf_dir, "documents")
+    words = F.when(i % 3 == 0, "look").when(i % 11 == 0, "").otherwise(F.coalesce("text", F.lit("")))
+    shown = F.transform(F.slice(F.array(F.lit(1), F.lit(2), F.lit(3)), 1, (i % 4).cast("int")), lambda k: F.concat(F.lit("https://pic/"), i.cast("string"), F.lit("/"), k.cast("string")))
+    told = F.when(words != "", F.sha2(F.concat_ws("|", "source", words), 256)).otherwise(F.when(i % 4 > 0, F.sha2("source", 256)))
+    rows = docs.select(i.alias("pos"), i.cast("string").alias("status"), told.alias("words"), shown.alias("images"))
+
+    def look_up(urls):
+        doc, k = F.split_part("url", F.lit("/"), F.lit(4)).cast("bigint"), F.split_part("url", F.lit("/"), F.lit(5))
+        return urls.where(doc % 7 != 1).select("url", F.md5(F.concat_ws("/", doc % 5, k)).alias("digest"))
+
+    new, old = pictures.told_apart(rows, rows.where("pos % 2 = 0"), look_up)
+    return posts.duplicates(new, old.select("key", "status")).select(F.col("pos").alias("doc_id"), "outcome")
+
+
+@query(feed_sql(f"""SELECT CAST(sum(n) AS BIGINT) AS rows, CASE WHEN count(*) = 1 THEN max(h) ELSE sha256(string_agg(h, '' ORDER BY block)) END AS digest FROM
+ (SELECT block, count(*) AS n, sha256(string_agg(h, '' ORDER BY rk)) AS h FROM (SELECT rk, (rk - 1) // 64 AS block, sha256(id || '|' || tier || '|' || words || '|' || own) AS h FROM
+  (SELECT *, row_number() OVER (ORDER BY published, doc_id) AS rk FROM feed WHERE published >= TIMESTAMP '{FROZEN}' AND published < TIMESTAMP '{NEXT_DAY}')) GROUP BY block)"""))
+def frozen_digest(spark, sf_dir):
+    """One hash of the posts of a frozen window, in order."""
+    window = feed(spark, sf_dir).where((F.col("published") >= F.lit(FROZEN).cast("timestamp_ntz")) & (F.col("published") < F.lit(NEXT_DAY).cast("timestamp_ntz")))
+    return numbering.content_digest(window, [F.col("published"), F.col("doc_id")], F.concat_ws("|", "id", "tier", F.col("words").cast("string"), "own"), fan=64)
+
+
+@query(feed_sql(f"""SELECT CAST(fetched_at AS DATE) AS day, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS letters FROM
+ (SELECT fetched_at, CASE WHEN doc_id % 9 = 0 THEN upper(full_text) || '!' ELSE full_text END AS text FROM base WHERE fetched_at IS NULL OR fetched_at >= TIMESTAMP '{NEXT_DAY}') GROUP BY 1"""))
+def stored_by_day(spark, sf_dir):
+    """A store by day after two inserts of the same posts, a replacement of every ninth, and forgetting what is old."""
+    rows = derived_feed(spark, sf_dir).select("doc_id", "id", F.col("full_text").alias("text"), "fetched_at")
+    path = feeds.store_of(spark)
+    store.add_items(rows.where("doc_id % 2 = 0"), path)
+    store.add_items(rows, path)
+    store.replace_items(rows.where("doc_id % 9 = 0").withColumn("text", F.concat(F.upper("text"), F.lit("!"))), path)
+    store.forget(spark, path, NEXT_DAY)
+    store.compact(spark, path, 1)
+    return store.opened(spark, path).groupBy("day").agg(_n(), F.sum(F.length("text")).cast("bigint").alias("letters"))
+
+
 # -- streams --------------------------------------------------------------------------------------
 
 

@@ -77,7 +77,8 @@ def _rewrite(spark: SparkSession, path: str, after: DataFrame, touched: DataFram
     after = checkpointed(after)
     empty = [r[0] for r in touched.join(after.select(DAY).distinct(), DAY, "left_anti").join(old.select(DAY).distinct(), DAY, "left_semi").collect()]  # days, not rows
     n = touched.count()
-    _put(after, path, "overwrite")
+    if not after.isEmpty():
+        _put(after, path, "overwrite")
     for day in empty:
         _drop(spark, f"{path}/{DAY}={day}")
     spark.catalog.refreshByPath(path)

@@ -5,7 +5,8 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from feedloom.sources import publish, store
+from feedloom.plans.numbering import content_digest
+from feedloom.sources import pictures, publish, store
 from feedloom.streaming import feeds
 
 ROW = "id string, text string, fetched_at timestamp_ntz"
@@ -95,3 +96,28 @@ def test_a_page_and_its_cursor_are_published_together(spark):
     assert (second.version, second.cursor, read(second)) == (2, "11:30", ["a"])
     os.makedirs(f"{folder.removeprefix('file://')}/versions/3-dead")
     assert publish.tidy(spark, folder, keep=1) == 2 and read(publish.current(spark, folder)) == ["a"]
+
+
+def test_fingerprints_are_asked_for_where_words_collide(spark):
+    posts = spark.createDataFrame([(1, "w", ["a"]), (2, "w", ["b"]), (3, "v", ["c"]), (4, "w", []), (5, None, ["d"]), (6, "w", ["lost"]), (7, None, []), (8, "w", ["a", "b"]), (9, "u", ["e"]), (10, "u", ["e"])], "pos int, words string, images array<string>")
+    stored = spark.createDataFrame([("v", ["x"]), ("t", ["y"])], "words string, images array<string>")
+    asked = []
+
+    def look_up(urls):
+        asked.extend(r.url for r in urls.collect())
+        return spark.createDataFrame([("a", "1"), ("b", "1"), ("c", "2"), ("x", "2"), ("d", "1"), ("e", "1")], "url string, digest string")
+
+    new, old = pictures.told_apart(posts, stored, look_up)
+    key = {r.pos: r.key for r in new.collect()}
+    assert sorted(asked) == ["a", "b", "c", "lost", "x"]
+    assert key[1] == key[2] and key[3] == [r.key for r in old.where("words = 'v'").collect()][0] and key[9] == key[10] and key[7] is None
+    assert len({key[k] for k in (1, 3, 4, 5, 6, 8, 9)}) == 7
+
+
+def test_a_digest_hangs_on_content_and_order_alone(spark):
+    rows = spark.range(1000).selectExpr("id", "cast(id * 7 % 13 as string) as line")
+    of = lambda df, **o: tuple(content_digest(df, [F.col("id")], F.col("line"), **o).first())
+    one = of(rows.coalesce(1), fan=10)
+    assert one == of(rows.repartition(50), fan=10) and one[0] == 1000
+    assert one[1] != of(rows.where("id <> 500"), fan=10)[1] and one[1] != of(rows.selectExpr("999 - id as id", "line"), fan=10)[1]
+    assert of(rows.limit(0)) == (0, "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855")
