@@ -787,14 +787,14 @@ def frozen_digest(spark, sf_dir):
 
 
 @query(feed_sql(f"""SELECT CAST(fetched_at AS DATE) AS day, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS letters FROM
- (SELECT fetched_at, CASE WHEN doc_id % 9 = 0 THEN upper(full_text) || '!' ELSE full_text END AS text FROM base WHERE fetched_at IS NULL OR fetched_at >= TIMESTAMP '{FROZEN}') GROUP BY 1"""))
+ (SELECT fetched_at, CASE WHEN doc_id % 9 = 0 THEN full_text || ' again' ELSE full_text END AS text FROM base WHERE fetched_at IS NULL OR fetched_at >= TIMESTAMP '{FROZEN}') GROUP BY 1"""))
 def stored_by_day(spark, sf_dir):
     """A store by day after two inserts of the same posts, a replacement of every ninth, and forgetting what is old."""
     rows = derived_feed(spark, sf_dir).select("doc_id", "id", F.col("full_text").alias("text"), "fetched_at")
     path = feeds.store_of(spark)
     store.add_items(rows.where("doc_id % 2 = 0"), path)
     store.add_items(rows, path)
-    store.replace_items(rows.where("doc_id % 9 = 0").withColumn("text", F.concat(F.upper("text"), F.lit("!"))), path)
+    store.replace_items(rows.where("doc_id % 9 = 0").withColumn("text", F.concat("text", F.lit(" again"))), path)
     store.forget(spark, path, FROZEN)
     store.compact(spark, path, 1)
     return store.opened(spark, path).groupBy("day").agg(_n(), F.sum(F.length("text")).cast("bigint").alias("letters"))
