@@ -386,7 +386,7 @@ def recap_story_routing(spark, sf_dir):
 
 #: Ten posts each: the first is a post, three share it: whole, cut off, spaced otherwise; the others share nothing.
 _SHARED = rf"""tens AS (SELECT doc_id, doc_id - doc_id % 10 AS ten, doc_id % 10 AS kind, source FROM documents),
-firsts AS (SELECT t.ten, 'src' || (t.ten % 7) AS author, 'Post ' || t.ten || ' reads: ' || coalesce(substr(d.text, 1, 4000), '') AS text FROM (SELECT DISTINCT ten FROM tens) t JOIN documents d ON d.doc_id = t.ten),
+firsts AS (SELECT t.ten, 'src' || (t.ten % 7) AS author, 'Post ' || t.ten || ' reads: ' || coalesce(d.text, '') AS text FROM (SELECT DISTINCT ten FROM tens) t JOIN documents d ON d.doc_id = t.ten),
 stems AS (SELECT f.*, {_comparable("substr(text, 1, 120)")} AS stem FROM firsts f),
 counted AS (SELECT s.ten, s.author, s.text, s.stem, count(CASE WHEN t.kind = 3 THEN 1 END) AS whole, count(CASE WHEN t.kind = 7 AND length(s.stem) >= 20 THEN 1 END) AS cut, count(CASE WHEN t.kind = 9 THEN 1 END) AS cased FROM stems s JOIN tens t ON t.ten = s.ten GROUP BY ALL)"""
 
@@ -394,7 +394,7 @@ counted AS (SELECT s.ten, s.author, s.text, s.stem, count(CASE WHEN t.kind = 3 T
 def _sharing(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     ten, kind = F.col("doc_id") - F.col("doc_id") % 10, F.col("doc_id") % 10
-    first = docs.where("doc_id % 10 = 0").select(F.col("doc_id").alias("ten"), F.concat(F.lit("src"), (F.col("doc_id") % 7).cast("string")).alias("_by"), F.concat(F.lit("Post "), F.col("doc_id").cast("string"), F.lit(" reads: "), F.coalesce(F.substring("text", 1, 4000), F.lit(""))).alias("_text"))
+    first = docs.where("doc_id % 10 = 0").select(F.col("doc_id").alias("ten"), F.concat(F.lit("src"), (F.col("doc_id") % 7).cast("string")).alias("_by"), F.concat(F.lit("Post "), F.col("doc_id").cast("string"), F.lit(" reads: "), F.coalesce("text", F.lit(""))).alias("_text"))
     shares = kind.isin(3, 7, 9)
     copy = F.when(kind == 7, F.concat(F.substring("_text", 1, 120), F.lit("…"))).when(kind == 9, F.replace("_text", F.lit(" "), F.lit("  \t"))).otherwise(F.col("_text"))
     return docs.select("doc_id", "source").withColumn("ten", ten).join(first, "ten").select(

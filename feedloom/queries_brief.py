@@ -90,14 +90,14 @@ def section_order(spark, sf_dir):
 
 # -- sizes ----------------------------------------------------------------------------------------
 
-_MD = r"""'# ' || coalesce(substr(text, 1, 2000), '') || chr(10) || '![a *b*](https://pic/' || doc_id || ') <!-- item:' || substr(sha256(CAST(doc_id AS VARCHAR)), 1, 16) || ' --> <b>bold</b> [some words](https://x.com/' || doc_id || ') -- https://t.co/x ***' || chr(10) || '<!-- item:' || substr(sha256(CAST(doc_id // 2 AS VARCHAR)), 1, 16) || ' -->'"""
+_MD = r"""'# ' || coalesce(text, '') || chr(10) || '![a *b*](https://pic/' || doc_id || ') <!-- item:' || substr(sha256(CAST(doc_id AS VARCHAR)), 1, 16) || ' --> <b>bold</b> [some words](https://x.com/' || doc_id || ') -- https://t.co/x ***' || chr(10) || '<!-- item:' || substr(sha256(CAST(doc_id // 2 AS VARCHAR)), 1, 16) || ' -->'"""
 
 
 def _markdown(spark, sf_dir):
     """Documents as pages with a picture, links, marks and tags."""
     i = F.col("doc_id").cast("string")
     mark = lambda c: F.concat(F.lit("<!-- item:"), F.substring(F.sha2(c, 256), 1, 16), F.lit(" -->"))
-    head = F.concat(F.lit("# "), F.coalesce(F.substring("text", 1, 2000), F.lit("")), F.lit("\n![a *b*](https://pic/"), i, F.lit(") "))
+    head = F.concat(F.lit("# "), F.coalesce("text", F.lit("")), F.lit("\n![a *b*](https://pic/"), i, F.lit(") "))
     return table(spark, sf_dir, "documents").select("doc_id", F.concat(head, mark(i), F.lit(" <b>bold</b> [some words](https://x.com/"), i, F.lit(") -- https://t.co/x ***\n"), mark(F.floor(F.col("doc_id") / 2).cast("string"))).alias("md"))
 
 

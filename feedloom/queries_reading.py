@@ -13,7 +13,7 @@ from feedloom.sources.feed import derived_feed, derived_sources, table, timeline
 # -- timelines ------------------------------------------------------------------------------------
 
 #: A post a document, of four kinds: said, retweeted, quoted, answered (oneself or another).
-_TWEETS = rf"""raw AS (SELECT doc_id, doc_id % 4 AS kind, source AS author, {_collapse("coalesce(substr(text, 1, 600), '')")} AS told, 'src' || doc_id % 5 AS other, TIMESTAMP '2024-12-10' + to_seconds(doc_id) AS moment FROM documents),
+_TWEETS = rf"""raw AS (SELECT doc_id, doc_id % 4 AS kind, source AS author, {_collapse("coalesce(text, '')")} AS told, 'src' || doc_id % 5 AS other, TIMESTAMP '2024-12-10' + to_seconds(doc_id) AS moment FROM documents),
 tweets AS (SELECT *, kind IN (1, 2) AS shares, CASE WHEN kind = 1 THEN told WHEN kind = 2 THEN 'Quoted: ' || told ELSE '' END AS original, CASE kind WHEN 0 THEN told WHEN 1 THEN 'RT @' || other || ': ' || told WHEN 2 THEN CASE WHEN doc_id % 3 = 0 THEN 'quoted:  ' || told ELSE 'I say: ' || told END ELSE told END AS said FROM raw),
 expected AS (SELECT doc_id, 'https://x.com/' || author || '/status/' || doc_id AS url, author, substr(CASE WHEN kind = 1 THEN 'RT @' || other || ': ' || original WHEN kind = 3 THEN 'R to @' || CASE WHEN doc_id % 8 = 3 THEN upper(author) ELSE other END || ': ' || told ELSE {_collapse("said")} END, 1, 200) AS title,
  CASE WHEN shares THEN other ELSE '' END AS by_, original, CASE WHEN kind = 3 AND (doc_id % 8 = 3 OR other = author) THEN 'c' || doc_id % 9 ELSE '' END AS thread_root, CASE WHEN doc_id % 6 = 0 THEN 2 ELSE 0 END AS images, moment,
@@ -22,7 +22,7 @@ _TIMELINE = f"WITH {_TWEETS} SELECT substr(sha256(url), 1, 16) AS id, title, by_
 
 
 def _tweets(spark, sf_dir):
-    i, told = F.col("doc_id"), X.collapse(F.coalesce(F.substring("text", 1, 600), F.lit("")))
+    i, told = F.col("doc_id"), X.collapse(F.coalesce("text", F.lit("")))
     other = F.concat(F.lit("src"), (i % 5).cast("string"))
     rows = table(spark, sf_dir, "documents").select(
         "doc_id", (i % 4).alias("kind"), F.col("source").alias("by"), told.alias("told"), other.alias("other"), F.timestamp_add("SECOND", i.cast("int"), F.lit("2024-12-10 00:00:00").cast("timestamp_ntz")).alias("at"),
