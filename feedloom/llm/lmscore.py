@@ -113,13 +113,13 @@ def score(docs: DataFrame, order: int = 3, key: str = "doc_id", text: str = "tex
 
     def request(row: dict) -> Iterator[tuple[int, bytes]]:
         found = [(v, n, cut(v)) for v, n in (np.unique(k[k > 0], return_counts=True) for k in grams(row)[0])]
-        for p in range(parts):
+        filled = np.flatnonzero(np.diff(sum(cuts for _, _, cuts in found)))
+        for p in filled.tolist():
             blobs = []
             for values, counts, cuts in found:
                 own = slice(cuts[p], cuts[p + 1])
                 blobs += [packed.pack_sorted(values[own]), packed.pack_ints(counts[own])]
-            if any(cuts[p + 1] > cuts[p] for _, _, cuts in found):
-                yield p, b"".join(len(b).to_bytes(4, "little") + b for b in blobs)
+            yield p, b"".join(len(b).to_bytes(4, "little") + b for b in blobs)
 
     def blobs_of(data: bytes) -> list[bytes]:
         out, at = [], 0

@@ -16,8 +16,10 @@ def rendezvous(key: Column, weights: Sequence[float]) -> Column:
     """Shard of ``key``: the one whose exponential draw, at its weight's rate, is first.
 
     The draw of a shard depends on the key and the shard's number alone, so a
-    further shard can only take keys for itself.
+    further shard can only take keys for itself.  A weight that isn't above 0 is an error.
     """
+    if not weights or any(not w > 0 for w in weights):
+        raise ValueError("every shard needs a weight above 0")
     draws = []
     for shard, weight in enumerate(weights):
         h = F.shiftrightunsigned(F.xxhash64(F.concat(key, F.lit(f"#{shard}"))), 11)

@@ -55,6 +55,12 @@ def test_sharding_weights(spark):
     assert 2.8 < n[1] / n[0] < 3.2
 
 
+def test_sharding_needs_weights(docs):
+    for weights in ([], [1.0, 0.0], [-1.0], [float("nan")]):
+        with pytest.raises(ValueError, match="above 0"):
+            sharding.shard(docs, weights)
+
+
 def test_language(spark):
     texts = {"en": "the house and the garden of this old town were quiet that night", "fr": "la maison et le jardin de cette vieille ville étaient calmes cette nuit"}
     df = spark.createDataFrame([(i, texts[k] + f" {i}", k) for i in range(40) for k in texts], "doc_id bigint, text string, lang string")
