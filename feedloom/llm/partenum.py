@@ -10,6 +10,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from feedloom.llm.common import discard, join_split, pieces, small_batches, stored, text_array
 from feedloom.llm.exact import BITS, BLOCK, _marks, _survives
@@ -18,6 +19,9 @@ from feedloom.llm.simhash import components, groups, shingle_hashes
 #: Sets of a bucket that are compared in one block with another.
 GROUP = 256
 
+#: Rounds in which a set meets the closest of another component in its FEW least buckets, before all buckets are gone through.
+ROUNDS, FEW = 2, 4
+
 #: First-level parts more than are needed, one in so many: then sets with few empty parts need no signature of those.
 SPARE = 12
 
@@ -283,8 +287,8 @@ def _near(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     return near
 
 
-def _block_pairs(table: pa.Table, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of two blocks, of different labels, whose sizes and marks leave room."""
+def _block_pairs(table: pa.Table, num: int, den: int, closest: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of two blocks, of different labels, whose sizes and marks leave room; with ``closest`` one for each set at most."""
     fp, n, label = (table.column(c).to_numpy() for c in ("fp", "n", "label"))
     raw = [np.frombuffer(m, "<u8") for m in table.column("marks").to_pylist()]
     words = min(map(len, raw))
@@ -292,15 +296,23 @@ def _block_pairs(table: pa.Table, num: int, den: int) -> tuple[np.ndarray, np.nd
     us, vs = [], []
     for a in range(0, len(fp), GROUP):
         own = slice(a, a + GROUP)
-        may = (fp[own, None] < fp[None, :]) & (label[own, None] != label[None, :])
+        may = label[own, None] != label[None, :]
+        if not closest:
+            may &= fp[own, None] < fp[None, :]
         may &= np.maximum(n[own, None], n[None, :]) * num <= np.minimum(n[own, None], n[None, :]) * den
         i, j = np.nonzero(may)
         for c in range(0, len(i), 1 << 14):
             x, y = i[c : c + (1 << 14)], j[c : c + (1 << 14)]
             differ = np.bitwise_count(marks[own][x] ^ marks[y]).sum(axis=1, dtype=np.int64)
             close = differ * (den + num) <= (n[own][x] + n[y]) * (den - num)
-            us.append(fp[own][x[close]])
-            vs.append(fp[y[close]])
+            x, y, differ = x[close], y[close], differ[close]
+            if closest:
+                order = np.lexsort((fp[y], differ, x))
+                x, y = x[order], y[order]
+                first = np.concatenate([[True], x[1:] != x[:-1]])[: len(x)]
+                x, y = x[first], y[first]
+            us.append(np.minimum(fp[own][x], fp[y]))
+            vs.append(np.maximum(fp[own][x], fp[y]))
     none = np.zeros(0, np.int64)
     return np.concatenate([none, *us]), np.concatenate([none, *vs])
 
@@ -328,8 +340,8 @@ def _apart(buckets: DataFrame, cross: DataFrame) -> DataFrame:
     return kept(buckets, lambda b: _among(two, b.column("sig").to_numpy()))
 
 
-def _across(rows: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs of a bucket that are in two components and may be near: blocks of GROUP sets, every two of which meet once."""
+def _across(rows: DataFrame, sets: DataFrame, num: int, den: int, closest: bool = False) -> DataFrame:
+    """Pairs of a bucket that are in two components and may be near (or each set's closest): blocks of GROUP sets, every two of which meet once."""
     blocks = rows.groupBy("sig").agg(F.ceil(F.count("*") / F.lit(GROUP)).cast("int").alias("blocks"))
     marked = join_split(rows.select("sig", "fp", "n", "label"), sets.select("fp", "marks"), "fp", "inner")
     dealt = join_split(marked, blocks, "sig", "inner").withColumn("mine", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
@@ -338,7 +350,7 @@ def _across(rows: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in groups(batches, "g"):
-            u, v = _block_pairs(group, num, den)
+            u, v = _block_pairs(group, num, den, closest)
             if len(u):
                 yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
@@ -350,7 +362,8 @@ def links(sets: Sets, prints: DataFrame, num: int, den: int) -> DataFrame:
 
     Sets that share a signature are a bucket.  Each set is first held against
     the leader it shares most signatures with, then against the leaders of all
-    its buckets that are in another component, and what is in two components
+    its buckets that are in another component, then against the closest of
+    another component in a few buckets, and what is in two components
     even then meets block by block.  A pair that is left out is in one component
     already, or not near.
     """
@@ -367,14 +380,21 @@ def links(sets: Sets, prints: DataFrame, num: int, den: int) -> DataFrame:
     edges = _near(best, whole, num, den)
     other = join_split(stars.where("fits").select("u", "v"), best.select("v", F.col("u").alias("first")), "v").where("u <> first")
     edges = edges.union(_near(_labelled(other, components(edges), "u", "v").where("label_u <> label_v"), whole, num, den))
-    labels = components(edges)
-    cross = stored(_labelled(stars.select("u", "v"), labels, "u", "v").where("label_u <> label_v"), "cross")
-    if not cross.isEmpty():
-        left = stored(_labelled(_apart(buckets, cross).select("sig", "fp", "n"), labels, "fp").withColumnRenamed("label_fp", "label"), "apart")
-        edges = edges.union(_near(_across(left, whole, num, den), whole, num, den))
-        discard(left)
+    for turn in range(ROUNDS + 1):
+        labels = components(edges)
+        cross = stored(_labelled(stars.select("u", "v"), labels, "u", "v").where("label_u <> label_v"), "cross")
+        if cross.isEmpty():
+            break
+        left = _apart(buckets, cross).select("sig", "fp", "n")
+        if turn < ROUNDS:
+            # Sets that are alike share most signatures, so they agree on which are the least.
+            least = Window.partitionBy("fp").orderBy(F.xxhash64(F.lit(turn), "sig"), "sig")
+            left = left.withColumn("_nth", F.row_number().over(least)).where(F.col("_nth") <= FEW).drop("_nth")
+        left = stored(_labelled(left, labels, "fp").withColumnRenamed("label_fp", "label"), "apart")
+        edges = edges.union(_near(_across(left, whole, num, den, closest=turn < ROUNDS), whole, num, den))
+        discard(left, cross)
     edges = stored(edges, "links")
-    discard(buckets, stars, whole, best, cross)
+    discard(buckets, stars, whole, best)
     return edges
 
 
