@@ -147,4 +147,4 @@ def ask(
 
 def parts_for(text_bytes: int, at_least: int) -> int:
     """Partitions of a global table over so many bytes of text: PART_BYTES each, and as many as shuffles use at least."""
-    return max(at_least, min(text_bytes // PART_BYTES, 1 << 20), 8)
+    return max(at_least, text_bytes // PART_BYTES, 8)
