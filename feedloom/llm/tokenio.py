@@ -38,8 +38,8 @@ PIECE_BYTES = 4 << 20
 DICTIONARY_BYTES = 32 << 10
 #: The dictionary is trained on so many documents, those with the least hash of their key ...
 SAMPLE_DOCS = 512
-#: ... and the first ids of each, so many at most; all documents are compressed with it.
-SAMPLE_IDS = 4096
+#: ... and of a longer one so many runs of so many ids, evenly spaced over all of it; all documents are compressed with it.
+SAMPLE_RUNS, RUN_IDS = 16, 256
 LEVEL = 3
 
 SEGMENTS = "range int, segment bigint, n_ids bigint, first_key bigint, last_key bigint, blob binary"
@@ -58,6 +58,14 @@ def _encoded(table: pa.Table, path: str, end_id: int) -> Iterator[tuple[object,
         yield key, out
 
 
+def _spread(ids: np.ndarray) -> np.ndarray:
+    """All ids, or of many the runs that a document gives to the dictionary."""
+    if len(ids) <= SAMPLE_RUNS * RUN_IDS:
+        return ids
+    begins = np.linspace(0, len(ids) - RUN_IDS, SAMPLE_RUNS).astype(np.int64)
+    return ids[(begins[:, None] + np.arange(RUN_IDS)).ravel()]
+
+
 def train(docs: DataFrame, path: str, end_id: int, key: str = "doc_id", text: str = "text") -> bytes:
     """The shared dictionary; empty if there are too few samples to train one."""
     picked = docs.selectExpr(f"`{key}` as key").where("key is not null").groupBy("key").agg(F.lit(1)).select("key").orderBy(F.xxhash64("key"), "key").limit(SAMPLE_DOCS)
@@ -67,7 +75,7 @@ def train(docs: DataFrame, path: str, end_id: int, key: str = "doc_id", text: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in pieces(batches, "text"):
-            arrays = [(k, x[:SAMPLE_IDS].tobytes()) for k, x in _encoded(table, path, end_id)]
+            arrays = [(k, _spread(x).tobytes()) for k, x in _encoded(table, path, end_id)]
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in arrays], pa.int64()), pa.array([x for _, x in arrays], pa.binary())], ["key", "ids"])
 
     rows = docs.where(F.col(key).isin(keys)).select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text"))
@@ -174,7 +182,7 @@ def write(docs: DataFrame, folder: str | None = None, path: str | None = None, e
             yield out()
 
     frames = small_batches(rows).mapInArrow(compress, "range int, key bigint, n_ids bigint, frame binary")
-    sorted_frames = frames.repartition(n, "range").sortWithinPartitions("range", F.asc_nulls_first("key"), "n_ids", "frame")
+    sorted_frames = frames.repartitionById(n, "range").sortWithinPartitions("range", F.asc_nulls_first("key"), "n_ids", "frame")
     # Frames are compressed already, so the files are not.
     sorted_frames.mapInArrow(gather, SEGMENTS).write.option("compression", "none").parquet(f"{folder}/segments")
     spark.createDataFrame([(bytearray(dictionary),)], "dictionary binary").coalesce(1).write.parquet(f"{folder}/dictionary")
