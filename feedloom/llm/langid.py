@@ -17,8 +17,8 @@ from feedloom.llm.common import CHUNK_BYTES, Words, pieces, small_batches, store
 
 #: The model is fitted on about so many labelled documents of each language, chosen by hash of their key.
 SAMPLE_DOCS = 1000
-#: Words and n-grams that the model keeps of each language, the most frequent ones of its sample.
-MOST_WORDS, MOST_GRAMS = 25_000, 25_000
+#: The sample of a language has so many bytes of text at most.  All its words and n-grams are kept, so this bounds the model.
+SAMPLE_BYTES = 16 << 20
 #: Longest and shortest character n-gram.
 LONGEST, SHORTEST = 5, 1
 #: What a word or n-gram counts in a language that was never seen to have it.
@@ -114,14 +114,17 @@ class Model:
         return langs, scores
 
 
-def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", sample_docs: int = SAMPLE_DOCS) -> Model:
-    """Fit on a bounded sample of the rows with text and language (``sample_docs`` a language, whole texts).
+def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", sample_docs: int = SAMPLE_DOCS, sample_bytes: int = SAMPLE_BYTES) -> Model:
+    """Fit on a bounded sample of the rows with text and language (about ``sample_docs`` a language, whole texts).
+
+    It ends before the key that would take a language over ``sample_bytes``; a key
+    whose rows alone are more is passed over.
 
     Rows are chosen by hash of their key, so rows that repeat a key come in or
     stay out together and count each; null keys are a key like any other.  Rows
     without text or language are left out; none left gives a model that answers
-    ``und``.  The most frequent words and n-grams are kept for each language by
-    itself; of equal counts the first by code point.
+    ``und``.  Every word and n-gram of the sample is kept; a language whose sample
+    has no letter is not learned.
     """
     labelled = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull())
     counts = {r[0]: r[1] for r in labelled.groupBy(lang).count().collect()}
@@ -129,8 +132,12 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
     if not langs:
         empty = pd.DataFrame({"lang": [], "item": [], "n": []})
         return Model([], empty, empty)
-    share = F.create_map(*[F.lit(x) for k in langs for x in (k, min(1.0, sample_docs / counts[k]))])[F.col(lang)]
-    chosen = labelled.where(unit(F.lit("lang"), F.col(key).cast("string")) <= share).selectExpr(f"`{lang}` as lang", f"`{text}` as text")
+    share = F.create_map(*[F.lit(x) for k in langs for x in (k, min(1.0, sample_docs / counts[k]))])[F.col("lang")]
+    drawn = labelled.select(F.col(lang).alias("lang"), F.col(text).alias("text"), unit(F.lit("lang"), F.col(key).cast("string")).alias("drawn")).where(F.col("drawn") <= share)
+    sizes = drawn.groupBy("lang", "drawn").agg(F.sum(F.octet_length("text")).alias("bytes")).where(F.col("bytes") <= sample_bytes)
+    total = F.sum("bytes").over(Window.partitionBy("lang").orderBy("drawn").rowsBetween(Window.unboundedPreceding, 0))
+    kept = sizes.withColumn("total", total).where(F.col("total") <= sample_bytes).select("lang", "drawn")
+    chosen = drawn.join(F.broadcast(kept), ["lang", "drawn"]).select("lang", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in pieces(batches, "text"):
@@ -148,10 +155,9 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
 
     counted = small_batches(chosen).mapInArrow(run, "kind string, lang string, item string, n bigint").groupBy("kind", "lang", "item").agg(F.sum("n").alias("n"))
     counted = stored(counted, "langid")
-    order = Window.partitionBy("lang").orderBy(F.desc("n"), "item")
-    ranked = lambda kind: counted.where(F.col("kind") == kind).withColumn("_rn", F.row_number().over(order))
-    top = lambda kind, most: ranked(kind).where(F.col("_rn") <= most).select("lang", "item", "n").orderBy("lang", "item").toPandas()
-    return Model(langs, top("w", MOST_WORDS), top("g", MOST_GRAMS))
+    table = lambda kind: counted.where(F.col("kind") == kind).select("lang", "item", "n").orderBy("lang", "item").toPandas()
+    words = table("w")
+    return Model(sorted(set(words["lang"])), words, table("g"))
 
 
 def predict(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -7,8 +7,10 @@ import struct
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from feedloom.llm import bpe, exact, langid, lmscore, mixing, quality, secrets, sharding, similar, simhash, tokenio
 from tests.llm.conftest import LONG
@@ -118,6 +120,35 @@ def test_language_equals_brute_force(spark):
     assert got == {i: (x, round(s, 9)) for i, t in asked for x, s in [answer(t)]}
 
 
+def test_language_sample_is_bounded_by_bytes(spark):
+    """A key larger than the bound is passed over, a language without any sample isn't learned, all words of a sample are kept."""
+    texts = [(i, f"garden{chr(97 + i)} ", "en") for i in range(20)] + [(20, "jardin " * 200, "fr"), (21, "maison", "fr"), (22, "haus " * 300, "de"), (23, "12 34", "nl")]
+    df = spark.createDataFrame(texts, "doc_id bigint, text string, lang string")
+    model = langid.fit(df, sample_bytes=200)
+    assert model.langs == ["en", "fr"] and set(model.words) == {f"garden{chr(97 + i)}" for i in range(20)} | {"maison"}
+    assert sum(w.startswith("garden") for w in langid.fit(df, sample_bytes=50).words) == 6
+    assert langid.fit(df).langs == ["de", "en", "fr"] and len(langid.fit(df).words) == 23
+
+
+def test_long_documents_give_runs_from_all_of_them():
+    ids = np.arange(100_000, dtype="<u4")
+    got = tokenio._spread(ids)
+    assert len(got) == 4096 and got[0] == 0 and got[-1] == 99_999 and np.diff(got).max() < 7_000
+    assert (tokenio._spread(ids[:4096]) == ids[:4096]).all()
+
+
+def test_ranges_of_token_files_have_a_task_each(spark, tmp_path):
+    docs = spark.range(4000).selectExpr("id as doc_id", "concat('word ', id) as text")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "32")
+    try:
+        folder = tokenio.write(docs, str(tmp_path / "tokens"))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    files = spark.read.parquet(f"{folder}/segments").groupBy(F.input_file_name().alias("file")).agg(F.count_distinct("range").alias("n")).collect()
+    assert len(files) == 32 and all(r.n == 1 for r in files)
+
+
 def _ids(text):
     one = bpe.encoder(bpe.default_path()).whole
     return one.encode(text or "", add_special_tokens=False)
