@@ -28,3 +28,11 @@ def test_main_text(spark):
     assert {k: got[k].text.split("\n\n") if got[k].text else [] for k in cases} == {k: v for k, (_, v) in cases.items()}
     assert (got[1].title, got[1].site, got[1].published, got[1].blocks) == ("A & title", "site1.example", None, 5) and (got[3].title, got[6].title) == ("", "")
     assert (got[9].title, got[9].author, got[9].site, got[9].published) == ("Other title", "Ann & Bo", "", "2024-03-01")
+
+
+def test_references_that_were_cut(spark):
+    html = page("<article><p>Salt &amp; pepper &amp, A&ampB &#38 x</p></article>").replace(" A &amp;\n title ", "and&amp;&amp")
+    rows = spark.createDataFrame([(1, "https://a.example/", html)], "page_id int, url string, html string")
+    told = lambda bare: tuple(pages.main_text(rows, bare=bare).select("title", "text").first())
+    assert told(False) == ("and&&amp", "Salt & pepper &amp, A&ampB &#38 x")
+    assert told(True) == ("and&&", "Salt & pepper &, A&B & x")
