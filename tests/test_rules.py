@@ -29,6 +29,12 @@ def test_keyword_from_word_start(spark, said, text):
     assert spark.range(1).select(X.mentions(F.lit(text), "ad")).first()[0] is said
 
 
+def test_capital_is_one_letter(spark):
+    cases = {"ß": "ẞ", "a": "A", "é": "É", "ᾀ": "ᾈ", "ῳ": "ῼ", "ŉ": "ŉ", "ﬁ": "ﬁ", "ẞ": "ẞ", "1": "1", "": ""}
+    df = spark.createDataFrame([(c,) for c in cases], "c string")
+    assert {r.c: r.u for r in df.select("c", X.capital(F.col("c")).alias("u")).collect()} == cases
+
+
 def test_silence_is_strict_and_ignores_equal_times(spark):
     rows = [("a", DAY), ("a", DAY), ("a", DAY + timedelta(days=15)), ("b", DAY), ("b", DAY + timedelta(days=15, minutes=1))]
     df = spark.createDataFrame(rows, "source string, published timestamp_ntz")
