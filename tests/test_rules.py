@@ -91,6 +91,40 @@ def test_pairs_equal_brute_force(spark):
     assert found == expect and expect
 
 
+def test_pairs_of_many_blocks_equal_brute_force(monkeypatch):
+    """Blocks of a few sets, tables of a few cells, sizes far apart, equal times and no time at all."""
+    import random
+
+    import pyarrow as pa
+
+    from feedloom.operators import overlap
+
+    monkeypatch.setattr(overlap, "BLOCK_SETS", 7)
+    monkeypatch.setattr(overlap, "CELLS", 16)
+    rng = random.Random(3)
+    sets = sorted(({(rng.randint(0, 30) - 15) * (1 << 55) for _ in range(rng.choice([5, 8, 12, 40]))} for _ in range(90)), key=len)
+    batch = pa.RecordBatch.from_arrays([pa.array([str(i) for i in range(90)]), pa.array([None] * 90, pa.timestamp("us")), pa.array([sorted(s) for s in sets], pa.list_(pa.int64()))], ["cls", "at", "words"])
+    rows = [b.to_pylist()[0] for b in overlap._blocks(iter([batch.slice(0, 50), batch.slice(50)]))]
+    assert len(rows) == 13
+    sides, found = [overlap._Side(r, 0.4) for r in rows], set()
+    for p, x in enumerate(sides):
+        for q in range(p, len(sides)):
+            y = sides[q]
+            for i, j, c in zip(*overlap._alike(x, y, p == q, 0.4, 3)):
+                found.add((int(x.cls[i]), int(y.cls[j]), int(c)))
+    both = lambda a, b: len(sets[a] & sets[b])
+    assert found == {(a, b, both(a, b)) for a in range(90) for b in range(a + 1, 90) if both(a, b) >= 3 and both(a, b) / len(sets[a] | sets[b]) >= 0.4}
+    assert {a // 7 == b // 7 for a, b, _ in found} == {True, False}  # pairs of one block and of two
+
+
+def test_pairs_are_never_shuffled(spark):
+    rows = [("@a", "charlie delta echoes foxtrot golfing", DAY), ("@b", "charlie delta echoes foxtrot hotels", None), ("@c", "charlie delta echoes foxtrot hotels indigo", None)]
+    found = stories.pairs(stories.token_sets(_items(spark, rows)))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Exchange" not in plan
+    assert {(r.a, r.b) for r in found.collect()} == {("0", "1"), ("0", "2"), ("1", "2")}
+
+
 def test_support_of_numbers(spark):
     items = spark.createDataFrame([(1, "Big sum: $4.2 billion and 35", "Mentions 7 by @alice, SEC and NASA. Then Hacks by (Robert) in Paris", [1])], "item int, headline string, detail string, ids array<bigint>")
     rows = spark.createDataFrame([(1, "it made $4.2 billion, 1,357 people, says @Alice of the sec, who hacked it with robert")], "n bigint, text string")
