@@ -125,6 +125,14 @@ def test_pairs_are_never_shuffled(spark):
     assert {(r.a, r.b) for r in found.collect()} == {("0", "1"), ("0", "2"), ("1", "2")}
 
 
+def test_places_within_a_group_come_from_ranges(spark):
+    from feedloom.plans.numbering import numbered_within
+
+    rows = [(g, (i * 37) % 100) for g in ("a", "b", None) for i in range(100)]
+    placed = numbered_within(spark.createDataFrame(rows, "g string, at int").repartition(3), [F.col("g")], [F.col("at")], "place")
+    assert sorted((r.g or "", r.at, r.place) for r in placed.collect()) == sorted((g or "", at, at + 1) for g, at in rows)
+
+
 def test_support_of_numbers(spark):
     items = spark.createDataFrame([(1, "Big sum: $4.2 billion and 35", "Mentions 7 by @alice, SEC and NASA. Then Hacks by (Robert) in Paris", [1])], "item int, headline string, detail string, ids array<bigint>")
     rows = spark.createDataFrame([(1, "it made $4.2 billion, 1,357 people, says @Alice of the sec, who hacked it with robert")], "n bigint, text string")
