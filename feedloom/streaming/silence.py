@@ -32,41 +32,38 @@ class Silence(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.last = handle.getValueState("last", "t bigint")
-        self.held = handle.getMapState("held", "t bigint, id string", "n bigint")
+        self.held = handle.getListState("held", "t bigint, id string")
 
     def _wake(self, micros: int) -> None:
         self.handle.registerTimer(micros // 1000 + 1)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        first = None
-        for frame in rows:
-            for t, post in zip(frame["micros"].tolist(), frame["post"].tolist()):
-                at = (t, post)
-                self.held.updateValue(at, ((self.held.getValue(at)[0] if self.held.containsKey(at) else 0) + 1,))
-                first = t if first is None else min(first, t)
-        if first is not None:
-            self._wake(first)
+        # One call of the store a batch of a source's rows, not some a row.
+        new = [at for frame in rows for at in zip(frame["micros"].tolist(), frame["post"].tolist())]
+        if new:
+            self.held.appendList(new)
+            self._wake(min(new)[0])
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs() * 1000
-        ready, left = [], None
-        for (t, post), (n,) in list(self.held.iterator()):
-            if t <= passed:
-                ready.append((t, post, n))
-            else:
-                left = t if left is None else min(left, t)
+        held = [tuple(at) for at in self.held.get()] if self.held.exists() else []
+        ready, rest = sorted(at for at in held if at[0] <= passed), [at for at in held if at[0] > passed]
+        left = min(rest)[0] if rest else None
+        if ready and rest:
+            self.held.put(rest)
+        elif ready:
+            self.held.clear()
         last = self.last.get()[0] if self.last.exists() else None
         out, before = [], last
-        for t, post, n in sorted(ready):
+        for t, post in ready:
             if last is not None and t > last:
                 before = last
             elif last is None:
                 before = None
             since = before if before is not None else self.start
-            out += [(key[0], post, t, since is not None and t > since + self.gap)] * n
+            out.append((key[0], post, t, since is not None and t > since + self.gap))
             last = t
-            self.held.removeKey((t, post))
         if last is not None:
             if self.horizon is not None and left is None and last + self.horizon <= passed:
                 self.last.clear()

@@ -28,3 +28,26 @@ def test_posts_come_out_when_their_place_is_certain(spark):
     run([("z", "r", day(0, d=21))])
     fifth = run([("s", "e", day(1, d=21)), ("z", "v", day(9, d=21))])
     assert ("s", "e", False) in run([("z", "o", day(9, d=22))]) and len(fifth) >= len(third)
+
+
+def test_one_call_of_the_store_a_batch():
+    """A source's rows are held by one call, however many there are."""
+    import pandas as pd
+
+    calls = []
+
+    class State:
+        def __getattr__(self, name):
+            return lambda *args: calls.append(name)
+
+    class Handle(State):
+        def getValueState(self, *args):
+            return State()
+
+        getListState = getMapState = getValueState
+
+    processor = silence.Silence(1, None, None, [])
+    processor.init(Handle())
+    frame = pd.DataFrame({"micros": range(1000, 2000), "post": ["p"] * 1000})
+    assert list(processor.handleInputRows(("s",), iter([frame, frame]), None)) == []
+    assert calls == ["appendList", "registerTimer"]
