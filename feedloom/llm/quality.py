@@ -9,12 +9,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedloom.llm.common import Words, pieces, small_batches, text_array, unit
+from feedloom.llm.common import Words, join_split, pieces, small_batches, stored, text_array
+from feedloom.llm.exact import _marks, _survives
 
 #: Buckets that byte n-grams of this length are hashed to.
 BUCKETS, GRAM = 1 << 16, 3
-#: The target multinomial and the threshold are fitted on about so many trusted documents.
-TRUSTED_DOCS = 10_000
 #: Counts added to every bucket of either multinomial.
 SMOOTH = 1.0
 #: A text is rejected below this quantile of the trusted scores, less the margin (nats an n-gram).
@@ -60,36 +59,35 @@ class Ratio:
         return np.where(n > 0, (total[ends] - total[starts]) / np.maximum(n, 1), 0.0)
 
 
-def fit(docs: DataFrame, trusted: DataFrame, key: str = "doc_id", text: str = "text", trusted_docs: int = TRUSTED_DOCS) -> tuple[Ratio, float]:
-    """The ratio and its threshold.  ``trusted`` holds keys; about ``trusted_docs`` of them, by hash, are used.
+def fit(docs: DataFrame, trusted: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[Ratio, float]:
+    """The ratio and its threshold, of all documents and all that are trusted; ``trusted`` holds keys.
 
-    Raw counts are of all documents.  Without trusted documents the threshold is
+    A bit map of fixed size lets through the texts whose keys may be trusted, so
+    only those are shuffled, once.  Without trusted documents the threshold is
     minus infinity: no verdict against anything.  A trusted key that repeats counts
     once, all rows of ``docs`` with it count; null keys are never trusted.
     """
-    keys = trusted.select(F.col(key).alias("_trusted")).where(F.col("_trusted").isNotNull()).distinct()
+    keys = trusted.select(key).where(F.col(key).isNotNull()).distinct()
     docs = docs.select(key, text)
-    n = keys.count()
-    share = min(1.0, trusted_docs / max(n, 1))
-    keys = keys.where(unit(F.lit("trusted"), F.col("_trusted").cast("string")) <= share)
-    rows = docs.join(F.broadcast(keys), F.col(key) == F.col("_trusted"), "left").select(F.col("_trusted").isNotNull().alias("trusted"), F.col(text).alias("text"))
+    hashed = keys.select(F.xxhash64(key).alias("h"))
+    some = _survives(docs, _marks(hashed.union(hashed)), F.xxhash64(key), "_may").where("_may").drop("_may")
+    known = stored(join_split(some, keys, key, "left_semi").select(F.col(text).alias("text")), "trusted")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw, target = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
+        seen = np.zeros(BUCKETS, np.int64)
         for table in pieces(batches, "text"):
-            at, ends = buckets(text_array(table, "text"))
-            raw += np.bincount(at, minlength=BUCKETS)
-            flag = table.column("trusted").to_numpy()
-            if flag.any():
-                sizes = np.diff(np.concatenate([[0], ends]))
-                target += np.bincount(at[np.repeat(flag, sizes)], minlength=BUCKETS)
-        some = np.flatnonzero(raw)
-        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(raw[some]), pa.array(target[some])], ["bucket", "raw", "target"])
-
-    sums = small_batches(rows).mapInArrow(count, "bucket int, raw bigint, target bigint").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toPandas()
-    raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
-    raw[sums["bucket"]], target[sums["bucket"]] = sums["raw"], sums["target"]
-    ratio = Ratio(raw, target)
+            seen += np.bincount(buckets(text_array(table, "text"))[0], minlength=BUCKETS)
+        held = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(held.astype(np.int32)), pa.array(seen[held])], ["bucket", "n"])
+
+    def sums(texts: DataFrame) -> np.ndarray:
+        found = small_batches(texts).mapInArrow(count, "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
+        out = np.zeros(BUCKETS)
+        out[found["bucket"]] = found["n"]
+        return out
+
+    target = sums(known)
+    ratio = Ratio(sums(docs.select(F.col(text).alias("text"))), target)
     if not target.sum():
         return ratio, float("-inf")
     weights = docs.sparkSession.sparkContext.broadcast(ratio)
@@ -98,9 +96,11 @@ def fit(docs: DataFrame, trusted: DataFrame, key: str = "doc_id", text: str = "t
         for table in pieces(batches, "text"):
             yield pa.RecordBatch.from_arrays([pa.array(weights.value.scores(text_array(table, "text")))], ["score"])
 
-    known = docs.join(F.broadcast(keys), F.col(key) == F.col("_trusted"), "left_semi").select(F.col(text).alias("text"))
-    scored = small_batches(known).mapInArrow(rate, "score double").agg(F.percentile("score", QUANTILE).alias("q")).first()
-    return ratio, float(scored["q"]) - MARGIN
+    # The quantile lies between two of the least scores, a thousandth of all.
+    place = QUANTILE * (known.count() - 1)
+    least = [r.score for r in small_batches(known).mapInArrow(rate, "score double").orderBy("score").limit(int(place) + 2).collect()]
+    low, high = least[int(place)], least[min(int(place) + 1, len(least) - 1)]
+    return ratio, low + (high - low) * (place - int(place)) - MARGIN
 
 
 def counts(table: pa.Table, texts: pa.Array) -> dict[str, list[int]]:

@@ -518,3 +518,16 @@ def test_decode_of_given_ids(spark):
     got = {r.k: r.decoded for r in bpe.decode(spark.createDataFrame(given, "k int, ids array<int>")).collect()}
     text = lambda ids: whole.decode([i for i in ids if 0 <= i < size], skip_special_tokens=False)
     assert got == {k: None if ids is None else text(ids) for k, ids in given}
+
+
+def test_quality_is_fitted_on_all_trusted_documents(spark):
+    """More than 10,000, of which each counts."""
+    import pyarrow as pa
+
+    n = 12_000
+    docs = spark.range(n + 50).selectExpr("id as doc_id", "concat('word', id % 7) as text")
+    ratio, least = quality.fit(docs, docs.where(f"doc_id < {n}").select("doc_id"))
+    seen = lambda m: sum((np.bincount(quality.buckets(pa.array([f"word{k}"], pa.large_string()))[0], minlength=quality.BUCKETS) * len(range(k, m, 7)) for k in range(7)), np.zeros(quality.BUCKETS))
+    expect = quality.Ratio(seen(n + 50), seen(n))
+    assert np.allclose(ratio.weights, expect.weights, rtol=0, atol=1e-12)
+    assert abs(least - (expect.scores(pa.array([f"word{k}" for k in range(7)], pa.large_string())).min() - quality.MARGIN)) < 1e-9
