@@ -125,6 +125,22 @@ def test_pairs_are_never_shuffled(spark):
     assert {(r.a, r.b) for r in found.collect()} == {("0", "1"), ("0", "2"), ("1", "2")}
 
 
+def test_words_of_copies_are_in_no_shuffle_but_one(spark, monkeypatch):
+    """Copies are told by their digests; a bit map that lets all pass gives the same pairs and stories."""
+    from feedloom.plans import bitmap
+
+    a, b = "charlie delta echoes foxtrot golfing", "charlie delta echoes foxtrot hotels"
+    rows = [("@a", a, DAY + timedelta(minutes=9)), ("@b", b, None), ("@c", a, DAY), ("@d", b, None), ("@e", a, None), ("@f", "juliet kilogram limabean mangos november", DAY)]
+    hashed = stories.hashed(stories.worded(_items(spark, rows)))
+    assert stories._hashed_sets(hashed).columns == ["key", "cls", "at"]
+    for bits in (bitmap.BITS, 1):
+        monkeypatch.setattr(bitmap, "BITS", bits)
+        passed = stories._with_words(hashed, stories._hashed_sets(hashed))
+        assert passed.count() == (3 if bits > 1 else 6)
+        assert [(r.a, r.b, round(r.score, 9)) for r in stories.pairs(passed).collect()] == [("2", "1", round(4 / 6, 9))]
+        assert {r.id: r.leader for r in stories.stories(_items(spark, rows)).collect()} == {"0": "2", "1": "2", "2": "2", "3": "2", "4": "2", "5": "5"}
+
+
 def test_places_within_a_group_come_from_ranges(spark):
     from feedloom.plans.numbering import numbered_within
 
