@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedloom.llm.common import discard, join_split, pieces, small_batches, stored, text_array
+from feedloom.llm.common import BROADCAST_ROWS, discard, join_split, pieces, small_batches, stored, text_array
 from feedloom.llm.exact import _marks, _survives
 from feedloom.llm import simhash
 from feedloom.llm.simhash import components, shingle_hashes
@@ -42,7 +42,7 @@ SMALL = 64
 #: Texts that are held against one other in one group.
 GROUP = 256
 
-#: Words of 64 bits in which a set's shingles are marked by parity.
+#: Words of 64 bits in which a set's shingles are marked by parity; where they are fewer than two bits a shingle, ``wide`` has more.
 MARKS = 8
 
 
@@ -70,8 +70,9 @@ def shingle_sets(docs: DataFrame, key: str, text: str, width: int, common: tuple
     """``key``, ``fp`` (one for each set), its size ``n``, and distinct ``shingles`` of every row.
 
     ``whole`` gives all of them, else ``sim`` (the SimHash fingerprint), ``head``
-    (the first shingles in the common order, rare ones first) and ``marks``: a bit
-    for each hash value of MARKS words, one where an odd number of shingles fall.
+    (the first shingles in the common order, rare ones first) ``marks`` (a bit
+    for each hash value of MARKS words, one where an odd number of shingles fall),
+    ``wide`` (such marks of at least two bits a shingle: in fewer those of long sets tell nothing).
     """
     known, often = common
 
@@ -101,11 +102,15 @@ def shingle_sets(docs: DataFrame, key: str, text: str, width: int, common: tuple
                 wide = 64 * MARKS
                 odd = (np.bincount(doc * wide + (hashes % np.uint64(wide)).astype(np.int64), minlength=len(n) * wide) & 1).astype(np.uint8)
                 marks = np.packbits(odd, bitorder="little").view("<i8")
+                words = MARKS << np.ceil(np.log2(np.maximum(n / (32 * MARKS), 1))).astype(np.int64)
+                begins = 64 * np.concatenate([[0], np.cumsum(words)])
+                odd = (np.bincount(begins[doc] + (hashes % (64 * words[doc]).astype(np.uint64)).astype(np.int64), minlength=begins[-1]) & 1).astype(np.uint8)
+                spread = np.packbits(odd, bitorder="little").view("<i8")
                 starts = lambda sizes: pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
-                lists = [pa.array(sim.view(np.int64)), pa.ListArray.from_arrays(starts(size), pa.array(heads.view(np.int64))), pa.ListArray.from_arrays(starts(np.full(len(n), MARKS)), pa.array(marks))]
-            yield pa.RecordBatch.from_arrays(columns + lists, ["key", "fp", "n", *(["shingles"] if whole else ["sim", "head", "marks"])])
+                lists = [pa.array(sim.view(np.int64)), pa.ListArray.from_arrays(starts(size), pa.array(heads.view(np.int64))), pa.ListArray.from_arrays(starts(np.full(len(n), MARKS)), pa.array(marks)), pa.ListArray.from_arrays(starts(words), pa.array(spread))]
+            yield pa.RecordBatch.from_arrays(columns + lists, ["key", "fp", "n", *(["shingles"] if whole else ["sim", "head", "marks", "wide"])])
 
-    lists = "shingles array<bigint>" if whole else "sim bigint, head array<bigint>, marks array<bigint>"
+    lists = "shingles array<bigint>" if whole else "sim bigint, head array<bigint>, marks array<bigint>, wide array<bigint>"
     return _rows(docs, key, text).mapInArrow(run, f"key {dict(docs.dtypes)[key]}, fp bigint, n int, {lists}")
 
 
@@ -119,33 +124,45 @@ def _possible(a: str, b: str):
     return shared * (NUM + DEN) >= NUM * (F.col(f"{a}.n") + F.col(f"{b}.n"))
 
 
-def _may_be_near(pairs: DataFrame, prints: DataFrame) -> DataFrame:
+def _may_be_near(pairs: DataFrame, sides: DataFrame) -> DataFrame:
     """The pairs whose marks differ in no more bits than near sets can in shingles, (n + m) (DEN - NUM) / (DEN + NUM).
 
-    A shingle of one set alone changes one bit, so no near pair is lost.
+    A shingle of one set alone changes one bit, so no near pair is lost.  Near sets' marks are as wide, or one twice as
+    wide: its halves are laid together.
     """
-    sides = prints.groupBy("fp").agg(F.first("n").alias("n"), F.first("marks").alias("marks"))
     found = pairs
     for side in ("u", "v"):
-        found = join_split(found, sides.select(F.col("fp").alias(side), F.col("n").alias(f"n_{side}"), F.col("marks").alias(f"m_{side}")), side, "inner")
-    differ = sum(F.bit_count(F.col("m_u")[i].bitwiseXOR(F.col("m_v")[i])) for i in range(MARKS))
-    return found.where(differ * (NUM + DEN) <= (F.col("n_u") + F.col("n_v")) * (DEN - NUM)).select("u", "v")
+        found = join_split(found, sides.select(F.col("fp").alias(side), F.col("n").alias(f"n_{side}"), F.col("wide").alias(f"m_{side}")), side, "inner")
+    either = lambda x, y: x.bitwiseXOR(y)
 
+    def as_wide(a: str, b: str):
+        size = F.size(b)
+        return F.when(F.size(a) > size, F.zip_with(F.slice(a, F.lit(1), size), F.slice(a, size + 1, size), either)).otherwise(F.col(a))
 
-def near_pairs(pairs: DataFrame, prints: DataFrame, sets_of) -> DataFrame:
-    """The pairs ``u``, ``v`` whose shingles are near, counted one by one.
+    apart = F.zip_with(as_wide("m_u", "m_v"), as_wide("m_v", "m_u"), lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    differ = F.aggregate(apart, F.lit(0), lambda total, x: total + x)
+    sized = found.where(F.least("n_u", "n_v") * DEN >= F.greatest("n_u", "n_v") * NUM)
+    return sized.where(differ * (NUM + DEN) <= (F.col("n_u") + F.col("n_v")) * (DEN - NUM)).select("u", "v")
 
-    A text that meets many is dealt to groups of GROUP of them.
+
+def near_pairs(pairs: DataFrame, sides: DataFrame, sets_of) -> DataFrame:
+    """The pairs ``u``, ``v`` whose shingles are near, counted one by one; ``sides``: fp, n, marks of every set.
+
+    A text that meets many is dealt to groups of GROUP of them.  Few pairs pick their sides where those lie.
     """
-    pairs = stored(_may_be_near(pairs.select("u", "v").distinct(), prints), "pairs")
+    met = stored(pairs.select("u", "v").distinct(), "met")
+    if met.count() <= BROADCAST_ROWS:
+        sides = sides.join(F.broadcast(met.select(F.explode(F.array("u", "v")).alias("fp"))), "fp", "left_semi")
+    pairs = stored(_may_be_near(met, sides), "pairs")
+    discard(met)
     sets = sets_of(pairs.select(F.col("u").alias("fp")).union(pairs.select(F.col("v").alias("fp"))).distinct())
     groups = pairs.groupBy("u").agg(F.ceil(F.count("*") / F.lit(GROUP)).cast("int").alias("groups"))
     one = groups.join(sets.select(F.col("fp").alias("u"), F.col("shingles").alias("a")), "u")
     one = one.select("u", "groups", "a", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("g"))
     other = join_split(pairs, groups, "u", "inner").withColumn("g", F.pmod(F.xxhash64("v"), F.col("groups")).cast("int")).drop("groups")
     other = other.join(sets.select(F.col("fp").alias("v"), F.col("shingles").alias("b")), "v")
-    met = other.join(one.drop("groups"), ["u", "g"]).select("u", "v", F.size("a").alias("n"), F.size("b").alias("m"), F.size(F.array_intersect("a", "b")).alias("both"))
-    near = stored(met.where(F.col("both") * DEN >= (F.col("n") + F.col("m") - F.col("both")) * NUM).select("u", "v"), "near")
+    both = other.join(one.drop("groups"), ["u", "g"]).select("u", "v", F.size("a").alias("n"), F.size("b").alias("m"), F.size(F.array_intersect("a", "b")).alias("both"))
+    near = stored(both.where(F.col("both") * DEN >= (F.col("n") + F.col("m") - F.col("both")) * NUM).select("u", "v"), "near")
     discard(pairs, sets)
     return near
 
@@ -160,14 +177,13 @@ def _met_in_bits(prints: DataFrame, tau: int) -> DataFrame:
     return alike.union(edges.select(F.least("_u", "_v").alias("u"), F.greatest("_u", "_v").alias("v")))
 
 
-def _small_buckets(rows: DataFrame, many: DataFrame, labels: DataFrame) -> DataFrame:
+def _small_buckets(placed: DataFrame, labels: DataFrame) -> DataFrame:
     """Pairs that meet in a shingle of SMALL texts at most, share enough first shingles and aren't in one component yet.
 
     Of two near sets, the shared ones are among both sets' first, or behind the
     last first one of one of them.  What they share in larger buckets isn't
     counted here, so it is bounded by how many first shingles either has there.
     """
-    placed = join_split(rows, many, "h", "inner")
     wide = placed.groupBy("fp").agg(F.count(F.when(F.col("many") > SMALL, 1)).alias("wide"))
     small = placed.where(F.col("many") <= SMALL).groupBy("h").agg(F.collect_list(F.struct("fp", "n", "pos")).alias("all"))
     pairs = small.select("all", F.explode("all").alias("x")).select("x", F.explode("all").alias("y")).where(F.col("x.fp") < F.col("y.fp"))
@@ -205,13 +221,13 @@ def _near_in_block(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(us), np.concatenate(vs)
 
 
-def _across(own: DataFrame, prints: DataFrame) -> DataFrame:
+def _across(own: DataFrame, sides: DataFrame) -> DataFrame:
     """Pairs of a large bucket's texts that may be near, bucket by ``h``; ``own``: h, fp, n, pos, label.
 
     A bucket is split in blocks of GROUP texts and every two blocks meet once, so
     no task holds more than two blocks and no pair is a row before it has passed.
     """
-    sides = prints.groupBy("fp").agg(F.first("marks").alias("marks"))
+    sides = sides.select("fp", "marks")
     blocks = own.groupBy("h").agg(F.ceil(F.count("*") / F.lit(GROUP)).cast("int").alias("blocks"))
     dealt = join_split(join_split(own, sides, "fp", "inner"), blocks, "h", "inner").withColumn("mine", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
     met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(F.xxhash64("h", F.least("mine", "other"), F.greatest("mine", "other")).alias("g"), "fp", "n", "pos", "label", "marks")
@@ -224,10 +240,33 @@ def _across(own: DataFrame, prints: DataFrame) -> DataFrame:
     return met.repartition("g").sortWithinPartitions("g").mapInArrow(run, "u bigint, v bigint")
 
 
-def links(prints: DataFrame, sets_of, tau: int = TAU) -> DataFrame:
-    """Edges ``u``, ``v`` over the distinct ``fp`` that connect whatever is linked by a near pair, or by several.
+def joined(labels: DataFrame | None, edges: DataFrame) -> DataFrame:
+    """``labels`` (``v`` and the least vertex of its component; none yet: None) with more edges ``u``, ``v``; both are discarded.
 
-    First those that fingerprints show.  Then those that shingles show: sets that
+    Only what the edges link anew is worked on: an edge stands between the labels of its ends.
+    """
+    if labels is None:
+        after = components(edges)
+        discard(edges)
+        return after
+    between = edges.select("u", "v")
+    for side in ("u", "v"):
+        between = join_split(between, labels.select(F.col("v").alias(side), F.col("label").alias(f"_{side}")), side)
+    between = stored(between.select(F.coalesce("_u", "u").alias("u"), F.coalesce("_v", "v").alias("v")).where("u <> v").distinct(), "between")
+    discard(edges)
+    if between.isEmpty():
+        return labels
+    roots = components(between)
+    moved = join_split(labels, roots.select(F.col("v").alias("label"), F.col("label").alias("_root")), "label").select("v", F.coalesce("_root", "label").alias("label"))
+    after = stored(moved.union(roots.join(labels.select("v"), "v", "left_anti").select("v", "label")), "labels")
+    discard(labels, roots, between)
+    return after
+
+
+def labelled(prints: DataFrame, sets_of, tau: int = TAU) -> DataFrame:
+    """``v`` and the least vertex ``label`` of its component, for every distinct ``fp`` that has a near pair.
+
+    First pairs that fingerprints show.  Then those that shingles show: sets that
     share NUM / DEN of their union share a shingle of their first
     n - ceil(n NUM / DEN) + 1, in any order all agree on.  The texts of a small
     bucket meet in pairs.  Those of a large one are first held against one of
@@ -236,29 +275,35 @@ def links(prints: DataFrame, sets_of, tau: int = TAU) -> DataFrame:
     left out is in one component already, or not near, so the components are those
     of all near pairs.
     """
-    edges = near_pairs(_met_in_bits(prints, tau), prints, sets_of)
+    one = F.first(F.struct("n", "marks", "wide"))  # of one row
+    sides = stored(prints.groupBy("fp").agg(one.alias("one")).select("fp", "one.*"), "sides")
+    labels = joined(None, near_pairs(_met_in_bits(prints, tau), sides, sets_of))
     every = prints.select("fp", "n", F.posexplode("head").alias("pos", "h"))
     flagged = _survives(every, _marks(every.select("h")), F.col("h"), "_shared").where("_shared").drop("_shared")
     rows = stored(flagged.distinct(), "heads")
     many = rows.groupBy("h").agg(F.count("*").alias("many")).where("many > 1")
-    edges = edges.union(near_pairs(_small_buckets(rows, many, components(edges)), prints, sets_of))
-
-    large = stored(join_split(rows, many.where(F.col("many") > SMALL), "h", "inner").drop("many"), "heads")
+    placed = stored(join_split(rows, many, "h", "inner"), "placed")
     discard(rows)
+    labels = joined(labels, near_pairs(_small_buckets(placed, labels), sides, sets_of))
+
+    large = placed.where(F.col("many") > SMALL).drop("many")
     if large.isEmpty():
-        return edges
+        discard(placed, sides)
+        return labels
     for turn in range(ROUNDS + 1):
-        labels = components(edges).withColumnRenamed("v", "fp")
-        placed = join_split(large, labels, "fp").withColumn("label", F.coalesce("label", "fp"))
+        placed = join_split(large, labels.withColumnRenamed("v", "fp"), "fp").withColumn("label", F.coalesce("label", "fp"))
         apart = placed.groupBy("h").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "fp").alias("by"), "fp", "n", "pos", "label")).alias("lead"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("h", "lead")
         mine = F.struct("fp", "n", "pos", "label").alias("x")
         if turn < ROUNDS:
             pairs = join_split(placed.select("h", mine), apart, "h", "inner").where((F.col("x.label") != F.col("lead.label")) & _possible("x", "lead")).select(F.col("lead.fp").alias("u"), F.col("x.fp").alias("v"))
         else:
             own = join_split(placed.select("h", "fp", "n", "pos", "label"), apart.select("h"), "h", "inner")
-            pairs = _across(stored(own, "apart"), prints)
-        edges = edges.union(near_pairs(pairs, prints, sets_of))
-    return edges
+            own = stored(own, "apart")
+            pairs = _across(own, sides)
+        labels = joined(labels, near_pairs(pairs, sides, sets_of))
+    discard(own)
+    discard(placed, sides)
+    return labels
 
 
 def similar_texts(docs: DataFrame, width: int = WIDTH, key: str = "doc_id", text: str = "text", tau: int = TAU) -> DataFrame:
@@ -274,13 +319,13 @@ def similar_texts(docs: DataFrame, width: int = WIDTH, key: str = "doc_id", text
     vertices = stored(prints.groupBy("fp").agg(F.min("key").alias("least")), "vertices")
 
     def sets_of(fps: DataFrame) -> DataFrame:
-        """Whole sets, of texts whose keys a bit map of fixed size lets through."""
+        """Whole sets of ``fps``, and of few others: of texts whose keys a bit map of fixed size lets through."""
         keys = join_split(fps, vertices, "fp", "inner").select(F.xxhash64("least").alias("h"))
         some = _survives(docs.select(key, text), _marks(keys.union(keys)), F.xxhash64(key), "_met").where("_met").drop("_met")
-        found = join_split(shingle_sets(some, key, text, width, common, whole=True), fps, "fp", "inner")
+        found = shingle_sets(some, key, text, width, common, whole=True)
         return stored(found.groupBy("fp").agg(F.first("shingles").alias("shingles")), "sets")
 
-    labels = components(links(prints, sets_of, tau))
+    labels = labelled(prints, sets_of, tau)
     of = vertices.join(labels.withColumnRenamed("v", "fp"), "fp", "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))
     least = of.groupBy("label").agg(F.min("least").alias("component_id"))
     placed = join_split(of, least, "label").select("fp", "component_id")

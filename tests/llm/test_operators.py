@@ -510,6 +510,26 @@ def test_similar_texts(spark, docs, rows, monkeypatch, small):
     assert similar.similar_texts(docs.limit(0)).count() == 0
 
 
+def test_marks_of_long_texts_tell_which_may_be_near(spark):
+    """Texts of thousands of shingles, of which 512 bits would tell nothing; widths that differ; labels joined step by step."""
+    words = [f"w{i}" for i in range(6000)]
+    texts = [words[:2044], words[:2144], words[1000:3044], words[:1020] + words[4000:5024], words[5000:5100], words[5001:5101]]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id bigint, text string")
+    none = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    sides = similar.shingle_sets(docs, "doc_id", "text", 5, none, whole=False).cache()
+    rows = sides.collect()
+    assert sorted({len(r.wide) for r in rows}) == [8, 64, 128]
+    fp = {r.key: r.fp for r in rows}
+    pairs = spark.createDataFrame([(fp[i], fp[j]) for i in range(6) for j in range(i)], "u bigint, v bigint")
+    assert {(r.u, r.v) for r in similar._may_be_near(pairs, sides).collect()} == {(fp[1], fp[0]), (fp[5], fp[4])}
+
+    edges = lambda *e: similar.stored(spark.createDataFrame(e, "u bigint, v bigint"), "near")
+    labels = None
+    for new in ([(5, 6), (8, 9)], [(5, 6)], [(6, 9), (1, 2)], [(2, 8), (7, 10)]):
+        labels = similar.joined(labels, edges(*new))
+    assert {(r.v, r.label) for r in labels.collect()} == {(v, 1) for v in (1, 2, 5, 6, 8, 9)} | {(7, 7), (10, 7)}
+
+
 def test_decode_of_given_ids(spark):
     """Ids read from elsewhere, in any order, repeated, unknown or null."""
     whole = bpe.encoder(bpe.default_path()).whole
