@@ -478,3 +478,10 @@ def test_polling_adds_what_is_new(spark, tmp_path):
     finally:
         query.stop()
     assert sorted(r.id for r in spark.read.parquet(str(tmp_path / "store")).collect()) == [1, 2, 3]
+
+
+def test_hints_number_posts_without_their_texts(spark):
+    from feedloom import queries
+
+    found = queries._numbered(spark, "/root/testdata/sf0.001", "id")
+    assert {"id", "n", "source", "tier"} <= set(found.columns) and not {"own", "full_text", "retweet_of_text"} & set(found.columns)
