@@ -141,6 +141,25 @@ def test_words_of_copies_are_in_no_shuffle_but_one(spark, monkeypatch):
         assert {r.id: r.leader for r in stories.stories(_items(spark, rows)).collect()} == {"0": "2", "1": "2", "2": "2", "3": "2", "4": "2", "5": "5"}
 
 
+def test_stories_leave_no_words_and_story_lines_cut_texts_first(spark):
+    from pathlib import Path
+
+    from feedloom.plans.lineage import shared_folder
+
+    said = ["alpha bravo charlie delta echos", "alpha bravo charlie delta echos foxtrot", "other words stand alone here " + "and long " * 99]
+    folder = Path(shared_folder(spark).removeprefix("file:"), "feedloom")
+    before = set(folder.glob("*"))
+    members = stories.stories(_items(spark, [("@a", text, DAY + timedelta(minutes=i)) for i, text in enumerate(said)]))
+    assert {r.id: r.leader for r in members.collect()} == {"0": "0", "1": "0", "2": "2"}
+    columns = [set(spark.read.parquet(f"file://{p}").columns) for p in set(folder.glob("*")) - before]
+    assert columns and not any(c & {"words", "codes"} for c in columns)
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "true"
+    texts = spark.createDataFrame([(str(i), text) for i, text in enumerate(said)], "leader string, text string")
+    cut = {r.leader: r.about for r in render.abouts(members.where("id = '2'").select("leader"), texts).collect()}
+    assert set(cut) == {"2"} and len(cut["2"]) <= render.SNIPPET + 1
+
+
+
 def test_places_within_a_group_come_from_ranges(spark):
     from feedloom.plans.numbering import numbered_within
 
