@@ -7,6 +7,7 @@ space characters being the only separators.
 from __future__ import annotations
 
 import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -86,6 +87,15 @@ def discard(*tables: DataFrame) -> None:
             at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def collected(spark: SparkSession) -> None:
+    """The driver's garbage goes now, and with it what past steps broadcast and shuffled.
+
+    A stage of many small steps else fills the driver's heap with their plans and broadcasts before it is collected.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

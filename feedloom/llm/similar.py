@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedloom.llm.common import BROADCAST_ROWS, discard, join_split, pieces, small_batches, stored, text_array
+from feedloom.llm.common import BROADCAST_ROWS, collected, discard, join_split, pieces, small_batches, stored, text_array
 from feedloom.llm.exact import _marks, _survives
 from feedloom.llm import simhash
 from feedloom.llm.simhash import components, shingle_hashes
@@ -148,13 +148,19 @@ def _may_be_near(pairs: DataFrame, sides: DataFrame) -> DataFrame:
 def near_pairs(pairs: DataFrame, sides: DataFrame, sets_of) -> DataFrame:
     """The pairs ``u``, ``v`` whose shingles are near, counted one by one; ``sides``: fp, n, marks of every set.
 
-    A text that meets many is dealt to groups of GROUP of them.  Few pairs pick their sides where those lie.
+    A text that meets many is dealt to groups of GROUP of them.  Few pairs pick their sides where those lie.  Where no
+    pair is left there is no more to do: no text is read.
     """
     met = stored(pairs.select("u", "v").distinct(), "met")
-    if met.count() <= BROADCAST_ROWS:
+    many = met.count()
+    if not many:
+        return met
+    if many <= BROADCAST_ROWS:
         sides = sides.join(F.broadcast(met.select(F.explode(F.array("u", "v")).alias("fp"))), "fp", "left_semi")
     pairs = stored(_may_be_near(met, sides), "pairs")
     discard(met)
+    if pairs.isEmpty():
+        return pairs
     sets = sets_of(pairs.select(F.col("u").alias("fp")).union(pairs.select(F.col("v").alias("fp"))).distinct())
     groups = pairs.groupBy("u").agg(F.ceil(F.count("*") / F.lit(GROUP)).cast("int").alias("groups"))
     one = groups.join(sets.select(F.col("fp").alias("u"), F.col("shingles").alias("a")), "u")
@@ -164,6 +170,7 @@ def near_pairs(pairs: DataFrame, sides: DataFrame, sets_of) -> DataFrame:
     both = other.join(one.drop("groups"), ["u", "g"]).select("u", "v", F.size("a").alias("n"), F.size("b").alias("m"), F.size(F.array_intersect("a", "b")).alias("both"))
     near = stored(both.where(F.col("both") * DEN >= (F.col("n") + F.col("m") - F.col("both")) * NUM).select("u", "v"), "near")
     discard(pairs, sets)
+    collected(near.sparkSession)
     return near
 
 
@@ -248,7 +255,11 @@ def joined(labels: DataFrame | None, edges: DataFrame) -> DataFrame:
     if labels is None:
         after = components(edges)
         discard(edges)
+        collected(after.sparkSession)
         return after
+    if edges.isEmpty():
+        discard(edges)
+        return labels
     between = edges.select("u", "v")
     for side in ("u", "v"):
         between = join_split(between, labels.select(F.col("v").alias(side), F.col("label").alias(f"_{side}")), side)
@@ -260,6 +271,7 @@ def joined(labels: DataFrame | None, edges: DataFrame) -> DataFrame:
     moved = join_split(labels, roots.select(F.col("v").alias("label"), F.col("label").alias("_root")), "label").select("v", F.coalesce("_root", "label").alias("label"))
     after = stored(moved.union(roots.join(labels.select("v"), "v", "left_anti").select("v", "label")), "labels")
     discard(labels, roots, between)
+    collected(after.sparkSession)
     return after
 
 
@@ -286,23 +298,28 @@ def labelled(prints: DataFrame, sets_of, tau: int = TAU) -> DataFrame:
     discard(rows)
     labels = joined(labels, near_pairs(_small_buckets(placed, labels), sides, sets_of))
 
-    large = placed.where(F.col("many") > SMALL).drop("many")
+    large_rows, large = placed, placed.where(F.col("many") > SMALL).drop("many")
     if large.isEmpty():
-        discard(placed, sides)
+        discard(large_rows, sides)
         return labels
     for turn in range(ROUNDS + 1):
         placed = join_split(large, labels.withColumnRenamed("v", "fp"), "fp").withColumn("label", F.coalesce("label", "fp"))
         apart = placed.groupBy("h").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "fp").alias("by"), "fp", "n", "pos", "label")).alias("lead"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("h", "lead")
+        apart = stored(apart, "leads")
+        if apart.isEmpty():
+            discard(apart)
+            break
         mine = F.struct("fp", "n", "pos", "label").alias("x")
         if turn < ROUNDS:
             pairs = join_split(placed.select("h", mine), apart, "h", "inner").where((F.col("x.label") != F.col("lead.label")) & _possible("x", "lead")).select(F.col("lead.fp").alias("u"), F.col("x.fp").alias("v"))
         else:
-            own = join_split(placed.select("h", "fp", "n", "pos", "label"), apart.select("h"), "h", "inner")
-            own = stored(own, "apart")
+            own = stored(join_split(placed.select("h", "fp", "n", "pos", "label"), apart.select("h"), "h", "inner"), "apart")
             pairs = _across(own, sides)
         labels = joined(labels, near_pairs(pairs, sides, sets_of))
-    discard(own)
-    discard(placed, sides)
+        discard(apart)
+        if turn == ROUNDS:
+            discard(own)
+    discard(large_rows, sides)
     return labels
 
 

@@ -551,3 +551,19 @@ def test_quality_is_fitted_on_all_trusted_documents(spark):
     expect = quality.Ratio(seen(n + 50), seen(n))
     assert np.allclose(ratio.weights, expect.weights, rtol=0, atol=1e-12)
     assert abs(least - (expect.scores(pa.array([f"word{k}" for k in range(7)], pa.large_string())).min() - quality.MARGIN)) < 1e-9
+
+
+def test_no_pair_left_reads_no_text_and_links_nothing(spark):
+    texts = [(1, " ".join(f"a{i}" for i in range(40))), (2, " ".join(f"b{i}" for i in range(40)))]
+    none = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    sides = similar.shingle_sets(spark.createDataFrame(texts, "doc_id bigint, text string"), "doc_id", "text", 5, none, whole=False).cache()
+
+    def sets_of(fps):
+        raise AssertionError("texts are read for no pair")
+
+    far = sides.agg(F.min("fp").alias("u"), F.max("fp").alias("v"))
+    for pairs in (far, far.limit(0)):
+        found = similar.near_pairs(pairs, sides, sets_of)
+        assert (found.columns, found.count()) == (["u", "v"], 0)
+        labels = spark.createDataFrame([(5, 3)], "v bigint, label bigint")
+        assert similar.joined(labels, found) is labels
