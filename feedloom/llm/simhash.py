@@ -377,9 +377,9 @@ def components(edges: DataFrame) -> DataFrame:
     both = stored(edges.select("u", "v").union(edges.select("v", "u")).distinct(), "edges")
     labels = stored(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("v"), F.least("u", "m").alias("label")), "labels")
     while True:
-        around = join_split(both, labels, "v", "inner").groupBy("u").agg(F.min("label").alias("m"))
-        lower = labels.join(around.withColumnRenamed("u", "v"), "v", "left").select("v", F.col("label").alias("old"), F.least("label", "m").alias("label"))
-        lower = stored(lower, "labels")
+        around = join_split(both, labels, "v", "inner").select(F.col("u").alias("v"), F.lit(None).cast("bigint").alias("old"), "label")
+        own = labels.select("v", F.col("label").alias("old"), "label")
+        lower = stored(own.union(around).groupBy("v").agg(F.max("old").alias("old"), F.min("label").alias("label")), "labels")
         jump = lower.select(F.col("v").alias("label"), F.col("label").alias("to"))
         after = stored(join_split(lower, jump, "label").select("v", F.coalesce("to", "label").alias("label"), "old"), "labels")
         discard(labels, lower)

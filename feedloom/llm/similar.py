@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedloom.llm.common import BROADCAST_ROWS, collected, discard, join_split, pieces, small_batches, stored, text_array
+from feedloom.llm.common import BROADCAST_ROWS, collected, discard, join_small, join_split, pieces, small_batches, stored, text_array
 from feedloom.llm.exact import _marks, _survives
 from feedloom.llm import simhash
 from feedloom.llm.simhash import components, shingle_hashes
@@ -124,15 +124,19 @@ def _possible(a: str, b: str):
     return shared * (NUM + DEN) >= NUM * (F.col(f"{a}.n") + F.col(f"{b}.n"))
 
 
-def _may_be_near(pairs: DataFrame, sides: DataFrame) -> DataFrame:
+def _may_be_near(pairs: DataFrame, sides: DataFrame, few: bool = False) -> DataFrame:
     """The pairs whose marks differ in no more bits than near sets can in shingles, (n + m) (DEN - NUM) / (DEN + NUM).
 
+    ``few`` pairs are sent to where the sides lie, so sides of no pair aren't shuffled and each pair meets its sides in one shuffle.
+
     A shingle of one set alone changes one bit, so no near pair is lost.  Near sets' marks are as wide, or one twice as
     wide: its halves are laid together.
     """
-    found = pairs
-    for side in ("u", "v"):
-        found = join_split(found, sides.select(F.col("fp").alias(side), F.col("n").alias(f"n_{side}"), F.col("wide").alias(f"m_{side}")), side, "inner")
+    of = lambda side: sides.select(F.col("fp").alias(side), F.col("n").alias(f"n_{side}"), F.col("wide").alias(f"m_{side}"))
+    if few:
+        found = of("u").join(F.broadcast(pairs), "u").join(of("v").join(F.broadcast(pairs), "v"), ["u", "v"])
+    else:
+        found = join_split(join_split(pairs, of("u"), "u", "inner"), of("v"), "v", "inner")
     either = lambda x, y: x.bitwiseXOR(y)
 
     def as_wide(a: str, b: str):
@@ -155,13 +159,12 @@ def near_pairs(pairs: DataFrame, sides: DataFrame, sets_of) -> DataFrame:
     many = met.count()
     if not many:
         return met
-    if many <= BROADCAST_ROWS:
-        sides = sides.join(F.broadcast(met.select(F.explode(F.array("u", "v")).alias("fp"))), "fp", "left_semi")
-    pairs = stored(_may_be_near(met, sides), "pairs")
+    few = many <= BROADCAST_ROWS
+    pairs = stored(_may_be_near(met, sides, few), "pairs")
     discard(met)
     if pairs.isEmpty():
         return pairs
-    sets = sets_of(pairs.select(F.col("u").alias("fp")).union(pairs.select(F.col("v").alias("fp"))).distinct())
+    sets = sets_of(pairs.select(F.explode(F.array("u", "v")).alias("fp")))
     groups = pairs.groupBy("u").agg(F.ceil(F.count("*") / F.lit(GROUP)).cast("int").alias("groups"))
     one = groups.join(sets.select(F.col("fp").alias("u"), F.col("shingles").alias("a")), "u")
     one = one.select("u", "groups", "a", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("g"))
@@ -303,7 +306,7 @@ def labelled(prints: DataFrame, sets_of, tau: int = TAU) -> DataFrame:
         discard(large_rows, sides)
         return labels
     for turn in range(ROUNDS + 1):
-        placed = join_split(large, labels.withColumnRenamed("v", "fp"), "fp").withColumn("label", F.coalesce("label", "fp"))
+        placed = join_small(large, labels.withColumnRenamed("v", "fp"), "fp").withColumn("label", F.coalesce("label", "fp"))
         apart = placed.groupBy("h").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "fp").alias("by"), "fp", "n", "pos", "label")).alias("lead"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("h", "lead")
         apart = stored(apart, "leads")
         if apart.isEmpty():
@@ -336,9 +339,13 @@ def similar_texts(docs: DataFrame, width: int = WIDTH, key: str = "doc_id", text
     vertices = stored(prints.groupBy("fp").agg(F.min("key").alias("least")), "vertices")
 
     def sets_of(fps: DataFrame) -> DataFrame:
-        """Whole sets of ``fps``, and of few others: of texts whose keys a bit map of fixed size lets through."""
-        keys = join_split(fps, vertices, "fp", "inner").select(F.xxhash64("least").alias("h"))
-        some = _survives(docs.select(key, text), _marks(keys.union(keys)), F.xxhash64(key), "_met").where("_met").drop("_met")
+        """Whole sets of ``fps``, and of few others: of texts whose keys a bit map of fixed size lets through; few go by their keys' hashes."""
+        if fps.count() <= 2 * BROADCAST_ROWS:
+            keys = vertices.join(F.broadcast(fps), "fp", "left_semi").select(F.xxhash64("least").alias("_h"))
+            some = docs.select(key, text).join(F.broadcast(keys), F.xxhash64(key) == F.col("_h"), "left_semi")
+        else:
+            keys = join_split(fps.distinct(), vertices, "fp", "inner").select(F.xxhash64("least").alias("h"))
+            some = _survives(docs.select(key, text), _marks(keys.union(keys)), F.xxhash64(key), "_met").where("_met").drop("_met")
         found = shingle_sets(some, key, text, width, common, whole=True)
         return stored(found.groupBy("fp").agg(F.first("shingles").alias("shingles")), "sets")
 
