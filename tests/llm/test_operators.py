@@ -567,3 +567,24 @@ def test_no_pair_left_reads_no_text_and_links_nothing(spark):
         assert (found.columns, found.count()) == (["u", "v"], 0)
         labels = spark.createDataFrame([(5, 3)], "v bigint, label bigint")
         assert similar.joined(labels, found) is labels
+
+
+def test_a_round_of_components_takes_one_shuffle(spark):
+    """The driver keeps a record of each stage: 92 before a vertex's own label and those around it met in one group."""
+    names = ["spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"]
+    before = {n: spark.conf.get(n, None) for n in names}
+    for n in names:
+        spark.conf.set(n, "-1")
+    sc = spark.sparkContext
+    sc.setJobGroup("components", "components")
+    try:
+        edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "u bigint, v bigint")
+        got = {(r.v, r.label) for r in simhash.components(edges).collect()}
+        told = sc.statusTracker()
+        stages = sum(len(told.getJobInfo(j).stageIds) for j in told.getJobIdsForGroup("components"))
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        for n, v in before.items():
+            spark.conf.unset(n) if v is None else spark.conf.set(n, v)
+    assert got == {(v, 0) for v in range(41)} | {(100, 100), (101, 100)}
+    assert stages < 92
