@@ -117,6 +117,51 @@ def test_pairs_of_many_blocks_equal_brute_force(monkeypatch):
     assert {a // 7 == b // 7 for a, b, _ in found} == {True, False}  # pairs of one block and of two
 
 
+def test_few_words_are_looked_up_for_sets_of_known_sizes(monkeypatch):
+    """What alike sets share is known from their sizes, so few words of the smaller one are looked up; all pairs are found."""
+    import numpy as np
+    import pyarrow as pa
+
+    from feedloom.operators import overlap
+
+    rng, looked_up, spread = np.random.default_rng(4), [], overlap._spread
+    monkeypatch.setattr(overlap, "_spread", lambda starts, sizes: looked_up.append(int(sizes.sum())) or spread(starts, sizes))
+    # The larger the number, the more frequent the word.
+    chance = np.arange(1, 4001) ** 3.0
+    drawn = lambda n: set(rng.choice(4000, n, False, chance / chance.sum()).tolist())
+    small, large = [drawn(50) for _ in range(150)], [drawn(110) for _ in range(120)]
+    large += [s | set(range(4000 + 60 * k, 4060 + 60 * k)) for k, s in enumerate(small[:30])]
+    sides = []
+    for sets in (small, large):
+        batch = pa.RecordBatch.from_arrays([pa.array([str(i) for i in range(150)]), pa.array([None] * 150, pa.timestamp("us")), pa.array([sorted(s) for s in sets], pa.list_(pa.int64()))], ["cls", "at", "words"])
+        sides += [overlap._Side(b.to_pylist()[0], 0.4) for b in overlap._blocks(iter([batch]))]
+    found = {(int(i), int(j), int(c)) for i, j, c in zip(*overlap._alike(*sides, False, 0.4, 3))}
+    both = lambda a, b: len(small[a] & large[b])
+    assert found == {(a, b, both(a, b)) for a in range(150) for b in range(150) if both(a, b) / len(small[a] | large[b]) >= 0.4} and len(found) >= 30
+    assert sum(looked_up) < 30000, sum(looked_up)
+
+
+def test_pairs_of_blocks_of_like_sizes_equal_brute_force(spark, monkeypatch):
+    """Sizes far apart, so many blocks; the order of words comes from their counts in slots, which words share."""
+    import random
+
+    from feedloom.operators import overlap
+
+    rng = random.Random(8)
+    said = [[f"word{int(400 * rng.random() ** 2)}" for _ in range(rng.choice([6, 9, 14, 30, 80]))] for _ in range(100)]
+    said += [s[: len(s) * 2 // 3] + [f"other{k}", f"others{k}"] for k, s in enumerate(said[:40])]
+    found = {}
+    for slots, ratio in ((overlap.SLOTS, overlap.RATIO), (64, 1.0)):
+        monkeypatch.setattr(overlap, "SLOTS", slots)
+        monkeypatch.setattr(overlap, "RATIO", ratio)
+        items = _items(spark, [("@a", " ".join(s), DAY + timedelta(minutes=i)) for i, s in enumerate(said)])
+        found[slots] = {(r.a, r.b) for r in stories.pairs_of(items).collect()}
+    sets = stories.token_sets(items).collect()
+    both = lambda x, y: len(set(x.toks) & set(y.toks))
+    expect = {(x.cls, y.cls) for x in sets for y in sets if x.at < y.at and both(x, y) >= 3 and both(x, y) / len(set(x.toks) | set(y.toks)) >= 0.4}
+    assert all(f == expect for f in found.values()) and len(expect) >= 30
+
+
 def test_pairs_are_never_shuffled(spark):
     rows = [("@a", "charlie delta echoes foxtrot golfing", DAY), ("@b", "charlie delta echoes foxtrot hotels", None), ("@c", "charlie delta echoes foxtrot hotels indigo", None)]
     found = stories.pairs(stories.token_sets(_items(spark, rows)))
