@@ -74,6 +74,14 @@ def test_stories_never_chain(spark):
     assert got["1"] == "0" and got["2"] == "2" and "4" not in got
 
 
+def test_words_are_made_once(spark):
+    """Words of four letters or more, whatever the script; the filter on their number doesn't make them anew."""
+    rows = stories.worded(_items(spark, [("@a", "The 2024 naïve Łódź straße с Москвой abc this 𝒳𝒳𝒳 𝒳𝒳𝒳𝒳 x1y2 x1y2 https://t.co/words", DAY), ("@b", "only four words here now", DAY)]))
+    assert [(r.id, r.toks) for r in rows.collect()] == [("0", sorted(["2024", "naïve", "łódź", "straße", "москвой", "𝒳𝒳𝒳𝒳", "x1y2"]))]
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all(") == 1
+
+
 def test_pairs_equal_brute_force(spark):
     import random
 
